@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes, so that long texts don't meet in one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def save(df: DataFrame) -> DataFrame:
     """Writes df below the shared folder and reads it again: cuts the lineage, survives lost executors.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import mixing, packing, pii
+from casework.llm import langid, mixing, ngram_lm, packing, pii, quality
+from casework.llm.common import fold_of, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,5 +36,33 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_packing": op3_packing, "op5_mixing": op5_mixing}
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "_lang.lang_pred", "_lang.score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, weights, F.col("source"), F.col("lang")).select("doc_id", "_q.*")
+
+
+def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    counts = ngram_lm.train(docs.filter(~held_out))
+    found = ngram_lm.score(docs, counts)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_packing": op3_packing,
+    "op5_mixing": op5_mixing,
+    "op6_langid": op6_langid,
+    "op9_quality": op9_quality,
+    "op10_ngram_lm": op10_ngram_lm,
+}
 ORACLE_SQL: dict[str, str] = {}
