@@ -7,9 +7,9 @@ that fill a window exactly, or a power of two, are enumerated; non-negative leas
 how often each should repeat to use up the histogram; the counts are rounded down to what is
 there, and what remains is packed greedily, largest first. The plan is a list of runs "documents
 k0..k1 of length l sit at this offset in sequences b.." whose size depends on the window alone.
-It is broadcast; each document finds its place by its rank among those of its length. Ranks come
-from counts by (length, slice of ids) and a window inside one slice, so that a length that a
-third of the rows share is not one task.
+It goes to the tasks; each document finds its place by its rank among those of its length. Ranks
+come from counts by (length, slice of rows) and from the order inside one slice, so that a length
+that a third of the rows share is not one task.
 
 Null text: as empty (one end id). Repeated rows: each is packed. Null ids are kept.
 Empty table: an empty result. Columns other than the id and the text are not read.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 END_ID = 0
-#: Rows that one slice of ids should hold, for ranks.
+#: Rows of one slice, for ranks.
 SLICE_ROWS = 2_000
 #: Combinations that the solver weighs, a number that depends on the window alone.
 MAX_PATTERNS = 4_000
@@ -168,45 +168,52 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     from casework.llm.common import save
 
     kind = docs.schema[id_col].dataType.simpleString()
-    tokens = save(tokenize(docs, vocabulary, id_col, text_col, window, keep_ids))
-    spark = docs.sparkSession
+    tokens = save(tokenize(docs, vocabulary, id_col, text_col, window, keep_ids).withColumn("row", F.monotonically_increasing_id()))
     n_slices = max(1, tokens.count() // SLICE_ROWS)
-    rows = tokens.withColumns(
-        {
-            "full": F.floor(F.col("n_tokens") / window),
-            "length": F.col("n_tokens") % window,
-            "slice": F.pmod(F.xxhash64("id", "n_tokens", "crcs"), F.lit(n_slices)),
-        }
-    )
-    # how many of each length, and whole windows (as length `window`), stand before each slice
-    counted = rows.groupBy("slice", "length").agg(F.count("*").alias("n"), F.sum("full").alias("n_full"))
-    by_slice = counted.select("slice", "length", "n").filter("length > 0").union(counted.groupBy("slice").agg(F.sum("n_full").alias("n")).select("slice", F.lit(window).cast("long"), "n"))
+    rows = tokens.withColumn("slice", F.col("row") % n_slices)
+    # how many of each remainder, and of whole windows (as length `window`), stand before each slice
+    counted = rows.groupBy("slice", (F.col("n_tokens") % window).alias("length")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n_tokens") / window)).alias("n_full"))
+    whole = counted.groupBy("slice").agg(F.sum("n_full").alias("n")).select("slice", F.lit(window).cast("long").alias("length"), "n")
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = save(by_slice.select("slice", F.col("length").alias("of"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    histogram = {int(r.of): int(r.n) for r in starts.groupBy("of").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
+    starts = save(counted.select("slice", "length", "n").filter("length > 0").union(whole).select("slice", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    histogram = {int(r.length): int(r.n) for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
     runs, n_sequences = plan({k: v for k, v in histogram.items() if k < window}, window)
-    order = ["id", "n_tokens", F.hash("crcs")]
-    in_slice = Window.partitionBy("slice").orderBy(*order)
-    rows = rows.withColumns(
-        {
-            "rank": F.row_number().over(Window.partitionBy("slice", "length").orderBy(*order)) - 1,
-            "full_before": F.coalesce(F.sum("full").over(in_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        }
-    )
-    at = starts.select("slice", F.col("of").alias("length"), F.col("before").alias("rank_start"))
-    full_at = starts.filter(F.col("of") == window).select("slice", F.col("before").alias("full_start"))
-    rows = rows.join(full_at, "slice", "left").join(at, ["slice", "length"], "left").withColumn("k", F.col("rank") + F.col("rank_start"))
-    planned = F.broadcast(spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "of int, k0 long, k1 long, base long, at int"))
-    rows = rows.join(planned, (F.col("length") == F.col("of")) & (F.col("k") >= F.col("k0")) & (F.col("k") < F.col("k1")), "left")
-    piece = F.posexplode("crcs").alias("piece", "crc32")
-    whole = F.col("piece") < F.col("full")
-    return rows.select("*", piece).select(
-        F.col("id").cast(kind).alias(id_col),
-        (F.col("piece") * F.lit(window).cast("long")).alias("start"),
-        F.when(whole, F.lit(window)).otherwise(F.col("length")).cast("long").alias("length"),
-        "crc32",
-        "n_tokens",
-        F.when(whole, n_sequences + F.col("full_start") + F.col("full_before") + F.col("piece")).otherwise(F.col("base") + F.col("k") - F.col("k0")).cast("long").alias("sequence_id"),
-        F.when(whole, 0).otherwise(F.col("at")).cast("long").alias("offset"),
-        F.substring("ids", F.lit(1) + F.col("piece") * 4 * window, F.lit(4 * window)).alias("ids") if keep_ids else F.lit(None).cast("binary").alias("ids"),
-    )
+    schema = f"{id_col} {kind}, start long, length long, crc32 long, n_tokens long, sequence_id long, offset long, ids binary"
+    by_slice = rows.groupBy("slice").cogroup(starts.select("slice", "length", "before").groupBy("slice"))
+    return by_slice.applyInPandas(_place(np.array(sorted(runs), np.int64).reshape(-1, 5), n_sequences, window, schema.split()[0]), schema)
+
+
+def _place(runs: np.ndarray, n_sequences: int, window: int, id_col: str):
+    """Pieces of one slice of documents, given how many of each length stand before it."""
+
+    def place(docs, starts):
+        docs = docs.sort_values("row", ignore_index=True)
+        n = docs.n_tokens.to_numpy(np.int64)
+        full, length = n // window, n % window
+        begin = np.zeros(window + 1, np.int64)
+        begin[starts.length.to_numpy(np.int64)] = starts.before
+        # the rank of each document among those of its length
+        order = np.argsort(length, kind="stable")
+        first = np.searchsorted(length[order], length[order], "left")
+        k = np.empty(len(n), np.int64)
+        k[order] = np.arange(len(n)) - first
+        k += begin[length]
+        # the run that holds the rank: the last that starts at or before it
+        key = lambda of, at: of.astype(np.int64) * (1 << 48) + at
+        run = runs[np.searchsorted(key(runs[:, 0], runs[:, 1]), key(length, k), "right") - 1] if len(runs) else np.zeros((len(n), 5), np.int64)
+        full_at = n_sequences + begin[window] + np.cumsum(full) - full
+        pieces = full + (length > 0)
+        of = np.repeat(np.arange(len(n)), pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        whole = piece < full[of]
+        out = docs[["id", "n_tokens"]].iloc[of].rename(columns={"id": id_col}).assign(
+            start=piece * window,
+            length=np.where(whole, window, length[of]),
+            crc32=[c for x in docs.crcs for c in x],
+            sequence_id=np.where(whole, full_at[of] + piece, run[of, 3] + k[of] - run[of, 1]),
+            offset=np.where(whole, 0, run[of, 4]),
+            ids=[None if docs.ids[d] is None else bytes(docs.ids[d])[4 * window * p : 4 * window * (p + 1)] for d, p in zip(of, piece, strict=True)],
+        )
+        return out[[id_col, "start", "length", "crc32", "n_tokens", "sequence_id", "offset", "ids"]]
+
+    return place

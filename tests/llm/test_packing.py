@@ -78,5 +78,6 @@ def test_plan_uses_every_rank_once():
             at = k1
             fill[base : base + k1 - k0] += k
         assert at == times
-    assert fill.max() <= 1024 and 1 - fill.sum() / (1024 * n) < 0.01
+    least = max(fill.sum() / 1024, sum(v for k, v in h.items() if k > 512))  # no packing of whole remainders has fewer
+    assert fill.max() <= 1024 and n < 1.02 * least
     assert len(runs) < 10_000
