@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import langid, mixing, ngram_lm, packing, pii, quality
+from casework.llm import html_text, langid, mixing, ngram_lm, packing, pii, quality
 from casework.llm.common import fold_of, small_batches
 
 
@@ -43,6 +43,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "_lang.lang_pred", "_lang.score")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
+    "op7_html_text": op7_html_text,
     "op9_quality": op9_quality,
     "op10_ngram_lm": op10_ngram_lm,
 }
