@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import html_text, langid, mixing, ngram_lm, packing, pii, quality
+from casework.llm import html_text, langid, metric_join, mixing, ngram_lm, packing, pii, quality, topk
 from casework.llm.common import fold_of, small_batches
 
 
@@ -20,6 +20,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = pii.listed(F.filter("spans", lambda s: s.kind.isin(*pii.BASE_KINDS)))
@@ -63,12 +71,31 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
+    "op4_metric_join": op4_metric_join,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op7_html_text": op7_html_text,
     "op9_quality": op9_quality,
     "op10_ngram_lm": op10_ngram_lm,
 }
-ORACLE_SQL: dict[str, str] = {}
+_USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": f"""
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings where {_USABLE}),
+        s as (select q.vec_id as query_id, d.vec_id as vec_id, cast(list_dot_product(q.e, d.e) as bigint) as score
+              from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op4_metric_join": f"""
+        with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings where {_USABLE} and list_dot_product(cast(embedding as double[]), cast(embedding as double[])) > 0),
+        links as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+        component as (select a as vec_id, min(b) as component_id from reach group by a),
+        counted as (select a as vec_id, count(*) as n_links from links group by a)
+        select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept
+        from component c left join counted using (vec_id)""",
+}
