@@ -123,11 +123,11 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     each = max(10, sample_rows // len(counts))
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(1e6 * min(1.0, each / n)))])
     vec = F.pandas_udf(lambda s: s.map(lambda t: vector(t).tobytes() if _LETTER.search(t) else None), "binary")
-    got = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang"))).select("lang", "id", vec("text").alias("x")).filter("x is not null").toPandas()
-    if not len(got):
+    got = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang"))).select("lang", "id", vec("text").alias("x")).filter("x is not null").toArrow()
+    if not got.num_rows:
         return None
-    got = got.sort_values(["lang", "id", "x"], kind="stable")
-    return Model(np.stack([np.frombuffer(bytes(b), np.float32) for b in got.x]), got.lang.to_numpy(object))
+    got = got.sort_by([("lang", "ascending"), ("id", "ascending"), ("x", "ascending")])
+    return Model(np.stack([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()]), np.array(got.column("lang").to_pylist(), object))
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -85,11 +85,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     vec = F.pandas_udf(lambda s: s.map(lambda t: features(t).tobytes()), "binary")
-    got = rows.select("y", vec("text").alias("x")).toPandas()
-    y = got.y.to_numpy(float)
+    got = rows.select("y", vec("text").alias("x")).toArrow()
+    y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         return None
-    return fit(np.stack([np.frombuffer(bytes(b), np.float32) for b in got.x]), y)
+    return fit(np.stack([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()]), y)
 
 
 def _site(c: Column) -> Column:
