@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import html_text, langid, metric_join, mixing, ngram_lm, packing, pii, quality, topk
+from casework.llm import html_text, langid, metric_join, mixing, neardup, ngram_lm, packing, pii, quality, topk
 from casework.llm.common import fold_of, small_batches
 
 
@@ -56,6 +56,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), words=2)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -78,6 +82,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op7_html_text": op7_html_text,
+    "op8_neardup": op8_neardup,
     "op9_quality": op9_quality,
     "op10_ngram_lm": op10_ngram_lm,
 }
