@@ -154,3 +154,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = look_up(placed.withColumn("key", plain(F.col("source"))), per, ["key"])
     times = F.floor(rate) + F.round("p").cast("long")
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", times.alias("times"), (F.when(F.col("size") > 0, times).otherwise(0) * F.col("size")).cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """docs as the mix takes them: each row as often as its ``times``, with the same columns."""
+    from casework.llm.common import look_up, save
+
+    rows = save(docs.select("*", F.monotonically_increasing_id().alias("_row")))
+    times = save(mix(rows, "_row", text_col, source_col, weights, most, block).filter("times > 0").select("_row", F.col("times").cast("int").alias("_times")))
+    return look_up(rows, times, ["_row"], "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
