@@ -1,4 +1,11 @@
 """All queries of the library by name, and the DuckDB SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from casework.plans import case_plans, graph_plans, money_plans, text_plans, triage_plans
+from casework.sources.views import with_views
+
+_ALL = {**money_plans.PLANS, **triage_plans.PLANS, **graph_plans.PLANS, **case_plans.PLANS, **text_plans.PLANS}
+
+QUERIES = {name: plan for name, (plan, _) in _ALL.items()}
+ORACLE_SQL = {name: with_views(sql) for name, (_, sql) in _ALL.items() if sql}
