@@ -9,11 +9,12 @@ documents that share nothing but a frequent passage seldom have the same neighbo
 consist of common shingles for more than ``1 - RARE`` retain the least fifth of their set instead
 (the prefix that any pair at the threshold must share), so nothing is left out there either.
 
-Inverted lists of the retained values give the candidates, in three rounds:
+Inverted lists of the retained values give the candidates. Nodes that share a value share the
+least node of its list, their centre, so all candidates of a pair lie below a common centre:
 
-1. every node with the least node of its lists that shares most values with it;
-2. every node left outside a large class of its lists with the whole class, in blocks;
-3. the nodes of small classes that share a value and are still apart, as pairs.
+1. every node with that one of its centres that shares most values with it; the links give classes;
+2. below a centre of many nodes, those outside its main class with all, in blocks;
+3. below a centre of few nodes, the pairs of different classes.
 
 In rounds 1 and 3 pairs are filtered by size and by the estimate from the union of two short
 sketches (six deviations below the threshold), then verified on the full sets; round 2 counts
@@ -40,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.llm.common import components, look_up, save
+from casework.llm.metric_join import forest
 
 WORDS, PERCENT = 5, 80
 #: Share of documents beyond which a shingle is common, and the least share of others for sketches.
 COMMON, RARE = 0.003, 0.5
 SLOT_BITS = 18
 SHORT = 32
-LARGE, BLOCK = 64, 512
+#: Nodes of one centre that are compared as pairs; nodes of a block.
+SMALL, BLOCK = 32, 256
 MISS = 1e-9
 
 _U = np.uint64
@@ -199,29 +202,28 @@ def verify(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def _block_links(percent: int):
-    """Links between the nodes of side 0 and those of side 1 of a block: a forest of stars."""
+    """Links between the nodes of side 0 and those of side 1 of a block, as a forest of stars."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         one, many = g[g.side == 0], g[g.side == 1]
-        a, b = [], []
+        edges: list[tuple[int, int]] = []
         if len(one) and len(many):
             sets = [np.frombuffer(x, _U) for x in many.full]
             sizes = np.array([len(s) for s in sets])
             values = np.concatenate(sets)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], np.repeat(np.arange(len(sets)), sizes)[order]
-            names = many.node.to_numpy()
-            for node, raw in zip(one.node.to_numpy(), one.full, strict=True):
+            hit = np.zeros((len(one), len(many)), bool)
+            for i, raw in enumerate(one.full):
                 s = np.frombuffer(raw, _U)
                 lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
                 n = hi - lo
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
-                if len(hit):  # the class is one already: one link to it is enough
-                    a.append(node)
-                    b.append(names[hit[0]])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                hit[i] = 100 * both >= percent * (len(s) + sizes - both)
+            hit &= one.node.to_numpy()[:, None] != many.node.to_numpy()[None, :]
+            edges = forest(hit, one.node.to_numpy(), many.node.to_numpy())
+        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
@@ -244,37 +246,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     info = save(look_up(nodes.select("node", "n", "short"), in_lists, ["node"], "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.max("short").alias("short")))
     sets = save(look_up(raw.mapInArrow(_sets(words), "node long, full binary"), in_lists, ["node"], "left_semi").dropDuplicates(["node"]))
 
-    # round 1: the least node of the lists, the one that shares most
-    stars = live.filter("node <> least").groupBy("node", "least").count()
-    best = stars.groupBy("node").agg(F.max(F.struct("count", F.col("least").alias("b"))).alias("m")).select(F.col("node").alias("a"), "m.b")
+    # round 1: of the least nodes of its lists, the one that shares most
+    stars = save(live.filter("node <> least").groupBy("node", F.col("least").alias("center")).count())
+    best = stars.groupBy("node").agg(F.max(F.struct("count", F.col("center").alias("b"))).alias("m")).select(F.col("node").alias("a"), "m.b")
     edges = save(verify(best, info, sets, percent))
-    labels = save(components(edges))
-
-    # lists that still hold several classes
-    labelled = _apart(live.select("key", "node"), labels)
-    size = save(labels.groupBy("component").count())
-    large = size.filter(F.col("count") >= LARGE).select(F.col("component").alias("label"), F.col("count").alias("size"))
-    marked = save(labelled.join(large.hint("merge"), "label", "left").withColumn("size", F.coalesce("size", F.lit(0))))
-
-    # round 2: nodes against the large classes of their lists
-    goals = save(marked.filter("size > 0").select("key", F.col("label").alias("goal"), F.col("size").alias("goal_size")).distinct())
-    asks = marked.join(goals.hint("merge"), "key").filter("label <> goal and (size < goal_size or (size = goal_size and label < goal))").select("node", "goal", "goal_size").distinct()
-    asks = save(asks.withColumn("n_blocks", F.ceil(F.col("goal_size") / BLOCK).cast("int")))
-    askers = save(asks.groupBy("goal").agg(F.count("*").alias("n_asking"), F.max("n_blocks").alias("n_blocks")).withColumn("n_asking", F.ceil(F.col("n_asking") / BLOCK).cast("int")))
+    labels = components(edges).select(F.col("id").alias("node"), F.col("component").alias("label"))
+
+    # nodes that share a value share its least node: compare those of one centre that are still apart
+    member = stars.select("center", "node").union(stars.select("center", F.col("center").alias("node")).distinct())
+    member = save(member.join(labels.hint("merge"), "node", "left").join(info.select("node", "n").hint("merge"), "node").select("center", "node", "n", F.coalesce("label", "node").alias("label")))
+    per_label = member.groupBy("center", "label").agg(F.count("*").alias("n_label"))
+    centers = per_label.groupBy("center").agg(F.sum("n_label").alias("total"), F.count("*").alias("n_labels"), F.max(F.struct("n_label", "label")).alias("main"))
+    centers = save(centers.filter("n_labels > 1").select("center", "total", F.col("main.label").alias("main"), (F.col("total") - F.col("main.n_label")).alias("n_apart")))
+
+    # round 2: many nodes of one centre: those outside its main class against all, in blocks
+    big = centers.filter(F.col("total") > SMALL).withColumns({"n_blocks": F.ceil(F.col("total") / BLOCK).cast("int"), "n_asking": F.ceil(F.col("n_apart") / BLOCK).cast("int")})
+    every = save(member.join(big.hint("merge"), "center").select("center", "node", "n_blocks", "n_asking", (F.col("label") != F.col("main")).alias("apart")))
     many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    one = asks.select("node", "goal", "n_blocks").join(askers.select("goal", "n_asking").hint("merge"), "goal").select("goal", many("n_blocks").alias("block"), slot("n_asking").alias("asking"), F.lit(0).alias("side"), "node")
-    members = labels.select(F.col("id").alias("node"), F.col("component").alias("goal")).join(askers.hint("merge"), "goal")
-    other = members.select("goal", slot("n_blocks").alias("block"), many("n_asking").alias("asking"), F.lit(1).alias("side"), "node")
+    one = every.filter("apart").select("center", many("n_blocks").alias("block"), slot("n_asking").alias("asking"), F.lit(0).alias("side"), "node")
+    other = every.select("center", slot("n_blocks").alias("block"), many("n_asking").alias("asking"), F.lit(1).alias("side"), "node")
     blocks = one.union(other).join(sets.hint("merge"), "node")
-    edges = save(edges.union(blocks.groupBy("goal", "block", "asking").applyInPandas(_block_links(percent), "a long, b long")))
-    labels = save(components(edges))
+    in_blocks = blocks.groupBy("center", "block", "asking").applyInPandas(_block_links(percent), "a long, b long")
 
-    # round 3: pairs of nodes that were in small classes and are still apart
-    small = save(_apart(marked.filter("size = 0").select("key", "node"), labels))
-    x, y = (small.select("key", F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
-    pairs = save(x.join(y.hint("merge"), "key").filter("a < b and label_a <> label_b").select("a", "b").distinct())
-    labels = save(components(edges.union(verify(pairs, info, sets, percent))))
+    # round 3: few nodes of one centre: pairs of different classes and of sizes that could link
+    few = save(member.join(centers.filter(F.col("total") <= SMALL).select("center").hint("merge"), "center", "left_semi"))
+    x, y = (few.select("center", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    could = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = save(x.join(y.hint("merge"), "center").filter(could).select("a", "b").distinct())
+    labels = components(edges.union(in_blocks).union(verify(pairs, info, sets, percent)))
 
     # the least id of each class
     per = save(nodes.groupBy("node").agg(F.min("id").alias("least")).join(labels.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -285,13 +285,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
-def _apart(values: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label) of the lists that hold more than one class; a node without links is its own."""
-    named = save(values.join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")).hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    mixed = save(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"))
-    return named.join(mixed.hint("merge"), "key")
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs of which one stays for each class, with all columns; rows without an id stay."""
     kept = save(classes(docs, id_col, text_col, words, percent).filter(F.col("kept") & F.col(id_col).isNotNull()).select(id_col))

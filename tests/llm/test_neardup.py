@@ -61,7 +61,8 @@ def planted(seed, n=60, common=0):
     return r.sample(rows, len(rows))
 
 
-def test_planted_groups(spark):
+def test_planted_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
     for seed, common, words in ((1, 0, 2), (2, 40, 2), (3, 20, 5)):
         rows = planted(seed, common=common)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -69,7 +70,7 @@ def test_planted_groups(spark):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LARGE", 8)
+    monkeypatch.setattr(neardup, "SMALL", 8)
     monkeypatch.setattr(neardup, "BLOCK", 16)
     r = random.Random(5)
     base = [f"w{r.randint(0, 10**6)}" for _ in range(60)]
