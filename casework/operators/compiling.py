@@ -154,3 +154,47 @@ def bodies(documents: DataFrame) -> DataFrame:
 
 
 __all__ = ["bodies", "case_counts", "data_quality", "edges_touching", "ends", "inferred_type", "junk_name", "key_relationships", "mention_stats", "power_nodes", "ranked_documents", "ranked_entities", "ranked_timeline", "usable"]
+
+
+def totals(cases: DataFrame, documents: DataFrame, **tables: DataFrame) -> DataFrame:
+    """Counts of each case, with its usable documents."""
+    return case_counts(cases, documents=documents, usable=usable(documents), **tables)
+
+
+def early_signals(entities: DataFrame, signals: DataFrame, timeline: DataFrame, k: int = 6) -> DataFrame:
+    """The first k weak hints of each case: secondary names, funding words without amounts, dates without actions."""
+    from casework.operators.money import is_non_numeric
+
+    names = entities.filter("not is_primary and rank <= 3").select("case_id", F.lit(1).alias("ord"), F.col("rank").cast("long").alias("at"), F.lit("entity").alias("kind"), F.col("entity_name").alias("label"), F.lit(0.35).alias("confidence"))
+    money = signals.filter(is_non_numeric()).select("case_id", F.lit(2), F.col("id"), F.lit("financial"), F.coalesce("program_name", "entity_name", F.substring("event_summary", 1, 60), F.lit("Unknown")), F.coalesce("financial_confidence", F.lit(0.25)))
+    dates = timeline.filter("soft_event").select("case_id", F.lit(3), F.col("id"), F.lit("timeline"), F.substring("title", 1, 80), F.lit(0.30))
+    return top_by(names.union(money).union(dates), ["case_id"], ["ord", "at"], k).select("case_id", "rank", "kind", "label", "confidence")
+
+
+def oversight(cases: DataFrame, timeline: DataFrame, signals: DataFrame, entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """Flags of each case on oversight: none despite money, its first date, agencies without it, large funds without a public source, many approvals."""
+    legal = F.col("event_type").isin("LEGAL_ACTION", "AUDIT", "INVESTIGATION_STARTED")
+    low = F.lower(F.concat_ws(" ", "source_domain", "title"))
+    per = lambda t, **c: t.groupBy(F.col("case_id").alias("id")).agg(*[v.alias(k) for k, v in c.items()])
+    c = cases.select("id")
+    for t in (
+        per(timeline, first_legal=F.min(F.when(legal, F.col("event_date"))), n_approvals=F.count_if(F.col("event_type").isin("FUNDING_APPROVED", "CONTRACT_AWARDED"))),
+        per(signals, n_signals=F.count("*"), large=F.coalesce(F.sum(F.when(F.col("normalized_amount") >= 1_000_000, F.col("normalized_amount"))), F.lit(0.0))),
+        per(entities.filter("is_primary"), has_agency=F.bool_or(F.col("type").isin("government_agency", "agency"))),
+        per(documents, has_public=F.bool_or(low.rlike(r"\.gov|audit|inspector general"))),
+    ):
+        c = c.join(t, "id", "left")
+    c = c.fillna(0, ["n_approvals", "n_signals", "large"]).fillna(False, ["has_agency", "has_public"])
+    none = F.col("first_legal").isNull()
+    return c.select("id", (none & (F.col("n_signals") > 0)).alias("no_oversight"), F.when(F.col("n_signals") > 0, F.col("first_legal")).alias("late_since"), (F.col("has_agency") & none).alias("agency_unseen"), ((F.col("large") > 0) & ~F.col("has_public")).alias("no_public_source"), (F.col("n_approvals") >= 3).alias("many_approvals"))
+
+
+def write_briefs(briefs: DataFrame, path: str) -> None:
+    """One JSON brief a case: (case_id, brief)."""
+    briefs.select("case_id", F.to_json(F.struct(*[c for c in briefs.columns if c != "case_id"])).alias("brief")).write.mode("overwrite").parquet(path)
+
+
+def read_briefs(stored: DataFrame, schema: str) -> DataFrame:
+    """Stored briefs as structs; broken JSON gives null."""
+    parsed = F.from_json("brief", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return stored.select("case_id", F.when(F.get_json_object("brief", "$").isNotNull(), parsed).alias("brief"))

@@ -115,3 +115,36 @@ def case_quality(cases: DataFrame, entities: DataFrame, edges: DataFrame, signal
     }
     c = c.select("id", *[v.cast("int").alias(k) for k, v in points.items()]).withColumn("total", sum((n(k) for k in list(points)[1:]), n("entity_points")))
     return c.withColumn("label", case_of("OPERATOR-READY", (n("total") < 20, "RAW"), (n("total") < 45, "DEVELOPING"), (n("total") < 70, "COMPILED")))
+
+
+def confidence(cases: DataFrame, locked_entities: DataFrame, documents: DataFrame, signals: DataFrame) -> DataFrame:
+    """Overall confidence of each case, by entities in three documents, sources and numeric signals."""
+    per = lambda t, **c: t.groupBy(F.col("case_id").alias("id")).agg(*[v.alias(k) for k, v in c.items()])
+    c = cases.select("id")
+    for t in (per(locked_entities, n_entities=F.count("*"), n_confirmed=F.count_if(F.col("n_documents") >= 3)), per(documents, n_sources=F.count("*")), per(signals, n_signals=F.count("*"))):
+        c = c.join(t, "id", "left")
+    n = F.col
+    level = case_of("PROVISIONAL", (n("n_entities") == 0, "INSUFFICIENT"), ((n("n_confirmed") >= 3) & (n("n_sources") >= 6) & (n("n_signals") > 0), "STRONG"), ((n("n_confirmed") >= 2) & (n("n_sources") >= 4), "MODERATE"))
+    return c.fillna(0).withColumn("level", level)
+
+
+def risk_flags(cases: DataFrame, locked_entities: DataFrame, edges: DataFrame, signals: DataFrame, timeline: DataFrame, documents: DataFrame) -> DataFrame:
+    """Six booleans of each case."""
+    per = lambda t, **c: t.groupBy(F.col("case_id").alias("id")).agg(*[v.alias(k) for k, v in c.items()])
+    c = cases.select("id")
+    for t in (
+        per(signals, high_value=F.bool_or(~F.coalesce("inferred_signal", F.lit(False)) & (F.col("normalized_amount") >= 1_000_000)), contract=F.bool_or(F.col("signal_type").isin("CONTRACT", "CONTRACT_AWARDED")), n_signals=F.count("*")),
+        per(edges, weak_edge=F.bool_or(F.col("confidence") < 0.4), n_edges=F.count("*")),
+        per(documents, unattributed=F.bool_or(F.coalesce("source_domain", F.lit("")) == "")),
+        per(timeline, n_events=F.count("*")),
+        per(locked_entities, n_entities=F.count("*")),
+    ):
+        c = c.join(t, "id", "left")
+    c = c.fillna(0).fillna(False)
+    n = F.col
+    return c.select("id", "high_value", "contract", "weak_edge", "unattributed", ((n("n_events") > 0) & (n("n_signals") > 0)).alias("timing"), ((n("n_entities") > 0) & (n("n_edges") == 0)).alias("unlinked"))
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Appends log entries (event_type, message, case_id, created_at)."""
+    entries.write.mode("append").parquet(path)

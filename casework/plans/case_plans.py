@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from casework.operators import compiling, dossier, money
+from casework.operators import compiling, dossier, graph, money
 from casework.plans.graph_plans import ENDS
-from casework.plans.money_plans import JUNK_NAME, NUMERIC
+from casework.plans.money_plans import JUNK_NAME, NON_NUMERIC, NUMERIC
 from casework.sources.views import load
 
 AS_OF = "2000-06-30"
@@ -32,6 +32,9 @@ QUALITY = """quality as (
 LOCKED = f"""with {ENDS}, {QUALITY}, locked as (select case_id, cast(row_number() over (partition by case_id order by score desc, id) as integer) as rank, id, name, score, n_documents from scored where n_documents >= 2 or financial or n_edges > 0 or type in ('agency', 'organization') qualify rank <= 12)"""
 ACC = ", ".join(f"'{x}'" for x in dossier.ACCOUNTABILITY)
 
+POWER = f"""{RANKED}, {ENDS}, deg as (select entity_id, count(*) as degree from ends group by 1), p as (select r.case_id, r.entity_id, entity_name, coalesce(degree, 0) as degree, 2 * coalesce(degree, 0) + 0.5::double * n_mentions + n_documents as score from ranked r left join deg on deg.entity_id = r.entity_id where is_primary),
+    power as (select case_id, cast(row_number() over (partition by case_id order by score desc, entity_name) as integer) as rank, entity_id, entity_name, degree, score from p qualify rank <= 3)"""
+
 
 def _load(s, d, *names):
     return [load(s, d, n) for n in names]
@@ -52,7 +55,7 @@ def _quality(s, d):
 def _case_quality(s, d):
     locked = dossier.locked(_quality(s, d)).join(_quality(s, d).select("id", "n_documents"), "id")
     edges = load(s, d, "relationships").filter("confidence >= 0.6")
-    return dossier.case_quality(load(s, d, "cases"), locked, edges, money.numeric_signals(load(s, d, "signals").filter("case_id % 3 <> 1")), dossier.accountability(load(s, d, "timeline").filter("case_id % 4 <> 1")), load(s, d, "files").filter("id < 200"))
+    return dossier.case_quality(load(s, d, "cases"), locked, edges, money.numeric_signals(load(s, d, "signals")), dossier.accountability(load(s, d, "timeline")), load(s, d, "files"))
 
 
 PLANS = {
@@ -67,8 +70,8 @@ PLANS = {
     ),
     "mention_stats": (lambda s, d: compiling.mention_stats(load(s, d, "mentions")), f"with {STATS} select * from stats"),
     "ranked_documents": (
-        lambda s, d: compiling.ranked_documents(load(s, d, "files"), load(s, d, "timeline").filter("id % 3 = 0"), load(s, d, "signals").filter("document_id % 2 = 0")),
-        f"""with {USABLE}, s as (select *, id % 3 = 0 as has_t, id in (select document_id from {{signals}} where document_id % 2 = 0) as has_m from usable),
+        lambda s, d: compiling.ranked_documents(load(s, d, "files"), load(s, d, "timeline").filter("not soft_event"), load(s, d, "signals").filter("normalized_amount is not null")),
+        f"""with {USABLE}, s as (select *, id in (select document_id from {{timeline}} where not soft_event) as has_t, id in (select document_id from {{signals}} where normalized_amount is not null) as has_m from usable),
             scored as (select id, case_id, title, cast(d_score + case priority when 'PRIORITY_A' then 15 when 'PRIORITY_B' then 5 else 0 end + case alignment when 'matched' then 10 when 'partial' then 4 else 0 end + case when chars > 5000 then 8 when chars > 2000 then 4 else 0 end
                 + case when has_t then 12 else 0 end + case when has_m then 14 else 0 end + case when n_ents >= 5 then 6 when n_ents >= 2 then 3 else 0 end as integer) as score,
                 concat_ws(' | ', case when d_score > 0 then 'relevance=' || d_score end, case when priority = 'PRIORITY_A' then 'priority=A' end, case when alignment = 'matched' then 'aligned' end, case when has_t then 'has_timeline' end, case when has_m then 'has_financial' end) as reason from s)
@@ -80,21 +83,56 @@ PLANS = {
     ),
     "ranked_timeline": (_events, f"with {EVENTS} select * from top_events"),
     "data_quality": (
-        lambda s, d: compiling.data_quality(load(s, d, "cases"), load(s, d, "files").filter("id < 400"), _ranked(s, d).filter("case_id % 3 <> 0"), _events(s, d)),
-        f"""with {USABLE}, {RANKED}, {EVENTS}, c as (select c.id, (select count(*) from usable u where u.case_id = c.id and u.id < 400) as n_usable, (select count(*) from ranked r where r.case_id = c.id and is_primary and case_id % 3 <> 0) as n_primary, (select count(*) from top_events t where t.case_id = c.id) as n_events from {{cases}} c),
+        lambda s, d: compiling.data_quality(load(s, d, "cases"), load(s, d, "files"), _ranked(s, d), _events(s, d)),
+        f"""with {USABLE}, {RANKED}, {EVENTS}, c as (select c.id, (select count(*) from usable u where u.case_id = c.id) as n_usable, (select count(*) from ranked r where r.case_id = c.id and is_primary) as n_primary, (select count(*) from top_events t where t.case_id = c.id) as n_events from {{cases}} c),
             q as (select *, least(n_usable, 5) as n_evidence, case when n_usable = 0 then 'EMPTY' when n_primary >= 2 and least(n_usable, 5) >= 3 and n_events >= 2 then 'STRONG' when n_primary >= 1 and least(n_usable, 5) >= 2 then 'MODERATE' else 'WEAK' end as quality from c)
             select *, cast(least(99, case quality when 'STRONG' then 80 + least(20, n_primary * 4 + least(n_events, 3) * 2) when 'MODERATE' then 45 + least(30, n_primary * 6 + least(n_events, 2) * 3) when 'WEAK' then 15 + least(25, n_primary * 5 + n_usable * 2) else 0 end) as integer) as confidence,
             case quality when 'STRONG' then 'STRONG' when 'MODERATE' then 'DEVELOPING' else 'SPARSE' end as health from q""",
     ),
     "power_nodes": (
         lambda s, d: compiling.power_nodes(_ranked(s, d), load(s, d, "relationships")),
-        f"""with {RANKED}, {ENDS}, deg as (select entity_id, count(*) as degree from ends group by 1), p as (select r.case_id, r.entity_id, entity_name, coalesce(degree, 0) as degree, 2 * coalesce(degree, 0) + 0.5::double * n_mentions + n_documents as score from ranked r left join deg on deg.entity_id = r.entity_id where is_primary)
-            select case_id, cast(row_number() over (partition by case_id order by score desc, entity_name) as integer) as rank, entity_id, entity_name, degree, score from p qualify rank <= 3""",
+        f"with {POWER} select * from power",
+    ),
+    "bridges": (
+        lambda s, d: graph.bridges(load(s, d, "relationships"), load(s, d, "entities"), compiling.power_nodes(_ranked(s, d), load(s, d, "relationships"))),
+        f"""with {POWER} select id, case_id, name from {{entities}} where id in (select entity_id from ends) and id not in (select entity_id from power where entity_id is not null)""",
     ),
     "key_relationships": (
         lambda s, d: compiling.key_relationships(load(s, d, "relationships")),
         "select case_id, cast(row_number() over (partition by case_id order by coalesce(confidence, 0) desc, id) as integer) as rank, id, entity_a_id, entity_b_id, relationship_type, confidence from {relationships} qualify rank <= 8",
     ),
+    "case_totals": (
+        lambda s, d: compiling.totals(load(s, d, "cases"), load(s, d, "files"), timeline=load(s, d, "timeline"), signals=load(s, d, "signals"), mentions=load(s, d, "mentions")),
+        f"""with {USABLE} select c.*, (select count(*) from {{files}} t where t.case_id = c.id) as n_documents, (select count(*) from usable t where t.case_id = c.id) as n_usable, (select count(*) from {{timeline}} t where t.case_id = c.id) as n_timeline,
+            (select count(*) from {{signals}} t where t.case_id = c.id) as n_signals, (select count(*) from {{mentions}} t where t.case_id = c.id) as n_mentions from {{cases}} c""",
+    ),
+    "early_signals": (
+        lambda s, d: compiling.early_signals(_ranked(s, d), *_load(s, d, "signals", "timeline")),
+        f"""with {RANKED}, hints as (select case_id, 1 as ord, cast(rank as bigint) as at_, 'entity' as kind, entity_name as label, 0.35::double as confidence from ranked where not is_primary and rank <= 3
+            union all select case_id, 2, id, 'financial', coalesce(program_name, entity_name, substring(event_summary, 1, 60), 'Unknown'), coalesce(financial_confidence, 0.25) from {{signals}} where {NON_NUMERIC}
+            union all select case_id, 3, id, 'timeline', substring(title, 1, 80), 0.3::double from {{timeline}} where soft_event)
+            select case_id, cast(row_number() over (partition by case_id order by ord, at_) as integer) as rank, kind, label, confidence from hints qualify rank <= 6""",
+    ),
+    "oversight_flags": (
+        lambda s, d: compiling.oversight(load(s, d, "cases"), _events(s, d), load(s, d, "signals"), _ranked(s, d), load(s, d, "files")),
+        f"""with {RANKED}, {EVENTS}, t as (select case_id, min(event_date) filter (event_type in ('LEGAL_ACTION', 'AUDIT', 'INVESTIGATION_STARTED')) as first_legal, count(*) filter (event_type in ('FUNDING_APPROVED', 'CONTRACT_AWARDED')) as n_approvals from top_events group by 1),
+            m as (select case_id, count(*) as n_signals, coalesce(sum(normalized_amount) filter (normalized_amount >= 1000000), 0) as large from {{signals}} group by 1), a as (select case_id, bool_or(type in ('government_agency', 'agency')) as has_agency from ranked where is_primary group by 1),
+            f as (select case_id, bool_or(regexp_matches(lower(concat_ws(' ', source_domain, title)), '\.gov|audit|inspector general')) as has_public from {{files}} group by 1)
+            select c.id, first_legal is null and coalesce(n_signals, 0) > 0 as no_oversight, case when coalesce(n_signals, 0) > 0 then first_legal end as late_since, coalesce(has_agency, false) and first_legal is null as agency_unseen, coalesce(large, 0) > 0 and not coalesce(has_public, false) as no_public_source, coalesce(n_approvals, 0) >= 3 as many_approvals
+            from {{cases}} c left join t on t.case_id = c.id left join m on m.case_id = c.id left join a on a.case_id = c.id left join f on f.case_id = c.id""",
+    ),
+    "overall_confidence": (
+        lambda s, d: dossier.confidence(load(s, d, "cases"), dossier.locked(_quality(s, d)).join(_quality(s, d).select("id", "n_documents"), "id"), load(s, d, "files"), money.numeric_signals(load(s, d, "signals"))),
+        f"""{LOCKED}, {NUMERIC}, n as (select c.id, (select count(*) from locked l where l.case_id = c.id) as n_entities, (select count(*) from locked l where l.case_id = c.id and n_documents >= 3) as n_confirmed, (select count(*) from {{files}} f where f.case_id = c.id) as n_sources, (select count(*) from numeric_signals x where x.case_id = c.id) as n_signals from {{cases}} c)
+            select *, case when n_entities = 0 then 'INSUFFICIENT' when n_confirmed >= 3 and n_sources >= 6 and n_signals > 0 then 'STRONG' when n_confirmed >= 2 and n_sources >= 4 then 'MODERATE' else 'PROVISIONAL' end as level from n""",
+    ),
+    "risk_flags": (
+        lambda s, d: dossier.risk_flags(load(s, d, "cases"), dossier.locked(_quality(s, d)), *_load(s, d, "relationships", "signals", "timeline", "files")),
+        f"""{LOCKED} select c.id, coalesce(high_value, false) as high_value, coalesce(contract, false) as contract, coalesce(weak_edge, false) as weak_edge, coalesce(unattributed, false) as unattributed, coalesce(n_events, 0) > 0 and coalesce(n_signals, 0) > 0 as timing, coalesce(n_entities, 0) > 0 and coalesce(n_edges, 0) = 0 as unlinked from {{cases}} c
+            left join (select case_id, bool_or(not coalesce(inferred_signal, false) and normalized_amount >= 1000000) as high_value, bool_or(signal_type in ('CONTRACT', 'CONTRACT_AWARDED')) as contract, count(*) as n_signals from {{signals}} group by 1) s on s.case_id = c.id
+            left join (select case_id, bool_or(confidence < 0.4) as weak_edge, count(*) as n_edges from {{relationships}} group by 1) r on r.case_id = c.id left join (select case_id, bool_or(coalesce(source_domain, '') = '') as unattributed from {{files}} group by 1) f on f.case_id = c.id
+            left join (select case_id, count(*) as n_events from {{timeline}} group by 1) t on t.case_id = c.id left join (select case_id, count(*) as n_entities from locked group by 1) l on l.case_id = c.id""",
+    ),
     "entity_quality": (_quality, f"with {ENDS}, {QUALITY} select * from scored"),
     "locked_entities": (lambda s, d: dossier.locked(_quality(s, d)), f"{LOCKED} select case_id, rank, id, name, score from locked"),
     "display_types": (
@@ -133,13 +171,13 @@ PLANS = {
     ),
     "case_quality": (
         _case_quality,
-        f"""{LOCKED}, chosen as (select * from {{signals}} where case_id % 3 <> 1), {NUMERIC.replace('{signals}', 'chosen')},
-            acc as (select case_id, row_number() over (partition by case_id order by event_date, id) as rn from {{timeline}} where case_id % 4 <> 1 and event_type in ({ACC}) qualify rn <= 8),
+        f"""{LOCKED}, {NUMERIC},
+            acc as (select case_id, row_number() over (partition by case_id order by event_date, id) as rn from {{timeline}} where event_type in ({ACC}) qualify rn <= 8),
             p as (select c.id, cast(least(20, 3 * (select count(*) from locked l where l.case_id = c.id and n_documents >= 1) + 3 * (select count(*) from locked l where l.case_id = c.id and n_documents >= 2)) as integer) as entity_points,
                 cast(least(20, 4 * (select count(*) from {{relationships}} r where r.case_id = c.id and confidence >= 0.6)) as integer) as edge_points,
                 cast(least(25, (select coalesce(sum(5 + case when coalesce(entity_name, controlled_by, received_by) is not null then 3 else 0 end + case when normalized_amount >= 1000000 then 2 else 0 end), 0) from numeric_signals x where x.case_id = c.id)) as integer) as money_points,
                 cast(least(15, 5 * (select count(*) from acc a where a.case_id = c.id)) as integer) as event_points,
-                (select count(*) from {{files}} f where f.case_id = c.id and f.id < 200) as n, (select count(*) from {{files}} f where f.case_id = c.id and f.id < 200 and contains(source_domain, '.gov')) as g from {{cases}} c),
+                (select count(*) from {{files}} f where f.case_id = c.id) as n, (select count(*) from {{files}} f where f.case_id = c.id and contains(source_domain, '.gov')) as g from {{cases}} c),
             q as (select id, entity_points, edge_points, money_points, event_points, cast(least(20, 2 * n + 4 * g + case when n - g >= 2 then 2 else 0 end) as integer) as source_points from p),
             t as (select *, entity_points + edge_points + money_points + event_points + source_points as total from q)
             select *, case when total < 20 then 'RAW' when total < 45 then 'DEVELOPING' when total < 70 then 'COMPILED' else 'OPERATOR-READY' end as label from t""",

@@ -19,16 +19,16 @@ PLANS = {
         f"with {OF}, {PAIRS} select *, case when n_documents >= 2 then 'repeated_association' else 'co_mention' end as relationship_type, case when n_documents >= 3 then 0.88::double when n_documents >= 2 then 0.8::double else 0.7::double end as confidence from pairs",
     ),
     "seed_edges": (
-        lambda s, d: graph.seed_graph(*_load(s, d, "entities", "mentions"), load(s, d, "files").filter("id % 3 <> 0")),
-        f"""with m as (select * from {{mentions}} where document_id % 3 <> 0), {OF.replace('{mentions}', 'm')}, {PAIRS},
+        lambda s, d: graph.seed_graph(*_load(s, d, "entities", "mentions"), load(s, d, "files").filter("not contains(raw_text, 'LOW_SIGNAL')")),
+        f"""with m as (select * from {{mentions}} where document_id in (select id from {{files}} where not contains(raw_text, 'LOW_SIGNAL'))), {OF.replace('{mentions}', 'm')}, {PAIRS},
             front as (select distinct e.id from {{entities}} e join m on m.case_id = e.case_id and lower(trim(m.entity_name)) = lower(trim(e.name)) where m.zone in ('title', 'dek', 'lead')),
             marked as (select *, entity_a_id in (select id from front) and entity_b_id in (select id from front) as both_front from pairs)
             select case_id, entity_a_id, entity_b_id, n_documents, case when both_front then 'title_co_mention' when n_documents >= 2 then 'repeated_association' else 'co_mention' end as relationship_type,
             case when both_front then 0.88::double when n_documents >= 2 then 0.82::double else 0.7::double end as confidence from marked""",
     ),
     "provisional_edges": (
-        lambda s, d: graph.provisional(load(s, d, "entities"), load(s, d, "relationships").filter("case_id % 4 <> 0")),
-        """with bare as (select *, row_number() over (partition by case_id order by id) as rn from {entities} where case_id not in (select case_id from {relationships} where case_id % 4 <> 0))
+        lambda s, d: graph.provisional(load(s, d, "entities"), load(s, d, "relationships").filter("confidence >= 0.7")),
+        """with bare as (select *, row_number() over (partition by case_id order by id) as rn from {entities} where case_id not in (select case_id from {relationships} where confidence >= 0.7))
             select a.case_id, a.id as entity_a_id, b.id as entity_b_id, 'provisional_co_mention' as relationship_type, 0.45::double as confidence from bare a join bare b on a.case_id = b.case_id and a.id < b.id where a.rn <= 5 and b.rn <= 5""",
     ),
     "suggested_edges": (
@@ -46,8 +46,8 @@ PLANS = {
         f"with {ENDS}, deg as (select entity_id, count(*) as degree from ends group by 1) select e.id, e.case_id, e.name, degree from {{entities}} e join deg on deg.entity_id = e.id where degree >= 2 and trim(name) <> '' and not regexp_matches(name, '^[0-9\\s.,-]+$')",
     ),
     "ego_networks": (
-        lambda s, d: graph.ego(load(s, d, "relationships"), load(s, d, "entities").filter("id % 50 = 7").selectExpr("id as entity_id")),
-        "with c as (select id from {entities} where id % 50 = 7) select entity_a_id as center, entity_b_id as neighbour from {relationships} where entity_a_id in (select id from c) union select entity_b_id, entity_a_id from {relationships} where entity_b_id in (select id from c)",
+        lambda s, d: graph.ego(load(s, d, "relationships"), load(s, d, "entities").filter("type = 'agency'").selectExpr("id as entity_id")),
+        "with c as (select id from {entities} where type = 'agency') select entity_a_id as center, entity_b_id as neighbour from {relationships} where entity_a_id in (select id from c) union select entity_b_id, entity_a_id from {relationships} where entity_b_id in (select id from c)",
     ),
     "financial_links": (
         lambda s, d: graph.financial_links(*_load(s, d, "signals", "entities", "relationships")),
@@ -77,8 +77,4 @@ PLANS = {
         """select r.id, r.case_id, coalesce(a.name, 'Entity ' || r.entity_a_id) as name_a, coalesce(b.name, 'Entity ' || r.entity_b_id) as name_b, relationship_type, confidence, coalesce(n, 0) as n_evidence from {relationships} r
             left join {entities} a on a.id = r.entity_a_id left join {entities} b on b.id = r.entity_b_id left join (select relationship_id, count(*) as n from {evidence} group by 1) e on e.relationship_id = r.id""",
     ),
-    "bridges": (
-        lambda s, d: graph.bridges(load(s, d, "relationships"), load(s, d, "entities"), load(s, d, "entities").filter("id % 3 = 0").selectExpr("id as entity_id")),
-        f"with {ENDS} select id, case_id, name from {{entities}} where id in (select entity_id from ends) and id % 3 <> 0",
-    ),
 }

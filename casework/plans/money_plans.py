@@ -52,9 +52,9 @@ PLANS = {
             select *, cast(row_number() over (partition by case_id order by normalized_amount desc, id) as integer) as rank from numeric_signals) where rank <= 30""",
     ),
     "signal_list": (
-        lambda s, d: money.signal_list(load(s, d, "signals").filter("case_id % 10 <> 3 or amount_display = 'NON-NUMERIC'")).select("case_id", "id", "normalized_amount", "inferred_signal"),
-        f"""with chosen as (select * from {{signals}} where case_id % 10 <> 3 or amount_display = 'NON-NUMERIC'), {NUMERIC.replace('{signals}', 'chosen')},
-            early as (select *, row_number() over (partition by case_id order by id) as rn from chosen where case_id not in (select case_id from numeric_signals) and signal_type like 'NON_NUMERIC%' and coalesce(event_summary, '') <> '')
+        lambda s, d: money.signal_list(load(s, d, "signals")).select("case_id", "id", "normalized_amount", "inferred_signal"),
+        f"""with {NUMERIC},
+            early as (select *, row_number() over (partition by case_id order by id) as rn from {{signals}} where case_id not in (select case_id from numeric_signals) and signal_type like 'NON_NUMERIC%' and coalesce(event_summary, '') <> '')
             select case_id, id, normalized_amount, coalesce(inferred_signal, false) as inferred_signal from numeric_signals union all select case_id, id, cast(null as double), true from early where rn <= 3""",
     ),
     "ranked_signals": (

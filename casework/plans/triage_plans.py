@@ -64,20 +64,20 @@ PLANS = {
         "select id, case_id from {files} where id not in (select document_id from {mentions} where status <> 'pending')",
     ),
     "rejected_names": (
-        lambda s, d: triage.reject_name(load(s, d, "mentions"), load(s, d, "entities").filter("id % 5 = 0")).select("id", "case_id", "status"),
-        "select id, case_id, case when status = 'pending' and exists (select 1 from {entities} e where e.id % 5 = 0 and e.case_id = m.case_id and lower(trim(e.name)) = lower(trim(m.entity_name))) then 'rejected' else status end as status from {mentions} m",
+        lambda s, d: triage.reject_name(load(s, d, "mentions"), load(s, d, "entities").filter("type = 'agency'")).select("id", "case_id", "status"),
+        "select id, case_id, case when status = 'pending' and exists (select 1 from {entities} e where e.type = 'agency' and e.case_id = m.case_id and lower(trim(e.name)) = lower(trim(m.entity_name))) then 'rejected' else status end as status from {mentions} m",
     ),
     "edges_without_entities": (
-        lambda s, d: triage.without_entities(load(s, d, "relationships"), load(s, d, "entities").filter("id % 5 = 0")).select("id", "entity_a_id", "entity_b_id"),
-        "with gone as (select id from {entities} where id % 5 = 0) select id, entity_a_id, entity_b_id from {relationships} where entity_a_id not in (select id from gone) and entity_b_id not in (select id from gone)",
+        lambda s, d: triage.without_entities(load(s, d, "relationships"), load(s, d, "entities").filter("type = 'agency'")).select("id", "entity_a_id", "entity_b_id"),
+        "with gone as (select id from {entities} where type = 'agency') select id, entity_a_id, entity_b_id from {relationships} where entity_a_id not in (select id from gone) and entity_b_id not in (select id from gone)",
     ),
     "purged_mentions": (
         lambda s, d: triage.purge(load(s, d, "files"), load(s, d, "mentions"), F.col("raw_text").contains("status=failed"))[1].select("id", "document_id"),
         "select id, document_id from {mentions} where document_id not in (select id from {files} where contains(raw_text, 'status=failed'))",
     ),
     "replaced_mentions": (
-        lambda s, d: triage.replace_pending(load(s, d, "mentions"), load(s, d, "mentions").filter("document_id % 3 = 0 and status = 'pending'").withColumn("id", F.col("id") + 10_000_000)).select("id", "document_id", "status"),
-        """with fresh as (select *, row_number() over (partition by document_id, lower(trim(entity_name)) order by id desc) as rn from {mentions} where document_id % 3 = 0 and status = 'pending')
+        lambda s, d: triage.replace_pending(load(s, d, "mentions"), load(s, d, "mentions").filter("zone in ('title', 'lead') and status = 'pending'").withColumn("id", F.col("id") + 10_000_000)).select("id", "document_id", "status"),
+        """with fresh as (select *, row_number() over (partition by document_id, lower(trim(entity_name)) order by id desc) as rn from {mentions} where zone in ('title', 'lead') and status = 'pending')
             select id, document_id, status from {mentions} m where not (status = 'pending' and document_id in (select document_id from fresh)) union all select id + 10000000, document_id, status from fresh where rn = 1""",
     ),
     "triage_view": (

@@ -43,7 +43,7 @@ VIEWS = {
         from {{lines}}""",
     "entities": f"""
         select case_id * 100 + k as id, case_id, {_name("k")} as name, {_TYPE.format(k="k")} as type
-        from (select distinct o % 50 as case_id, (s * 7 + p) % 100 as k from {{lines}}) where k % 7 <> 2""",
+        from (select o % 50 as case_id, (s * 7 + p) % 100 as k from {{lines}} group by o % 50, (s * 7 + p) % 100 having count(distinct o) >= 2)""",
     "relationships": """
         select min(id) as id, case_id, a * 1 + 0 as entity_a_id, b as entity_b_id, min(kind) as relationship_type, cast(max(c) as double) / 100 as confidence
         from (select o * 8 + n as id, o % 50 as case_id, (o % 50) * 100 + (s * 7 + p) % 100 as a, (o % 50) * 100 + (p * 3 + q) % 100 as b,
