@@ -157,8 +157,9 @@ def _sets(words: int):
     def run(batches):
         for b in batches:
             sets = [shingles(t, words) for t in b.column("text").to_pylist()]
-            keep = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in keep], pa.uint64()).view(pa.int64()), pa.array([s.tobytes() for s in keep], pa.binary())], ["node", "full"])
+            keep = pa.array([i for i, s in enumerate(sets) if len(s)], pa.int64())
+            sets = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(keep), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "node", "full"])
 
     return run
 
@@ -197,10 +198,23 @@ def verify(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) ->
     left, right = (info.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("short").alias(s)) for c, s in (("a", "x"), ("b", "y")))
     near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = save(near.select("a", "b", "x", "y").mapInArrow(_filter_pairs(lambda x, y: estimate(x, y) >= least), "a long, b long"))
-    full = near.join(sets.select(F.col("node").alias("a"), F.col("full").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("full").alias("y")).hint("merge"), "b")
+    full = _with_sets(_with_sets(near, sets, "b", "y"), sets, "a", "x", near)
     return full.select("a", "b", "x", "y").mapInArrow(_filter_pairs(lambda x, y: linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent)), "a long, b long")
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame, node: str, name: str, ids: DataFrame | None = None) -> DataFrame:
+    """rows with the full set of a column's node; only sets that rows (or ids, a written table with that column) need move."""
+    needed = save((ids or rows).select(F.col(node).alias("node")).distinct())
+    found = look_up(sets, needed, ["node"], "left_semi").select(F.col("node").alias(node), F.col("full").alias(name))
+    return rows.join(found.hint("merge"), node)
+
+
+def _one_each(sets: DataFrame) -> DataFrame:
+    """Of rows (node, id, full, one) those of the id that stands for the node; without any id, one of them."""
+    named = sets.filter("id = one").select("node", "full")
+    return named.unionByName(sets.filter("one is null").select("node", "full").dropDuplicates(["node"]))
+
+
 def _block_links(percent: int):
     """Links between the nodes of side 0 and those of side 1 of a block, as a forest of stars."""
 
@@ -239,22 +253,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     level = levels(texts, words)
     found = save(raw.mapInArrow(_sketches(level, words, percent), f"id {kind}, node long, n long, short binary, keys array<long>"))
     nodes = found.filter("n > 0")
-    values = save(nodes.select("node", F.explode("keys").alias("key")).distinct())
-    lists = save(values.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1").select("key", "least"))
-    live = save(values.join(lists.hint("merge"), "key"))
-    in_lists = save(live.select("node").distinct())
-    info = save(look_up(nodes.select("node", "n", "short"), in_lists, ["node"], "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.max("short").alias("short")))
-    sets = save(look_up(raw.mapInArrow(_sets(words), "node long, full binary"), in_lists, ["node"], "left_semi").dropDuplicates(["node"]))
+    values = nodes.select("node", F.explode("keys").alias("key"))  # copies repeat their node's
+    lists = save(values.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("key", "least"))
+    live = values.join(lists.hint("merge"), "key")
+    stars = save(live.groupBy("node", F.col("least").alias("center")).count())
+    in_lists = save(stars.select("node").distinct())
+    info = save(look_up(nodes.select("id", "node", "n", "short"), in_lists, ["node"], "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.max("short").alias("short"), F.min("id").alias("one")))
+    sets = save(_one_each(look_up(raw.mapInArrow(_sets(words), f"id {kind}, node long, full binary"), info.select("node", "one"), ["node"], "inner")))
 
     # round 1: of the least nodes of its lists, the one that shares most
-    stars = save(live.filter("node <> least").groupBy("node", F.col("least").alias("center")).count())
-    best = stars.groupBy("node").agg(F.max(F.struct("count", F.col("center").alias("b"))).alias("m")).select(F.col("node").alias("a"), "m.b")
+    best = stars.filter("node <> center").groupBy("node").agg(F.max(F.struct("count", F.col("center").alias("b"))).alias("m")).select(F.col("node").alias("a"), "m.b")
     edges = save(verify(best, info, sets, percent))
     labels = components(edges).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
     # nodes that share a value share its least node: compare those of one centre that are still apart
-    member = stars.select("center", "node").union(stars.select("center", F.col("center").alias("node")).distinct())
-    member = save(member.join(labels.hint("merge"), "node", "left").join(info.select("node", "n").hint("merge"), "node").select("center", "node", "n", F.coalesce("label", "node").alias("label")))
+    member = save(stars.select("center", "node").join(labels.hint("merge"), "node", "left").join(info.select("node", "n").hint("merge"), "node").select("center", "node", "n", F.coalesce("label", "node").alias("label")))
     per_label = member.groupBy("center", "label").agg(F.count("*").alias("n_label"))
     centers = per_label.groupBy("center").agg(F.sum("n_label").alias("total"), F.count("*").alias("n_labels"), F.max(F.struct("n_label", "label")).alias("main"))
     centers = save(centers.filter("n_labels > 1").select("center", "total", F.col("main.label").alias("main"), (F.col("total") - F.col("main.n_label")).alias("n_apart")))
@@ -266,7 +279,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     one = every.filter("apart").select("center", many("n_blocks").alias("block"), slot("n_asking").alias("asking"), F.lit(0).alias("side"), "node")
     other = every.select("center", slot("n_blocks").alias("block"), many("n_asking").alias("asking"), F.lit(1).alias("side"), "node")
-    blocks = one.union(other).join(sets.hint("merge"), "node")
+    blocks = _with_sets(save(one.union(other)), sets, "node", "full")
     in_blocks = blocks.groupBy("center", "block", "asking").applyInPandas(_block_links(percent), "a long, b long")
 
     # round 3: few nodes of one centre: pairs of different classes and of sizes that could link
