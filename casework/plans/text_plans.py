@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from casework.functions import text
+from casework.operators import money, timeline
 from casework.sources.views import load
 
 MONTH = "(" + "|".join(text.MONTHS) + ")"
@@ -15,6 +16,13 @@ DATED = f"""dated as (select *, case when my <> '' then make_date(cast(regexp_ex
 WORDS = lambda rules, default: "case " + " ".join(f"when regexp_matches(lower(sentence), '{p}') then '{t}'" for p, t in rules) + f" else '{default}' end"
 MONEY = text.AMOUNT.replace("{1,3}", "{1,3}")
 
+ALL_EVENTS = f"""{DATED}, typed as (select *, substring(regexp_replace(trim(sentence), '\\s+', ' ', 'g'), 1, 200) as summary, {WORDS(text.EVENT_WORDS, 'EVENT')} as event_type, regexp_matches(lower(sentence), '{text.ACTION}') as acts from dated where event_date is not null),
+    strict_one as (select * from (select *, row_number() over (partition by document_id, event_date, substring(summary, 1, 60) order by pos) as rn from typed where acts) where rn = 1),
+    strict as (select *, row_number() over (partition by document_id order by pos) as place from strict_one qualify place <= 15),
+    soft_one as (select * from (select *, row_number() over (partition by document_id, event_date, substring(summary, 1, 60) order by pos) as rn from typed where document_id not in (select document_id from strict) and (regexp_matches(sentence, '{timeline.PROPER_NOUN}') or regexp_matches(sentence, '{timeline.PROGRAM}'))) where rn = 1),
+    soft as (select *, row_number() over (partition by document_id order by pos) as place from soft_one qualify place <= 8),
+    all_events as (select document_id, pos, event_date, event_type, summary, false as soft_event from strict union all select document_id, pos, event_date, event_type, summary, true from soft)"""
+
 
 def _events(s, d):
     e = load(s, d, "sentences").withColumns({"event_date": text.event_date(F.col("sentence")), "event_type": text.event_type(F.col("sentence"))})
@@ -55,6 +63,26 @@ PLANS = {
         lambda s, d: text.sentences(load(s, d, "documents").select("doc_id", "text"), "text").groupBy("doc_id").agg(F.count("*").alias("n")),
         "with pieces as (select doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')) as s from {documents}) select doc_id, count(*) as n from pieces where length(trim(s)) > 20 group by 1",
     ),
+    "capped_events": (
+        lambda s, d: timeline.all_events(load(s, d, "sentences")).select("document_id", "pos", "event_date", "event_type", "soft_event"),
+        f"""with {ALL_EVENTS} select document_id, pos, event_date, event_type, soft_event from all_events""",
+    ),
+    "windowed_events": (
+        lambda s, d: timeline.in_year_window(timeline.all_events(load(s, d, "sentences")), load(s, d, "files")).select("document_id", "pos", "event_date"),
+        f"with {ALL_EVENTS} select e.document_id, pos, event_date from all_events e left join {{files}} f on f.id = e.document_id where f.publish_date is null or abs(year(event_date) - year(f.publish_date)) <= 2",
+    ),
+    "event_titles": (
+        lambda s, d: timeline.all_events(load(s, d, "sentences")).select("document_id", "pos", timeline.titled(F.col("event_type"), F.col("summary"), F.col("soft_event")).alias("title")),
+        f"with {ALL_EVENTS} select document_id, pos, case when soft_event then '[SOFT][' || event_type || '] ' || substring(summary, 1, 110) else '[' || event_type || '] ' || substring(summary, 1, 120) end as title from all_events",
+    ),
+    "sentence_signals": (
+        lambda s, d: money.sentence_signals(load(s, d, "sentences")).select("document_id", "pos", "amount", "currency", "signal_type", "rank"),
+        f"""with told as (select document_id, pos, {WORDS(text.SIGNAL_WORDS, 'FUNDING')} as signal_type, regexp_extract_all(sentence, '{MONEY}') as raws from {{sentences}} where regexp_matches(lower(sentence), '{money.FUNDING_GATE}') and not regexp_matches(lower(sentence), '{money.AD_COPY}')),
+            each_ as (select document_id, pos, signal_type, unnest(range(len(raws))) as k, raws from told), valued as (select *, raws[k + 1] as raw from each_),
+            v as (select document_id, pos, k, round(cast(replace(regexp_extract(raw, '[0-9][0-9,]*(?:\\.[0-9]+)?'), ',', '') as double) * case when raw ilike '%million' then 1000000 else 1 end, 2) as amount, 'USD' as currency, signal_type from valued),
+            one as (select *, row_number() over (partition by document_id, amount, currency order by pos, k) as rn from v where amount >= 1000)
+            select * from (select document_id, pos, amount, currency, signal_type, cast(row_number() over (partition by document_id order by pos, k) as integer) as rank from one where rn = 1) where rank <= 30""",
+    ),
     "strict_events": (
         _events,
         f"with {DATED} select document_id, pos, event_date, {WORDS(text.EVENT_WORDS, 'EVENT')} as event_type from dated where event_date is not null and regexp_matches(lower(sentence), '{text.ACTION}')",
