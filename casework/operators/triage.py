@@ -18,13 +18,10 @@ def support(mentions: DataFrame) -> DataFrame:
     return known.distinct().groupBy("case_id", "name_key").agg(F.count("*").alias("n_documents"))
 
 
-def auto_triage(mentions: DataFrame, celebrities: Column | None = None) -> DataFrame:
-    """(id, case_id, status) of the pending mentions: approved, rejected or held, by ordered rules.
-
-    celebrities: a predicate for names of people in the news for other reasons, the caller's list.
-    """
+def _pending(mentions: DataFrame) -> DataFrame:
+    """Pending mentions with defaults for what is not known, and the documents that support their name."""
     pending = mentions.filter("status = 'pending'").withColumn("name_key", name_key("entity_name"))
-    m = pending.join(support(mentions), ["case_id", "name_key"], "left").withColumns(
+    return pending.join(support(mentions), ["case_id", "name_key"], "left").withColumns(
         {
             "role": F.coalesce("role", F.lit("UNKNOWN")),
             "topic": F.coalesce("topic", F.lit("LOW")),
@@ -33,6 +30,14 @@ def auto_triage(mentions: DataFrame, celebrities: Column | None = None) -> DataF
             "n_documents": F.coalesce("n_documents", F.lit(1)),
         }
     )
+
+
+def auto_triage(mentions: DataFrame, celebrities: Column | None = None) -> DataFrame:
+    """(id, case_id, status) of the pending mentions: approved, rejected or held, by ordered rules.
+
+    celebrities: a predicate for names of people in the news for other reasons, the caller's list.
+    """
+    m = _pending(mentions)
     c, topic, role, zone = F.col("confidence"), F.col("topic"), F.col("role"), F.col("zone")
     front = zone.isin("title", "dek", "lead")
     real = ~role.isin("UNKNOWN", "PERSON")
@@ -60,6 +65,35 @@ def auto_triage(mentions: DataFrame, celebrities: Column | None = None) -> DataF
     return m.select("id", "case_id", case_of("held", *rules).alias("status"))
 
 
+# Fixed value: words of institutions' names.
+INSTITUTION = r"(?i)\b(Department|Agency|University|Committee|Court|Office|Administration|Council|Authority|Commission|Bureau|Division|Foundation|Institute|Ministry|Board|Program|Service|Center|Centre)\b"
+
+
+def analysis_triage(mentions: DataFrame, celebrities: Column | None = None) -> DataFrame:
+    """auto_triage as an analysis run does it: lower thresholds, institutions by name, role or type, and rejection by default."""
+    m = _pending(mentions)
+    c, topic, role, zone = F.col("confidence"), F.col("topic"), F.col("role"), F.col("zone")
+    front, real = zone.isin("title", "dek", "lead"), ~role.isin("UNKNOWN", "PERSON")
+    low, unknown, several = topic == "LOW", role == "UNKNOWN", F.col("n_documents") >= 2
+    institution = role.isin("GOVERNMENT_AGENCY", "COMMITTEE") | F.col("entity_name").rlike(INSTITUTION) | (F.coalesce("entity_type", F.lit("")) == "government_agency")
+    crossed = several | institution
+    rules = [] if celebrities is None else [(celebrities, "rejected")]
+    rules += [
+        (c < 0.50, "rejected"),
+        (zone.isin("sidebar", "footer", "related") & (c < 0.70), "rejected"),
+        ((zone == "tail") & low & unknown, "rejected"),
+        (F.trim("entity_name").rlike("^[A-Z]{1,4}$") & unknown, "rejected"),
+        (crossed & (topic == "HIGH") & real & ((front & (c >= 0.70)) | (c >= 0.82)), "approved"),
+        (institution & (c >= 0.65) & ~zone.isin("tail", "sidebar", "footer"), "approved"),
+        (institution & topic.isin("HIGH", "MEDIUM") & (c >= 0.62), "approved"),
+        (crossed & (topic == "MEDIUM") & real & (c >= 0.75) & front, "approved"),
+        (several & (c >= 0.62) & real, "approved"),
+        ((topic == "MEDIUM") & (c >= 0.58), "held"),
+        (low & real & (c >= 0.65), "held"),
+    ]
+    return m.select("id", "case_id", case_of("rejected", *rules).alias("status"))
+
+
 def triage_counts(decided: DataFrame) -> DataFrame:
     return decided.groupBy("case_id").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("approved", "rejected", "held")], F.count("*").alias("n_total"))
 

@@ -38,6 +38,14 @@ def _new_entities(s, d):
 PLANS = {
     "mention_support": (lambda s, d: triage.support(load(s, d, "mentions")), f"with {SUPPORT} select * from support"),
     "auto_triage": (lambda s, d: triage.auto_triage(load(s, d, "mentions")), f"with {DECIDED} select * from decided"),
+    "analysis_triage": (
+        lambda s, d: triage.analysis_triage(load(s, d, "mentions")),
+        f"""with {SUPPORT}, p as (select m.*, coalesce(n_documents, 1) as n_documents, role in ('GOVERNMENT_AGENCY', 'COMMITTEE') or regexp_matches(entity_name, '{triage.INSTITUTION}') or entity_type = 'government_agency' as inst from {{mentions}} m left join support s on s.case_id = m.case_id and s.name_key = lower(trim(m.entity_name)) where m.status = 'pending')
+            select id, case_id, case when confidence < 0.5 then 'rejected' when zone in ('sidebar', 'footer', 'related') and confidence < 0.7 then 'rejected' when zone = 'tail' and topic = 'LOW' and role = 'UNKNOWN' then 'rejected' when regexp_matches(trim(entity_name), '^[A-Z]+$') and length(trim(entity_name)) <= 4 and role = 'UNKNOWN' then 'rejected'
+                when (n_documents >= 2 or inst) and {FRONT} and topic = 'HIGH' and {REAL} and confidence >= 0.7 then 'approved' when (n_documents >= 2 or inst) and topic = 'HIGH' and {REAL} and confidence >= 0.82 then 'approved'
+                when inst and confidence >= 0.65 and zone not in ('tail', 'sidebar', 'footer') then 'approved' when inst and topic in ('HIGH', 'MEDIUM') and confidence >= 0.62 then 'approved' when (n_documents >= 2 or inst) and topic = 'MEDIUM' and {REAL} and confidence >= 0.75 and {FRONT} then 'approved'
+                when n_documents >= 2 and confidence >= 0.62 and {REAL} then 'approved' when topic = 'MEDIUM' and confidence >= 0.58 then 'held' when topic = 'LOW' and {REAL} and confidence >= 0.65 then 'held' else 'rejected' end as status from p""",
+    ),
     "auto_triage_counts": (
         lambda s, d: triage.triage_counts(triage.auto_triage(load(s, d, "mentions"))),
         f"with {DECIDED} select case_id, count(*) filter (status = 'approved') as n_approved, count(*) filter (status = 'rejected') as n_rejected, count(*) filter (status = 'held') as n_held, count(*) as n_total from decided group by 1",
