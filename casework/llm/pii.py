@@ -12,6 +12,13 @@ four base kinds the expansion gives exactly the leftmost non-overlapping matches
 
 without those that fail the check. The method adds the kinds url, account and address.
 
+Cues of accounts and secrets are found in any case, in a lower-cased copy of the same length. The
+value after a cue runs to its own boundary, however long:
+
+    IBAN in groups of four that passes mod 97, the longest such run, after any cue
+    a value in quotes, or up to a space or quote, after ':' or '=' and a cue of SECRETS
+    [A-Za-z0-9][A-Za-z0-9_-]{5,} with at least 4 digits, after any cue
+
 Null text: as empty. Empty text: no spans. Rows of one id: one result each. Empty table: empty.
 Columns other than the id and the text are not read, so that clashing names do no harm.
 No shuffle: one map over the rows, memory bounded by a batch.
@@ -31,6 +38,8 @@ KINDS = (*BASE_KINDS, "url", "account", "address")
 
 # Cue words.
 CUES = ("account", "acct", "iban", "token", "password", "passwd", "secret", "api_key", "apikey", "api key", "ssn", "passport", "routing", "customer id", "user id")
+#: Cues whose values need no digits where ':' or '=' says that a value follows.
+SECRETS = frozenset(("token", "password", "passwd", "secret", "api_key", "apikey", "api key"))
 STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Square", "Court")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -41,7 +50,10 @@ _LABELS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"']+")
-_ACCOUNT = re.compile(r"(?:[ _]?(?:number|no\.?|nr\.?|id|key))?\s{0,3}[:=#]?\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,63})")
+_LEAD = re.compile(r"(?:[ _]?(?:number|no\.?|nr\.?|id|key)(?![A-Za-z]))?[\"']?\s{0,3}([:=#]{0,2})\s{0,3}[\"']?", re.IGNORECASE)
+_ACCOUNT = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{5,}")
+_SECRET = re.compile(r"[^\s\"'<>]+")
+_IBAN = re.compile(r"([A-Z]{2}[0-9]{2}(?:[ \u00a0-]?[A-Z0-9]{4}){2,7})([ \u00a0-]?[A-Z0-9]{1,3})?", re.IGNORECASE)
 _HOUSE = re.compile(r"[0-9]{1,5}(?: [A-Z][A-Za-z'-]*){0,4} \Z")
 
 
@@ -50,17 +62,62 @@ def luhn(digits: str) -> bool:
     return (odd + sum(int(d) * 2 - 9 * (d > "4") for d in digits[-2::-2])) % 10 == 0
 
 
+def same_length_lower(text: str) -> str:
+    """The text in lower case, character by character (only one character has a longer lower case)."""
+    return text.replace("\u0130", "I").lower()
+
+
+def iban_end(text: str, at: int) -> int:
+    """The end of the longest run of groups of four (the last may be shorter) at a place that is an IBAN by mod 97, or 0."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return 0
+    ends = [m.end(), m.end(1)]
+    while ends[-1] - at > 12:
+        ends.append(ends[-1] - 4 - (text[ends[-1] - 5] in " \u00a0-"))
+    for end in ends:
+        code = re.sub("[ \u00a0-]", "", text[at:end])
+        whole = not text[end : end + 1].isalnum() and code in (code.upper(), code.lower())
+        if whole and 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return end
+    return 0
+
+
+def value_span(text: str, last: int, secret: bool, poor: int) -> tuple[int, int, int]:
+    """(start, end, poor) of the value after a cue that ends at last; an empty span if none. Values before poor have too few digits."""
+    lead = _LEAD.match(text, last + 1)
+    start = lead.end()
+    if start == last + 1:
+        return 0, 0, poor
+    if end := iban_end(text, start):
+        return start, end, poor
+    if secret and lead[1]:
+        quote = text[start - 1]
+        if quote in "\"'":
+            end = text.find(quote, start)
+            if 0 <= text.find("\n", start, end) or end < 0:
+                end = start
+        if quote not in "\"'" or end == start:
+            end = start + len(m[0].rstrip(".,;:!?)]}")) if (m := _SECRET.match(text, start)) else start
+        if end - start >= 6:
+            return start, end, poor
+    if start >= poor and (m := _ACCOUNT.match(text, start)):
+        if sum(map(m[0].count, "0123456789")) >= 4:
+            return start, m.end(), poor
+        poor = m.end()
+    return 0, 0, poor
+
+
 @functools.lru_cache(1)
 def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for what, words in (("@", "@"), ("+", "+"), ("d", "0123456789"), ("url", ["://"]), ("street", STREETS)):
+    for what, words in (("@", "@"), ("+", "+"), ("d", "0123456789"), ("url", ["://"]), ("street", map(str.lower, STREETS))):
         for w in words:
             found.add_word(w, (what, len(w)))
     for cue in CUES:
-        for w in {cue, cue.title(), cue.upper(), cue.capitalize()}:
-            found.add_word(w, ("cue", len(w)))
+        found.add_word(cue, ("secret" if cue in SECRETS else "cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -68,8 +125,8 @@ def automaton():
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans of one text, by start, then by the order of KINDS."""
     out: list[tuple[int, int, int]] = []
-    ends = {"email": 0, "ip": 0, "card": 0, "account": 0, "url": 0}
-    for last, (what, size) in automaton().iter(text):
+    ends = {"email": 0, "ip": 0, "card": 0, "account": 0, "poor": 0, "url": 0}
+    for last, (what, size) in automaton().iter(same_length_lower(text)):
         at = last - size + 1
         if what == "d":
             if at >= ends["ip"]:
@@ -110,13 +167,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if end > last + 1:
                     ends["url"] = end
                     out.append((start, 4, end))
-        elif what == "cue":
+        elif what in ("cue", "secret"):
             if at >= ends["account"] and not (at and text[at - 1].isalnum()):
-                m = _ACCOUNT.match(text, last + 1)
-                if m and m.start(1) > last + 1 and sum(c.isdigit() for c in m[1]) >= 4:
-                    ends["account"] = m.end(1)
-                    out.append((m.start(1), 5, m.end(1)))
-        elif not text[last + 1 : last + 2].isalpha() and (m := _HOUSE.search(text, max(0, at - 100), at)):
+                start, end, ends["poor"] = value_span(text, last, what == "secret", ends["poor"])
+                if end:
+                    ends["account"] = end
+                    out.append((start, 5, end))
+        elif text[at : last + 1] in STREETS and not text[last + 1 : last + 2].isalpha() and (m := _HOUSE.search(text, max(0, at - 100), at)):
             out.append((m.start(), 6, last + 1))
     return [(KINDS[k], s, e) for s, k, e in sorted(out)]
 

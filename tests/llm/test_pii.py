@@ -62,3 +62,40 @@ def test_redact_and_odd_rows(spark):
     assert {(r.doc_id, r.text) for r in out.collect()} == {(1, "mail [EMAIL] now"), (1, None), (None, "")}
     assert [len(r.spans) for r in pii.find_pii(docs).orderBy("doc_id").collect()].count(0) == 2
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def accounts(text):
+    return [text[s:e] for k, s, e in pii.find(text) if k == "account"]
+
+
+def test_account_values_are_whole():
+    assert accounts("IBAN: DE89 3704 0044 0532 0130 00 and more") == ["DE89 3704 0044 0532 0130 00"]
+    assert accounts("iban gb29 nwbk 6016 1331 9268 19.") == ["gb29 nwbk 6016 1331 9268 19"]
+    assert accounts("IBAN AT61 1904 3002 3457 3201, BIC") == ["AT61 1904 3002 3457 3201"]
+    assert accounts("IBAN: DE89370400440532013000") == ["DE89370400440532013000"]
+    assert accounts("IBAN: DE89 3704 0044 0532 0130 01") == []
+    long = "a1b2" * 40
+    text = f"account {long} end"
+    assert accounts(f"token: {long} end") == [long] and pii.redact_text(text, pii.find(text)) == "account [ACCOUNT] end"
+
+
+def test_secrets_need_no_digits():
+    assert accounts("secret: wJalrXUtnFEMI") == ["wJalrXUtnFEMI"]
+    assert accounts('{"password": "correct horse battery", "n": 1}') == ["correct horse battery"]
+    assert accounts("PassWord = hunter/Two+x=. Then") == ["hunter/Two+x="]
+    assert accounts("the secret service and password protection, secretary: Johnson") == []
+
+
+def test_cues_in_any_case():
+    for cue in ("API key", "User ID", "Customer ID", "aPI KEY", "Passport No.", "Account Number"):
+        assert accounts(f"İ {cue}: ab123456 x") == ["ab123456"], cue
+    assert all(len(c.lower()) == 1 for c in map(chr, range(0x110000)) if c != "İ")
+
+
+def test_long_runs_stay_linear():
+    import time
+
+    start = time.time()
+    for t in ("token " + "a-token_key" * 40_000, "password='x\"" * 40_000, "iban " * 40_000, "secret:" * 40_000, "token='" + "token=\"" * 40_000, "password=" + "x" * 400_000):
+        pii.find(t)
+    assert time.time() - start < 20
