@@ -127,13 +127,13 @@ def sentences(df: DataFrame, text: str, least: int = 20) -> DataFrame:
 
 
 def event_date(c: Column) -> Column:
-    """The date that a sentence names: month and year, month and day (a missing year is 2001), else a year's first day."""
-    month = "|".join(MONTHS)
-    my = F.regexp_extract(c, rf"(?i)\b({month})\s+((?:20|19)\d{{2}})\b", 0)
-    md = F.regexp_extract(c, rf"(?i)\b({month})\s+\d{{1,2}}(?:,?\s+\d{{4}})?", 0)
+    """The date that a sentence names: month and year, month and day (a missing year is 2001), the full month before the short one, else a year's first day."""
+    months = ("|".join(MONTHS), rf"(?:{'|'.join(x[:3] for x in MONTHS if x != 'May')})\.?")
+    first = lambda end: F.coalesce(*[F.nullif(F.regexp_extract(c, rf"(?i)\b(?:{m})\s+{end}", 0), F.lit("")) for m in months], F.lit(""))
+    my, md = first(r"(?:20|19)\d{2}\b"), first(r"\d{1,2}(?:,?\s+\d{4})?")
     year = F.regexp_extract(c, r"\b((?:20|19)\d{2})\b", 1)
-    number = lambda m: F.array_position(F.array(*[F.lit(x.lower()) for x in MONTHS]), F.lower(F.regexp_extract(m, r"^([A-Za-z]+)", 1)))
-    day = F.regexp_extract(md, r"^[A-Za-z]+\s+(\d{1,2})", 1).try_cast("int")
+    number = lambda m: F.array_position(F.array(*[F.lit(x[:3].lower()) for x in MONTHS]), F.lower(F.substring(m, 1, 3)))
+    day = F.regexp_extract(md, r"^[A-Za-z]+\.?\s+(\d{1,2})", 1).try_cast("int")
     md_year = F.coalesce(F.regexp_extract(md, r"(\d{4})$", 1).try_cast("int"), F.lit(2001))
     make = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m.cast("int"), d), "yyyy-MM-dd")
     return F.when(my != "", make(F.regexp_extract(my, r"(\d{4})$", 1).cast("int"), number(my), F.lit(1))).when(md != "", F.coalesce(make(md_year, number(md), day), make(md_year, F.lit(1), F.lit(1)))).when(year != "", make(year.cast("int"), F.lit(1), F.lit(1)))
