@@ -35,6 +35,8 @@ SIGNAL_WORDS = [
 ACTION = r"\b(?:approved?|funded?|allocated?|appropriated?|awarded?|contracted?|charged?|investigated?|indicted?|announced?|launched?|signed?|enacted?|ordered?|expanded?|audited?|subpoenaed?|arrested?|convicted?|sentenced?|settled?|dismissed?|reformed?|initiated?|established?|created?|passed?|opened?|founded?|started?|began?|purchased?|acquired?|sued?)\b"
 _NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 AMOUNT = rf"(?i)(?:USD|US\$|\$|£|€|GBP|EUR)\s*(?:{_NUMBER})(?:\s*(?:billion|million|thousand|trillion|bn|mn|tr|[bmkt])\b)?"
+#: An amount without a sign needs a scale word.
+UNSIGNED = rf"(?:{_NUMBER})\s*(?:billion|million|thousand|trillion|bn|mn|tr|[bmk])\b(?:\s*(?:USD|US dollars?|dollars?))?"
 SCALES = {"billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "mn": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3, "t": 1e3, "trillion": 1e12, "tr": 1e12}
 
 
@@ -141,13 +143,13 @@ def event_date(c: Column) -> Column:
 
 def amounts(c: Column) -> Column:
     """All amounts of money in a sentence, as written, in order."""
-    return F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(f"{AMOUNT}|{UNSIGNED}"), F.lit(0))
 
 
 def amount_value(raw: Column) -> Column:
     """The value of an amount: its number times its scale word (also when glued to the digits), to cents."""
     number = F.regexp_replace(F.regexp_extract(raw, _NUMBER, 0), ",", "").try_cast("double")
-    scale = F.lower(F.regexp_extract(raw, r"(?i)(billion|million|thousand|trillion|bn|mn|tr|[bmkt])$", 1))
+    scale = F.lower(F.regexp_extract(raw, r"(?i)(billion|million|thousand|trillion|bn|mn|tr|[bmkt])(?:\s*(?:USD|US dollars?|dollars?))?$", 1))
     times = F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv])
     return F.round(number * F.coalesce(times[scale], F.lit(1.0)), 2)
 

@@ -11,6 +11,8 @@ from casework.operators.ranking import first_by, top_by
 VOCABULARY = r"(?i)\b(fiscal\s+year|adopted\s+budget|approved\s+budget|operating\s+budget|capital\s+budget|budget\s+summary|budget\s+detail|budget\s+report|municipal\s+budget|government\s+budget|fy\s*\d\d\d?\d?|appropriation|expenditure|encumbrance|general\s+fund|special\s+revenue|department\s+budget|budget\s+appropriation)\b"
 COLUMNS = r"(?i)\b(adopted|revised|actual|proposed|variance|budgeted|appropriated)\b.*\b(adopted|revised|actual|proposed|variance|budgeted|appropriated)\b"
 NO_ROW = r"(?i)^\s*(total|subtotal|grand total|net|net total|less|plus|add|deduct|balance|carry|rollover|reserve|contingency|unallocated|fund balance)\b"
+FIRST_COLUMN = r"(?i)\b(adopted|approved|proposed|revised|amended|actual|variance|estimated|budgeted)\b"
+FISCAL_YEAR = r"(?i)\b(?:FY|Fiscal Year|F\.Y\.)\s*(\d{2,4}(?:[–\-/]\d{2,4})?)\b"
 NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b"
 
 
@@ -20,13 +22,17 @@ def is_budget(c: Column) -> Column:
 
 
 def budget_rows(documents: DataFrame, k: int = 60) -> DataFrame:
-    """(document_id, pos, label, amount, section, department, fiscal_year) of documents (document_id, text); the first k of each.
+    """(document_id, pos, label, amount, section, department, fiscal_year, column_label) of documents (document_id, text); the first k of each.
+
+    The column label is the first column heading of the first 30 lines, in capitals, ALLOCATION if none.
 
     Section (capitals) and department (title case) are carried forward by a running last value over
     the lines of a document.
     """
-    d = documents.withColumn("fiscal_year", F.nullif(F.regexp_extract(F.substring("text", 1, 500), r"(?i)\b(?:FY|Fiscal Year)\s*(\d\d\d?\d?)\b", 1), F.lit("")))
-    lines = d.select("document_id", "fiscal_year", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    d = documents.withColumn("fiscal_year", F.nullif(F.regexp_extract(F.substring("text", 1, 500), FISCAL_YEAR, 1), F.lit("")))
+    heading = F.upper(F.regexp_extract(F.substring_index("text", "\n", 30), FIRST_COLUMN, 1))
+    d = d.withColumn("column_label", F.coalesce(F.nullif(heading, F.lit("")), F.lit("ALLOCATION")))
+    lines = d.select("document_id", "fiscal_year", "column_label", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     number = F.regexp_extract("line", NUMBER, 0)
     label = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.substring("line", F.lit(1), F.greatest(F.lit(0), F.position(number, F.col("line")) - 1)), r"^\d\d+[-.\s]\d\d+([-.\s]\d+)*\s*", "")), r"[:\-|]+$", ""))
     lines = lines.withColumns({"number": number, "label": F.when(number != "", label)})
@@ -39,4 +45,4 @@ def budget_rows(documents: DataFrame, k: int = 60) -> DataFrame:
     rows = lines.filter("is_row").withColumn("amount", F.regexp_replace("number", ",", "").cast("double")).filter("amount >= 1000")
     entity = F.when(F.length("label") > 4, F.col("label")).otherwise(F.coalesce("department", "section", "label"))
     one = first_by(rows.withColumn("entity_name", entity), ["document_id", "entity_name", "number"], ["pos"])
-    return top_by(one, ["document_id"], ["pos"], k).select("document_id", "pos", "entity_name", "label", "amount", "section", "department", "fiscal_year")
+    return top_by(one, ["document_id"], ["pos"], k).select("document_id", "pos", "entity_name", "label", "amount", "section", "department", "fiscal_year", "column_label")

@@ -158,17 +158,24 @@ def back_linked(signals: DataFrame, mentions: DataFrame) -> DataFrame:
     return signals.join(found, "id", "left").select("id", "case_id", "document_id", F.coalesce("entity_name", "linked_name").alias("entity_name"))
 
 
-# A sentence needs one of these words to tell of funding; advertising copy is left out.
+# A sentence needs one of these words to tell of funding; advertising copy, sports and community news are left out.
 FUNDING_GATE = r"\b(funded?|grant(?:ed?)?|contract(?:ed?)?|appropriated?|allocated?|awarded?|paid?|payment|budget|procurement|reimburse|disburse|spending|expenditure|invest(?:ment|ed)|subsidized?|sole.source|no.bid|change\s+order|cost\s+overrun|audit\s+finding|questioned\s+cost|disallow|oig|inspector\s+general|task\s+order|invoice|invoiced?|capitalized?|encumbered?|obligated?)\b"
 AD_COPY = r"\b(sale|discount|off|coupon|promo|deal\s+of\s+the\s+day|limited\s+time|buy\s+now|add\s+to\s+cart|checkout|free\s+shipping|starting\s+at|as\s+low\s+as|per\s+month|subscription|plan|retail|price\s+drop|save\s+up\s+to|season\s+pass|ticket\s+price|admission|box\s+office)\b"
 
+BOX_OFFICE = r"\b(starting\s+from|gross(?:ing)?|earned|opening\s+weekend|revenue\s+for\s+(?:the\s+)?film)\b"
+SPORTS = r"\b(signing\s+bonus|contract\s+extension\s+for|salary\s+cap\s+hit|years?\s+deal|year\s+contract|nfl|nba|mlb|nhl|mls)\b"
+COMMUNITY = r"\b(festival|concert|parade|raffle|bake\s+sale|donation\s+drive|fundraiser|gala|auction|charity\s+run|walk\s+for|community\s+event|annual\s+dinner|gofundme|crowdfund)\b"
+NO_FUNDING = (AD_COPY, BOX_OFFICE, SPORTS, COMMUNITY)
+
 
 def sentence_signals(sentences: DataFrame, k: int = 30, least: float = 1_000.0) -> DataFrame:
     """Money signals of sentences (document_id, pos, sentence): the first of each amount of a document, at most k."""
     from casework.functions import text
 
     low = F.lower("sentence")
-    told = sentences.filter(low.rlike(FUNDING_GATE) & ~low.rlike(AD_COPY))
+    told = sentences.filter(low.rlike(FUNDING_GATE))
+    for words in NO_FUNDING:
+        told = told.filter(~low.rlike(words))
     found = told.select("document_id", "pos", text.signal_type(F.col("sentence")).alias("signal_type"), F.posexplode(text.amounts(F.col("sentence"))).alias("match", "amount_raw"))
     found = found.withColumns({"amount": text.amount_value(F.col("amount_raw")), "currency": text.currency(F.col("amount_raw"))}).filter(F.col("amount") >= least)
     one = first_by(found, ["document_id", "amount", "currency"], ["pos", "match"])

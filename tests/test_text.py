@@ -3,7 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from casework.functions import text
-from casework.operators import timeline
+from casework.operators import budgets, money, timeline
 
 
 def test_dates_of_short_months(spark):
@@ -27,3 +27,28 @@ def test_dates_of_short_months(spark):
 def test_event_with_a_short_month_is_kept(spark):
     df = spark.createDataFrame([(1, 0, "The council approved the plan on Mar. 3, 2020")], "document_id long, pos int, sentence string")
     assert [r.event_date for r in timeline.strict_events(df).collect()] == [datetime.date(2020, 3, 3)]
+
+
+def test_amounts_without_a_sign(spark):
+    want = {
+        "a grant of 12 million dollars was paid": [12e6],
+        "paid 3.5 billion and $2 million": [3.5e9, 2e6],
+        "1,250 thousand US dollars, USD 4,000 and £3m": [1.25e6, 4000.0, 3e6],
+        "$12 million dollars": [12e6],
+        "about 12 mills and 1999 people": [],
+    }
+    found = F.transform(text.amounts(F.col("s")), text.amount_value)
+    assert {r.s: r.a for r in spark.createDataFrame([(s,) for s in want], "s string").select("s", found.alias("a")).collect()} == want
+
+
+def test_sentence_gates(spark):
+    told = ["A grant of 12 million dollars was paid", "The NFL club paid a contract of $3 million", "The gala paid $4 million of the budget", "The film earned $5 million, paid in part", "The budget paid $6 million"]
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(told)], "document_id long, pos int, sentence string")
+    assert sorted((r.pos, r.amount) for r in money.sentence_signals(df).collect()) == [(0, 12e6), (4, 6e6)]
+
+
+def test_budget_column_and_years(spark):
+    rows = "Roads 1,000\nParks 2,000"
+    docs = spark.createDataFrame([(1, f"Budget F.Y. 2023-24\nRevised Adopted\n{rows}"), (2, f"Budget FY 2023/24\n{rows}"), (3, "x\n" * 30 + f"Adopted\n{rows}")], "document_id long, text string")
+    got = {(r.document_id, r.column_label, r.fiscal_year) for r in budgets.budget_rows(docs).collect()}
+    assert got == {(1, "REVISED", "2023-24"), (2, "ALLOCATION", "2023/24"), (3, "ALLOCATION", None)}
