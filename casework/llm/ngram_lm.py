@@ -3,15 +3,13 @@
 Tokens are the words of the whole text, lower-cased in A-Z, then one end. Training texts are
 counted inside the tasks: packed blobs of token counts and of word pairs, by hash bucket, are
 shuffled once. Token counts become an exact table; its frequent part (at most ``DICT_ROWS``
-entries, 16 bytes each) is broadcast, the tail stays a distributed table that is joined. Pairs
-seen twice or more enter a Bloom filter once for each level 1..q of their count's logarithm;
-probing level by level until a miss gives the count back. The discounted mass that a history
+entries, 16 bytes each) is broadcast, the tail stays a distributed table that is joined. All pairs
+enter a Bloom filter once for each level 1..q of their count's logarithm (once seen: level 1); probing level by level until a miss gives the count back. The discounted mass that a history
 leaves to its unseen followers is stored in the same way. A token's probability is
 
     p(w | h) = max(count(h w) - D, 0) / count(h) + rest(h) * p(w),    p(w) = (c + 1) / (N + V + 1)
 
-with p(w) alone for histories that have no pair of two or more. The filter's size follows the
-number of kept pairs. Histories are dealt into groups; as many groups as fit ``FILTER_BYTES`` are
+with p(w) alone for histories that training lacks. The filter's size follows the number of pairs. Histories are dealt into groups; as many groups as fit ``FILTER_BYTES`` are
 broadcast in one pass over the texts, further groups in further passes, whose sums add up: what is
 broadcast has a bound, and nothing is left out.
 
@@ -39,7 +37,7 @@ GROUP_DOCS, BUCKET_DOCS = 2_000_000, 1_000
 #: Tokens that a task counts before it hands on a blob.
 FLUSH_TOKENS = 2_000_000
 BITS, PROBES = 12, 4
-BASE, REST_BASE, DISCOUNT, LEAST = 1.5, 0.9, 0.75, 2
+BASE, REST_BASE, DISCOUNT = 1.5, 0.9, 0.75
 
 _U = np.uint64
 END, BEGIN = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -91,8 +89,13 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def levels(c: np.ndarray) -> np.ndarray:
-    """1 + log of count / LEAST, rounded down."""
-    return 1 + np.floor(np.log(np.maximum(c, LEAST) / LEAST) / math.log(BASE) + 1e-9).astype(np.int64)
+    """1 + log of count, rounded down."""
+    return 1 + np.floor(np.log(np.maximum(c, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
+
+
+def count_at(q: np.ndarray) -> np.ndarray:
+    """The mean of the counts of a level of 1 or more; the levels 1, 2 and 3 have one count each."""
+    return (np.ceil(BASE ** (q - 1.0) - 1e-9) + np.ceil(BASE ** (q * 1.0) - 1e-9) - 1) / 2
 
 
 def _bits(key: np.ndarray, level: np.ndarray | int, i: int, m: np.ndarray) -> np.ndarray:
@@ -102,12 +105,18 @@ def _bits(key: np.ndarray, level: np.ndarray | int, i: int, m: np.ndarray) -> np
 
 
 def segment(keys: np.ndarray, q: np.ndarray) -> bytes:
-    """A filter that holds each key at levels 1..q."""
+    """A filter that holds each key at levels 1..q, and at a level 0 if q is 2 or more.
+
+    One false hit above level 1 would make a discounted count of one five times as large, so that
+    step is held twice.
+    """
+    twice = keys[q >= 2]
     total = int(q.sum())
-    m = max(64, (total * BITS + 7) // 8 * 8)
+    m = max(64, ((total + len(twice)) * BITS + 7) // 8 * 8)
     bits = np.zeros(m, bool)
     k = np.repeat(keys, q)
     level = np.arange(total) - np.repeat(np.cumsum(q) - q, q) + 1
+    k, level = np.concatenate([k, twice]), np.concatenate([level, np.zeros(len(twice), np.int64)])
     for i in range(PROBES):
         bits[_bits(k, level, i, _U(m)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -128,11 +137,11 @@ class Filter:
         seg = segment_of.astype(np.int64)
         live = np.flatnonzero(self.m[seg] > 0) if len(keys) else np.zeros(0, np.int64)
         for j in range(1, most + 1):
-            for i in range(PROBES):
+            for i in range(PROBES * (2 if j == 2 else 1)):
                 if not len(live):
                     return found
                 s = seg[live]
-                at = self.start[s] + _bits(keys[live], j, i, self.m[s]).astype(np.int64)
+                at = self.start[s] + _bits(keys[live], j if i < PROBES else 0, i % PROBES, self.m[s]).astype(np.int64)
                 live = live[(self.raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
             found[live] = j
         return found
@@ -215,12 +224,11 @@ def _merge(groups: int, slots: int):
         key = filter_key(hist, low)
         u, first, inv = np.unique(key, return_index=True, return_inverse=True)
         c, hist = np.bincount(inv, c, len(u)).astype(np.int64), hist[first]
-        keep = c >= LEAST
-        out = [(1, part, segment(u[keep], levels(c[keep])), None, None)]
+        out = [(1, part, segment(u, levels(c)), None, None)]
         # sums by history, by the slot of the history
         hs, inv = np.unique(hist, return_inverse=True)
         total = np.bincount(inv, c, len(hs)).astype(np.int64)
-        kept = np.bincount(inv, np.where(keep, c - DISCOUNT, 0.0), len(hs))
+        kept = np.bincount(inv, c - DISCOUNT, len(hs))
         dest = group_of(hs, groups).astype(np.int64) * slots + slot_of(hs, slots).astype(np.int64)
         order = np.argsort(dest, kind="stable")
         for s, at in zip(*_cut(dest, order), strict=True):
@@ -241,8 +249,6 @@ def _histories(pdf: pd.DataFrame) -> pd.DataFrame:
     u, inv = np.unique(hs, return_inverse=True)
     total = np.bincount(inv, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]]), len(u))
     kept = np.bincount(inv, np.concatenate([np.frombuffer(x, np.float64) for x in pdf["extra"]]), len(u))
-    of = kept > 0
-    u, total, kept = u[of], total[of], kept[of]
     rest = np.clip(1 - kept / np.maximum(total, 1), 0.01, 1)
     q = 1 + np.round(np.log(rest) / math.log(REST_BASE)).astype(np.int64)
     return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "bits": [segment(np.concatenate([mix(u ^ _REST), mix(u ^ _TOTAL)]), np.concatenate([q, levels(total)]))]})
@@ -382,7 +388,7 @@ def _score(shared, parts, own, n, v, n_docs, groups, slots, first):
         rest_level[w] = hist_filter.level(mix(u[w] ^ _REST), dest[w])
         w = np.flatnonzero(is_hist & (rest_level > 0) & ~here)
         q = hist_filter.level(mix(u[w] ^ _TOTAL), dest[w])
-        total[w] = LEAST * BASE ** np.maximum(q - 0.5, 0)
+        total[w] = count_at(np.maximum(q, 1))
         total[u == BEGIN] = n_docs
         rest = np.where((rest_level > 0) & (total > 0), REST_BASE ** np.maximum(rest_level - 1, 0), 1.0)
         # pairs, each once
@@ -394,7 +400,7 @@ def _score(shared, parts, own, n, v, n_docs, groups, slots, first):
         q = np.zeros(len(ku), np.int64)
         w = np.flatnonzero((rest_level[hi] > 0) & (total[hi] > 0))
         q[w] = pairs.level(fkey[w], part[w])
-        c = np.where(q > 1, LEAST * BASE ** (q - 0.5), LEAST * 1.1) * (q > 0)
+        c = count_at(np.maximum(q, 1)) * (q > 0)
         plus = np.minimum(np.where(q > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total[hi], 1), 0.0), 1 - 1e-6)[kinv]
         times = rest[prev_inv]
         # tokens with exact counts here are summed here, others are handed on

@@ -78,3 +78,18 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert ngram_lm.score(empty, ngram_lm.train(empty)).count() == 0
     assert [r.base_score for r in ngram_lm.score(docs.limit(1), ngram_lm.train(empty)).collect()] == [0.0]
+
+
+def test_pairs_seen_once_are_stored(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_lm.score(docs, ngram_lm.train(docs)).collect()
+    # each pair and its history are seen once, or the first of 40: p is at least a quarter of the count's share
+    assert all(r.score > r.n_tokens * math.log10(0.24) - 3 and r.base_score < -3 * 50 for r in rows)
+
+
+def test_levels_of_counts():
+    c = np.arange(1, 2000)
+    q = ngram_lm.levels(c)
+    assert list(q[:3]) == [1, 2, 3] and list(ngram_lm.count_at(q[:3])) == [1, 2, 3]
+    assert (np.abs(ngram_lm.count_at(q) / c - 1) < 0.26).all()
