@@ -1,20 +1,30 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-Tokens are the words of the whole text, lower-cased in A-Z, then one end. Training texts are
-counted inside the tasks: packed blobs of token counts and of word pairs, by hash bucket, are
-shuffled once. Token counts become an exact table; its frequent part (at most ``DICT_ROWS``
-entries, 16 bytes each) is broadcast, the tail stays a distributed table that is joined. All pairs
-enter a Bloom filter once for each level 1..q of their count's logarithm (once seen: level 1); probing level by level until a miss gives the count back. The discounted mass that a history
-leaves to its unseen followers is stored in the same way. A token's probability is
-
-    p(w | h) = max(count(h w) - D, 0) / count(h) + rest(h) * p(w),    p(w) = (c + 1) / (N + V + 1)
-
-with p(w) alone for histories that training lacks. The filter's size follows the number of pairs. Histories are dealt into groups; as many groups as fit ``FILTER_BYTES`` are
-broadcast in one pass over the texts, further groups in further passes, whose sums add up: what is
-broadcast has a bound, and nothing is left out.
+Tokens are the words of the whole text, lower-cased in A-Z, then one end. Training counts tokens
+exactly (a table) and pairs of tokens, in packed blobs by slot, each shuffled once. Every pair,
+also one seen once, enters the Bloom filter of its slot once for each level 1..q of its count's
+logarithm; probing level by level until a miss gives the least count of the level back. A token's
+probability is
+
+    p(w | h) = (count(h w) + K p(w)) / (count(h) + K),    p(w) = (c + 1) / (N + V + 1)
+
+so the probabilities of a history sum to 1 but for the quantising: counts are rounded down by less
+than ``BASE`` times, so they sum to at most 1 and at least 1 / ``BASE``, false hits aside. A probe
+for a pair that training lacks hits with a chance of about 2e-4 for the filter and as much for the
+32 bits that tell keys of a slot apart.
+
+The frequent tokens (at most ``DICT_ROWS`` entries, 16 bytes each) are broadcast with their exact
+counts. Counts of other tokens reach the sums by a join; as histories they are kept in the filter,
+in the slot of all their pairs. A slot holds the pairs of about ``SLOT_BYTES`` of text, whatever
+the corpus. If all slots together have at most ``FILTER_BYTES``, they are broadcast to the workers
+and the texts are scored where they are read. Beyond it nothing of the filter is broadcast: the
+texts are read once all the same, their probes travel in packed blobs to the slots that answer
+them, and sums by document travel back. Both ways give the same scores.
 
 Tokens are known by 64-bit hashes. Null text: as empty (one end token). Repeated rows: each counts
-and is scored. Null ids are kept and are in the training part. Empty table: empty.
+and is scored. Null ids are kept and are in the training part. Very long texts are whole: a task
+holds a batch of texts and one chunk of their tokens. Columns other than the id and the text are
+not read, so that clashing names do no harm. Empty table: empty.
 """
 
 from __future__ import annotations
@@ -25,23 +35,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casework.llm.common import save
+
 #: Entries of the broadcast part of the token counts (16 bytes each).
 DICT_ROWS = 1 << 19
-#: Bytes of the filter that one pass broadcasts.
-FILTER_BYTES = 256 << 20
-#: Documents for each group of histories, and for each bucket of blobs.
-GROUP_DOCS, BUCKET_DOCS = 2_000_000, 1_000
-#: Tokens that a task counts before it hands on a blob.
-FLUSH_TOKENS = 2_000_000
-BITS, PROBES = 12, 4
-BASE, REST_BASE, DISCOUNT = 1.5, 0.9, 0.75
+#: Bytes of filter that may be broadcast.
+FILTER_BYTES = 32 << 20
+#: Bytes of training text for each slot of the filter.
+SLOT_BYTES = 8 << 20
+#: Tokens and documents of a chunk.
+CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 1 << 16
+BITS, PROBES = 20, 7
+BASE, K = 1.5, 2.0
+#: Base probabilities travel as steps of their logarithm; the last number marks one that is not known yet.
+STEPS, UNKNOWN = 4096, 0xFFFF
 
 _U = np.uint64
 END, BEGIN = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
-_REST, _TOTAL = _U(0x1B873593CC9E2D51), _U(0x85EBCA6B2545F491)
+_TOTAL = _U(0x85EBCA6B2545F491)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,6 +68,10 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * _U(0x9E3779B97F4A7C15) + w)
 
 
+def low(key: np.ndarray) -> np.ndarray:
+    return (key & _U(0xFFFFFFFF)).astype("<u4")
+
+
 def hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts one after the other, ends included, and the number of tokens of each."""
     f, out, sizes = xxhash.xxh3_64_intdigest, [], []
@@ -72,17 +90,26 @@ def histories(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return prev
 
 
-def group_of(h: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(h ^ _TOTAL) >> _U(33)) % _U(groups)
+def slot_of(prev: np.ndarray, pair: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
+    """The slot of each pair: that of the pair where its history is frequent, else that of its history."""
+    return ((mix(np.where(frequent, pair, prev ^ _TOTAL)) >> _U(33)) % _U(n)).astype(np.int64)
 
 
-def slot_of(key: np.ndarray, n: int) -> np.ndarray:
-    return (mix(key) >> _U(33)) % _U(n)
+class Dictionary:
+    """The frequent tokens' hashes, sorted, and their counts; BEGIN counts as one of them."""
 
+    def __init__(self, token: np.ndarray, count: np.ndarray, n_docs: int):
+        self.token, self.count, self.n_docs = token, count, n_docs
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inv, counts, len(u)).astype(np.int64)
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The count of each token, -1 where it is not here."""
+        if not len(self.token):
+            found = np.full(len(h), -1, np.int64)
+        else:
+            at = np.minimum(np.searchsorted(self.token, h), len(self.token) - 1)
+            found = np.where(self.token[at] == h, self.count[at], -1)
+        found[h == BEGIN] = self.n_docs
+        return found
 
 
 # --- the filter ---------------------------------------------------------------------------------
@@ -94,327 +121,326 @@ def levels(c: np.ndarray) -> np.ndarray:
 
 
 def count_at(q: np.ndarray) -> np.ndarray:
-    """The mean of the counts of a level of 1 or more; the levels 1, 2 and 3 have one count each."""
-    return (np.ceil(BASE ** (q - 1.0) - 1e-9) + np.ceil(BASE ** (q * 1.0) - 1e-9) - 1) / 2
+    """The least count of a level; 0 for level 0. The levels 1 to 4 stand for their counts themselves."""
+    return np.where(q > 0, np.ceil(BASE ** (np.maximum(q, 1) - 1.0) - 1e-9), 0.0)
 
 
-def _bits(key: np.ndarray, level: np.ndarray | int, i: int, m: np.ndarray) -> np.ndarray:
-    x = mix(key + _U(0x632BE59BD9B4E019) * np.asarray(level, _U))
+def _bits(key: np.ndarray, level: np.ndarray | int, i: int, m: int) -> np.ndarray:
+    x = mix(key.astype(_U) + _U(0x632BE59BD9B4E019) * np.asarray(level, _U))
     x = mix(x + _U(i)) >> _U(32)
-    return (x * m) >> _U(32)
+    return ((x * _U(m)) >> _U(32)).astype(np.int64)
 
 
 def segment(keys: np.ndarray, q: np.ndarray) -> bytes:
-    """A filter that holds each key at levels 1..q, and at a level 0 if q is 2 or more.
-
-    One false hit above level 1 would make a discounted count of one five times as large, so that
-    step is held twice.
-    """
-    twice = keys[q >= 2]
-    total = int(q.sum())
-    m = max(64, ((total + len(twice)) * BITS + 7) // 8 * 8)
+    """A filter that holds each key at levels 1..q."""
+    m = max(64, (int(q.sum()) * BITS + 7) // 8 * 8)
     bits = np.zeros(m, bool)
-    k = np.repeat(keys, q)
-    level = np.arange(total) - np.repeat(np.cumsum(q) - q, q) + 1
-    k, level = np.concatenate([k, twice]), np.concatenate([level, np.zeros(len(twice), np.int64)])
-    for i in range(PROBES):
-        bits[_bits(k, level, i, _U(m)).astype(np.int64)] = True
+    for level in range(1, int(q.max(initial=0)) + 1):
+        own = keys[q >= level]
+        for i in range(PROBES):
+            bits[_bits(own, level, i, m)] = True
     return np.packbits(bits).tobytes()
 
 
-class Filter:
-    """Segments by number, in one array of bytes."""
-
-    def __init__(self, parts: dict[int, bytes], n: int):
-        sizes = np.array([len(parts.get(i, b"")) for i in range(n)], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(sizes)])[:-1] * 8
-        self.m = (sizes * 8).astype(_U)
-        self.raw = np.frombuffer(b"".join(parts.get(i, b"") for i in range(n)), np.uint8)
-
-    def level(self, keys: np.ndarray, segment_of: np.ndarray, most: int = 200) -> np.ndarray:
-        """The highest level up to which every level of the key is there."""
-        found = np.zeros(len(keys), np.int64)
-        seg = segment_of.astype(np.int64)
-        live = np.flatnonzero(self.m[seg] > 0) if len(keys) else np.zeros(0, np.int64)
-        for j in range(1, most + 1):
-            for i in range(PROBES * (2 if j == 2 else 1)):
-                if not len(live):
-                    return found
-                s = seg[live]
-                at = self.start[s] + _bits(keys[live], j if i < PROBES else 0, i % PROBES, self.m[s]).astype(np.int64)
-                live = live[(self.raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            found[live] = j
+def level_in(raw: bytes | None, keys: np.ndarray) -> np.ndarray:
+    """The highest level up to which every level of each key is in a segment."""
+    found = np.zeros(len(keys), np.int64)
+    if not raw or not len(keys):
         return found
+    raw = np.frombuffer(raw, np.uint8)
+    live, level = np.arange(len(keys)), 1
+    while True:
+        for i in range(PROBES):
+            at = _bits(keys[live], level, i, len(raw) * 8)
+            live = live[(raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            if not len(live):
+                return found
+        found[live] = level
+        level += 1
+
+
+# --- training -----------------------------------------------------------------------------------
+
+
+def _chunks(batches):
+    """(record batch, hashes, sizes) of chunks of rows."""
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or b"") // 2 + 1  # no text has more tokens
+            if size >= CHUNK_TOKENS or i - start + 1 >= CHUNK_DOCS or i == len(texts) - 1:
+                yield (b.slice(start, i + 1 - start), *hashes(texts[start : i + 1]))
+                start, size = i + 1, 0
+
+
+def _held(batches):
+    """Hashes and sizes of about a chunk's tokens at a time, over several batches."""
+    held, n = [], 0
+    for _, h, sizes in _chunks(batches):
+        held.append((h, sizes))
+        n += len(h)
+        if n >= CHUNK_TOKENS:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _count_tokens(batches):
+    for h, _ in _held(batches):
+        u, c = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["token", "c"])
+
+
+def _count_pairs(shared, slots: int):
+    """Blobs of pair counts by slot: keys of those seen once, then of the others with their counts."""
 
-
-# --- counting -----------------------------------------------------------------------------------
-
-_BLOB = "kind int, part int, keys binary, counts binary"
-
-
-def _count(groups: int, slots: int):
     def run(batches):
-        held, n = [], 0
-
-        def flush():
-            h = np.concatenate([x[0] for x in held])
-            sizes = np.concatenate([x[1] for x in held])
+        frequent = shared.value
+        for h, sizes in _held(batches):
             prev = histories(h, sizes)
-            rows = []
-            u, c = np.unique(h, return_counts=True)
-            slot = slot_of(u, slots)
-            order = np.argsort(slot, kind="stable")
-            cuts = np.searchsorted(slot[order], np.arange(slots + 1))
-            for s in range(slots):
-                at = order[cuts[s] : cuts[s + 1]]
-                if len(at):
-                    rows.append((0, s, u[at].tobytes(), c[at].astype("<u4").tobytes()))
-            # pairs: sorted by part, then by key; the history of a pair goes with it
-            key = pair_key(prev, h)
-            u, first, c = np.unique(key, return_index=True, return_counts=True)
-            hist = prev[first]
-            part = (group_of(hist, groups) * _U(slots) + slot_of(u, slots)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(groups * slots + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[s] : cuts[s + 1]]
-                # a pair is told apart by 32 bits of its key beside its history and its part
-                low = (u[at] & _U(0xFFFFFFFF)).astype("<u4")
-                by = np.argsort(hist[at], kind="stable")
-                hs, runs = np.unique(hist[at], return_counts=True)
-                rows.append((1, int(s), len(hs).to_bytes(4, "little") + hs.tobytes() + runs.astype("<u4").tobytes() + low[by].tobytes(), c[at][by].astype("<u4").tobytes()))
-            held.clear()
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["kind", "part", "keys", "counts"])
-
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 512):
-                held.append(hashes(texts[i : i + 512]))
-                n += len(held[-1][0])
-                if n >= FLUSH_TOKENS:
-                    yield flush()
-                    n = 0
-        if held:
-            yield flush()
-
-    return run
-
-
-def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = int.from_bytes(keys[:4], "little")
-    hs = np.frombuffer(keys, _U, k, 4)
-    runs = np.frombuffer(keys, "<u4", k, 4 + 8 * k)
-    return np.repeat(hs, runs), np.frombuffer(keys, "<u4", offset=4 + 12 * k), np.frombuffer(counts, "<u4").astype(np.int64)
-
-
-def filter_key(hist: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return mix(hist + low.astype(_U))
-
-
-def _merge(groups: int, slots: int):
-    """Blobs of one bucket to: exact token counts (kind 0), or a filter segment and sums by history (kind 1, 2)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, part = int(pdf.kind.iloc[0]), int(pdf.part.iloc[0])
-        if kind == 0:
-            u, c = summed(np.concatenate([np.frombuffer(x, _U) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]))
-            return pd.DataFrame({"kind": [0], "part": [part], "keys": [u.tobytes()], "counts": [c.tobytes()], "extra": [None]})
-        hist, low, c = map(np.concatenate, zip(*[_unpack(k, n) for k, n in zip(pdf["keys"], pdf["counts"], strict=True)], strict=True))
-        key = filter_key(hist, low)
-        u, first, inv = np.unique(key, return_index=True, return_inverse=True)
-        c, hist = np.bincount(inv, c, len(u)).astype(np.int64), hist[first]
-        out = [(1, part, segment(u, levels(c)), None, None)]
-        # sums by history, by the slot of the history
-        hs, inv = np.unique(hist, return_inverse=True)
-        total = np.bincount(inv, c, len(hs)).astype(np.int64)
-        kept = np.bincount(inv, c - DISCOUNT, len(hs))
-        dest = group_of(hs, groups).astype(np.int64) * slots + slot_of(hs, slots).astype(np.int64)
-        order = np.argsort(dest, kind="stable")
-        for s, at in zip(*_cut(dest, order), strict=True):
-            out.append((2, int(s), hs[at].tobytes(), total[at].tobytes(), kept[at].tobytes()))
-        return pd.DataFrame(out, columns=["kind", "part", "keys", "counts", "extra"])
+            pair = pair_key(prev, h)
+            u, first, c = np.unique(pair, return_index=True, return_counts=True)
+            prev = prev[first]
+            known = frequent(prev) >= 0
+            slot, key = slot_of(prev, u, known, slots), low(u)
+            # a rare history is counted in the slot of its pairs
+            rare, inv = np.unique(prev[~known], return_inverse=True)
+            slot = np.concatenate([slot, slot_of(rare, rare, np.zeros(len(rare), bool), slots)])
+            key = np.concatenate([key, low(mix(rare ^ _TOTAL))])
+            c = np.concatenate([c, np.bincount(inv, c[~known], len(rare)).astype(np.int64)])
+            order = np.lexsort((c > 1, slot))
+            slot, key, c = slot[order], key[order], c[order]
+            at = np.flatnonzero(np.diff(slot, prepend=-1))
+            end = np.append(at[1:], len(slot))
+            ones = [int((c[a:e] == 1).sum()) for a, e in zip(at, end, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot[at]), pa.array([key[a:e].tobytes() for a, e in zip(at, end, strict=True)], pa.binary()), pa.array([c[a + n : e].astype("<u8").tobytes() for a, e, n in zip(at, end, ones, strict=True)], pa.binary())],
+                ["slot", "keys", "counts"],
+            )
 
     return run
 
 
-def _cut(dest: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    values, starts = np.unique(dest[order], return_index=True)
-    return values, np.split(order, starts[1:])
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All blobs of one slot to its segment."""
+    keys = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["keys"]])
+    counts = []
+    for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
+        more = np.frombuffer(c, "<u8")
+        counts += [np.ones(len(k) // 4 - len(more), np.int64), more.astype(np.int64)]
+    u, inv = np.unique(keys, return_inverse=True)
+    bits = segment(u, levels(np.bincount(inv, np.concatenate(counts), len(u))))
+    return pd.DataFrame({"slot": [int(pdf.slot.iloc[0])], "n_bytes": [len(bits)], "bits": [bits]})
 
 
-def _histories(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums of one slot of histories to a filter segment of what each leaves over, and of its total."""
-    hs = np.concatenate([np.frombuffer(x, _U) for x in pdf["keys"]])
-    u, inv = np.unique(hs, return_inverse=True)
-    total = np.bincount(inv, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]]), len(u))
-    kept = np.bincount(inv, np.concatenate([np.frombuffer(x, np.float64) for x in pdf["extra"]]), len(u))
-    rest = np.clip(1 - kept / np.maximum(total, 1), 0.01, 1)
-    q = 1 + np.round(np.log(rest) / math.log(REST_BASE)).astype(np.int64)
-    return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "bits": [segment(np.concatenate([mix(u ^ _REST), mix(u ^ _TOTAL)]), np.concatenate([q, levels(total)]))]})
+class Counts:
+    """What training gathers: token counts (a table), the filter by slot (a table), the frequent tokens, totals."""
 
+    def __init__(self, tokens: DataFrame, parts: DataFrame, frequent: Dictionary, least: int, n: int, v: int, slots: int):
+        self.tokens, self.parts, self.frequent, self.least, self.n, self.v, self.slots = tokens, parts, frequent, least, n, v, slots
 
-class Counts:
-    """What training gathers: token counts (a table), the parts of the filter (a table), totals."""
 
-    def __init__(self, tokens: DataFrame, parts: DataFrame, n: int, v: int, docs: int, groups: int, slots: int):
-        self.tokens, self.parts, self.n, self.v, self.docs, self.groups, self.slots = tokens, parts, n, v, docs, groups, slots
+def train(docs: DataFrame, text_col: str = "text", dict_rows: int = DICT_ROWS, slot_bytes: int = SLOT_BYTES) -> Counts:
+    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
+    tokens = save(texts.mapInArrow(_count_tokens, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    n, v, n_docs = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == int(END.view(np.int64)), F.col("c"))), F.lit(0))).first()
+    least, frequent = dictionary(tokens, int(n_docs), dict_rows)
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = max(1, -(-n_bytes // slot_bytes))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    blobs = texts.mapInArrow(_count_pairs(shared, slots), "slot long, keys binary, counts binary")
+    parts = save(blobs.groupBy("slot").applyInPandas(_merge, "slot long, n_bytes long, bits binary"))
+    shared.unpersist()
+    return Counts(tokens, parts, frequent, least, int(n), int(v), slots)
+
+
+def dictionary(tokens: DataFrame, n_docs: int, rows: int = DICT_ROWS) -> tuple[int, Dictionary]:
+    """The least count of the frequent tokens, and these: at most ``rows`` of them."""
+    by = {int(r.j): int(r.n) for r in tokens.groupBy(F.floor(F.log2("c")).alias("j")).agg(F.count("*").alias("n")).collect()}
+    least = 64
+    while least and sum(n for j, n in by.items() if j >= least - 1) <= rows:
+        least -= 1
+    if least == 64:
+        return 2**62, Dictionary(np.zeros(0, _U), np.zeros(0, np.int64), n_docs)
+    got = tokens.filter(F.col("c") >= 2**least).toArrow()
+    token = got.column("token").to_numpy().view(_U)
+    order = np.argsort(token)
+    return 2**least, Dictionary(token[order], got.column("c").to_numpy()[order], n_docs)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Counts:
-    from casework.llm.common import save
+# --- scoring ------------------------------------------------------------------------------------
 
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    n_docs = docs.count()
-    groups, slots = max(1, n_docs // GROUP_DOCS), max(16, min(1024, n_docs // BUCKET_DOCS))
-    blobs = texts.mapInArrow(_count(groups, slots), _BLOB)
-    merged = save(blobs.groupBy("kind", "part").applyInPandas(_merge(groups, slots), _BLOB + ", extra binary"))
+_ASK = ["a_low", "a_p", "a_doc", "a_times", "a_tail", "a_hist"]
+_TAIL = "array<struct<token:long,count:double,minus:double,times:long>>"
+_TAIL_TYPE = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.float64()), ("minus", pa.float64()), ("times", pa.int64())]))
 
-    def rows(batches):
-        for b in batches:
-            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["token", "c"])
 
-    tokens = save(merged.filter("kind = 0").select("keys", "counts").mapInArrow(rows, "token long, c long"))
-    n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hist = merged.filter("kind = 2").groupBy("part").applyInPandas(_histories, "part int, bits binary")
-    parts = save(merged.filter("kind = 1").select(F.lit(0).alias("of"), "part", F.col("keys").alias("bits")).union(hist.select(F.lit(1).alias("of"), "part", "bits")).withColumn("n_bytes", F.length("bits")))
-    return Counts(tokens, parts, int(n), int(v), n_docs, groups, slots)
+def asks(h: np.ndarray, sizes: np.ndarray, frequent: Dictionary, n_all: float, slots: int):
+    """What a chunk knows by itself, and what it asks each slot.
 
+    Gives (known, base, score) sums by document, a mask and hashes of unknown tokens with their
+    documents, and a list of (slot, ask): keys, steps of log p(w), documents, how often (if more
+    than once), hashes of unknown tokens, keys of rare histories.
+    """
+    n = len(sizes)
+    doc = np.repeat(np.arange(n), sizes)
+    prev = histories(h, sizes)
+    u, inv = np.unique(h, return_inverse=True)
+    count_u = frequent(u)
+    count = count_u[inv]
+    here = count >= 0
+    p = np.where(here, count + 1, 1) / n_all
+    add = lambda x, on: np.bincount(doc[on], x[on], n)
+    c_prev = np.empty(len(h), np.int64)
+    c_prev[1:] = count[:-1]
+    c_prev[np.cumsum(sizes) - sizes] = frequent.n_docs
+    known = c_prev >= 0
+    score = -add(np.log10(np.maximum(c_prev, 0) + K), known)
+    # each pair of a document once
+    pair = pair_key(prev, h)
+    order = np.lexsort((pair, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    at = order[new]
+    times = np.diff(np.append(np.flatnonzero(new), len(h)))
+    steps = np.where(here, np.minimum(UNKNOWN - 1, np.round(-np.log10(p) * STEPS)), UNKNOWN).astype("<u2")
+    slot = slot_of(prev[at], pair[at], known[at], slots)
+    by = np.argsort(slot, kind="stable")
+    at, times, slot = at[by], times[by], slot[by]
+    key, hist = low(pair[at]), low(mix(prev[at] ^ _TOTAL))
+    out = []
+    cuts = np.flatnonzero(np.diff(slot, prepend=-1))
+    for a, e in zip(cuts, np.append(cuts[1:], len(slot)), strict=True):
+        x = at[a:e]
+        often, rare = np.flatnonzero(times[a:e] > 1), np.flatnonzero(~known[x])
+        ask = (key[a:e].tobytes(), steps[x].tobytes(), doc[x].astype("<u2").tobytes(), np.stack([often, times[a:e][often]]).astype("<i8").tobytes(), h[x][~here[x]].tobytes(), rare.astype("<u4").tobytes() + hist[a:e][rare].tobytes())
+        out.append((int(slot[a]), ask))
+    return np.bincount(doc[here], count[here] > 0, n).astype(np.int64), add(np.log10(p), here), score, h[~here], doc[~here], out
+
+
+def answer(bits: bytes | None, ask: tuple) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """(documents, their sums) of one ask, and (document, token, count, minus, times) of the tokens whose p(w) is not known yet."""
+    key, steps, doc, often, tail, hist = (np.frombuffer(x, t) for x, t in zip(ask, ("<u4", "<u2", "<u2", "<i8", "<u8", "<u4"), strict=True))
+    c = count_at(level_in(bits, key))
+    minus = np.zeros(len(key))
+    if len(hist):
+        rare, hist = hist.reshape(2, -1)
+        minus[rare] = np.log10(count_at(level_in(bits, hist)) + K)
+    times = np.ones(len(key), np.int64)
+    if len(often):
+        often = often.reshape(2, -1)
+        times[often[0]] = often[1]
+    open_ = steps == UNKNOWN
+    value = times * (np.log10(c + K * 10.0 ** (-steps.astype(float) / STEPS)) - minus)
+    docs, inv = np.unique(doc[~open_], return_inverse=True)
+    x = np.flatnonzero(open_)
+    return docs, np.bincount(inv, value[~open_], len(docs)), list(zip(doc[x].tolist(), tail.view(np.int64).tolist(), c[x].tolist(), minus[x].tolist(), times[x].tolist(), strict=True))
+
+
+def _rows(kind: pa.DataType, row, ids, n_tokens, known, base, score, tail) -> list[pa.Array]:
+    k = len(row)
+    number = lambda x, t: pa.array(np.zeros(k) if x is None else x).cast(t)
+    return [pa.array(row, pa.int64()), pa.nulls(k, kind) if ids is None else ids, number(n_tokens, pa.int64()), number(known, pa.int64()), number(base, pa.float64()), number(score, pa.float64()), pa.array(tail, _TAIL_TYPE)]
+
+
+_OUT = ["row", "id", "n_tokens", "n_known", "base", "score", "tail"]
+
+
+def _answered(kind: pa.DataType, row0: int, found) -> pa.RecordBatch:
+    docs, sums, tails = found
+    sums = dict(zip(docs.tolist(), sums.tolist(), strict=True))
+    of: dict[int, list] = {}
+    for d, *x in tails:
+        of.setdefault(d, []).append(dict(zip(("token", "count", "minus", "times"), x, strict=True)))
+    every = sorted(sums.keys() | of.keys())
+    return pa.RecordBatch.from_arrays(_rows(kind, [row0 + d for d in every], None, None, None, None, [sums.get(d, 0.0) for d in every], [of.get(d, []) for d in every]), _OUT)
+
+
+def _heads(rows: pa.RecordBatch, sizes, known, base, score, tail, tail_doc) -> list[pa.Array]:
+    """Rows of what a chunk knows by itself; unknown tokens (times 0) still count for the base score."""
+    of: list[list] = [[] for _ in range(len(sizes))]
+    for d, t in zip(tail_doc.tolist(), tail.view(np.int64).tolist(), strict=True):
+        of[d].append({"token": t, "count": 0.0, "minus": 0.0, "times": 0})
+    return _rows(rows.schema.field("id").type, rows.column("row").to_numpy(), rows.column("id"), sizes, known, base, score, of)
+
+
+def _score_here(shared, n_all: float, slots: int):
+    def run(batches):
+        frequent, bits = shared.value
+        for rows, h, sizes in _chunks(batches):
+            *own, out = asks(h, sizes, frequent, n_all, slots)
+            yield pa.RecordBatch.from_arrays(_heads(rows, sizes, *own), _OUT)
+            for slot, ask in out:
+                yield _answered(rows.schema.field("id").type, rows.column("row")[0].as_py(), answer(bits.get(slot), ask))
 
-# --- scoring ------------------------------------------------------------------------------------
+    return run
 
 
-def dictionary(counts: Counts, rows: int = DICT_ROWS) -> tuple[int, np.ndarray, np.ndarray]:
-    """The least count of the broadcast part, and its sorted hashes and counts: at most ``rows`` entries."""
-    by = {int(r.j): int(r.n) for r in counts.tokens.groupBy(F.floor(F.log2("c")).alias("j")).agg(F.count("*").alias("n")).collect()}
-    least = 64
-    while least and sum(n for j, n in by.items() if j >= least - 1) <= rows:
-        least -= 1
-    if least == 63:
-        return 2**62, np.zeros(0, _U), np.zeros(0, np.int64)
-    got = counts.tokens.filter(F.col("c") >= 2**least).toArrow()
-    token = got.column("token").to_numpy().view(_U)
-    order = np.argsort(token)
-    return 2**least, token[order], got.column("c").to_numpy()[order]
+def _ask(shared, n_all: float, slots: int):
+    """Rows that go to the slots: kind 1 asks, kind 2 what is known already."""
+    names = ["slot", "kind", "bits", *_ASK, *_OUT]
 
+    def run(batches):
+        frequent = shared.value
+        for rows, h, sizes in _chunks(batches):
+            *own, out = asks(h, sizes, frequent, n_all, slots)
+            kind, n, k = rows.schema.field("id").type, rows.num_rows, len(out)
+            spread = (rows.column("row").to_numpy() % slots).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.full(n, 2, np.int32)), *[pa.nulls(n, pa.binary())] * (1 + len(_ASK)), *_heads(rows, sizes, *own)], names)
+            row0 = np.full(k, rows.column("row")[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.binary()), *[pa.array(x, pa.binary()) for x in zip(*(a for _, a in out), strict=True)], *_rows(kind, row0, None, None, None, None, None, [[]] * k)], names)
 
-def passes(counts: Counts, limit: int = FILTER_BYTES) -> list[list[int]]:
-    """Groups of histories whose filters go together: by bytes, in order."""
-    size = {int(r.g): int(r.n) for r in counts.parts.groupBy(F.floor(F.col("part") / counts.slots).alias("g")).agg(F.sum("n_bytes").alias("n")).collect()}
-    out: list[list[int]] = [[]]
-    room = limit
-    for g in range(counts.groups):
-        if size.get(g, 0) > room and out[-1]:
-            out.append([])
-            room = limit
-        out[-1].append(g)
-        room -= size.get(g, 0)
-    return out
+    return run
 
 
-def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", dict_rows: int = DICT_ROWS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def _answer(batches):
+    """Rows in order of slot and kind: a slot's filter, then what it is asked."""
+    slot, bits = -1, None
+    for b in batches:
+        kinds = b.column("kind").to_numpy()
+        kind = b.schema.field("id").type
+        for i in np.flatnonzero(kinds < 2):
+            if kinds[i] == 0:
+                slot, bits = b.column("slot")[i].as_py(), b.column("bits")[i].as_py()
+            else:
+                own = bits if b.column("slot")[i].as_py() == slot else None
+                yield _answered(kind, b.column("row")[i].as_py(), answer(own, tuple(b.column(c)[i].as_py() for c in _ASK)))
+        at = pa.array(np.flatnonzero(kinds == 2))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in _OUT], _OUT)
+
+
+def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of each whole text, log10."""
-    from casework.llm.common import save
-
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    least, token, freq = dictionary(counts, dict_rows)
-    shared = spark.sparkContext.broadcast((token, freq))
-    n, v, n_docs, groups, slots = counts.n, counts.v, counts.docs, counts.groups, counts.slots
+    n_all, slots = float(counts.n + counts.v + 1), counts.slots
+    # consecutive numbers in each partition, so that a chunk is known by its first
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    done = []
-    for number, own in enumerate(passes(counts, filter_bytes)):
-        of_pass = counts.parts.filter(F.floor(F.col("part") / slots).isin(own))
-        parts = spark.sparkContext.broadcast([_gather(of_pass.filter(F.col("of") == k), groups * slots) for k in (0, 1)])
-        done.append(save(keyed.mapInArrow(_score(shared, parts, own, n, v, n_docs, groups, slots, number == 0), f"row long, id {kind}, n_tokens long, n_known long, base double, score double, tail array<struct<token:long,plus:double,times:double>>")))
-        parts.unpersist()
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
+    out = f"row long, id {kind}, n_tokens long, n_known long, base double, score double, tail {_TAIL}"
+    if (counts.parts.agg(F.sum("n_bytes")).first()[0] or 0) <= filter_bytes:
+        got = counts.parts.select("slot", "bits").toArrow()
+        shared = spark.sparkContext.broadcast((counts.frequent, dict(zip(got.column("slot").to_pylist(), got.column("bits").to_pylist(), strict=True))))
+        found = keyed.mapInArrow(_score_here(shared, n_all, slots), out)
+    else:
+        shared = spark.sparkContext.broadcast(counts.frequent)
+        asked = keyed.mapInArrow(_ask(shared, n_all, slots), f"slot long, kind int, bits binary, {', '.join(f'{c} binary' for c in _ASK)}, {out}")
+        filters = counts.parts.select("slot", F.lit(0).alias("kind"), "bits")
+        met = asked.unionByName(filters, allowMissingColumns=True).repartition("slot").sortWithinPartitions("slot", "kind")
+        found = met.mapInArrow(_answer, out)
+    found = save(found)
     # tokens that are not in the broadcast part get their counts by a join
     tail = found.select("row", F.explode("tail").alias("t")).select("row", "t.*")
-    known = counts.tokens.filter(F.col("c") < least)
-    tail = tail.join(known.hint("merge"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    known = counts.tokens.filter(F.col("c") < counts.least)
+    tail = tail.join(known.hint("merge"), "token", "left").withColumn("p", (F.coalesce("c", F.lit(0)) + 1) / F.lit(n_all))
+    once = F.col("times") == 0
     sums = tail.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("n_known"),
-        F.sum(F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("base"),
-        F.sum(F.log10(F.least(F.lit(1.0), F.col("plus") + F.col("times") * (F.col("c") + 1) / F.lit(float(n + v + 1))))).alias("score"),
+        F.sum(F.when(once & F.col("c").isNotNull(), 1).otherwise(0)).alias("n_known"),
+        F.sum(F.when(once, F.log10("p")).otherwise(0.0)).alias("base"),
+        F.sum(F.when(once, 0.0).otherwise(F.col("times") * (F.log10(F.col("count") + K * F.col("p")) - F.col("minus")))).alias("score"),
     )
     head = found.select("row", "id", "n_tokens", "n_known", "base", "score")
     both = head.unionByName(sums.select("row", F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", "score"))
     total = both.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return total.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
-
-
-def _gather(parts: DataFrame, n: int) -> Filter:
-    got = parts.select("part", "bits").toArrow()
-    return Filter(dict(zip(got.column("part").to_pylist(), got.column("bits").to_pylist(), strict=True)), n)
-
-
-def _score(shared, parts, own, n, v, n_docs, groups, slots, first):
-    whole = len(own) == groups
-    schema_tail = pa.list_(pa.struct([("token", pa.int64()), ("plus", pa.float64()), ("times", pa.float64())]))
-
-    def run(batches):
-        token, freq = shared.value
-        pairs, hist_filter = parts.value
-        mine = np.zeros(groups, bool)
-        mine[own] = True
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 512):
-                chunk = texts[i : i + 512]
-                h, sizes = hashes(chunk)
-                doc = np.repeat(np.arange(len(chunk)), sizes)
-                prev = histories(h, sizes)
-                if not whole:
-                    at = mine[group_of(prev, groups).astype(np.int64)]
-                    h, prev, doc = h[at], prev[at], doc[at]
-                yield _chunk(b.slice(i, len(chunk)), h, prev, doc, token, freq, pairs, hist_filter, first)
-
-    def _chunk(rows, h, prev, doc, token, freq, pairs, hist_filter, first):
-        k = rows.num_rows
-        u, inv = np.unique(np.concatenate([h, prev]), return_inverse=True)
-        inv, prev_inv = inv[: len(h)], inv[len(h) :]
-        at = np.minimum(np.searchsorted(token, u), max(0, len(token) - 1))
-        here = (token[at] == u) if len(token) else np.zeros(len(u), bool)
-        count = np.where(here, freq[at] if len(token) else 0, 0)
-        # what each history leaves over, and its total
-        dest = group_of(u, groups).astype(np.int64) * slots + slot_of(u, slots).astype(np.int64)
-        is_hist = np.zeros(len(u), bool)
-        is_hist[prev_inv] = True
-        rest_level, total = np.zeros(len(u), np.int64), count.astype(float)
-        w = np.flatnonzero(is_hist)
-        rest_level[w] = hist_filter.level(mix(u[w] ^ _REST), dest[w])
-        w = np.flatnonzero(is_hist & (rest_level > 0) & ~here)
-        q = hist_filter.level(mix(u[w] ^ _TOTAL), dest[w])
-        total[w] = count_at(np.maximum(q, 1))
-        total[u == BEGIN] = n_docs
-        rest = np.where((rest_level > 0) & (total > 0), REST_BASE ** np.maximum(rest_level - 1, 0), 1.0)
-        # pairs, each once
-        key = pair_key(prev, h)
-        ku, kfirst, kinv = np.unique(key, return_index=True, return_inverse=True)
-        hist, hi = prev[kfirst], prev_inv[kfirst]
-        fkey = filter_key(hist, (ku & _U(0xFFFFFFFF)).astype("<u4"))
-        part = group_of(hist, groups).astype(np.int64) * slots + slot_of(ku, slots).astype(np.int64)
-        q = np.zeros(len(ku), np.int64)
-        w = np.flatnonzero((rest_level[hi] > 0) & (total[hi] > 0))
-        q[w] = pairs.level(fkey[w], part[w])
-        c = count_at(np.maximum(q, 1)) * (q > 0)
-        plus = np.minimum(np.where(q > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total[hi], 1), 0.0), 1 - 1e-6)[kinv]
-        times = rest[prev_inv]
-        # tokens with exact counts here are summed here, others are handed on
-        inside = here[inv]
-        p = (count[inv] + 1) / float(n + v + 1)
-        add = lambda x: np.bincount(doc[inside], x[inside], k).astype(float)
-        known = np.bincount(doc[inside], minlength=k)
-        base, full = add(np.log10(p)), add(np.log10(np.minimum(1.0, plus + times * p)))
-        out = np.flatnonzero(~inside)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[out], minlength=k))]).astype(np.int32)
-        struct = pa.StructArray.from_arrays([pa.array(h[out].view(np.int64)), pa.array(plus[out]), pa.array(times[out])], ["token", "plus", "times"])
-        tail = pa.ListArray.from_arrays(pa.array(offsets), struct).cast(schema_tail)
-        ids = rows.column("id") if first else pa.nulls(k, rows.schema.field("id").type)
-        n_tokens = np.bincount(doc, minlength=k)
-        return pa.RecordBatch.from_arrays([rows.column("row"), ids, pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(full), tail], ["row", "id", "n_tokens", "n_known", "base", "score", "tail"])
-
-    return run
+    return total.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.col("base").alias("base_score"), F.least("score", F.lit(0.0)).alias("score"))
