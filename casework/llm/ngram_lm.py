@@ -45,7 +45,7 @@ DICT_ROWS = 1 << 19
 #: Bytes of filter that may be broadcast.
 FILTER_BYTES = 32 << 20
 #: Bytes of training text for each slot of the filter.
-SLOT_BYTES = 8 << 20
+SLOT_BYTES = 2 << 20
 #: Tokens and documents of a chunk.
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 1 << 16
 BITS, PROBES = 20, 7
@@ -272,24 +272,24 @@ def dictionary(tokens: DataFrame, n_docs: int, rows: int = DICT_ROWS) -> tuple[i
 
 # --- scoring ------------------------------------------------------------------------------------
 
-_ASK = ["a_low", "a_p", "a_doc", "a_times", "a_tail", "a_hist"]
-_TAIL = "array<struct<token:long,count:double,minus:double,times:long>>"
-_TAIL_TYPE = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.float64()), ("minus", pa.float64()), ("times", pa.int64())]))
+_ASK = ["low", "p", "doc", "often", "tail", "hist"]
+#: Rows of a pass over the texts: what a document knows by itself (kind 2), sums of documents packed by chunk (3), tokens whose p(w) is not known yet (4).
+_FOUND = {"kind": "int", "row": "long", "id": None, "n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "docs": "binary", "sums": "binary", "token": "long", "count": "double", "minus": "double", "times": "long"}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
 def asks(h: np.ndarray, sizes: np.ndarray, frequent: Dictionary, n_all: float, slots: int):
     """What a chunk knows by itself, and what it asks each slot.
 
-    Gives (known, base, score) sums by document, a mask and hashes of unknown tokens with their
-    documents, and a list of (slot, ask): keys, steps of log p(w), documents, how often (if more
-    than once), hashes of unknown tokens, keys of rare histories.
+    Gives (known, base, score) sums by document of the frequent tokens, and a list of (slot, ask):
+    keys, steps of log p(w), documents, how often (if more than once), hashes of tokens that are
+    not frequent, keys of histories that are not.
     """
     n = len(sizes)
     doc = np.repeat(np.arange(n), sizes)
     prev = histories(h, sizes)
     u, inv = np.unique(h, return_inverse=True)
-    count_u = frequent(u)
-    count = count_u[inv]
+    count = frequent(u)[inv]
     here = count >= 0
     p = np.where(here, count + 1, 1) / n_all
     add = lambda x, on: np.bincount(doc[on], x[on], n)
@@ -309,20 +309,20 @@ def asks(h: np.ndarray, sizes: np.ndarray, frequent: Dictionary, n_all: float, s
     slot = slot_of(prev[at], pair[at], known[at], slots)
     by = np.argsort(slot, kind="stable")
     at, times, slot = at[by], times[by], slot[by]
-    key, hist = low(pair[at]), low(mix(prev[at] ^ _TOTAL))
+    key, step, of, token, rare_token = low(pair[at]), steps[at], doc[at].astype("<u2"), h[at], ~here[at]
+    hist, rare_hist = low(mix(prev[at] ^ _TOTAL)), ~known[at]
     out = []
     cuts = np.flatnonzero(np.diff(slot, prepend=-1))
     for a, e in zip(cuts, np.append(cuts[1:], len(slot)), strict=True):
-        x = at[a:e]
-        often, rare = np.flatnonzero(times[a:e] > 1), np.flatnonzero(~known[x])
-        ask = (key[a:e].tobytes(), steps[x].tobytes(), doc[x].astype("<u2").tobytes(), np.stack([often, times[a:e][often]]).astype("<i8").tobytes(), h[x][~here[x]].tobytes(), rare.astype("<u4").tobytes() + hist[a:e][rare].tobytes())
-        out.append((int(slot[a]), ask))
-    return np.bincount(doc[here], count[here] > 0, n).astype(np.int64), add(np.log10(p), here), score, h[~here], doc[~here], out
+        often, rare = np.flatnonzero(times[a:e] > 1), np.flatnonzero(rare_hist[a:e])
+        ask = (key[a:e], step[a:e], of[a:e], np.stack([often, times[a:e][often]]).astype("<i8"), token[a:e][rare_token[a:e]], np.stack([rare.astype("<u4"), hist[a:e][rare]]))
+        out.append((int(slot[a]), tuple(x.tobytes() for x in ask)))
+    return np.bincount(doc[here], count[here] > 0, n).astype(np.int64), add(np.log10(p), here), score, out
 
 
-def answer(bits: bytes | None, ask: tuple) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+def answer(bits: bytes | None, ask: tuple) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """(documents, their sums) of one ask, and (document, token, count, minus, times) of the tokens whose p(w) is not known yet."""
-    key, steps, doc, often, tail, hist = (np.frombuffer(x, t) for x, t in zip(ask, ("<u4", "<u2", "<u2", "<i8", "<u8", "<u4"), strict=True))
+    key, steps, doc, often, tail, hist = (np.frombuffer(x, t) for x, t in zip(ask, ("<u4", "<u2", "<u2", "<i8", "<i8", "<u4"), strict=True))
     c = count_at(level_in(bits, key))
     minus = np.zeros(len(key))
     if len(hist):
@@ -335,35 +335,28 @@ def answer(bits: bytes | None, ask: tuple) -> tuple[np.ndarray, np.ndarray, list
     open_ = steps == UNKNOWN
     value = times * (np.log10(c + K * 10.0 ** (-steps.astype(float) / STEPS)) - minus)
     docs, inv = np.unique(doc[~open_], return_inverse=True)
-    x = np.flatnonzero(open_)
-    return docs, np.bincount(inv, value[~open_], len(docs)), list(zip(doc[x].tolist(), tail.view(np.int64).tolist(), c[x].tolist(), minus[x].tolist(), times[x].tolist(), strict=True))
+    return docs, np.bincount(inv, value[~open_], len(docs)), (doc[open_].astype(np.int64), tail, c[open_], minus[open_], times[open_])
 
 
-def _rows(kind: pa.DataType, row, ids, n_tokens, known, base, score, tail) -> list[pa.Array]:
-    k = len(row)
-    number = lambda x, t: pa.array(np.zeros(k) if x is None else x).cast(t)
-    return [pa.array(row, pa.int64()), pa.nulls(k, kind) if ids is None else ids, number(n_tokens, pa.int64()), number(known, pa.int64()), number(base, pa.float64()), number(score, pa.float64()), pa.array(tail, _TAIL_TYPE)]
-
-
-_OUT = ["row", "id", "n_tokens", "n_known", "base", "score", "tail"]
+def _batch(kind: pa.DataType, n: int, columns: dict, names: dict = _FOUND) -> pa.RecordBatch:
+    """A batch of n rows with these columns (arrays, or one value), the others null."""
+    out = []
+    for name, t in names.items():
+        t, x = _ARROW.get(t, kind), columns.get(name)
+        out.append(pa.nulls(n, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x if isinstance(x, (list, np.ndarray)) else [x] * n, t))
+    return pa.RecordBatch.from_arrays(out, list(names))
 
 
-def _answered(kind: pa.DataType, row0: int, found) -> pa.RecordBatch:
-    docs, sums, tails = found
-    sums = dict(zip(docs.tolist(), sums.tolist(), strict=True))
-    of: dict[int, list] = {}
-    for d, *x in tails:
-        of.setdefault(d, []).append(dict(zip(("token", "count", "minus", "times"), x, strict=True)))
-    every = sorted(sums.keys() | of.keys())
-    return pa.RecordBatch.from_arrays(_rows(kind, [row0 + d for d in every], None, None, None, None, [sums.get(d, 0.0) for d in every], [of.get(d, []) for d in every]), _OUT)
+def _answered(kind: pa.DataType, row0: int, found):
+    docs, sums, (doc, token, count, minus, times) = found
+    if len(docs):
+        yield _batch(kind, 1, {"kind": 3, "row": row0, "docs": [docs.astype("<u2").tobytes()], "sums": [sums.tobytes()]})
+    if len(doc):
+        yield _batch(kind, len(doc), {"kind": 4, "row": row0 + doc, "token": token, "count": count, "minus": minus, "times": times})
 
 
-def _heads(rows: pa.RecordBatch, sizes, known, base, score, tail, tail_doc) -> list[pa.Array]:
-    """Rows of what a chunk knows by itself; unknown tokens (times 0) still count for the base score."""
-    of: list[list] = [[] for _ in range(len(sizes))]
-    for d, t in zip(tail_doc.tolist(), tail.view(np.int64).tolist(), strict=True):
-        of[d].append({"token": t, "count": 0.0, "minus": 0.0, "times": 0})
-    return _rows(rows.schema.field("id").type, rows.column("row").to_numpy(), rows.column("id"), sizes, known, base, score, of)
+def _own(rows: pa.RecordBatch, sizes, known, base, score) -> dict:
+    return {"kind": 2, "row": rows.column("row"), "id": rows.column("id"), "n_tokens": sizes, "n_known": known, "base": base, "score": score}
 
 
 def _score_here(shared, n_all: float, slots: int):
@@ -371,26 +364,28 @@ def _score_here(shared, n_all: float, slots: int):
         frequent, bits = shared.value
         for rows, h, sizes in _chunks(batches):
             *own, out = asks(h, sizes, frequent, n_all, slots)
-            yield pa.RecordBatch.from_arrays(_heads(rows, sizes, *own), _OUT)
+            kind = rows.schema.field("id").type
+            yield _batch(kind, rows.num_rows, _own(rows, sizes, *own))
             for slot, ask in out:
-                yield _answered(rows.schema.field("id").type, rows.column("row")[0].as_py(), answer(bits.get(slot), ask))
+                yield from _answered(kind, rows.column("row")[0].as_py(), answer(bits.get(slot), ask))
 
     return run
 
 
+_ASKED = {"slot": "long", "bits": "binary", **{f"a_{c}": "binary" for c in _ASK}, **{c: _FOUND[c] for c in ("kind", "row", "id", "n_tokens", "n_known", "base", "score")}}
+
+
 def _ask(shared, n_all: float, slots: int):
     """Rows that go to the slots: kind 1 asks, kind 2 what is known already."""
-    names = ["slot", "kind", "bits", *_ASK, *_OUT]
 
     def run(batches):
         frequent = shared.value
         for rows, h, sizes in _chunks(batches):
             *own, out = asks(h, sizes, frequent, n_all, slots)
-            kind, n, k = rows.schema.field("id").type, rows.num_rows, len(out)
-            spread = (rows.column("row").to_numpy() % slots).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.full(n, 2, np.int32)), *[pa.nulls(n, pa.binary())] * (1 + len(_ASK)), *_heads(rows, sizes, *own)], names)
-            row0 = np.full(k, rows.column("row")[0].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.binary()), *[pa.array(x, pa.binary()) for x in zip(*(a for _, a in out), strict=True)], *_rows(kind, row0, None, None, None, None, None, [[]] * k)], names)
+            kind, row = rows.schema.field("id").type, rows.column("row").to_numpy()
+            yield _batch(kind, rows.num_rows, {"slot": row % slots, **_own(rows, sizes, *own)}, _ASKED)
+            blobs = dict(zip([f"a_{c}" for c in _ASK], map(list, zip(*(a for _, a in out), strict=True)), strict=True))
+            yield _batch(kind, len(out), {"slot": [s for s, _ in out], "kind": 1, "row": int(row[0]), **blobs}, _ASKED)
 
     return run
 
@@ -399,48 +394,65 @@ def _answer(batches):
     """Rows in order of slot and kind: a slot's filter, then what it is asked."""
     slot, bits = -1, None
     for b in batches:
-        kinds = b.column("kind").to_numpy()
+        kinds, slots = b.column("kind").to_numpy(), b.column("slot").to_numpy()
         kind = b.schema.field("id").type
         for i in np.flatnonzero(kinds < 2):
             if kinds[i] == 0:
-                slot, bits = b.column("slot")[i].as_py(), b.column("bits")[i].as_py()
+                slot, bits = slots[i], b.column("bits")[i].as_py()
             else:
-                own = bits if b.column("slot")[i].as_py() == slot else None
-                yield _answered(kind, b.column("row")[i].as_py(), answer(own, tuple(b.column(c)[i].as_py() for c in _ASK)))
+                own = bits if slots[i] == slot else None
+                yield from _answered(kind, b.column("row")[i].as_py(), answer(own, tuple(b.column(f"a_{c}")[i].as_py() for c in _ASK)))
         at = pa.array(np.flatnonzero(kinds == 2))
         if len(at):
-            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in _OUT], _OUT)
+            yield _batch(kind, len(at), {c: b.column(c).take(at) for c in _ASKED if c in _FOUND})
+
+
+def _unpacked(batches):
+    """Sums of documents from rows (row, docs, sums) in order of row, the first row of a chunk."""
+    row0, total = None, np.zeros(0)
+
+    def out():
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(row0 + at), pa.array(total[at])], ["row", "score"])
+
+    for b in batches:
+        for row, docs, sums in zip(*(b.column(c).to_pylist() for c in ("row", "docs", "sums")), strict=True):
+            if row != row0:
+                if row0 is not None:
+                    yield out()
+                row0, total = row, np.zeros(CHUNK_DOCS)
+            total[np.frombuffer(docs, "<u2")] += np.frombuffer(sums)
+    if row0 is not None:
+        yield out()
 
 
 def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of each whole text, log10."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     n_all, slots = float(counts.n + counts.v + 1), counts.slots
+    schema = lambda names: ", ".join(f"{c} {t or kind}" for c, t in names.items())
     # consecutive numbers in each partition, so that a chunk is known by its first
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = f"row long, id {kind}, n_tokens long, n_known long, base double, score double, tail {_TAIL}"
     if (counts.parts.agg(F.sum("n_bytes")).first()[0] or 0) <= filter_bytes:
         got = counts.parts.select("slot", "bits").toArrow()
         shared = spark.sparkContext.broadcast((counts.frequent, dict(zip(got.column("slot").to_pylist(), got.column("bits").to_pylist(), strict=True))))
-        found = keyed.mapInArrow(_score_here(shared, n_all, slots), out)
+        found = keyed.mapInArrow(_score_here(shared, n_all, slots), schema(_FOUND))
     else:
         shared = spark.sparkContext.broadcast(counts.frequent)
-        asked = keyed.mapInArrow(_ask(shared, n_all, slots), f"slot long, kind int, bits binary, {', '.join(f'{c} binary' for c in _ASK)}, {out}")
+        asked = keyed.mapInArrow(_ask(shared, n_all, slots), schema(_ASKED))
         filters = counts.parts.select("slot", F.lit(0).alias("kind"), "bits")
-        met = asked.unionByName(filters, allowMissingColumns=True).repartition("slot").sortWithinPartitions("slot", "kind")
-        found = met.mapInArrow(_answer, out)
+        met = asked.unionByName(filters, allowMissingColumns=True).repartition(max(1, slots // 4), "slot").sortWithinPartitions("slot", "kind")
+        found = met.mapInArrow(_answer, schema(_FOUND))
     found = save(found)
+    packed = found.filter("kind = 3").select("row", "docs", "sums").repartition("row").sortWithinPartitions("row").mapInArrow(_unpacked, "row long, score double")
     # tokens that are not in the broadcast part get their counts by a join
-    tail = found.select("row", F.explode("tail").alias("t")).select("row", "t.*")
     known = counts.tokens.filter(F.col("c") < counts.least)
-    tail = tail.join(known.hint("merge"), "token", "left").withColumn("p", (F.coalesce("c", F.lit(0)) + 1) / F.lit(n_all))
-    once = F.col("times") == 0
-    sums = tail.groupBy("row").agg(
-        F.sum(F.when(once & F.col("c").isNotNull(), 1).otherwise(0)).alias("n_known"),
-        F.sum(F.when(once, F.log10("p")).otherwise(0.0)).alias("base"),
-        F.sum(F.when(once, 0.0).otherwise(F.col("times") * (F.log10(F.col("count") + K * F.col("p")) - F.col("minus")))).alias("score"),
+    tail = found.filter("kind = 4").select("row", "token", "count", "minus", "times").join(known.hint("merge"), "token", "left").withColumn("p", (F.coalesce("c", F.lit(0)) + 1) / F.lit(n_all))
+    tails = tail.groupBy("row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("times") * F.log10("p")).alias("base"),
+        F.sum(F.col("times") * (F.log10(F.col("count") + K * F.col("p")) - F.col("minus"))).alias("score"),
     )
-    head = found.select("row", "id", "n_tokens", "n_known", "base", "score")
-    both = head.unionByName(sums.select("row", F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", "score"))
-    total = both.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    every = found.filter("kind = 2").select("row", "id", "n_tokens", "n_known", "base", "score").unionByName(packed, allowMissingColumns=True).unionByName(tails, allowMissingColumns=True)
+    total = every.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return total.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.col("base").alias("base_score"), F.least("score", F.lit(0.0)).alias("score"))
