@@ -1,33 +1,16 @@
-"""What the operators of this subpackage share: written tables, bounded look-ups, components."""
+"""What the operators of this subpackage share: Arrow batches, samples, folds, components."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most so many narrow rows may be broadcast (about 32 MB).
-BROADCAST_ROWS = 500_000
-#: Edges of a graph that one task may hold (16 bytes each).
-ONE_TASK = 200_000
-
+from casework.tables import drop, look_up, save, shared_folder
 
-@functools.lru_cache(1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="casework-")
+__all__ = ["components", "drop", "fold_of", "free_name", "look_up", "sampled", "save", "shared_folder", "small_batches"]
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; in local mode without it, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+#: Edges of a graph that one task may hold (16 bytes each).
+ONE_TASK = 200_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,29 +19,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Writes df below the shared folder and reads it again: cuts the lineage, survives lost executors.
+def sampled(hashed: Column, wanted: Column | float, of: Column | int) -> Column:
+    """Whether a row with this 64-bit hash is in a sample of about ``wanted`` of ``of`` rows; holds at any number of rows."""
+    share = (F.shiftrightunsigned(hashed, 1) / F.lit(float(1 << 63))).cast("double")
+    return share * of < wanted
 
-    The files go when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/casework/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def look_up(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """big joined with small, a written table of one narrow row a key.
 
-    Broadcasts small if it has at most max_rows rows; else a sort-merge join, of which
-    adaptive execution splits the hot keys.
-    """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold_of(doc_id: Column, n: int) -> Column:
@@ -66,22 +38,29 @@ def fold_of(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), a and b not null: (id, component), component the smallest id.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes. Each
-    step is a grouped minimum and a join back on ids, of which hot ones are split; each is written,
-    so that a lost executor costs one step. A graph of at most ``ONE_TASK`` edges takes the same
-    steps in one partition, without shuffles.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes, which
+    takes about the logarithm of the longest path. Each step is a grouped minimum and a join back
+    on ids, of which hot ones are split; each is written, so that a lost executor costs one step,
+    and the table before it goes. A graph of at most ``ONE_TASK`` edges takes the same steps in one
+    partition, without shuffles.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = save(e)
+    old = [e := save(e)]
     small = e.count() <= ONE_TASK
-    keep = (lambda df: df.coalesce(1)) if small else save
     near = (lambda df: df) if small else (lambda df: df.hint("merge"))
+
+    def keep(df: DataFrame) -> DataFrame:
+        if small:
+            return df.coalesce(1)
+        old.append(df := save(df))
+        return df
+
     e = e.coalesce(1) if small else e
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: neighbours above u go to the least of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         both = both.coalesce(1) if small else both
@@ -92,9 +71,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         lower = large.join(near(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = lower.union(least.select("u", F.col("m").alias("v")))
         e = save((e.coalesce(1) if small else e).distinct())
+        drop(*old)
+        old = [e]
         e = e.coalesce(1) if small else e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before = now
-    raise RuntimeError("components: no fixed point")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from casework.llm import common
 
 
@@ -30,3 +32,13 @@ def test_look_up_both_ways(spark):
     big, small = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "k long, x string"), spark.createDataFrame([(1, 10)], "k long, y long")
     for most in (5, 0):
         assert sorted((r.k, r.x, r.y) for r in common.look_up(big, small, ["k"], max_rows=most).collect()) == [(1, "a", 10), (1, "c", 10), (2, "b", None)]
+
+
+def test_a_sample_of_any_number_of_rows_is_not_empty(spark):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    for of in (2 * 10**5, 10**10, 10**15):
+        n = rows.filter(common.sampled(F.col("h"), of / 100, of)).count()
+        assert 1800 < n < 2200
+    # at the least share that a hash can tell apart, a small hash is still in
+    small = spark.createDataFrame([(5,), (-1,)], "h long")
+    assert small.filter(common.sampled(F.col("h"), 2000, 10**13)).count() == 1

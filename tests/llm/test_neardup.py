@@ -86,7 +86,45 @@ def test_odd_rows(spark):
     assert neardup.classes(df.limit(0)).count() == 0
     left = neardup.deduplicate(df.selectExpr("*", "'x' as n", "1 as kept"), words=2)
     assert left.columns == ["doc_id", "text", "n", "kept"]
-    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "4", "5", "6", "8", "None", "None"]
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "4", "5", "6", "8", "None"]
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(1, text(1), "a"), (1, text(2), "b"), (2, text(2), "c"), (3, text(1), "d"), (1, text(1), "a")]
+    left = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, copies string"))
+    assert sorted(tuple(r) for r in left.collect()) == [(1, text(1), "a"), (1, text(2), "b")]
+
+
+def test_long_texts_and_texts_of_many_common_words(spark, monkeypatch):
+    """Documents of 2,000 shingles and more: the counters hold, sketches stay short."""
+    r = random.Random(7)
+    base = [[f"w{r.randint(0, 10**5)}" for _ in range(2500)] for _ in range(30)]
+    rows = [(3 * i + j, " ".join(w if r.random() > x else "new" + w for w in b)) for i, b in enumerate(base) for j, x in enumerate((0, 0.03, 0.2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, neardup.classes(df, words=2).collect()), key=repr) == brute(rows, 2)
+    s = neardup.shingles(rows[0][1].encode(), 2)
+    assert len(s) >= 2000 and len(neardup.retained(s, neardup.levels(df, 2), 80)) < 50
+    few_slots = np.full(1 << 8, 400, np.int64)  # every counter is high, none stands out
+    assert not neardup.as_levels(few_slots, max(neardup.LIST, 4 * few_slots.mean())).any()
+
+
+def test_hot_centres_get_an_order_of_their_own(spark, monkeypatch):
+    """A passage in every document makes long lists, in which the other words decide."""
+    for name, value in (("SMALL", 4), ("BLOCK", 16), ("LIST", 10**6), ("ORDER_NODES", 40)):
+        monkeypatch.setattr(neardup, name, value)
+    called = []
+    again = neardup._again
+    monkeypatch.setattr(neardup, "_again", lambda *a: called.append(1) or again(*a))
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"w{r.randint(0, 10**6)}" for _ in range(r.choice([4, 12, 20, 40]))]
+        for _ in range(r.choice([1, 1, 2, 3])):
+            rows.append((len(rows), " ".join(passage + [w if r.random() > 0.1 else "x" + w for w in own])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, neardup.classes(df, words=2).collect()), key=repr) == brute(rows, 2) and called
 
 
 def test_estimate_and_sketch_size():
