@@ -11,19 +11,25 @@ their vectors can reach the worst kth score of the query group:
 The first bounds on kth scores come from a small sample of rows, so that every task prunes from
 its start. Each task keeps k rows a query; the last step takes the k best of them.
 
+Scores are exact: products of whole numbers in doubles as far as these hold them, else in 64-bit
+numbers, else in Python's; a score beyond the 64-bit range is given as the end of that range.
 Vectors that are null, or hold null or non-finite components, and rows with a null id take no
-part; so do vectors whose whole numbers have a norm of 2^31 or more (a score could leave the
-64-bit range). Vectors meet only vectors of their own length. Ties go to the smaller id. Repeated
-rows each count; a query never meets its own row. Empty table: empty.
+part. Vectors meet only vectors of their own length. Ties go to the smaller id. Repeated rows each
+count; a query never meets its own row. Only the id and the vector are read, so that clashing names
+do no harm; there are no texts. Empty table: empty.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.llm.common import sampled, save
+
 SCALE = 1024
 #: Bytes of a block of queries (numbers of 8 bytes).
 QUERY_BYTES = 16 << 20
@@ -43,17 +49,15 @@ def vectors_of(col: pa.Array) -> list[np.ndarray | None]:
 
 
 def whole_vectors(df: DataFrame, is_query: Column, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(row, id, asked, dim, v): the usable vectors as 64-bit whole numbers in a binary; asked marks the queries."""
+    """(row, id, asked, dim, v): the usable vectors as whole numbers, in doubles, in a binary; asked marks the queries."""
 
     def run(batches):
         for b in batches:
             keep, out = [], []
             for i, (k, x) in enumerate(zip(b.column("id").to_pylist(), vectors_of(b.column("v")), strict=True)):
                 if k is not None and x is not None:
-                    y = np.floor(scale * x)
-                    if (y * y).sum() < 2.0**62:
-                        keep.append(i)
-                        out.append(y.astype("<i8"))
+                    keep.append(i)
+                    out.append(np.clip(np.floor(scale * x), -sys.float_info.max, sys.float_info.max))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("id").take(at), b.column("asked").take(at), pa.array([len(y) for y in out], pa.int32()), pa.array([y.tobytes() for y in out], pa.binary())], ["row", "id", "asked", "dim", "v"])
 
@@ -91,31 +95,46 @@ class Tree:
         return (self.x[rows[0]], radius, float(np.sqrt((self.x[rows[0]] ** 2).sum())), kids, rows)
 
 
+#: Marks a place that nothing has taken yet.
+LEAST, NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far; scores are 64-bit whole numbers."""
 
     def __init__(self, n: int, k: int, worst: np.ndarray | None = None):
-        self.score = np.full((n, k), -np.inf)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.score = np.full((n, k), LEAST)
+        self.id = np.full((n, k), NONE)
         self.floor = np.full(n, -np.inf) if worst is None else worst.astype(float)
         self.worst = self.floor.copy()
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Takes scores of queries q against rows; ids as a matrix, NONE where a pair does not count."""
         hit = (score >= self.worst[q][:, None]).any(1)
         if not hit.any():
             return
-        q, score = q[hit], score[hit]
-        s = np.hstack([self.score[q], score])
-        i = np.hstack([self.id[q], np.broadcast_to(ids, score.shape)])
-        order = np.lexsort((i, -s), axis=1)[:, : self.score.shape[1]]
+        s = np.hstack([self.score[q], score])[hit]
+        i = np.hstack([self.id[q], ids])[hit]
+        order = np.lexsort((i, ~s), axis=1)[:, : self.score.shape[1]]
+        q = q[hit]
         self.score[q], self.id[q] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        self.worst[q] = np.maximum(self.floor[q], self.score[q][:, -1])
+        self.worst[q] = np.where(self.id[q][:, -1] == NONE, self.floor[q], np.maximum(self.floor[q], self.score[q][:, -1]))
+
+
+def products(q: np.ndarray, d: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of whole numbers, none of which has parts that sum to more than most, as 64-bit numbers."""
+    if most < 2.0**53:
+        return (q @ d.T).astype(np.int64)
+    if most < 2.0**62:
+        return q.astype(np.int64) @ d.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(q) @ whole(d).T, LEAST, NONE).astype(np.int64) if q.size and d.size else np.zeros((len(q), len(d)), np.int64)
 
 
 def search(queries: Tree, q_row: np.ndarray, data: Tree, d_row: np.ndarray, d_id: np.ndarray, best: Best) -> int:
     """Walks both trees; returns how many pairs of vectors were scored."""
     scored = 0
-    exact = float(np.abs(queries.x).max(initial=0)) * float(np.abs(data.x).max(initial=0)) * max(1, data.x.shape[1]) < 2**53
+    most = float(np.abs(queries.x).max(initial=0)) * float(np.abs(data.x).max(initial=0)) * max(1, data.x.shape[1])
 
     def bound(a, b) -> float:
         return float(a[0] @ b[0]) + a[2] * b[1] + b[2] * a[1] + a[1] * b[1]
@@ -127,14 +146,11 @@ def search(queries: Tree, q_row: np.ndarray, data: Tree, d_row: np.ndarray, d_id
         if top + 1 + 1e-9 * abs(top) < best.worst[a[4]].min():
             continue
         if a[3] is None and b[3] is None:
-            if exact:
-                s = queries.x[a[4]] @ data.x[b[4]].T
-            else:
-                s = (queries.x[a[4]].astype(np.int64) @ data.x[b[4]].astype(np.int64).T).astype(object)
-                s = s.astype(float)
-            s[q_row[a[4]][:, None] == d_row[b[4]][None, :]] = -np.inf
+            s = products(queries.x[a[4]], data.x[b[4]], most)
+            own = q_row[a[4]][:, None] == d_row[b[4]][None, :]
+            s[own] = LEAST
             scored += s.size
-            best.add(a[4], s, d_id[b[4]])
+            best.add(a[4], s, np.where(own, NONE, d_id[b[4]][None, :]))
         elif b[3] is None or a[3] is not None and a[1] > b[1]:
             todo += [(x, b) for x in a[3]]
         else:  # the most promising child is walked first
@@ -143,13 +159,11 @@ def search(queries: Tree, q_row: np.ndarray, data: Tree, d_row: np.ndarray, d_id
 
 
 def _stack(v: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(v), "<i8").reshape(len(v), dim).astype(float)
+    return np.frombuffer(b"".join(v), np.float64).reshape(len(v), dim)
 
 
 def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, id, score): the k best rows for each row where is_query holds."""
-    from casework.llm.common import save
-
     vectors = save(whole_vectors(df, is_query, id_col, vec_col, scale))
     asked = vectors.filter("asked")
     spark, found = df.sparkSession, []
@@ -157,7 +171,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_c
         data = vectors.filter(F.col("dim") == dim)
         blocks = -(-n * 8 * max(1, dim) // query_bytes)
         total = max(1, data.count())
-        sample = data.filter(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE / total))).collect()
+        sample = data.filter(sampled(F.xxhash64("row", F.lit(7)), SAMPLE, total)).collect()
         for block in range(blocks):
             rows = asked.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == block)).collect()
             if rows:
@@ -167,6 +181,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_c
                     search(Tree(q[2]), q[0], Tree(_stack([bytes(r.v) for r in sample], dim)), np.array([r.row for r in sample]), np.array([r.id for r in sample]), first)
                 shared = spark.sparkContext.broadcast((*q, first.worst))
                 found.append(save(data.mapInArrow(_walk(shared, k, dim), "q_row long, query_id long, vec_id long, score long")))
+                shared.unpersist()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
@@ -192,7 +207,7 @@ def _walk(shared, k: int, dim: int):
                 del held[:TREE_ROWS]
         if held:
             walk(held)
-        at, slot = np.nonzero(np.isfinite(best.score))
-        yield pa.RecordBatch.from_arrays([pa.array(q_row[at]), pa.array(q_id[at]), pa.array(best.id[at, slot]), pa.array(best.score[at, slot].astype(np.int64))], ["q_row", "query_id", "vec_id", "score"])
+        at, slot = np.nonzero(best.id != NONE)
+        yield pa.RecordBatch.from_arrays([pa.array(q_row[at]), pa.array(q_id[at]), pa.array(best.id[at, slot]), pa.array(best.score[at, slot])], ["q_row", "query_id", "vec_id", "score"])
 
     return run
