@@ -8,12 +8,14 @@ vectors into cells by the nearest pivot. A vector can only link to a vector of a
 
 so it is copied into those cells alone, and of each two cells only into the later one. Cells join
 independently; a large cell is cut into blocks of ``BLOCK`` vectors, and each pair of blocks is a
-task of bounded size that multiplies them and checks what comes near the threshold in doubles. A
-task gives link counts and a spanning forest of its links, never its pairs. The forests' connected
-components are the classes.
+task of bounded size that multiplies them strip by strip and checks what comes near the threshold
+in doubles. A task gives link counts and spanning forests of its links, never its pairs. The
+forests' connected components are the classes. Where most vectors are far from everything, the
+conditions hold for most cells, and copies grow with the square of the vectors over ``BLOCK``.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do
-rows with a null id. Vectors meet only vectors of their own length. Repeated rows are vectors of
+rows with a null id. Only the id and the vector are read, so that clashing names do no harm; there
+are no texts. Vectors meet only vectors of their own length. Repeated rows are vectors of
 their own. Empty table: empty. Pivots, cell radii and cell counts (at most ``MAX_PIVOTS`` rows)
 are all that reaches the driver.
 """
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casework.llm.common import components, look_up, sampled, save
 from casework.llm.topk import vectors_of
 
 THRESHOLD = 0.9
-BLOCK = 2048
+#: Vectors of a block, and of a strip of it that is multiplied at once.
+BLOCK, STRIP = 8192, 1024
 MAX_PIVOTS = 4096
 #: Distinct vectors for each pivot.
-CELL_ROWS = 4096
+CELL_ROWS = 8192
 SLACK = 1e-6
 
 
@@ -91,8 +95,6 @@ def visits(x: np.ndarray, home: np.ndarray, pivots: np.ndarray, radius: np.ndarr
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component, kept) of each row: vectors with cosine >= threshold link."""
-    from casework.llm.common import components, look_up, save
-
     rows = save(unit_vectors(df, id_col, vec_col))
     # copies meet in one row: the least id, how many
     distinct = save(rows.filter("v is not null").groupBy("key", "key2").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.min("id").alias("uid"), F.count("*").alias("n")))
@@ -122,8 +124,7 @@ def _join(distinct: DataFrame, dim: int, count: int, threshold: float, block: in
     """(key, key2, links) and spanning edges (a, b) between least ids, of the vectors of one length."""
     theta = math.acos(threshold)
     n_pivots = max(1, min(MAX_PIVOTS, count // CELL_ROWS))
-    rate = min(1.0, 8 * n_pivots / count + 0.001)
-    sample = distinct.filter(F.pmod(F.col("key2"), F.lit(1_000_000)) < int(rate * 1e6)).select("v").limit(16 * n_pivots).collect() or distinct.select("v").limit(1).collect()
+    sample = distinct.filter(sampled(F.col("key2"), 8 * n_pivots, count)).select("v").collect() or distinct.select("v").limit(1).collect()
     pivots = pick_pivots(_matrix([r.v for r in sample], dim), n_pivots)
 
     def at_home(batches):
@@ -214,12 +215,22 @@ def _cell(dim: int, threshold: float):
         a, b = g[g.side == 0], g if same else g[g.side == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("key", "key2", "links", "a", "b")})
-        hit = linked(_matrix(a.v, dim), _matrix(b.v, dim), threshold)
-        if same:
-            np.fill_diagonal(hit, False)
-        parts = [(a, hit @ b.n.to_numpy())] + ([] if same else [(b, a.n.to_numpy() @ hit)])
+        left, right = _matrix(a.v, dim), _matrix(b.v, dim)
+        of_a, of_b, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), b.n.to_numpy(np.int64)
+        uid_a, uid_b, edges = a.uid.to_numpy(), b.uid.to_numpy(), []
+        for s in range(0, len(a), STRIP):
+            at = slice(s, s + STRIP)
+            hit = linked(left[at], right, threshold)
+            if same:
+                hit[np.arange(len(hit)), np.arange(s, s + len(hit))] = False
+            some = np.flatnonzero(hit.any(0))
+            hit = hit[:, some]
+            of_a[at] = hit @ n_b[some]
+            of_b[some] += a.n.to_numpy(np.int64)[at] @ hit
+            edges += forest(hit, uid_a[at], uid_b[some])
+        parts = [(a, of_a)] + ([] if same else [(b, of_b)])
         frames = [pd.DataFrame({"key": p.key.to_numpy()[n > 0], "key2": p.key2.to_numpy()[n > 0], "links": n[n > 0]}, dtype="Int64") for p, n in parts]
-        frames.append(pd.DataFrame(forest(hit, a.uid.to_numpy(), b.uid.to_numpy()), columns=["a", "b"], dtype="Int64"))
+        frames.append(pd.DataFrame(edges, columns=["a", "b"], dtype="Int64"))
         return pd.concat([f.reindex(columns=["key", "key2", "links", "a", "b"]).astype("Int64") for f in frames])
 
     return run
