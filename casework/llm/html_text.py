@@ -13,7 +13,9 @@ The trees are fitted on pages that a generator makes from a few hundred random l
 roles (``TRAIN_PAGES``, a fixed number), so no labels of the table are needed.
 
 Null or empty html, or no content: empty text. Repeated rows: one result each. Unclosed and stray
-tags are taken as browsers do. Other columns are not read. Empty table: empty. One map, no shuffle.
+tags are taken as browsers do. Very long pages are read whole, in time linear in their length. Other
+columns are not read and keep their names; one named as the result is replaced. Empty table: empty.
+One map, no shuffle.
 """
 
 from __future__ import annotations
@@ -48,39 +50,75 @@ BAD_WORDS = (
     "comment comments reply replies discussion disqus related recommended more popular trending share sharing social follow subscribe newsletter signup login form search breadcrumb breadcrumbs widget popup modal overlay tag tags meta byline author toolbar skip legal links"
 ).split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_ENDS = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def markup(html: str):
+    """(start, end, closing, name, attributes) of each piece of markup, in order, in linear time; name is None for comments and such.
+
+    Quotes hide a > in attributes where they are closed. Markup that never ends takes the rest, as in browsers.
+    """
+    at, n = 0, len(html)
+    last, low = {q: html.rfind(q) for q in "\"'"}, None
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 2)
+            at = n if end < 0 else end + 3
+            yield start, at, "", None, ""
+        elif html[start + 1 : start + 2] in ("!", "?"):
+            end = html.find(">", start)
+            at = n if end < 0 else end + 1
+            yield start, at, "", None, ""
+        elif m := _NAME.match(html, start + 1):
+            i = m.end()
+            while (e := _ENDS.search(html, i)) and e[0] != ">":
+                i = html.find(e[0], e.end()) + 1 if e.start() < last[e[0]] else e.end()
+            if not e:
+                at = n
+                yield start, n, "", None, ""
+                continue
+            at = e.end()
+            if not m[1] and m[2].lower() in ("script", "style"):  # what they hold is no markup
+                low = html.lower() if low is None else low
+                end = low.find(f"</{m[2].lower()}", at)
+                at = n if end < 0 or (close := html.find(">", end)) < 0 else close + 1
+            yield start, at, m[1], m[2], html[m.end() : e.start()]
+        else:  # a < of the text
+            at = start + 1
+
+
 class Page:
     """Elements in page order: tag, attribute words, parent; and texts with the element that holds each."""
 
     def __init__(self, html: str):
         self.tag, self.words, self.parent = ["html"], [()], [-1]
         self.texts: list[tuple[int, str]] = []
-        stack, at, n = [0], 0, len(html)
+        stack, at = [0], 0
         unseen = 0  # how many open elements hide their text
-        low = None
-        while at < n:
-            m = _TOKEN.search(html, at)
-            end = m.start() if m else n
-            if end > at and not unseen:
-                self.texts.append((stack[-1], html[at:end]))
-            if not m:
-                break
-            at = m.end()
-            if not m[2]:
+        count: dict[str, int] = {}  # open elements by tag
+
+        def close(depth: int) -> None:
+            nonlocal unseen
+            for x in stack[depth:]:
+                unseen -= self.tag[x] in UNSEEN
+                count[self.tag[x]] -= 1
+            del stack[depth:]
+
+        for start, end, closing, name, attributes in (*markup(html), (len(html), len(html), "", None, "")):
+            if start > at and not unseen:
+                self.texts.append((stack[-1], html[at:start]))
+            at = end
+            if not name:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            tag = name.lower()
+            if closing:
                 if tag in ("html", "body"):
                     continue
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        unseen -= sum(self.tag[x] in UNSEEN for x in stack[depth:])
-                        del stack[depth:]
-                        break
+                if count.get(tag):
+                    close(next(d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == tag))
                 if tag not in INLINE:
                     self.texts.append((stack[-1], " "))
                 continue
@@ -88,28 +126,22 @@ class Page:
                 continue
             if tag not in INLINE:
                 closes = CLOSES.get(tag) or ({"p"} if tag in BLOCK_CLOSES_P else ())
-                for depth in range(len(stack) - 1, 0, -1) if closes else ():
+                for depth in range(len(stack) - 1, 0, -1) if any(count.get(x) for x in closes) else ():
                     open_ = self.tag[stack[depth]]
                     if open_ in closes:
-                        unseen -= sum(self.tag[x] in UNSEEN for x in stack[depth:])
-                        del stack[depth:]
+                        close(depth)
                         break
                     if open_ in STOPS.get(tag, ()) or open_ not in INLINE and open_ != "p":
                         break
             me = len(self.tag)
             self.tag.append(tag)
-            self.words.append(tuple(w.lower() for g in _NAMED.findall(m[3]) for w in _WORDS.findall(g[0] or g[1] or g[2])) if m[3] else ())
+            self.words.append(tuple(w.lower() for g in _NAMED.findall(attributes) for w in _WORDS.findall(g[0] or g[1] or g[2])) if attributes else ())
             self.parent.append(stack[-1])
             if tag not in INLINE:
                 self.texts.append((me if tag not in VOID else stack[-1], " "))
-            if tag in ("script", "style"):
-                if low is None:
-                    low = html.lower()
-                end = low.find(f"</{tag}", at)
-                end = n if end < 0 else end
-                at = n if (close := html.find(">", end)) < 0 else close + 1
-            elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            if tag not in VOID and tag not in ("script", "style") and not attributes.rstrip().endswith("/"):
                 stack.append(me)
+                count[tag] = count.get(tag, 0) + 1
                 unseen += tag in UNSEEN
         self.texts = [(k, entities.unescape(t)) for k, t in self.texts]
 
@@ -405,11 +437,11 @@ def fitted(pages: int = TRAIN_PAGES) -> Trees:
     return Trees().fit(np.concatenate([features(p) for p, _ in made]), np.concatenate([r for _, r in made]))
 
 
-def extract(pages: DataFrame, trees: Trees | None = None, html_col: str = "html") -> DataFrame:
-    """pages with ``_text``, the main text of each whole page; all rows and columns stay."""
+def extract(pages: DataFrame, trees: Trees | None = None, html_col: str = "html", out: str = "_text") -> DataFrame:
+    """pages with ``out``, the main text of each whole page; all rows and columns stay."""
     trees = trees or fitted()
 
     def run(htmls: pd.Series) -> pd.Series:
         return pd.Series(extract_many([h if isinstance(h, str) else None for h in htmls], trees), dtype=object)
 
-    return pages.withColumn("_text", F.pandas_udf(run, "string")(F.col(html_col)))
+    return pages.withColumn(out, F.pandas_udf(run, "string")(F.col(html_col)))

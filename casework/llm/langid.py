@@ -7,7 +7,8 @@ apart, then those of the chosen family tell its languages apart. A document gets
 wins most duels, ties by margin; its score is the family's share of confidence times the
 language's.
 
-Null text, or one without letters: ``und``, score 0. Null labels are not learned from. Repeated
+Very long texts are read whole, one at a time. Columns of docs keep their names; one named as the
+result is replaced. Null text, or one without letters: ``und``, score 0. Null labels are not learned from. Repeated
 rows: each counts. Without labelled rows every text is ``und``. Empty table: empty. The driver sees
 counts by label and the sample (at most about ``SAMPLE_ROWS`` vectors); one map scores all rows.
 """
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casework.llm.common import sampled
+
 #: Rows that the machines are fitted on, about, in equal parts by language.
 SAMPLE_ROWS = 2_000
 DIMS = 4096
@@ -121,21 +124,21 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     if not counts:
         return None
     each = max(10, sample_rows // len(counts))
-    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(1e6 * min(1.0, each / n)))])
+    of = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, n)]), F.col("lang"))
     vec = F.pandas_udf(lambda s: s.map(lambda t: vector(t).tobytes() if _LETTER.search(t) else None), "binary")
-    got = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang"))).select("lang", "id", vec("text").alias("x")).filter("x is not null").toArrow()
+    got = known.filter(sampled(F.xxhash64("id"), each, of)).select("lang", "id", vec("text").alias("x")).filter("x is not null").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("lang", "ascending"), ("id", "ascending"), ("x", "ascending")])
     return Model(np.stack([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()]), np.array(got.column("lang").to_pylist(), object))
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with ``_lang`` = struct(lang_pred, score); all rows and columns stay."""
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "_lang") -> DataFrame:
+    """docs with ``out`` = struct(lang_pred, score); all rows and columns stay."""
 
     def predict(texts: pd.Series) -> pd.DataFrame:
         langs, score = model.predict([t if isinstance(t, str) else None for t in texts]) if model else ([UND] * len(texts), np.zeros(len(texts)))
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
     udf = F.pandas_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("_lang", udf(F.col(text_col)))
+    return docs.withColumn(out, udf(F.col(text_col)))

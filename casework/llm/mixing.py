@@ -8,11 +8,12 @@ moves the probabilities of a block of documents through the null space of the co
 total and document total), so that both totals stay, until at most two documents of the block are
 undecided; the undecided ones of all blocks of a source meet in new blocks, until one block a
 source remains. Its two or fewer undecided documents are the landing problem: the choice nearest
-to the balance. Blocks are slices of ids, so a source of a third of all rows is many tasks.
+to the balance. Blocks are slices by a hash of id, size and text, so a source of a third of all rows is many tasks.
 
 Null text: size 0, taken 0. Null source: a source of its own, last. Repeated rows: each counts.
 Empty table: empty. Reruns agree: all random numbers come from hashes of the rows themselves.
-Columns other than id, text and source are not read.
+Columns other than id, text and source are not read; clashing names do no
+harm. Very long texts are counted whole, in the JVM.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.llm.common import free_name, look_up, save
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a block.
@@ -33,8 +36,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size): the number of words of each whole text."""
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(id, source, size, key): the number of words of each whole text, and a hash of it."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("key"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -43,8 +46,6 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     The common level x of targets min(most * size, x * weight) is found by a few sums over the
     sources; the number of a source in code-point order comes from a sort by range.
     """
-    from casework.llm.common import save
-
     per = save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     # one row a source: number them by range partition, then inside each
     ranged = save(per.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id()))
@@ -105,24 +106,22 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def cube(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """rows (id, source, size, p, n_docs) with p moved to 0 or 1, source by source."""
-    from casework.llm.common import save
-
+    """rows (id, source, size, key, p, n_docs) with p moved to 0 or 1, source by source."""
     def move(last: bool):
         def step(key, g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["id", "size", "p"], kind="stable", na_position="last")
+            g = g.sort_values(["id", "size", "key", "p"], kind="stable", na_position="last")
             seed = zlib.crc32(repr(key).encode())
             p = flight(g.p.to_numpy(float), g["size"].to_numpy(float), np.random.default_rng(seed))
             return g.assign(p=land(p, g["size"].to_numpy(float)) if last else p)
 
         return step
 
-    cols = ["id", "source", "size", "p", "n_docs"]
+    cols = ["id", "source", "size", "key", "p", "n_docs"]
     rows = rows.select(*cols)
     done, level = [], 0
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block))
-        keyed = rows.withColumn("part", F.pmod(F.xxhash64("id", "size", F.lit(level)), blocks))
+        keyed = rows.withColumn("part", F.pmod(F.xxhash64("id", "size", "key", F.lit(level)), blocks))
         last = (rows.agg(F.max("n_docs")).first()[0] or 0) <= block
         moved = save(keyed.groupBy("source", "part").applyInPandas(move(last), keyed.schema))
         if last:
@@ -142,24 +141,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """(id, source, size, source_size, target, times, taken): how often the mix takes each document."""
-    from casework.llm.common import look_up, save
-
     sized = save(sizes(docs, id_col, text_col, source_col))
     # a null source joins as a source of its own
     plain = lambda c: F.concat(F.when(c.isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce(c.cast("string"), F.lit("")))
-    per = save(targets(sized, weights, most).select(plain(F.col("source")).alias("key"), "source_size", "n_docs", "target"))
+    per = save(targets(sized, weights, most).select(plain(F.col("source")).alias("of"), "source_size", "n_docs", "target"))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    rows = look_up(sized.withColumn("key", plain(F.col("source"))), per, ["key"]).select("id", "source", "size", "source_size", "target", "n_docs", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"))
-    placed = cube(rows.select("id", "source", "size", "p", "n_docs"), block)
-    placed = look_up(placed.withColumn("key", plain(F.col("source"))), per, ["key"])
+    rows = look_up(sized.withColumn("of", plain(F.col("source"))), per, ["of"]).select("id", "source", "size", "key", "n_docs", (rate - F.floor(rate)).alias("p"))
+    placed = look_up(cube(rows, block).withColumn("of", plain(F.col("source"))), per, ["of"])
     times = F.floor(rate) + F.round("p").cast("long")
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", times.alias("times"), (F.when(F.col("size") > 0, times).otherwise(0) * F.col("size")).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """docs as the mix takes them: each row as often as its ``times``, with the same columns."""
-    from casework.llm.common import look_up, save
-
-    rows = save(docs.select("*", F.monotonically_increasing_id().alias("_row")))
-    times = save(mix(rows, "_row", text_col, source_col, weights, most, block).filter("times > 0").select("_row", F.col("times").cast("int").alias("_times")))
-    return look_up(rows, times, ["_row"], "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, times_, copy = (free_name(docs, x) for x in ("_row", "_times", "_copy"))
+    rows = save(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    times = save(mix(rows, row, text_col, source_col, weights, most, block).filter("times > 0").select(row, F.col("times").cast("int").alias(times_)))
+    return look_up(rows, times, [row], "inner").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,8 +11,9 @@ It goes to the tasks; each document finds its place by its rank among those of i
 come from counts by (length, slice of rows) and from the order inside one slice, so that a length
 that a third of the rows share is not one task.
 
-Null text: as empty (one end id). Repeated rows: each is packed. Null ids are kept.
-Empty table: an empty result. Columns other than the id and the text are not read.
+Very long texts are encoded whole, one at a time. Null text: as empty (one end id). Repeated rows: each is packed. Null ids are kept.
+Empty table: an empty result. Columns other than the id and the text are not read, so
+that clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.llm.common import save
+
 WINDOW = 1024
 END_ID = 0
-#: Rows of one slice, for ranks.
-SLICE_ROWS = 2_000
+#: Rows of one slice, for ranks; ids of one slice that holds them.
+SLICE_ROWS, SLICE_IDS = 2_000, 4_000_000
 #: Combinations that the solver weighs, a number that depends on the window alone.
 MAX_PATTERNS = 4_000
 
@@ -37,7 +40,7 @@ class Encoder:
     """Ids as little-endian 32-bit numbers of the byte-level BPE vocabulary in a tokenizer's JSON file.
 
     The file's own library gives the same ids at a fifth of the speed; the merges run in tiktoken.
-    Special tokens' strings in a text are ordinary text.
+    As there, the string of an added token in a text becomes that token's id.
     """
 
     def __init__(self, path: str):
@@ -49,14 +52,16 @@ class Encoder:
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        file = json.load(open(path, encoding="utf-8"))
+        model = file["model"]
+        added = {x["content"]: x["id"] for x in sorted(file.get("added_tokens", []), key=lambda x: -len(x["content"]))}
         ids = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
         merged = {bytes(byte[c] for c in "".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]}
         ranks = {t: i for t, i in ids.items() if len(t) == 1 or t in merged}
-        self._own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def __call__(self, text: str) -> bytes:
-        return self._own.encode_to_numpy(text, disallowed_special=()).tobytes()
+        return self._own.encode_to_numpy(text, allowed_special="all").tobytes()
 
 
 @functools.lru_cache(1)
@@ -165,11 +170,10 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     Sequences hold at most ``window`` ids; offsets in a sequence have no gaps.
     """
-    from casework.llm.common import save
-
     kind = docs.schema[id_col].dataType.simpleString()
     tokens = save(tokenize(docs, vocabulary, id_col, text_col, window, keep_ids).withColumn("row", F.monotonically_increasing_id()))
-    n_slices = max(1, tokens.count() // SLICE_ROWS)
+    n_rows, n_ids = tokens.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n_slices = max(1, n_rows // SLICE_ROWS, n_ids // SLICE_IDS if keep_ids else 0)
     rows = tokens.withColumn("slice", F.col("row") % n_slices)
     # how many of each remainder, and of whole windows (as length `window`), stand before each slice
     counted = rows.groupBy("slice", (F.col("n_tokens") % window).alias("length")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n_tokens") / window)).alias("n_full"))

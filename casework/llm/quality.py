@@ -8,7 +8,8 @@ mean, a path's toward its host's, sparse sites most. A document's score is its o
 odds plus the log odds of its path's posterior without itself, against the global mean. Documents
 whose score is under ``threshold`` are rejected.
 
-Host and path are columns (or expressions); a null one is a site of its own. Null text: as empty.
+Very long texts are read whole, one at a time. Host and path are columns (or expressions); a null one is a site of its own. Null text: as empty.
+Columns of docs keep their names, whatever these are; only one named as the result is replaced.
 Labels: rows with a null id or label are left out; without both classes all documents get the prior
 and are kept. Repeated rows: each counts. Empty tables: empty. Only the label sample (at most about
 ``SAMPLE_ROWS`` rows) and one row of global moments reach the driver.
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casework.llm.common import free_name, look_up, sampled, save
+
 #: Labelled rows that the logistic model is fitted on, about.
 SAMPLE_ROWS = 8_000
 THRESHOLD = 0.5
@@ -81,8 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Samples the labels by a hash of the id, at a rate that leaves about sample_rows of them.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null")
-    rate = min(1.0, sample_rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    known = known.filter(sampled(F.xxhash64("id"), sample_rows, max(1, known.count())))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     vec = F.pandas_udf(lambda s: s.map(lambda t: features(t).tobytes()), "binary")
     got = rows.select("y", vec("text").alias("x")).toArrow()
@@ -101,13 +103,11 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, weights: np.ndarray | None, host: Column, path: Column, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with ``_q`` = struct(doc_score, host_posterior, path_posterior, score, kept); all rows stay."""
-    from casework.llm.common import look_up, save
-
+def classify(docs: DataFrame, weights: np.ndarray | None, host: Column, path: Column, text_col: str = "text", threshold: float = THRESHOLD, out: str = "_q") -> DataFrame:
+    """docs with ``out`` = struct(doc_score, host_posterior, path_posterior, score, kept); all rows stay."""
     if weights is None:
         even = F.lit(0.5)
-        return docs.withColumn("_q", F.struct(*[even.alias(c) for c in ("doc_score", "host_posterior", "path_posterior", "score")], F.lit(True).alias("kept")))
+        return docs.withColumn(out, F.struct(*[even.alias(c) for c in ("doc_score", "host_posterior", "path_posterior", "score")], F.lit(True).alias("kept")))
     w = weights
 
     def score(texts: pd.Series) -> pd.Series:
@@ -126,13 +126,14 @@ def classify(docs: DataFrame, weights: np.ndarray | None, host: Column, path: Co
     shrunk = paths.join(hosts.hint("merge"), "_host").withColumn("host_posterior", (F.lit(host_k * mean) + F.col("hs")) / (F.lit(host_k) + F.col("hn")))
     sites = save(shrunk.select("_host", "_path", "n", "s", "host_posterior"))
     # second pass: each document against its path without itself
-    own = docs.select("*", _site(host).alias("_host"), _site(path).alias("_path"), p(F.col(text_col)).alias("_p"))
-    rows = look_up(own, sites.select("_host", "_path", F.struct("n", "s", "host_posterior").alias("_s")), ["_host", "_path"])
-    posterior = (path_k * F.col("_s.host_posterior") + F.greatest(F.col("_s.s") - F.col("_p"), F.lit(0.0))) / (path_k + F.col("_s.n") - 1)
-    odds = _logit(F.col("_p")) + _logit(posterior) - _logit(F.lit(mean))
+    h, t, own_p, s = (free_name(docs, x) for x in ("_host", "_path", "_p", "_s"))
+    own = docs.select("*", _site(host).alias(h), _site(path).alias(t), p(F.col(text_col)).alias(own_p))
+    rows = look_up(own, sites.select(F.col("_host").alias(h), F.col("_path").alias(t), F.struct("n", "s", "host_posterior").alias(s)), [h, t])
+    posterior = (path_k * F.col(f"{s}.host_posterior") + F.greatest(F.col(f"{s}.s") - F.col(own_p), F.lit(0.0))) / (path_k + F.col(f"{s}.n") - 1)
+    odds = _logit(F.col(own_p)) + _logit(posterior) - _logit(F.lit(mean))
     final = 1 / (1 + F.exp(-odds))
-    found = F.struct(F.col("_p").alias("doc_score"), F.col("_s.host_posterior").alias("host_posterior"), posterior.alias("path_posterior"), final.alias("score"), (final >= threshold).alias("kept"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("_q"))
+    found = F.struct(F.col(own_p).alias("doc_score"), F.col(f"{s}.host_posterior").alias("host_posterior"), posterior.alias("path_posterior"), final.alias("score"), (final >= threshold).alias("kept"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], found.alias(out))
 
 
 def _moments(sites: DataFrame, n: str, s: str, s2: str) -> tuple[float, float]:

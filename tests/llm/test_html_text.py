@@ -1,5 +1,6 @@
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -55,3 +56,20 @@ def test_odd_rows(spark):
     out = {r.text: r._text for r in html_text.extract(pages).collect()}
     assert out["x"] == out["y"] == "" and out["z"].startswith("T Some long words") and "menu" not in out["z"] and len(out) == 6
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_long_pages_take_linear_time():
+    for piece in ("<a ", "<!x ", "<p>a</i>", "<div>", "<b><li>", "<a '", '<a "> "', "<script>", "<a href='x' ", "</div>", "a < b "):
+        took = []
+        for n in (1 << 17, 1 << 20):
+            text = piece * (n // len(piece))
+            began = time.process_time()
+            html_text.Page(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 32 * took[0] + 0.5 and took[1] < 20, piece
+
+
+def test_quotes_and_open_markup():
+    text = lambda h: " ".join("".join(t for _, t in html_text.Page(h).texts).split())
+    assert text("<p title='a > b'>one</p><p title='x>two</p>three") == "one two three"
+    assert text("a < b <i>c</i> <!-- > --> d <!-->e") == "a < b c d e" and text("one <a href=") == "one"

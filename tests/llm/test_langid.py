@@ -26,3 +26,11 @@ def test_families_and_odd_rows(spark):
     assert langid.train(df.filter("false"), F.lit(True)) is None
     assert {r._lang.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
     assert langid.identify(odd.limit(0), model).count() == 0
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    df = spark.createDataFrame([(i, t * (5 if i else 60_000), g, 7) for i in range(20) for t, g in (("the house and the tree ", "a"), ("qui est la fille que ", "b"))], "doc_id long, text string, lang string, _lang int")
+    model = langid.train(df, F.lit(True))
+    out = langid.identify(df, model, out="found")
+    assert out.columns == [*df.columns, "found"] and out.filter("found.lang_pred = lang").count() == 40
+    assert langid.identify(df, model).filter("_lang.lang_pred = lang").count() == 40

@@ -67,3 +67,12 @@ def test_flight_keeps_the_totals():
     q = mixing.flight(p, size, rng)
     assert ((q > 0) & (q < 1)).sum() <= 2
     assert abs(q.sum() - p.sum()) < 1e-6 and abs((q * size).sum() - (p * size).sum()) < 1e-3
+
+
+def test_clashing_names_one_id_for_all_and_a_very_long_text(spark):
+    rows = [(None, f"w{i} " * (3 if i else 200_000), "s" if i % 3 else None, 1, 2, 3, 4) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row int, _times int, _copy int, key int")
+    out = mixing.apply_mix(docs, block=64)
+    assert out.columns == docs.columns and out.count() > 0
+    a, b = (sorted(map(repr, mixing.mix(docs.repartition(n), block=64).collect())) for n in (2, 5))
+    assert a == b and len(a) == 600

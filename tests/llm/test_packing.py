@@ -7,12 +7,11 @@ from tokenizers import Tokenizer
 
 from casework.llm import packing, queries
 
-ODD = ["", "a", " a", "a ", "a  b", "a \n b", "a\n b", "abc\n\n def", "a   b\t c", "it's  'S 's x", "<|endoftext|>", "é  b", "x  y", "  ", "\n", "don't you'll  3rd 12 é中文 \U0001f600 b"]
+ODD = ["", "a", " a", "a ", "a  b", "a \n b", "a\n b", "abc\n\n def", "a   b\t c", "it's  'S 's x", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y <|endoftext", "é  b", "x  y", "  ", "\n", "don't you'll  3rd 12 é中文 \U0001f600 b"]
 
 
 def reference(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 

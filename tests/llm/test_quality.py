@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from casework.llm import quality, queries
@@ -37,3 +40,42 @@ def test_odd_rows(spark):
     assert quality.classify(docs, w, F.col("source"), F.col("score")).count() == 3
     assert quality.classify(docs.limit(0), w, F.col("source"), F.col("score")).count() == 0
     assert quality.train(docs, docs.select("doc_id", F.lit(1).alias("quality"))) is None
+
+
+def test_posteriors_against_brute_force(spark):
+    """The shrinkage, document by document, from the classifier's chances."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang")
+    w = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in quality.classify(docs, w, F.col("source"), F.col("lang")).select("doc_id", "_q.*").collect()}
+    rows = docs.collect()
+    p = {r.doc_id: 1 / (1 + math.exp(-max(-30, min(30, float(quality.features(r.text).astype(float) @ w[:-1] + w[-1]))))) for r in rows}
+
+    def moments(site):
+        by = defaultdict(list)
+        for r in rows:
+            by[site(r)].append(p[r.doc_id])
+        mean = sum(p.values()) / len(p)
+        within = max(1e-9, sum(x * x for x in p.values()) / len(p) - mean * mean)
+        between = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in by.values()) / len(p) - within * len(by) / len(p)
+        return by, mean, min(1e6, max(1.0, within / max(1e-9, between)))
+
+    hosts, mean, kh = moments(lambda r: r.source)
+    paths, _, kp = moments(lambda r: (r.source, r.lang))
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    for r in rows:
+        h, t, own = hosts[r.source], paths[r.source, r.lang], p[r.doc_id]
+        host = (kh * mean + sum(h)) / (kh + len(h))
+        path = (kp * host + max(0.0, sum(t) - own)) / (kp + len(t) - 1)
+        score = 1 / (1 + math.exp(-(odds(own) + odds(path) - odds(mean))))
+        x = got[r.doc_id]
+        assert all(abs(a - b) < 1e-6 for a, b in zip((own, host, path, score), (x.doc_score, x.host_posterior, x.path_posterior, x.score), strict=True))
+        assert x.kept == (x.score >= quality.THRESHOLD)
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    rows = [(i, "plain words here " * (60_000 if i == 3 else 9), f"h{i % 3}", 1, 2, 3, 4, 5, 6) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _p int, _s int, _host int, _path int, n int, _q int")
+    w = quality.fit(quality.np.stack([quality.features(t) for t in ("good text", "BAD!!", "fine words")]), quality.np.array([1.0, 0.0, 1.0]))
+    out = quality.classify(docs, w, F.col("source"), F.col("n"), out="found")
+    assert out.columns == [*docs.columns, "found"] and out.count() == 30
+    assert quality.classify(docs, w, F.col("source"), F.col("n")).filter("_q.kept is not null").count() == 30
