@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.llm import mixing, neardup, packing, pii, quality
-from casework.llm.common import save, small_batches
+from casework.llm.common import free_name, save, small_batches
 from casework.llm.queries import table, vocabulary
 
 
@@ -18,7 +18,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     small_batches(spark)
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, weights, F.col("source"), F.col("lang")).filter("_q.kept").drop("_q")
+    found = free_name(docs, "found")
+    return quality.classify(docs, weights, F.col("source"), F.col("lang"), out=found).filter(F.col(found)["kept"]).drop(found)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
