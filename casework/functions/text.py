@@ -63,17 +63,43 @@ def strip_markers(c: Column) -> Column:
 
 
 def diag_map(c: Column) -> Column:
-    """The k=v|k=v map of a leading [DIAG:...] marker; of a repeated key the first counts; null without a marker."""
+    """The k=v|k=v map of a leading [DIAG:...] marker; of a repeated key the last counts; null without a marker."""
     inner = F.regexp_extract(c, r"^\s*\[(?:[A-Z]+-)?DIAG:([^\]]*)\]", 1)
     pairs = F.filter(F.split(inner, r"\|"), lambda x: F.locate("=", x) > 1)
     keys = F.array_distinct(F.transform(pairs, lambda x: F.substring_index(x, "=", 1)))
-    value = lambda k: F.element_at(F.transform(F.filter(pairs, lambda x: F.substring_index(x, "=", 1) == k), lambda x: F.regexp_replace(x, "^[^=]*=", "")), 1)
+    value = lambda k: F.element_at(F.transform(F.filter(pairs, lambda x: F.substring_index(x, "=", 1) == k), lambda x: F.regexp_replace(x, "^[^=]*=", "")), -1)
     return F.when(F.coalesce(inner, F.lit("")) != "", F.map_from_arrays(keys, F.transform(keys, value)))
 
 
-def diag_encode(**fields: Column) -> Column:
-    """[DIAG:k=v|...] in the order given, without the keys whose value is null."""
-    parts = [F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in fields.items()]
+def diag_fields(c: Column, numbers: tuple[str, ...] = ("score", "chars", "entities"), urls: tuple[str, ...] = ("url", "final_url"), names: tuple[str, ...] = ("status", "priority", "alignment")) -> Column:
+    """The map's usual keys as a struct: numbers as integers, urls decoded, names as they are; null where absent."""
+    m = diag_map(c)
+    return F.struct(*[m[k].alias(k) for k in names], *[m[k].try_cast("int").alias(k) for k in numbers], *[F.try_url_decode(m[k]).alias(k) for k in urls])
+
+
+def seed_map(c: Column) -> Column:
+    """struct(fields, counts, reject_reasons, next_queries) of a [SEED:k=v|...] marker in a case's description; null without one.
+
+    counts are the fields that are whole numbers; reject_reasons comes as R:n,R:n, next_queries
+    with || between, both url-encoded.
+    """
+    inner = F.regexp_extract(c, r"\[(?:[A-Z]+-)?SEED:([^\]]+)\]", 1)
+    pairs = F.filter(F.split(inner, r"\|"), lambda x: F.locate("=", x) > 1)
+    keys = F.array_distinct(F.transform(pairs, lambda x: F.substring_index(x, "=", 1)))
+    value = lambda k: F.element_at(F.transform(F.filter(pairs, lambda x: F.substring_index(x, "=", 1) == k), lambda x: F.regexp_replace(x, "^[^=]*=", "")), -1)
+    fields = F.map_from_arrays(keys, F.transform(keys, value))
+    decoded = lambda k: F.coalesce(F.try_url_decode(fields[k]), F.lit(""))
+    reasons = F.filter(F.split(decoded("reject_reasons"), ","), lambda x: x.rlike(r"^.+:\d+$"))
+    counted = F.map_from_entries(F.transform(reasons, lambda x: F.struct(F.regexp_replace(x, r":\d+$", ""), F.regexp_extract(x, r":(\d+)$", 1).cast("int"))))
+    queries = F.filter(F.split(decoded("next_queries"), r"\|\|"), lambda x: x != "")
+    numbers = F.map_filter(F.transform_values(fields, lambda k, v: v.try_cast("int")), lambda k, v: v.isNotNull())
+    return F.when(inner != "", F.struct(fields.alias("fields"), numbers.alias("counts"), counted.alias("reject_reasons"), queries.alias("next_queries")))
+
+
+def diag_encode(urls: tuple[str, ...] = (), **fields: Column) -> Column:
+    """[DIAG:k=v|...] in the order given, without the keys whose value is null; those named in urls are url-encoded."""
+    plain = lambda k, v: F.replace(F.url_encode(v.cast("string")), F.lit("+"), F.lit("%20")) if k in urls else v.cast("string")
+    parts = [F.concat(F.lit(f"{k}="), plain(k, v)) for k, v in fields.items()]
     return F.concat(F.lit("[DIAG:"), F.concat_ws("|", *parts), F.lit("]"))
 
 

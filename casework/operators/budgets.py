@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casework.operators.ranking import first_by, top_by
 
 # Words of budgets, headings of their columns, labels that are no rows.
-VOCABULARY = r"(?i)\b(fiscal\s+year|adopted\s+budget|approved\s+budget|operating\s+budget|capital\s+budget|budget\s+summary|budget\s+detail|budget\s+report|municipal\s+budget|government\s+budget|fy\s*\d\d\d?\d?|appropriation|expenditure|encumbrance|general\s+fund|special\s+revenue|department\s+budget|budget\s+appropriation)\b"
+VOCABULARY = r"(?i)\b(fiscal\s+year|adopted\s+budget|approved\s+budget|operating\s+budget|capital\s+budget|budget\s+summary|budget\s+detail|budget\s+report|municipal\s+budget|government\s+budget|fy\s*\d{2,4}|appropriation|expenditure|encumbrance|general\s+fund|special\s+revenue|department\s+budget|budget\s+appropriation)\b"
 COLUMNS = r"(?i)\b(adopted|revised|actual|proposed|variance|budgeted|appropriated)\b.*\b(adopted|revised|actual|proposed|variance|budgeted|appropriated)\b"
 NO_ROW = r"(?i)^\s*(total|subtotal|grand total|net|net total|less|plus|add|deduct|balance|carry|rollover|reserve|contingency|unallocated|fund balance)\b"
 FIRST_COLUMN = r"(?i)\b(adopted|approved|proposed|revised|amended|actual|variance|estimated|budgeted)\b"
@@ -34,7 +34,7 @@ def budget_rows(documents: DataFrame, k: int = 60) -> DataFrame:
     d = d.withColumn("column_label", F.coalesce(F.nullif(heading, F.lit("")), F.lit("ALLOCATION")))
     lines = d.select("document_id", "fiscal_year", "column_label", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     number = F.regexp_extract("line", NUMBER, 0)
-    label = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.substring("line", F.lit(1), F.greatest(F.lit(0), F.position(number, F.col("line")) - 1)), r"^\d\d+[-.\s]\d\d+([-.\s]\d+)*\s*", "")), r"[:\-|]+$", ""))
+    label = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.substring("line", F.lit(1), F.greatest(F.lit(0), F.position(number, F.col("line")) - 1)), r"^\d{2,}[-.\s]\d{2,}([-.\s]\d+)*\s*", "")), r"[:\-|]+$", ""))
     lines = lines.withColumns({"number": number, "label": F.when(number != "", label)})
     lines = lines.withColumn("is_row", (F.col("number") != "") & (F.length("label") >= 2) & ~F.col("label").rlike(NO_ROW) & F.col("label").rlike("[A-Za-z]"))
     sized = (F.length("line") >= 5) & (F.length("line") <= 80) & (F.col("number") == "")

@@ -17,25 +17,28 @@ GENERIC = ("people", "person", "community", "residents", "families", "individual
 SEVERITY = {"error": "error", "purchase": "success", "signup": "success", "click": "info", "view": "info"}
 
 
-def entity_quality(entities: DataFrame, mentions: DataFrame, edges: DataFrame, signals: DataFrame) -> DataFrame:
-    """Facts and a quality score for each entity: money, confidence, documents, edges."""
+def entity_quality(entities: DataFrame, mentions: DataFrame, edges: DataFrame, signals: DataFrame, documents: DataFrame) -> DataFrame:
+    """Facts and a quality score for each entity: money, confidence, documents, edges, words (four letters or more) in titles of its case."""
+    long_words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)))
+    titled = documents.select("case_id", long_words("title").alias("word")).distinct()
+    in_title = entities.select("id", "case_id", long_words("name").alias("word")).join(titled, ["case_id", "word"], "left_semi").select("id").distinct().withColumn("in_title", F.lit(True))
     approved = mentions.filter("status = 'approved'").groupBy("case_id", name_key("entity_name").alias("name_key")).agg(F.countDistinct("document_id").alias("n_documents"), F.avg("confidence").alias("avg_confidence"))
     money = signals.select("case_id", F.explode(F.array("entity_name", "controlled_by", "received_by")).alias("n")).filter("n is not null").select("case_id", name_key("n").alias("name_key")).distinct().withColumn("financial", F.lit(True))
     d = degree(edges).select(F.col("entity_id").alias("id"), F.col("degree").alias("n_edges"))
-    e = entities.withColumn("name_key", name_key("name")).join(approved, ["case_id", "name_key"], "left").join(money, ["case_id", "name_key"], "left").join(d, "id", "left")
-    e = e.withColumns({"n_documents": F.coalesce("n_documents", F.lit(0)), "n_edges": F.coalesce("n_edges", F.lit(0)), "financial": F.coalesce("financial", F.lit(False)), "avg_confidence": F.coalesce("avg_confidence", F.lit(0.5))})
+    e = entities.withColumn("name_key", name_key("name")).join(approved, ["case_id", "name_key"], "left").join(money, ["case_id", "name_key"], "left").join(d, "id", "left").join(in_title, "id", "left")
+    e = e.withColumns({"n_documents": F.coalesce("n_documents", F.lit(0)), "n_edges": F.coalesce("n_edges", F.lit(0)), "financial": F.coalesce("financial", F.lit(False)), "avg_confidence": F.coalesce("avg_confidence", F.lit(0.5)), "in_title": F.coalesce("in_title", F.lit(False))})
     most = e.groupBy("case_id").agg(F.greatest(F.max("n_documents"), F.lit(1)).alias("most"))
     e = e.join(most, "case_id")
-    score = F.when(F.col("financial"), 3.0).otherwise(0.0) + 3 * F.col("avg_confidence") + 2 * F.col("n_documents") / F.col("most") + 2 * F.least(F.col("n_edges") / 3, F.lit(1.0))
-    return e.select("id", "case_id", "name", "type", "n_documents", "n_edges", "financial", F.round(score, 4).alias("score"))
+    score = F.when(F.col("financial"), 3.0).otherwise(0.0) + 3 * F.col("avg_confidence") + 2 * F.col("n_documents") / F.col("most") + F.when(F.col("in_title"), 2.0).otherwise(0.0) + 2 * F.least(F.col("n_edges") / 3, F.lit(1.0))
+    return e.select("id", "case_id", "name", "type", "n_documents", "n_edges", "financial", "in_title", F.round(score, 4).alias("score"))
 
 
 def locked(quality: DataFrame, k: int = 12) -> DataFrame:
-    """The k best entities of each case that are not generic and have documents, money, edges or an institution's type."""
+    """The k best entities of each case that are not generic and have documents, money, edges, an institution's type or a word in a title."""
     key = name_key("name")
     short = ~key.contains(" ") & (F.length(key) <= 3)
-    passes = (F.col("n_documents") >= 2) | F.col("financial") | (F.col("n_edges") > 0) | F.lower("type").isin(*ORG_TYPES)
-    return top_by(quality.filter(~key.isin(*GENERIC) & ~short & passes), ["case_id"], [F.desc("score"), "id"], k).select("case_id", "rank", "id", "name", "score")
+    passes = (F.col("n_documents") >= 2) | F.col("financial") | (F.col("n_edges") > 0) | F.lower("type").isin(*ORG_TYPES) | F.col("in_title")
+    return top_by(quality.filter(~key.isin(*GENERIC) & ~short & passes), ["case_id"], [F.desc("score"), "id"], k).select("case_id", "rank", "id", "name", "score", "n_documents")
 
 
 def display_type(kind):

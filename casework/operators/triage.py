@@ -134,7 +134,7 @@ def promote(mentions: DataFrame, entities: DataFrame, blocklist: DataFrame | Non
     best = m.groupBy("case_id", "norm").agg(F.max_by(F.struct("entity_name", "entity_type"), F.struct("confidence", -F.col("id"))).alias("best"), F.min("id").alias("first_id"))
     named = best.select("case_id", "first_id", "best.*")
     if blocklist is not None:
-        named = named.join(F.broadcast(blocklist), named.entity_name == blocklist.name, "left_anti")
+        named = named.join(blocklist, named.entity_name == blocklist.name, "left_anti")
     top = top_by(named, ["case_id"], ["first_id"], most)
     exists = entities.select("case_id", F.col("name").alias("entity_name"))
     return top.join(exists, ["case_id", "entity_name"], "left_anti").select("case_id", "entity_name", "entity_type", "first_id", "rank")

@@ -23,13 +23,14 @@ EVENTS = f"""past as (select *, row_number() over (partition by case_id, event_d
     names as (select distinct case_id, lower(n) as name from (select case_id, entity_name as n from {{mentions}}) where not {JUNK_NAME}),
     scored_events as (select p.*, case event_type when 'AUDIT' then 9 else 1 end as priority, (case event_type when 'AUDIT' then 9 else 1 end) * 10 + case when exists (select 1 from names x where x.case_id = p.case_id and contains(lower(p.title), x.name)) then 8 else 0 end as score from past p where rn = 1),
     top_events as (select case_id, cast(row_number() over (partition by case_id order by score desc, event_date, id) as integer) as rank, id, event_date, event_type, priority, score from scored_events qualify rank <= 8)"""
-QUALITY = """quality as (
-    select e.id, e.case_id, e.name, e.type, coalesce(a.n_documents, 0) as n_documents, coalesce(g.n_edges, 0) as n_edges, f.k is not null as financial, coalesce(a.avg_confidence, 0.5) as avg_confidence
+TITLED = "select id, case_id, case when id % 9 = 0 then 'Minutes of the Metro Council' when id % 9 = 1 then 'Notes on Jordan' else title end as title from {files}"
+QUALITY = f"titled as (select distinct case_id, unnest(list_filter(string_split(lower(title), ' '), lambda w: length(w) > 3)) as word from ({TITLED}))," + """ quality as (
+    select e.id, e.case_id, e.name, e.type, coalesce(a.n_documents, 0) as n_documents, coalesce(g.n_edges, 0) as n_edges, f.k is not null as financial, coalesce(a.avg_confidence, 0.5) as avg_confidence, exists (select 1 from titled t where t.case_id = e.case_id and list_contains(list_filter(string_split(lower(e.name), ' '), lambda w: length(w) > 3), t.word)) as in_title
     from {entities} e left join (select case_id, lower(trim(entity_name)) as k, count(distinct document_id) as n_documents, avg(confidence) as avg_confidence from {mentions} where status = 'approved' group by 1, 2) a on a.case_id = e.case_id and a.k = lower(trim(e.name))
     left join (select entity_id, count(*) as n_edges from ends group by 1) g on g.entity_id = e.id
     left join (select distinct case_id, lower(trim(n)) as k from (select case_id, unnest([entity_name, controlled_by, received_by]) as n from {signals}) where n is not null) f on f.case_id = e.case_id and f.k = lower(trim(e.name))),
-    scored as (select id, case_id, name, type, n_documents, n_edges, financial, round(case when financial then 3 else 0 end + 3 * avg_confidence + 2 * n_documents / greatest(max(n_documents) over (partition by case_id), 1) + 2 * least(n_edges / 3, 1.0), 4) as score from quality)"""
-LOCKED = f"""with {ENDS}, {QUALITY}, locked as (select case_id, cast(row_number() over (partition by case_id order by score desc, id) as integer) as rank, id, name, score, n_documents from scored where n_documents >= 2 or financial or n_edges > 0 or type in ('agency', 'organization') qualify rank <= 12)"""
+    scored as (select id, case_id, name, type, n_documents, n_edges, financial, in_title, round(case when financial then 3 else 0 end + 3 * avg_confidence + 2 * n_documents / greatest(max(n_documents) over (partition by case_id), 1) + case when in_title then 2 else 0 end + 2 * least(n_edges / 3, 1.0), 4) as score from quality)"""
+LOCKED = f"""with {ENDS}, {QUALITY}, locked as (select case_id, cast(row_number() over (partition by case_id order by score desc, id) as integer) as rank, id, name, score, n_documents from scored where n_documents >= 2 or financial or n_edges > 0 or type in ('agency', 'organization') or in_title qualify rank <= 12)"""
 ACC = ", ".join(f"'{x}'" for x in dossier.ACCOUNTABILITY)
 
 POWER = f"""{RANKED}, {ENDS}, deg as (select entity_id, count(*) as degree from ends group by 1), p as (select r.case_id, r.entity_id, entity_name, coalesce(degree, 0) as degree, 2 * coalesce(degree, 0) + 0.5::double * n_mentions + n_documents as score from ranked r left join deg on deg.entity_id = r.entity_id where is_primary),
@@ -48,12 +49,18 @@ def _events(s, d):
     return compiling.ranked_timeline(*_load(s, d, "timeline", "mentions"), AS_OF)
 
 
+
+
+def _titled(s, d):
+    return s.sql(TITLED, files=load(s, d, "files"))
+
+
 def _quality(s, d):
-    return dossier.entity_quality(*_load(s, d, "entities", "mentions", "relationships", "signals"))
+    return dossier.entity_quality(*_load(s, d, "entities", "mentions", "relationships", "signals"), _titled(s, d))
 
 
 def _case_quality(s, d):
-    locked = dossier.locked(_quality(s, d)).join(_quality(s, d).select("id", "n_documents"), "id")
+    locked = dossier.locked(_quality(s, d))
     edges = load(s, d, "relationships").filter("confidence >= 0.6")
     return dossier.case_quality(load(s, d, "cases"), locked, edges, money.numeric_signals(load(s, d, "signals")), dossier.accountability(load(s, d, "timeline")), load(s, d, "files"))
 
@@ -117,12 +124,12 @@ PLANS = {
         lambda s, d: compiling.oversight(load(s, d, "cases"), _events(s, d), load(s, d, "signals"), _ranked(s, d), load(s, d, "files")),
         f"""with {RANKED}, {EVENTS}, t as (select case_id, min(event_date) filter (event_type in ('LEGAL_ACTION', 'AUDIT', 'INVESTIGATION_STARTED')) as first_legal, count(*) filter (event_type in ('FUNDING_APPROVED', 'CONTRACT_AWARDED')) as n_approvals from top_events group by 1),
             m as (select case_id, count(*) as n_signals, coalesce(sum(normalized_amount) filter (normalized_amount >= 1000000), 0) as large from {{signals}} group by 1), a as (select case_id, bool_or(type in ('government_agency', 'agency')) as has_agency from ranked where is_primary group by 1),
-            f as (select case_id, bool_or(regexp_matches(lower(concat_ws(' ', source_domain, title)), '\.gov|audit|inspector general')) as has_public from {{files}} group by 1)
+            f as (select case_id, bool_or(regexp_matches(lower(concat_ws(' ', source_domain, title)), '[.]gov|audit|inspector general')) as has_public from {{files}} group by 1)
             select c.id, first_legal is null and coalesce(n_signals, 0) > 0 as no_oversight, case when coalesce(n_signals, 0) > 0 then first_legal end as late_since, coalesce(has_agency, false) and first_legal is null as agency_unseen, coalesce(large, 0) > 0 and not coalesce(has_public, false) as no_public_source, coalesce(n_approvals, 0) >= 3 as many_approvals
             from {{cases}} c left join t on t.case_id = c.id left join m on m.case_id = c.id left join a on a.case_id = c.id left join f on f.case_id = c.id""",
     ),
     "overall_confidence": (
-        lambda s, d: dossier.confidence(load(s, d, "cases"), dossier.locked(_quality(s, d)).join(_quality(s, d).select("id", "n_documents"), "id"), load(s, d, "files"), money.numeric_signals(load(s, d, "signals"))),
+        lambda s, d: dossier.confidence(load(s, d, "cases"), dossier.locked(_quality(s, d)), load(s, d, "files"), money.numeric_signals(load(s, d, "signals"))),
         f"""{LOCKED}, {NUMERIC}, n as (select c.id, (select count(*) from locked l where l.case_id = c.id) as n_entities, (select count(*) from locked l where l.case_id = c.id and n_documents >= 3) as n_confirmed, (select count(*) from {{files}} f where f.case_id = c.id) as n_sources, (select count(*) from numeric_signals x where x.case_id = c.id) as n_signals from {{cases}} c)
             select *, case when n_entities = 0 then 'INSUFFICIENT' when n_confirmed >= 3 and n_sources >= 6 and n_signals > 0 then 'STRONG' when n_confirmed >= 2 and n_sources >= 4 then 'MODERATE' else 'PROVISIONAL' end as level from n""",
     ),
@@ -134,7 +141,7 @@ PLANS = {
             left join (select case_id, count(*) as n_events from {{timeline}} group by 1) t on t.case_id = c.id left join (select case_id, count(*) as n_entities from locked group by 1) l on l.case_id = c.id""",
     ),
     "entity_quality": (_quality, f"with {ENDS}, {QUALITY} select * from scored"),
-    "locked_entities": (lambda s, d: dossier.locked(_quality(s, d)), f"{LOCKED} select case_id, rank, id, name, score from locked"),
+    "locked_entities": (lambda s, d: dossier.locked(_quality(s, d)).drop("n_documents"), f"{LOCKED} select case_id, rank, id, name, score from locked"),
     "display_types": (
         lambda s, d: load(s, d, "entities").select("id", dossier.display_type(F.col("type")).alias("shown")),
         "select id, case type when 'person' then 'PERSON' when 'agency' then 'AGENCY' when 'organization' then 'ORGANIZATION' end as shown from {entities}",

@@ -35,6 +35,14 @@ def _case(rules):
     return " ".join(f"when regexp_matches(lower(target), '{p}') then '{v}'" for p, v in rules)
 
 
+# tags to spaces, character references decoded, as text.plain_text says
+PLAIN_TEXT = "html"
+for _what, _to in (("'<[^>]*>'", "' '"),):
+    PLAIN_TEXT = f"regexp_replace({PLAIN_TEXT}, {_what}, {_to}, 'g')"
+for _what, _to in (("'&lt;'", "'<'"), ("'&gt;'", "'>'"), ("'&quot;'", "chr(34)"), ("'&#39;'", "chr(39)"), ("'&apos;'", "chr(39)"), ("'&nbsp;'", "' '")):
+    PLAIN_TEXT = f"replace({PLAIN_TEXT}, {_what}, {_to})"
+PLAIN_TEXT = f"trim(regexp_replace(replace(regexp_replace(replace(regexp_replace({PLAIN_TEXT}, '&#x?[0-9a-fA-F]+;', '', 'g'), '&amp;', chr(1)), '&[a-zA-Z]+;', ' ', 'g'), chr(1), '&'), '\\s+', ' ', 'g'))"
+
 PLANS = {
     "cleaned_bodies": (
         lambda s, d: _cleaned(s, d).select("doc_id", F.md5(F.col("c.cleaned")).alias("body_md5"), F.col("c.raw_chars").cast("long").alias("raw_chars"), F.col("c.cleaned_chars").cast("long").alias("cleaned_chars"), F.col("c.removed_lines").cast("long").alias("removed_lines"), "c.boilerplate_ratio"),
@@ -56,7 +64,7 @@ PLANS = {
         f"""with lines as (select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as k, unnest(string_split(text, chr(10))) as line from {{documents}}),
             placed as (select *, sum(length(line) + 1) over (partition by doc_id order by k) - length(line) - 1 as begins, length(trim(line)) > 40 as long_ from lines), ranked as (select *, sum(cast(long_ as integer)) over (partition by doc_id order by k) as n from placed),
             f as (select doc_id, any_value(length(text)) as size, min(begins + length(line)) filter (long_ and n = 1) as one, min(begins + length(line)) filter (long_ and n = 2) as two, min(begins + length(line)) filter (long_ and n = 4) as four, min(begins) filter (regexp_matches(lower(trim(line)), '{documents.SIDEBAR}')) as side from ranked group by 1)
-            select doc_id, cast(coalesce(one, least(200, size)) as bigint) as title_end, cast(coalesce(two, least(coalesce(one, least(200, size)) + 300, size)) as bigint) as dek_end, cast(coalesce(four, floor(size * 0.35)) as bigint) as lead_end, cast(least(floor(size * 0.8), coalesce(side, size)) as bigint) as body_end, cast(coalesce(side, size) as bigint) as sidebar_start from f""",
+            select doc_id, cast(coalesce(one, least(200, size)) as bigint) as title_end, cast(coalesce(two, least(coalesce(one, least(200, size)) + 300, size)) as bigint) as dek_end, cast(coalesce(four, floor(size * 0.35::double)) as bigint) as lead_end, cast(least(floor(size * 0.8::double), coalesce(side, size)) as bigint) as body_end, cast(coalesce(side, size) as bigint) as sidebar_start from f""",
     ),
     "content_density": (
         lambda s, d: load(s, d, "documents").select("doc_id", documents.density(F.col("text")).cast("int").alias("density")),
@@ -84,7 +92,7 @@ PLANS = {
     "name_clusters": (lambda s, d: mentions.clusters(load(s, d, "mentions").select("case_id", "entity_name", "id")), None),
     "cluster_features": (lambda s, d: mentions.cluster_features(load(s, d, "mentions"), mentions.clusters(load(s, d, "mentions").select("case_id", "entity_name", "id"))), None),
     "plain_text_hosts": (
-        lambda s, d: load(s, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), (F.length(text.plain_text(F.col("html"))) < 120).alias("is_stub")),
-        "select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') as host, false as is_stub from {pages}",
+        lambda s, d: load(s, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), (F.length(text.plain_text(F.col("html"))) < 900).alias("is_stub")),
+        f"""select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') as host, length({PLAIN_TEXT}) < 900 as is_stub from {{pages}}""",
     ),
 }
