@@ -103,4 +103,14 @@ ORACLE_SQL: dict[str, str] = {
         counted as (select a as vec_id, count(*) as n_links from links group by a)
         select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept
         from component c left join counted using (vec_id)""",
+    "op8_neardup": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as materialized (select doc_id, list_distinct(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from w),
+        e as materialized (select doc_id, len(s) as n, unnest(s) as x from s),
+        pairs as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as n_both from e a join e b on a.x = b.x and a.doc_id < b.doc_id where least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n) group by 1, 2),
+        links as materialized (select a, b from pairs where 100 * n_both >= 80 * (na + nb - n_both)),
+        ways as materialized (select a, b from links union all select b, a from links),
+        reach as (select doc_id as a, doc_id as b from documents union select r.a, y.b from reach r join ways y on r.b = y.a),
+        component as (select a as doc_id, min(b) as component_id from reach group by 1)
+        select s.doc_id, cast(len(s.s) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept from s join component using (doc_id)""",
 }

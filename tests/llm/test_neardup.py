@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 from casework.llm import neardup, queries
+from tests.llm.oracle import same
 
 
 def brute(rows, words, percent=80):
@@ -48,6 +49,10 @@ def test_query_equals_brute_force(spark):
     assert sum(not r.kept for r in got) > 20
 
 
+def test_query_equals_sql(spark, sf_dir):
+    same(queries.op8_neardup(spark, sf_dir), queries.ORACLE_SQL["op8_neardup"], sf_dir)
+
+
 def planted(seed, n=60, common=0):
     """Groups of copies at all distances around the threshold, with a passage that many share."""
     r = random.Random(seed)
