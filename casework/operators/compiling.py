@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casework.functions.text import diag_map, strip_markers
 from casework.operators.graph import degree, ends
-from casework.operators.ranking import case_of, first_by, name_key, top_by
+from casework.operators.ranking import holding, case_of, first_by, name_key, top_by
 
 # How much an event type counts.
 EVENT_RANK = {"FUNDING_APPROVED": 10, "CONTRACT_AWARDED": 10, "LEGAL_ACTION": 9, "AUDIT": 9, "INVESTIGATION_STARTED": 8, "PROGRAM_LAUNCH": 7, "PROPERTY_ACQUISITION": 7, "POLICY_CHANGE": 6, "PROGRAM_EXPANSION": 5}
@@ -104,12 +104,13 @@ def ranked_entities(mentions: DataFrame, entities: DataFrame, primary: int = 6,
 def ranked_timeline(timeline: DataFrame, mentions: DataFrame, as_of, k: int = 8) -> DataFrame:
     """The k events of each case up to a date that count most; a title that has a known name counts more.
 
-    Names meet titles inside their case alone, and only distinct ones.
+    A name meets the titles of its case that have its first six letters, so that a large case is
+    no product of its titles and names.
     """
     past = timeline.filter(F.col("event_date").isNotNull() & (F.col("event_date") <= F.lit(as_of).cast("date"))).withColumn("low", F.lower(F.coalesce("title", F.lit(""))))
     one = first_by(past.withColumn("start", F.substring("low", 1, 60)), ["case_id", "event_date", "start"], ["id"])
     names = mentions.filter(F.col("entity_name").isNotNull() & ~junk_name(F.col("entity_name"))).select("case_id", F.lower("entity_name").alias("name")).distinct()
-    has = one.join(names, "case_id").filter(F.expr("contains(low, name)")).select("id").distinct().withColumn("has_name", F.lit(True))
+    has = holding(one.select("id", "case_id", "low"), names, "low", "name", ["case_id"]).select("id").distinct().withColumn("has_name", F.lit(True))
     rank = F.create_map(*[F.lit(x) for kv in EVENT_RANK.items() for x in kv])
     priority = F.coalesce(rank[F.col("event_type")], F.lit(1))
     scored = one.join(has, "id", "left").withColumns({"priority": priority, "score": priority * 10 + F.when(F.col("has_name"), 8).otherwise(0)})

@@ -28,3 +28,16 @@ def case_of(default, *rules: tuple) -> Column:
         out = F.when(predicate, value) if out is None else out.when(predicate, value)
     default = default if isinstance(default, Column) else F.lit(default)
     return default if out is None else out.otherwise(default)
+
+
+def holding(texts: DataFrame, names: DataFrame, text: str, name: str, keys: list[str], letters: int = 6) -> DataFrame:
+    """Pairs of texts and names of equal keys where the text has the name in it.
+
+    Both sides meet on the keys and the name's first letters; only names that are shorter meet all
+    texts of their keys.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - letters + 1), lambda i: F.substring(F.col(text), i, F.lit(letters))))
+    gram = F.when(F.length(text) >= letters, pieces).otherwise(F.array().cast("array<string>"))
+    long_ = texts.withColumn("_gram", F.explode(gram)).join(names.filter(F.length(name) >= letters).withColumn("_gram", F.substring(name, 1, letters)), [*keys, "_gram"]).drop("_gram")
+    short = texts.join(names.filter(F.length(name) < letters), keys)
+    return long_.unionByName(short).filter(F.contains(F.col(text), F.col(name)))

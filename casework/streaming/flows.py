@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from casework.operators.dossier import SEVERITY
 
@@ -21,21 +22,32 @@ def fresh_documents(stream: DataFrame, time: str = "arrived_at", delay: str = "1
 
 
 def analyse_on_arrival(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "document_id") -> StreamingQuery:
-    """Appends what ``extract`` finds in each new document below path; documents that are there already are skipped.
+    """Writes what ``extract`` finds in each new document below path/found; documents that were seen are skipped.
 
-    A batch that runs again after a failure finds its documents there and adds nothing.
+    The keys of all documents, also of those in which nothing was found, go to a narrow table below
+    path/seen. Each batch has a folder of its own in both and overwrites it, so that one that runs
+    again after a failure adds nothing twice.
     """
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], stream.schema)
+    keys = StructType(empty.select(key).schema.fields).add("batch", "long")
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        seen = spark.read.format("parquet").schema(found_schema).load(path).select(key).distinct()
-        extract(df.join(seen, key, "left_anti")).write.mode("append").parquet(path)
+        before = spark.read.schema(keys).parquet(f"{path}/seen").filter(F.col("batch") != number).select(key)
+        df.join(before, key, "left_anti").select(key).distinct().write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        own = spark.read.schema(empty.select(key).schema).parquet(f"{path}/seen/batch={number}")
+        extract(df.join(own, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/found/batch={number}")
 
-    found_schema = extract(stream.sparkSession.createDataFrame([], stream.schema)).schema
-    stream.sparkSession.createDataFrame([], found_schema).write.mode("append").parquet(path)
+    empty.select(key).write.mode("ignore").parquet(f"{path}/seen/batch=-1")
+    extract(empty).write.mode("ignore").parquet(f"{path}/found/batch=-1")
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def found(spark: SparkSession, path: str) -> DataFrame:
+    """What ``analyse_on_arrival`` has found so far."""
+    return spark.read.parquet(f"{path}/found").drop("batch")
+
+
 def recompile_touched(stream: DataFrame, compile_cases: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Recompiles the cases that each batch touches; one folder a case, overwritten alone."""
 

@@ -7,11 +7,17 @@ from casework.streaming import flows
 def test_new_documents_are_analysed_once(spark, tmp_path):
     src, out = f"{tmp_path}/in", f"{tmp_path}/out"
     schema = "document_id long, text string"
-    extract = lambda df: df.select("document_id", F.length("text").alias("n"))
-    for rows in ([(1, "a"), (2, "bb")], [(2, "bb"), (3, "ccc")]):
+    given = []
+
+    def extract(df):
+        given.append(df.count())
+        return df.filter("text <> ''").select("document_id", F.length("text").alias("n"))
+
+    for rows in ([(1, "a"), (2, "bb"), (4, "")], [(2, "bb"), (3, "ccc"), (4, "")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
         flows.analyse_on_arrival(spark.readStream.schema(schema).parquet(src), extract, out, f"{tmp_path}/check").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, 1), (2, 2), (3, 3)]
+    assert sorted(map(tuple, flows.found(spark, out).collect())) == [(1, 1), (2, 2), (3, 3)]
+    assert sum(given) == 4  # the empty one, too, is taken once
 
 
 def test_touched_cases_are_compiled_again(spark, tmp_path):
