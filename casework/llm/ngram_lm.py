@@ -45,7 +45,7 @@ DICT_ROWS = 1 << 19
 #: Bytes of filter that may be broadcast.
 FILTER_BYTES = 32 << 20
 #: Bytes of training text for each slot of the filter.
-SLOT_BYTES = 2 << 20
+SLOT_BYTES = 4 << 20
 #: Tokens and documents of a chunk.
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 1 << 16
 BITS, PROBES = 20, 7
@@ -320,22 +320,26 @@ def asks(h: np.ndarray, sizes: np.ndarray, frequent: Dictionary, n_all: float, s
     return np.bincount(doc[here], count[here] > 0, n).astype(np.int64), add(np.log10(p), here), score, out
 
 
-def answer(bits: bytes | None, ask: tuple) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """(documents, their sums) of one ask, and (document, token, count, minus, times) of the tokens whose p(w) is not known yet."""
-    key, steps, doc, often, tail, hist = (np.frombuffer(x, t) for x, t in zip(ask, ("<u4", "<u2", "<u2", "<i8", "<i8", "<u4"), strict=True))
+def answer(bits: bytes | None, asked: list[tuple]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Answers to asks of one slot, all in one: (documents, their sums), and (document, token, count, minus, times) of the tokens whose p(w) is not known yet.
+
+    A document is the number of its ask times 65,536 plus its number in the chunk.
+    """
+    parts = [[np.frombuffer(x, t) for x, t in zip(ask, ("<u4", "<u2", "<u2", "<i8", "<i8", "<u4"), strict=True)] for ask in asked]
+    sizes = np.array([len(x[0]) for x in parts])
+    start = np.cumsum(sizes) - sizes
+    key, steps, doc, tail = (np.concatenate([x[i] for x in parts]) for i in (0, 1, 2, 4))
+    doc = np.repeat(np.arange(len(parts)), sizes) * CHUNK_DOCS + doc
     c = count_at(level_in(bits, key))
-    minus = np.zeros(len(key))
-    if len(hist):
-        rare, hist = hist.reshape(2, -1)
-        minus[rare] = np.log10(count_at(level_in(bits, hist)) + K)
-    times = np.ones(len(key), np.int64)
-    if len(often):
-        often = often.reshape(2, -1)
-        times[often[0]] = often[1]
+    minus, times = np.zeros(len(key)), np.ones(len(key), np.int64)
+    rare, hist = (np.concatenate([x[5].reshape(2, -1)[i] + (at if not i else 0) for x, at in zip(parts, start, strict=True)]) for i in (0, 1))
+    minus[rare] = np.log10(count_at(level_in(bits, hist.astype("<u4"))) + K)
+    often, n = (np.concatenate([x[3].reshape(2, -1)[i] + (at if not i else 0) for x, at in zip(parts, start, strict=True)]) for i in (0, 1))
+    times[often] = n
     open_ = steps == UNKNOWN
     value = times * (np.log10(c + K * 10.0 ** (-steps.astype(float) / STEPS)) - minus)
     docs, inv = np.unique(doc[~open_], return_inverse=True)
-    return docs, np.bincount(inv, value[~open_], len(docs)), (doc[open_].astype(np.int64), tail, c[open_], minus[open_], times[open_])
+    return docs, np.bincount(inv, value[~open_], len(docs)), (doc[open_], tail, c[open_], minus[open_], times[open_])
 
 
 def _batch(kind: pa.DataType, n: int, columns: dict, names: dict = _FOUND) -> pa.RecordBatch:
@@ -347,12 +351,16 @@ def _batch(kind: pa.DataType, n: int, columns: dict, names: dict = _FOUND) -> pa
     return pa.RecordBatch.from_arrays(out, list(names))
 
 
-def _answered(kind: pa.DataType, row0: int, found):
+def _answered(kind: pa.DataType, row0: np.ndarray, found):
+    """Rows of the answers to asks of chunks that start at row0."""
     docs, sums, (doc, token, count, minus, times) = found
-    if len(docs):
-        yield _batch(kind, 1, {"kind": 3, "row": row0, "docs": [docs.astype("<u2").tobytes()], "sums": [sums.tobytes()]})
+    cuts = np.searchsorted(docs, np.arange(len(row0) + 1) * CHUNK_DOCS)
+    some = np.flatnonzero(np.diff(cuts))
+    if len(some):
+        low_ = (docs % CHUNK_DOCS).astype("<u2")
+        yield _batch(kind, len(some), {"kind": 3, "row": row0[some], "docs": [low_[cuts[i] : cuts[i + 1]].tobytes() for i in some], "sums": [sums[cuts[i] : cuts[i + 1]].tobytes() for i in some]})
     if len(doc):
-        yield _batch(kind, len(doc), {"kind": 4, "row": row0 + doc, "token": token, "count": count, "minus": minus, "times": times})
+        yield _batch(kind, len(doc), {"kind": 4, "row": row0[doc // CHUNK_DOCS] + doc % CHUNK_DOCS, "token": token, "count": count, "minus": minus, "times": times})
 
 
 def _own(rows: pa.RecordBatch, sizes, known, base, score) -> dict:
@@ -367,7 +375,7 @@ def _score_here(shared, n_all: float, slots: int):
             kind = rows.schema.field("id").type
             yield _batch(kind, rows.num_rows, _own(rows, sizes, *own))
             for slot, ask in out:
-                yield from _answered(kind, rows.column("row")[0].as_py(), answer(bits.get(slot), ask))
+                yield from _answered(kind, rows.column("row")[:1].to_numpy(), answer(bits.get(slot), [ask]))
 
     return run
 
@@ -394,14 +402,17 @@ def _answer(batches):
     """Rows in order of slot and kind: a slot's filter, then what it is asked."""
     slot, bits = -1, None
     for b in batches:
-        kinds, slots = b.column("kind").to_numpy(), b.column("slot").to_numpy()
+        kinds, slots, rows = (b.column(c).to_numpy() for c in ("kind", "slot", "row"))
         kind = b.schema.field("id").type
-        for i in np.flatnonzero(kinds < 2):
-            if kinds[i] == 0:
-                slot, bits = slots[i], b.column("bits")[i].as_py()
+        of_slots = np.flatnonzero(kinds < 2)
+        # asks of one slot that stand together are answered together
+        new = np.flatnonzero((np.diff(slots[of_slots], prepend=-1) != 0) | (kinds[of_slots] == 0) | (np.diff(kinds[of_slots], prepend=0) != 0))
+        for at in np.split(of_slots, new[1:]) if len(of_slots) else ():
+            if kinds[at[0]] == 0:
+                slot, bits = slots[at[0]], b.column("bits")[int(at[0])].as_py()
             else:
-                own = bits if slots[i] == slot else None
-                yield from _answered(kind, b.column("row")[i].as_py(), answer(own, tuple(b.column(f"a_{c}")[i].as_py() for c in _ASK)))
+                asked = list(zip(*(b.column(f"a_{c}").take(pa.array(at)).to_pylist() for c in _ASK), strict=True))
+                yield from _answered(kind, rows[at], answer(bits if slots[at[0]] == slot else None, asked))
         at = pa.array(np.flatnonzero(kinds == 2))
         if len(at):
             yield _batch(kind, len(at), {c: b.column(c).take(at) for c in _ASKED if c in _FOUND})
@@ -440,8 +451,8 @@ def score(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str
     else:
         shared = spark.sparkContext.broadcast(counts.frequent)
         asked = keyed.mapInArrow(_ask(shared, n_all, slots), schema(_ASKED))
-        filters = counts.parts.select("slot", F.lit(0).alias("kind"), "bits")
-        met = asked.unionByName(filters, allowMissingColumns=True).repartition(max(1, slots // 4), "slot").sortWithinPartitions("slot", "kind")
+        filters = counts.parts.select("slot", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("row"), "bits")
+        met = asked.unionByName(filters, allowMissingColumns=True).repartition(max(1, slots // 2), "slot").sortWithinPartitions("slot", "kind")
         found = met.mapInArrow(_answer, schema(_FOUND))
     found = save(found)
     packed = found.filter("kind = 3").select("row", "docs", "sums").repartition("row").sortWithinPartitions("row").mapInArrow(_unpacked, "row long, score double")
