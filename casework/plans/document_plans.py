@@ -31,10 +31,26 @@ def _bodies(s, d):
     return load(s, d, "sentences").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x.sentence), "\n").alias("text")).withColumn("case_id", F.col("document_id") % 50)
 
 
+def _named(s, d):
+    return s.sql(NAMED, mentions=load(s, d, "mentions"))
+
+
+def _clusters(s, d):
+    return mentions.clusters(_named(s, d).select("case_id", "entity_name", "id"))
+
+
 def _case(rules):
     return " ".join(f"when regexp_matches(lower(target), '{p}') then '{v}'" for p, v in rules)
 
 
+# Names of which some hold others; the greedy clusters, name by name with the heads so far.
+NAMED = "select id, case_id, document_id, case when id % 7 = 0 then concat('Greater ', entity_name) when id % 11 = 0 then split_part(entity_name, ' ', 1) else entity_name end as entity_name, entity_type, confidence, zone from {mentions}"
+CLUSTERS = f"""recursive named as ({NAMED}), keys as (select case_id, lower(trim(entity_name)) as name_key, min(id) as first_id from named group by 1, 2), n as (select *, row_number() over (partition by case_id order by first_id) as k from keys),
+    r as (select case_id, 0::bigint as k, []::varchar[] as heads, '' as name_key, '' as cluster from n where k = 1
+        union all select case_id, k, case when head is null then list_append(heads, name_key) else heads end, name_key, coalesce(head, name_key) from (
+            select n.case_id, n.k, r.heads, n.name_key, list_filter(r.heads, lambda h: (contains(h, n.name_key) or contains(n.name_key, h)) and least(length(h), length(n.name_key)) >= 4)[1] as head from r join n on n.case_id = r.case_id and n.k = r.k + 1) x),
+    clusters as (select case_id, name_key, cluster from r where k > 0)"""
+
 # tags to spaces, character references decoded, as text.plain_text says
 PLAIN_TEXT = "html"
 for _what, _to in (("'<[^>]*>'", "' '"),):
@@ -89,8 +105,13 @@ PLANS = {
             select * from (select case_id, cast(row_number() over (partition by case_id order by score desc, seq) as integer) as rank, seq, url, host, score from few) where rank <= 12""",
     ),
     "document_mentions": (lambda s, d: mentions.mentions(_bodies(s, d)), None),
-    "name_clusters": (lambda s, d: mentions.clusters(load(s, d, "mentions").select("case_id", "entity_name", "id")), None),
-    "cluster_features": (lambda s, d: mentions.cluster_features(load(s, d, "mentions"), mentions.clusters(load(s, d, "mentions").select("case_id", "entity_name", "id"))), None),
+    "name_clusters": (lambda s, d: _clusters(s, d), f"with {CLUSTERS} select case_id, name_key, cluster from clusters"),
+    "cluster_features": (
+        lambda s, d: mentions.cluster_features(_named(s, d), _clusters(s, d)),
+        f"""with {CLUSTERS}, m as (select n.*, c.cluster from named n join clusters c on c.case_id = n.case_id and c.name_key = lower(trim(n.entity_name))),
+            f as (select case_id, cluster, count(distinct document_id) as n_documents, count(*) as n_mentions, max(confidence) as max_confidence, bool_or(zone in ('title', 'dek', 'lead')) as in_front, bool_or(entity_type = 'agency') as is_agency, min(id) as first_id from m group by 1, 2)
+            select *, round(least(0.99::double, 0.3::double + 0.4::double * max_confidence + case when n_documents >= 3 then 0.2::double when n_documents >= 2 then 0.12::double else 0 end + case when in_front then 0.08::double else 0 end + case when is_agency then 0.05::double else 0 end), 4) as trust from f""",
+    ),
     "plain_text_hosts": (
         lambda s, d: load(s, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), (F.length(text.plain_text(F.col("html"))) < 900).alias("is_stub")),
         f"""select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') as host, length({PLAIN_TEXT}) < 900 as is_stub from {{pages}}""",

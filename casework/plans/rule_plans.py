@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from casework.functions import mention_rules as rules
 from casework.functions import pages, parties, relevance, targets, text
 from casework.functions.documents import cleaned
-from casework.operators import extraction, findings, money, overview, promotion
+from casework.operators import articles, extraction, findings, money, overview, promotion
 from casework.plans.document_plans import _bodies, _view
 from casework.sources.views import load
 
@@ -305,6 +305,19 @@ def _next_sql():
         select case_id, array_to_string(list_filter(every, lambda v, i: list_position(every, v) = i)[1:6], ' / ') as queries from t"""
 
 
+FOUND_RESULTS = """select o_orderkey as id, concat(split_part('Top 10 things,Harbor council audit,Watch: game,How to cook', ',', cast(o_custkey % 4 as int) + 1), ' of the county') as title, concat(repeat('A budget report for the housing program. ', cast(o_custkey % 7 as int)), 'end') as snippet,
+    split_part('county.gov,tmz.com,apnews.com,laist.com', ',', cast(o_orderkey % 4 as int) + 1) as domain, split_part('pdf,web', ',', cast(o_orderkey % 2 as int) + 1) as kind, split_part('harbor council,los angeles audit', ',', cast(o_custkey % 2 as int) + 1) as query from {orders}"""
+
+
+def _results_sql():
+    t, sn, dm, q = "lower(title)", "lower(snippet)", "lower(domain)", "lower(query)"
+    kw = _list(relevance.RESULT_WORDS)
+    return f"""with r as ({FOUND_RESULTS}), w as (select *, list_filter(string_split({q}, ' '), lambda x: length(x) > 3) as ws from r), c as (select *, len(list_filter(ws, lambda x: contains({t}, x))) as tm, len(list_filter(ws, lambda x: contains({sn}, x))) as sm, {_any(q, relevance.LA_WORDS)} as la from w)
+        select id, round(case when {' or '.join(f"regexp_matches({t}, '{p}')" for p in relevance.JUNK_TITLES)} then -3.0::double else 0 end + case when contains({t}, {q}) then 8 else 0 end + 2.5::double * tm + 0.8::double * sm + case when len(ws) >= 2 and tm = len(ws) then 4 else 0 end
+            + case when la and ({_any(t, relevance.LA_WORDS)} or {_any(sn, relevance.LA_WORDS)}) then 2 else 0 end + case when la and {_any(dm, relevance.LA_HOSTS)} then 3 else 0 end + 1.5::double * {_hits(t, kw)} + 0.5::double * len(list_filter({kw}, lambda x: not contains({t}, x) and contains({sn}, x))) + case when kind = 'pdf' then 2 else 0 end
+            + case when {_any(dm, relevance.RESULT_HOSTS)} then 3 else 0 end - case when {_any(dm, relevance.LIFESTYLE)} or {_any(t, relevance.LIFESTYLE)} then 10 else 0 end + case when length(snippet) > 200 then 1.0::double when length(snippet) > 100 then 0.4::double else 0 end - case when length(snippet) < 50 then 2 else 0 end, 4) as score from c"""
+
+
 NOUNS = "select document_id % 50 as case_id, sentence from {sentences}"
 OPEN = "select id as case_id from {cases} where id % 3 <> 0"
 
@@ -361,6 +374,15 @@ PLANS = {
             m as (select *, (found >= 4 and length(text) < 1500) or found * 500 > length(text) * 3 or (len(lines) > 5 and len(list_filter(lines, lambda x: length(x) < 40)) > 0.6::double * len(lines)) or (length(text) > 400 and said < 2) as menu from f)
             select id, boilerplate, menu, cast(paragraphs as integer) as paragraphs, case when length(text) < 500 or not regexp_matches(text, '[A-Z][^.!?]{{40,}}[.!?]') or boilerplate or menu then 'invalid' when paragraphs >= 2 and length(text) >= 800 then 'valid' else 'partial' end as status from m""",
     ),
+    "article_texts": (lambda s, d: articles.articles(load(s, d, "pages")), None),
+    "result_scores": (
+        lambda s, d: _view(s, d, FOUND_RESULTS, "orders").select("id", F.round(relevance.result_score(*[F.col(c) for c in ("title", "snippet", "domain", "kind", "query")]), 4).alias("score")),
+        _results_sql(),
+    ),
+    "seed_counters": (
+        lambda s, d: promotion.seed_counters(_news(s, d).select("case_id", "relevance.priority", "relevance.tier", (F.col("id") % 3 == 0).alias("failed")), _reasons(s, d), _decided(s, d)),
+        None,
+    ),
     "wrapper_pages": (
         lambda s, d: load(s, d, "pages").select("page_id", pages.is_wrapper(F.col("html"), F.col("url"), text.plain_text(F.substring("html", 1, 400))).alias("wrapper")),
         None,

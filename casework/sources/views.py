@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FIRST = "Harbor,Ridge,Apex,Metro,Civic,Union,Summit,Delta,Grand,Pioneer"
 _SECOND = "Council,Authority,Trust,Holdings,Department,Alliance,Foundation,Bank,Group,Partners"
@@ -101,6 +102,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{t: load(spark, sf_dir, t) for t in needs})
 
 
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Text, csv and Markdown files below a folder as documents (path, title, extension, raw_text), each file whole."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw_text"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select("path", F.try_url_decode(F.regexp_replace(name, r"\.[^.]*$", "")).alias("title"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"), "raw_text")
+
+
+def of_case(tables: DataFrame, case_id: int, n_buckets: int | None = None) -> DataFrame:
+    """The rows of one case; where tables are partitioned by case_bucket, only its bucket is read."""
+    own = tables.filter(F.col("case_id") == case_id)
+    return own if n_buckets is None else own.filter(F.col("case_bucket") == F.pmod(F.hash(F.lit(case_id).cast("long")), F.lit(n_buckets)))
+
+
+def bucketed(tables: DataFrame, n_buckets: int) -> DataFrame:
+    """tables with case_bucket, to partition a written table by."""
+    return tables.withColumn("case_bucket", F.pmod(F.hash(F.col("case_id").cast("long")), F.lit(n_buckets)))
+
+
 def with_views(sql: str) -> str:
     """A DuckDB query over ``{view}`` names, with the views that it needs before it."""
     order: list[str] = []
@@ -117,5 +136,7 @@ def with_views(sql: str) -> str:
     if not views:
         return plain(sql)
     if sql.lstrip().lower().startswith("with "):
-        return f"with {', '.join(views)}, {plain(sql.lstrip()[5:])}"
+        own = sql.lstrip()[5:].lstrip()
+        recursive = own.lower().startswith("recursive ")
+        return f"with {'recursive ' if recursive else ''}{', '.join(views)}, {plain(own[10:] if recursive else own)}"
     return f"with {', '.join(views)} {plain(sql)}"

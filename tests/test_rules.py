@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from casework.functions import mention_rules as rules
 from casework.functions import pages, parties, text
-from casework.operators import extraction, promotion
+from casework.operators import articles, extraction, promotion
+from casework.sources import views
 
 
 def values(spark, rows, schema, *columns):
@@ -90,3 +91,39 @@ def test_one_giant_case_is_promoted_like_a_small_one(spark):
     cases = spark.createDataFrame([(1, "Harbor", "general", 9, 9)], "case_id long, target string, intent string, n_aligned int, n_usable int")
     out = promotion.promoted(promotion.features(m, own, facts), cases)
     assert out.filter("decision = 'promoted'").count() == 5 and out.filter("decision = 'promoted'").agg(F.max("first_id")).first()[0] == 4 and out.count() == 700
+
+
+def test_articles_of_pages(spark):
+    para = "The council of the county approved the budget of the shelter program for the next year, and the audit goes on. "
+    page = lambda inner: f"<html><body><nav>menu</nav>{inner}<footer>end</footer></body></html>"
+    rows = [
+        (1, page(f"<div class='side'>{'x ' * 400}</div><article>{''.join(f'<p>{para * 2}</p>' for _ in range(5))}</article>")),
+        (2, '<script type="application/ld+json">{"articleBody": "' + para * 20 + '"}</script><p>short</p>'),
+        (3, page("".join(f"<p>{para}</p>" for _ in range(6)))),
+        (4, page("few words")),
+        (5, None),
+        (6, "<p>Subscribe to read " + para * 12),
+    ]
+    got = {r.page_id: r for r in articles.articles(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got[1].label == "article" and got[1].text.count("council") == 10 and got[1].status == "valid" and "menu" not in got[1].text
+    assert got[2].label == "json-ld" and got[3].label == "p-aggregate" and got[3].n_paragraphs == 6
+    assert got[4].label == "body" and got[4].text == "few words" and got[4].status == "invalid" and got[5].text == "" and got[6].status == "invalid"
+
+
+def test_files_and_cases(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "Report of May.MD").write_text("one\ntwo")
+    (tmp_path / "in" / "b.txt").write_text("")
+    got = {r.title: r for r in views.read_files(spark, str(tmp_path / "in")).collect()}
+    assert got["Report of May"].raw_text == "one\ntwo" and got["Report of May"].extension == "md"
+    t = views.bucketed(spark.range(100).select((F.col("id") % 10).alias("case_id"), "id"), 8)
+    assert views.of_case(t, 3, 8).count() == views.of_case(t, 3).count() == 10
+
+
+def test_seed_counters(spark):
+    docs = spark.createDataFrame([(1, "PRIORITY_A", "CORE", False), (1, "NOISE", "CONTAMINATED", True), (2, "PRIORITY_B", "RELEVANT", False)], "case_id long, priority string, tier string, failed boolean")
+    found = spark.createDataFrame([(1, None), (1, "ARTIFACT"), (3, "NAV_RESIDUE")], "case_id long, reject_reason string")
+    done = spark.createDataFrame([(1, "promoted", 3), (1, "held", 9)], "case_id long, decision string, n_documents int")
+    got = {r.case_id: r for r in promotion.seed_counters(docs, found, done).collect()}
+    assert (got[1].documents, got[1].failed, got[1].priority_a, got[1].admitted, got[1].artifact_rejected, got[1].promoted, got[1].held, got[1].main_support) == (2, 1, 1, 1, 1, 1, 1, 3)
+    assert got[2].promoted == 0 and got[3].nav_rejected == 1
