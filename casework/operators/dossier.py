@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.operators.graph import degree
-from casework.operators.ranking import case_of, name_key, top_by
+from casework.operators.ranking import case_of, name_key, ranked, top_by
 
 # Events that count for accountability; generic names; types that pass the lock.
 ACCOUNTABILITY = ("CONTRACT_AWARDED CONTRACT AUDIT AUDIT_FLAG AUDIT_FINDING APPROPRIATION HEARING ENFORCEMENT ENFORCEMENT_ACTION PROGRAM_CHANGE VIOLATION INDICTMENT SETTLEMENT REGULATORY_ACTION BUDGET_ACTION GRANT_AWARD FRAUD_FLAG "
@@ -27,8 +27,7 @@ def entity_quality(entities: DataFrame, mentions: DataFrame, edges: DataFrame, s
     d = degree(edges).select(F.col("entity_id").alias("id"), F.col("degree").alias("n_edges"))
     e = entities.withColumn("name_key", name_key("name")).join(approved, ["case_id", "name_key"], "left").join(money, ["case_id", "name_key"], "left").join(d, "id", "left").join(in_title, "id", "left")
     e = e.withColumns({"n_documents": F.coalesce("n_documents", F.lit(0)), "n_edges": F.coalesce("n_edges", F.lit(0)), "financial": F.coalesce("financial", F.lit(False)), "avg_confidence": F.coalesce("avg_confidence", F.lit(0.5)), "in_title": F.coalesce("in_title", F.lit(False))})
-    most = e.groupBy("case_id").agg(F.greatest(F.max("n_documents"), F.lit(1)).alias("most"))
-    e = e.join(most, "case_id")
+    e = e.withColumn("most", F.greatest(F.max("n_documents").over(Window.partitionBy("case_id")), F.lit(1)))
     score = F.when(F.col("financial"), 3.0).otherwise(0.0) + 3 * F.col("avg_confidence") + 2 * F.col("n_documents") / F.col("most") + F.when(F.col("in_title"), 2.0).otherwise(0.0) + 2 * F.least(F.col("n_edges") / 3, F.lit(1.0))
     return e.select("id", "case_id", "name", "type", "n_documents", "n_edges", "financial", "in_title", F.round(score, 4).alias("score"))
 
@@ -55,7 +54,7 @@ def accountability(timeline: DataFrame, k: int = 8) -> DataFrame:
 
 def evidence_order(documents: DataFrame) -> DataFrame:
     """Documents of each case, the latest first, undated last."""
-    return top_by(documents, ["case_id"], [F.desc_nulls_last("publish_date"), "id"], 1 << 30).select("case_id", "rank", "id", "publish_date")
+    return ranked(documents, ["case_id"], [F.desc_nulls_last("publish_date"), "id"]).select("case_id", "rank", "id", "publish_date")
 
 
 def registry(entities: DataFrame, mentions: DataFrame) -> DataFrame:

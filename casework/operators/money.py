@@ -5,10 +5,10 @@ Each function takes the signals of all cases and gives rows of all cases.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casework.operators.ranking import case_of, first_by, name_key, top_by
+from casework.operators.ranking import case_of, first_by, name_key, ranked, top_by
 
 LEDGER_ROWS = 30
 NON_NUMERIC = "NON-NUMERIC"
@@ -87,15 +87,13 @@ def ranked_signals(signals: DataFrame, known_names: DataFrame) -> DataFrame:
     score = F.round(sum(parts[1:], parts[0]), 6)
     scored = one.withColumn("score", score).withColumn("numeric", ~is_non_numeric())
     best = top_by(scored, ["case_id", "numeric"], [F.desc("score"), "id"], 5)
-    with_numeric = best.filter("numeric").select("case_id").distinct().withColumn("has_numeric", F.lit(True))
-    best = best.join(with_numeric, "case_id", "left").filter(F.col("numeric") | (F.col("has_numeric").isNull() & (F.col("rank") <= 3)))
+    # ten rows a case at most; a window over them instead of the whole plan again
+    best = best.withColumn("has_numeric", F.max("numeric").over(Window.partitionBy("case_id"))).filter(F.col("numeric") | (~F.col("has_numeric") & (F.col("rank") <= 3)))
     return best.select("case_id", "rank", "id", "numeric", "score", "entity_name", "program_name", "normalized_amount", "signal_type", "financial_confidence", "inferred_signal", "controlled_by", "received_by", "amount_display")
 
 
 def fused(top: DataFrame) -> DataFrame:
     """Among the top signals, those that share a program or entity count as inferred where that is open, at a lower confidence."""
-    from pyspark.sql import Window
-
     keyed = top.withColumn("fusion_key", F.coalesce("program_name", "entity_name", F.lit("")))
     shared = (F.count("*").over(Window.partitionBy("case_id", "fusion_key")) >= 2) & (F.col("fusion_key") != "") & F.col("inferred_signal").isNull()
     lower = F.greatest(F.lit(0.10), F.col("financial_confidence") - 0.10)
@@ -146,7 +144,7 @@ def flow_trace(signals: DataFrame, party: str | None = None, numeric_only: bool
     kept = kept.withColumn("entity_key", F.lower(F.coalesce("entity_name", F.lit(""))))
     one = first_by(kept, ["case_id", "entity_key", "normalized_amount", "signal_type"], ["id"])
     order = F.desc_nulls_last("financial_confidence" if by_confidence else "normalized_amount")
-    return top_by(one, ["case_id"], [order, "id"], 1 << 30).select("case_id", "rank", "id", "entity_name", "normalized_amount", "signal_type")
+    return ranked(one, ["case_id"], [order, "id"]).select("case_id", "rank", "id", "entity_name", "normalized_amount", "signal_type")
 
 
 def back_linked(signals: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ def top_by(df: DataFrame, keys: list, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def ranked(df: DataFrame, keys: list, order: list) -> DataFrame:
+    """All rows with their ``rank`` in each group."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def name_key(c: Column | str) -> Column:
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
 

@@ -234,7 +234,7 @@ SER = f"intent in {_in(rules.SERIOUS)}"
 TRUST = f"""round(least(0.99::double, max_confidence + case when n_documents >= 3 then 0.14::double when n_documents >= 2 then 0.09::double else 0 end + case when in_front then 0.08::double else 0 end + case when title_hits >= 2 then 0.10::double when title_hits >= 1 then 0.05::double else 0 end + case when money_contexts >= 1 then 0.06::double else 0 end + case when is_agency then 0.06::double else 0 end
     + case when in_a then 0.06::double when in_quality then 0.03::double else 0 end + case when in_core then 0.12::double when in_relevant then 0.06::double else 0 end + case when n_high >= 2 then 0.09::double when n_high >= 1 then 0.05::double else 0 end + case when n_medium >= 2 then 0.04::double else 0 end
     + case when role_weight >= 9 then 0.12::double when role_weight >= 7 then 0.08::double when role_weight >= 5 then 0.05::double when role_weight >= 3 then 0.02::double else -0.12::double end - (case best_topic when 'LOW' then 0.10::double when 'OFF_TOPIC' then 0.30::double else 0 end + case when type = 'person' and not contains(display_name, ' ') and title_hits = 0 then 0.30::double else 0 end
-    + case when cluster in ('harbor', 'council') then 0.20::double else 0 end + case when n_tail = n_mentions then 0.18::double else 0 end + case when contaminated_only then 0.22::double else 0 end + case when {SER} and n_documents <= 1 and not in_front then 0.20::double else 0 end)), 4)"""
+    + case when cluster in ('harbor', 'council') then 0.20::double else 0 end + case when n_tail = n_mentions then 0.18::double else 0 end + case when contaminated_only then 0.22::double else 0 end + case when {SER} and n_documents <= 1 and not in_front then 0.20::double else 0 end)), 4) + 0.0::double"""
 GOOD, NAMED = "best_topic in ('HIGH', 'MEDIUM')", f"regexp_matches(display_name, '{rules.INSTITUTION}')"
 PASS = f"""case when contaminated_only then null when n_documents >= 2 and {GOOD} and max_confidence >= 0.60::double and (role_weight >= 3 or {NAMED}) then 1
     when (in_front or title_hits >= 1) and role_weight >= 3 and {GOOD} and max_confidence >= 0.68::double and case when {SER} then (role_weight >= 7 or is_agency) and in_a and best_topic = 'HIGH' else role_weight >= 5 or type in ('agency', 'organization') or in_quality end then 2
