@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import html_text, langid, metric_join, mixing, neardup, ngram_lm, packing, pii, quality, topk
+from casework.llm import html_text, langid, metric_join, mixing, neardup, ngram_lm, packing, pii, quality, token_counts, topk
 from casework.llm.common import fold_of, small_batches
 
 
@@ -74,6 +74,13 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -85,6 +92,7 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_quality": op9_quality,
     "op10_ngram_lm": op10_ngram_lm,
+    "op11_token_counts": op11_token_counts,
 }
 _USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 
