@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import html_text, langid, metric_join, mixing, neardup, ngram_lm, packing, pii, quality, token_counts, topk
+from casework.llm import html_text, langid, metric_join, mixing, neardup, ngram_lm, packing, pii, quality, spelling, token_counts, topk
 from casework.llm.common import fold_of, small_batches
 
 
@@ -81,6 +81,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), damage=97, least_length=5, least_count=3)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_ngram_lm": op10_ngram_lm,
     "op11_token_counts": op11_token_counts,
+    "op12_spelling": op12_spelling,
 }
 _USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 
