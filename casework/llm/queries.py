@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import html_text, langid, metric_join, mixing, neardup, ngram_lm, packing, pii, quality, spelling, token_counts, topk
+from casework.llm import html_text, langid, metric_join, mixing, neardup, negatives, ngram_lm, packing, pii, quality, spelling, token_counts, topk
 from casework.llm.common import fold_of, small_batches
 
 
@@ -86,6 +86,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -99,6 +104,7 @@ QUERIES = {
     "op10_ngram_lm": op10_ngram_lm,
     "op11_token_counts": op11_token_counts,
     "op12_spelling": op12_spelling,
+    "op13_negatives": op13_negatives,
 }
 _USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 
@@ -127,4 +133,12 @@ ORACLE_SQL: dict[str, str] = {
         reach as (select doc_id as a, doc_id as b from documents union select r.a, y.b from reach r join ways y on r.b = y.a),
         component as (select a as doc_id, min(b) as component_id from reach group by 1)
         select s.doc_id, cast(len(s.s) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept from s join component using (doc_id)""",
+    "op13_negatives": f"""
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings where label is not null and {_USABLE}),
+        s as materialized (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.e, b.e) as bigint) as score
+              from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+        select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, other) as integer) as rank, other as negative_id, positive_score, s.score as negative_score
+        from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+        qualify rank <= 5""",
 }
