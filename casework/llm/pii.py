@@ -137,7 +137,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 for k in range(0, len(labels) - 3, 4):
                     four = labels[k : k + 4]
                     end = start + sum(map(len, four)) + 3
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in four):
+                    if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in four):
                         out.append((start, 1, end))
                     start = end + 1
             if at >= ends["card"]:

@@ -99,3 +99,12 @@ def test_long_runs_stay_linear():
     for t in ("token " + "a-token_key" * 40_000, "password='x\"" * 40_000, "iban " * 40_000, "secret:" * 40_000, "token='" + "token=\"" * 40_000, "password=" + "x" * 400_000):
         pii.find(t)
     assert time.time() - start < 20
+
+
+def test_long_digit_runs(spark):
+    zeros = "0" * 5000
+    assert [k for k, s, e in pii.find(zeros + ".1.1.1")] == ["ip"]
+    assert pii.find(f"1{zeros}.1.1.1") == [] and pii.find("9" * 6000 + ".1.1.1 " + "7" * 6000) == []
+    assert [k for k, *_ in pii.find(f"0.0.{zeros}255.{zeros}")] == ["ip"]
+    rows = [(1, zeros + ".1.1.1"), (2, "1." * 9000)]
+    assert pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").first().text == "[IP]"
