@@ -13,8 +13,9 @@ The trees are fitted on pages that a generator makes from a few hundred random l
 roles (``TRAIN_PAGES``, a fixed number), so no labels of the table are needed.
 
 Null or empty html, or no content: empty text. Repeated rows: one result each. Unclosed and stray
-tags are taken as browsers do. Very long pages are read whole, in time linear in their length. Other
-columns are not read and keep their names; one named as the result is replaced. Empty table: empty.
+tags are taken as browsers do. Very long pages are read whole, in time linear in their length; their
+elements are judged ``ELEMENTS`` at a time, so that a task holds about 300 bytes for each element and not its
+whole row of features. Other columns are not read and keep their names; one named as the result is replaced. Empty table: empty.
 One map, no shuffle.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 420
+#: Elements whose whole feature rows (about 500 bytes each) are held at once.
+ELEMENTS = 20_000
 ROUNDS, DEPTH, RATE, BINS = 24, 4, 0.25, 32
 CONTENT, CHROME, FRAME = 0, 1, 2
 #: What a change of role on the way down costs, in log chances.
@@ -54,6 +57,7 @@ _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ENDS = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in ("script", "style")}
 
 
 def markup(html: str):
@@ -62,7 +66,7 @@ def markup(html: str):
     Quotes hide a > in attributes where they are closed. Markup that never ends takes the rest, as in browsers.
     """
     at, n = 0, len(html)
-    last, low = {q: html.rfind(q) for q in "\"'"}, None
+    last = {q: html.rfind(q) for q in "\"'"}
     while (start := html.find("<", at)) >= 0:
         if html.startswith("<!--", start):
             end = html.find("-->", start + 2)
@@ -81,10 +85,9 @@ def markup(html: str):
                 yield start, n, "", None, ""
                 continue
             at = e.end()
-            if not m[1] and m[2].lower() in ("script", "style"):  # what they hold is no markup
-                low = html.lower() if low is None else low
-                end = low.find(f"</{m[2].lower()}", at)
-                at = n if end < 0 or (close := html.find(">", end)) < 0 else close + 1
+            if not m[1] and m[2].lower() in _RAW_END:  # what they hold is no markup
+                end = _RAW_END[m[2].lower()].search(html, at)
+                at = n if end is None or (close := html.find(">", end.end())) < 0 else close + 1
             yield start, at, m[1], m[2], html[m.end() : e.start()]
         else:  # a < of the text
             at = start + 1
@@ -150,7 +153,8 @@ N_BASE = 24
 N_FEATURES = N_BASE + len(TAGS) + 1 + 4 + 64
 
 
-def features(page: Page) -> np.ndarray:
+def measures(page: Page) -> np.ndarray:
+    """What is measured of each element's subtree, its place and its siblings."""
     n = len(page.tag)
     own, marks, blocks = np.zeros(n), np.zeros(n), np.zeros(n)
     for k, t in page.texts:
@@ -175,26 +179,35 @@ def features(page: Page) -> np.ndarray:
         kids[p] += 1
         if under_link[p]:
             under_link[i] = 1
-    # sums over subtrees: children stand behind their parents
+    # sums over subtrees, which are runs of elements in page order
     s = np.stack([own, own * under_link, marks, np.ones(n), link, para, field, item, head, own * np.array([t in ("p", "pre", "blockquote") for t in tag], float), blocks])
     before = np.cumsum(own) - own  # own text of the elements that open before it
-    cols = [s[:, i] for i in range(n)]
+    size = [1] * n
     for i in range(n - 1, 0, -1):
-        cols[parent[i]] += cols[i]
+        size[parent[i]] += size[i]
+    sums = np.concatenate([np.zeros((len(s), 1)), np.cumsum(s, axis=1)], axis=1)
+    s = sums[:, np.arange(n) + np.array(size)] - sums[:, :-1]
     total = max(1.0, s[0, 0])
     text, linked, mark, count, links, paras, fields, items, heads, in_p, blocks_ = s
-    x = np.zeros((n, N_FEATURES), np.float32)
     up = np.maximum(0, np.array(parent))
     sib = np.maximum(1, kids[up])
-    x[:, :N_BASE] = np.stack(
+    return np.stack(
         [np.log1p(text), text / total, linked / np.maximum(1, text), mark / np.maximum(1, text) * 20, np.log1p(text / count), np.log1p(count), np.log1p(links), np.log1p(paras), np.log1p(fields), np.log1p(items),
          heads, in_p / np.maximum(1, text), np.log1p(text / np.maximum(1, blocks_)), depth, np.log1p(sib), index / sib, text / np.maximum(1, text[up]), before / total, np.log1p(own), own / np.maximum(1, text),
-         np.log1p(kids), paras / np.maximum(1, count), np.full(n, np.log1p(total)), (np.array(parent) == 0)], axis=1)
-    for i in range(n):
-        x[i, N_BASE + _TAG.get(tag[i], len(TAGS))] = 1
-        if page.words[i]:
+         np.log1p(kids), paras / np.maximum(1, count), np.full(n, np.log1p(total)), (np.array(parent) == 0)], axis=1, dtype=np.float32, casting="unsafe")
+
+
+def features(page: Page, base: np.ndarray | None = None, first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row for each element from first to last: its measures, its tag, its attribute words."""
+    base = measures(page) if base is None else base
+    last = len(page.tag) if last is None else last
+    x = np.zeros((last - first, N_FEATURES), np.float32)
+    x[:, :N_BASE] = base[first:last]
+    for i, (tag, words) in enumerate(zip(page.tag[first:last], page.words[first:last], strict=True)):
+        x[i, N_BASE + _TAG.get(tag, len(TAGS))] = 1
+        if words:
             c = N_BASE + len(TAGS) + 1
-            for w in page.words[i]:
+            for w in words:
                 x[i, c + (w in _GOOD)] += w in _GOOD or w not in _BAD
                 x[i, c + 2] += w in _BAD
                 x[i, c + 4 + hash_word(w) % 64] = 1
@@ -306,16 +319,33 @@ def text_of(page: Page, role: np.ndarray) -> str:
     return " ".join("".join(t if t == " " or role[k] == CONTENT else " " for k, t in page.texts).split())
 
 
-def extract_many(htmls: list[str | None], trees: Trees) -> list[str]:
-    out = []
-    for i in range(0, len(htmls), 200):
-        pages = [Page(h or "") for h in htmls[i : i + 200]]
-        chance = trees.chances(np.concatenate([features(p) for p in pages]))
-        at = 0
-        for p in pages:
-            mine = chance[at : at + len(p.tag)]
-            at += len(p.tag)
-            out.append(text_of(p, decode(p.parent, mine)))
+def extract_many(htmls: list[str | None], trees: Trees, elements: int = ELEMENTS) -> list[str]:
+    """The texts of pages, whose elements are judged some thousands at a time, across pages or within one."""
+    out, held, n = [], [], 0
+
+    def flush() -> None:
+        nonlocal n
+        if held:
+            chance, at = trees.chances(np.concatenate([x for _, x in held])), 0
+            for p, x in held:
+                out.append(text_of(p, decode(p.parent, chance[at : at + len(x)])))
+                at += len(x)
+        held.clear()
+        n = 0
+
+    for h in htmls:
+        page = Page(h or "")
+        size = len(page.tag)
+        if n + size > elements:
+            flush()
+        if size <= elements:
+            held.append((page, features(page)))
+            n += size
+        else:
+            base = measures(page)
+            chance = np.concatenate([trees.chances(features(page, base, i, min(i + elements, size))) for i in range(0, size, elements)])
+            out.append(text_of(page, decode(page.parent, chance)))
+    flush()
     return out
 
 

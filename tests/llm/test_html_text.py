@@ -73,3 +73,26 @@ def test_quotes_and_open_markup():
     text = lambda h: " ".join("".join(t for _, t in html_text.Page(h).texts).split())
     assert text("<p title='a > b'>one</p><p title='x>two</p>three") == "one two three"
     assert text("a < b <i>c</i> <!-- > --> d <!-->e") == "a < b c d e" and text("one <a href=") == "one"
+
+
+def test_text_behind_a_script_on_a_page_with_letters_whose_lower_case_is_longer():
+    for n in (40, 400):
+        body = "<html><head><title>" + "İ" * n + "</title></head><body><SCRIPT>x</ScRiPt ><style>y</STYLE><article>" + "<p>Some long words of a story, one after the other.</p>" * 6 + "</article></body></html>"
+        page = html_text.Page(body)
+        assert "".join(t for _, t in page.texts).count("Some long words") == 6
+        assert html_text.extract_many([body], html_text.fitted())[0].count("Some long words") == 6
+
+
+def test_elements_in_parts_give_the_same_texts():
+    pages = [html_text.Maker(s).page() for s in range(7000, 7012)]
+    trees = html_text.fitted()
+    want = html_text.extract_many(pages, trees)
+    assert html_text.extract_many(pages, trees, elements=40) == want and html_text.extract_many(pages, trees, elements=1) == want
+    assert html_text.extract_many(["".join(pages)], trees, elements=50) == html_text.extract_many(["".join(pages)], trees)
+
+
+def test_subtree_sums():
+    page = html_text.Page("<div>one<p>two.<a>three</a></p></div><p>four</p>")
+    assert page.tag == ["html", "div", "p", "a", "p"]
+    sizes = np.expm1(html_text.measures(page)[:, 0])
+    assert np.allclose(sizes, [16, 12, 9, 5, 4])
