@@ -211,7 +211,9 @@ def _news_sql():
 
 CASES = "select distinct o_orderkey % 50 as case_id, 'Harbor Council' as target, split_part('crime_corruption,legal_lawsuit,general,housing_homelessness,sports', ',', cast(o_orderkey % 50 % 5 as int) + 1) as intent, cast(o_orderkey % 50 % 4 as int) as n_aligned, cast(o_orderkey % 50 % 3 as int) as n_usable, cast(o_orderkey % 50 % 6 as int) as n_promoted, cast(o_orderkey % 50 % 20 as int) as n_documents, cast(o_orderkey % 50 % 4 as int) as main_support, o_orderkey % 50 % 7 = 0 as recovered, cast(o_orderkey % 50 % 9 as int) as n_detected from {orders}"
 FACTS = "select o_orderkey as document_id, concat('Report of ', split_part('Harbor Council,Metro Bank,the day,Apex Trust', ',', cast(o_custkey % 4 as int) + 1)) as title, split_part('PRIORITY_A,PRIORITY_B,LOW_SIGNAL', ',', cast(o_orderkey % 3 as int) + 1) as priority, split_part('CORE,RELEVANT,PERIPHERAL,PERIPHERAL', ',', cast(o_custkey % 4 as int) + 1) as tier, split_part('low,med,high', ',', cast(o_custkey % 3 as int) + 1) as contamination from {orders}"
-SEEN = "select m.*, concat('the ', case when m.id % 3 = 0 then 'budget' else 'news' end, ' of ', m.entity_name) as context from {mentions} m where m.document_id % 6 = 0"
+# Each tenth case has low topics alone, so that nothing passes and the late passes apply.
+SEEN = """select m.id, m.document_id, m.case_id, case m.id % 5 when 0 then concat(m.entity_name, ' East') when 1 then concat(m.entity_name, ' West') when 2 then concat('Greater ', m.entity_name) else m.entity_name end as entity_name, m.entity_type, m.confidence, m.status, m.role,
+    case when m.case_id % 10 = 9 then 'LOW' else m.topic end as topic, m.zone, concat('the ', case when m.id % 3 = 0 then 'budget' else 'news' end, ' of ', m.entity_name) as context from {mentions} m"""
 
 
 def _features(s, d):
@@ -384,7 +386,7 @@ PLANS = {
         None,
     ),
     "wrapper_pages": (
-        lambda s, d: load(s, d, "pages").select("page_id", pages.is_wrapper(F.col("html"), F.col("url"), text.plain_text(F.substring("html", 1, 400))).alias("wrapper")),
+        lambda s, d: load(s, d, "pages").select("page_id", pages.is_wrapper(F.col("html"), F.col("url"), text.plain_text(F.col("html"))).alias("wrapper")),
         None,
     ),
     "document_relevance": (

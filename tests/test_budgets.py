@@ -1,4 +1,4 @@
-from casework.operators import budgets, compiling, dossier, mentions
+from casework.operators import budgets, compiling, dossier, names
 
 TEXT = """City of Harbor Adopted Budget FY 2024
 GENERAL FUND
@@ -44,5 +44,5 @@ def test_log_is_appended(spark, tmp_path):
 def test_resolution(spark):
     have = spark.createDataFrame([(1, "Harbor Water Authority", 1), (1, "Apex Construction Group", 2), (1, "Bo", 3)], "case_id long, name string, id long")
     ask = spark.createDataFrame([(1, "the Harbor Water Authority's"), (1, "Harbor Water"), (1, "Apex Construction Partners"), (1, "Bob"), (2, "Harbor Water")], "case_id long, name string")
-    got = {(r.case_id, r.candidate): r.canonical for r in mentions.resolved(ask, have).collect()}
+    got = {(r.case_id, r.candidate): r.canonical for r in names.resolved(ask, have).collect()}
     assert got == {(1, "the Harbor Water Authority's"): "Harbor Water Authority", (1, "Harbor Water"): "Harbor Water Authority", (1, "Apex Construction Partners"): "Apex Construction Group", (1, "Bob"): None, (2, "Harbor Water"): None}
