@@ -51,6 +51,13 @@ CLUSTERS = f"""recursive named as ({NAMED}), keys as (select case_id, lower(trim
             select n.case_id, n.k, r.heads, n.name_key, list_filter(r.heads, lambda h: (contains(h, n.name_key) or contains(n.name_key, h)) and least(length(h), length(n.name_key)) >= 4)[1] as head from r join n on n.case_id = r.case_id and n.k = r.k + 1) x),
     clusters as (select case_id, name_key, cluster from r where k > 0)"""
 
+# Fixed values of the density rule, as its source lists them.
+STOCK = """['sign up for our newsletter', 'subscribe to our newsletter', 'click here to subscribe', 'sign in to continue', 'sign in to read', 'sign in to access', 'log in to continue', 'create a free account', 'buy a subscription', 'subscribe to continue', 'subscribe to read', 'subscribe to access',
+    'become a member', 'unlock full access', 'already a subscriber', 'subscription required', 'follow us on', 'share this article', 'download the app', 'get the app', 'click here', 'read more', 'related articles', 'more stories', 'most popular', 'trending now', 'you may also like',
+    'recommended for you', 'also read', 'terms of service', 'privacy policy', 'all rights reserved', 'javascript is required', 'enable javascript', 'please enable', 'cookie policy', 'we use cookies', 'your subscription', 'newsletter signup', 'advertisement', 'sponsored content']"""
+WALLS = "['sign in to continue', 'sign in to read', 'subscribe to continue', 'subscribe to read', 'subscription required', 'unlock full access', 'create a free account to read', 'before you continue to google', 'enable javascript to continue', 'javascript is required to view']"
+MENUS = "['sign in', 'log in', 'subscribe', 'newsletter', 'advertisement', 'related articles', 'click here', 'read more', 'most popular', 'trending', 'you may also like', 'follow us', 'download the app', 'share on', 'copy link', 'copied!', 'email this']"
+
 # tags to spaces, character references decoded, as text.plain_text says
 PLAIN_TEXT = "html"
 for _what, _to in (("'<[^>]*>'", "' '"),):
@@ -84,9 +91,12 @@ PLANS = {
     ),
     "content_density": (
         lambda s, d: load(s, d, "documents").select("doc_id", documents.density(F.col("text")).cast("int").alias("density")),
-        r"""with parts as (select doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 30) as said, list_filter(regexp_split_to_array(text, '\n+'), lambda x: length(trim(x)) >= 80 and regexp_matches(trim(x), '[.!?]$')) as paras from {documents}),
-            n as (select doc_id, length(text) as n, case when len(said) > 0 then list_sum(list_transform(said, lambda x: length(x))) / len(said) else 0 end as mean, len(paras) as paras, len(regexp_extract_all(text, '(?i)\b\d\d\d\d\b|\$[\d,.]+|\b\d+%|\b\d+\s+(?:million|billion|thousand)\b')) as numbers from parts)
-            select doc_id, cast(case when n < 50 then 0 else case when n >= 2000 then 30 when n >= 1000 then 20 when n >= 600 then 12 when n >= 300 then 5 else 0 end + case when mean >= 80 then 30 when mean >= 50 then 20 when mean >= 30 then 10 else 0 end + least(20, paras * 5) + least(10, numbers * 2) end as integer) as density from n""",
+        rf"""with parts as (select doc_id, text, lower(text) as low, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 30) as said, list_filter(list_transform(string_split_regex(text, '\n\n+'), lambda x: trim(x)), lambda x: length(x) >= 80 and regexp_matches(x, '[.!?]') and len(list_filter({STOCK}, lambda w: contains(lower(x), w))) = 0) as paras,
+                list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 15)) as told from {{documents}}),
+            n as (select *, length(text) as n, case when len(said) > 0 then list_sum(list_transform(said, lambda x: length(x))) / len(said) else 0 end as mean, len(regexp_extract_all(text, '(?i)\b\d{{4}}\b|\$[\d,.]+|\b\d+%|\b\d+\s+(?:million|billion|thousand)\b')) as numbers, len(list_filter({MENUS}, lambda w: contains(low, w))) as found from parts),
+            p as (select *, case when n >= 2000 then 30 when n >= 1000 then 20 when n >= 600 then 12 when n >= 300 then 5 else 0 end + case when mean >= 80 then 30 when mean >= 50 then 20 when mean >= 30 then 10 else 0 end + least(20, len(paras) * 5) + least(10, numbers * 2)
+                - case when len(list_filter({WALLS}, lambda w: contains(low, w))) > 0 or len(list_filter({STOCK}, lambda w: contains(low, w))) >= 2 then 40 else 0 end as points from n)
+            select doc_id, cast(case when n < 50 then 0 else greatest(0, greatest(0, points) - case when (found >= 4 and n < 1500) or found * 500 > n * 3 or (len(lines) > 5 and len(list_filter(lines, lambda x: length(x) < 40)) > 0.6::double * len(lines)) or (n > 400 and told < 2) then 30 else 0 end) end as integer) as density from p""",
     ),
     "target_classes": (
         lambda s, d: _view(s, d, TARGETS, "orders").withColumn("m", targets.mode(F.col("target"))).select("id", targets.intent(F.col("target")).alias("intent"), "m.mode", "m.confidence"),
