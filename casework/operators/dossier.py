@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.operators.graph import degree
-from casework.operators.ranking import case_of, name_key, ranked, top_by
+from casework.operators.ranking import case_of, name_key, ranked_whole, top_by
 
 # Events that count for accountability; generic names; types that pass the lock.
 ACCOUNTABILITY = ("CONTRACT_AWARDED CONTRACT AUDIT AUDIT_FLAG AUDIT_FINDING APPROPRIATION HEARING ENFORCEMENT ENFORCEMENT_ACTION PROGRAM_CHANGE VIOLATION INDICTMENT SETTLEMENT REGULATORY_ACTION BUDGET_ACTION GRANT_AWARD FRAUD_FLAG "
@@ -54,7 +54,7 @@ def accountability(timeline: DataFrame, k: int = 8) -> DataFrame:
 
 def evidence_order(documents: DataFrame) -> DataFrame:
     """Documents of each case, the latest first, undated last."""
-    return ranked(documents, ["case_id"], [F.desc_nulls_last("publish_date"), "id"]).select("case_id", "rank", "id", "publish_date")
+    return ranked_whole(documents.select("case_id", "id", "publish_date"), ["case_id"], [F.desc_nulls_last("publish_date"), "id"]).select("case_id", "rank", "id", "publish_date")
 
 
 def registry(entities: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from casework.operators.ranking import case_of, first_by, name_key, top_by
 
+#: Letters that a name must have to stand for a longer one.
+LEAST_PREFIX = 4
 JUNK_EDGE = r"(?i)\b(with|by|from|of|and|or|the|a|an|co_mention|title_co_mention|cooccurrence|generic|unknown|mentioned|appears|found)\b"
 
 
@@ -112,10 +114,12 @@ def financial_links(signals: DataFrame, entities: DataFrame, edges: DataFrame) -
     s = signals.select("id", "case_id", name_key(F.coalesce("controlled_by", "entity_name")).alias("payer"), name_key("received_by").alias("receiver")).filter("payer is not null and receiver is not null")
     names = entities.select("case_id", F.col("id").alias("entity_id"), name_key("name").alias("name_key"))
     wanted = s.select("case_id", F.explode(F.array("payer", "receiver")).alias("party")).distinct()
-    exact = wanted.join(names, (wanted.case_id == names.case_id) & (wanted.party == names.name_key)).groupBy(wanted.case_id, "party").agg(F.min("entity_id").alias("entity_id"))
-    rest = wanted.join(exact, ["case_id", "party"], "left_anti")
-    prefix = rest.join(names, "case_id").filter("length(party) >= 4 and length(name_key) >= 4 and (startswith(party, name_key) or startswith(name_key, party))").groupBy("case_id", "party").agg(F.min("entity_id").alias("entity_id"))
-    match = exact.select("case_id", "party", "entity_id").union(prefix.select("case_id", "party", "entity_id"))
+    # the heads of one side are looked up as whole names of the other; a whole name comes first
+    heads = lambda c, last: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda n: F.substring(F.col(c), F.lit(1), n)), lambda x: F.length(x) >= LEAST_PREFIX)
+    shorter = wanted.select("case_id", "party", F.explode(F.array_distinct(F.concat(heads("party", F.length("party")), F.array("party")))).alias("name_key")).join(names, ["case_id", "name_key"])
+    longer = names.select("case_id", "entity_id", F.explode(heads("name_key", F.length("name_key") - 1)).alias("party")).join(wanted, ["case_id", "party"])
+    found = shorter.select("case_id", "party", "entity_id", (F.col("name_key") != F.col("party")).alias("in_part")).union(longer.select("case_id", "party", "entity_id", F.lit(True)))
+    match = found.groupBy("case_id", "party").agg(F.min(F.struct("in_part", "entity_id")).alias("m")).select("case_id", "party", "m.entity_id")
     linked = s.join(match.select("case_id", F.col("party").alias("payer"), F.col("entity_id").alias("source_id")), ["case_id", "payer"]).join(match.select("case_id", F.col("party").alias("receiver"), F.col("entity_id").alias("target_id")), ["case_id", "receiver"])
     linked = linked.filter("source_id <> target_id").withColumns({"entity_a_id": F.least("source_id", "target_id"), "entity_b_id": F.greatest("source_id", "target_id")})
     one = first_by(linked, ["entity_a_id", "entity_b_id"], ["id"])

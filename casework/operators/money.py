@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casework.operators.ranking import case_of, first_by, name_key, ranked, top_by
+from casework.operators.ranking import case_of, first_by, name_key, ranked_whole, top_by
 
 LEDGER_ROWS = 30
 NON_NUMERIC = "NON-NUMERIC"
@@ -144,7 +144,8 @@ def flow_trace(signals: DataFrame, party: str | None = None, numeric_only: bool
     kept = kept.withColumn("entity_key", F.lower(F.coalesce("entity_name", F.lit(""))))
     one = first_by(kept, ["case_id", "entity_key", "normalized_amount", "signal_type"], ["id"])
     order = F.desc_nulls_last("financial_confidence" if by_confidence else "normalized_amount")
-    return ranked(one, ["case_id"], [order, "id"]).select("case_id", "rank", "id", "entity_name", "normalized_amount", "signal_type")
+    few = one.select("case_id", "id", "entity_name", "normalized_amount", "signal_type", "financial_confidence")
+    return ranked_whole(few, ["case_id"], [order, "id"]).select("case_id", "rank", "id", "entity_name", "normalized_amount", "signal_type")
 
 
 def back_linked(signals: DataFrame, mentions: DataFrame) -> DataFrame:
