@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from casework.functions import mention_rules as rules
 from casework.functions import pages, parties, relevance, targets, text
 from casework.functions.documents import cleaned
-from casework.operators import articles, extraction, findings, money, overview, promotion
+from casework.operators import articles, extraction, findings, listed, money, overview, promotion
 from casework.plans.document_plans import _bodies, _view
 from casework.sources.views import load
 
@@ -91,6 +91,20 @@ def _reasons(s, d):
     return _ruled(s, d).select("id", "case_id", rules.reject_reason(c("entity_name"), c("kind"), c("confidence"), c("topic"), c("r.role"), c("context"), c("zone"), c("intent")).alias("reject_reason"))
 
 
+# Names of each case's entities on lists, some on several.
+LISTED = "select distinct name, split_part('blocked,leisure,celebrity,foreign,skipped,other', ',', cast(id % 6 as int) + 1) as list from {entities} union all select distinct split_part(lower(name), ' ', 1) as name, 'first_name' as list from {entities} where type = 'person' union all select 'Casey', 'skipped' union all select 'of', 'skipped'"
+ON = lambda *lists: f"entity_name in (select name from listed where list in {_in(lists)})"
+LISTED_RULES = f"""when {ON('blocked')} or ({ON('leisure')} and intent not in ('entertainment_film', 'sports')) then 'BLOCKLIST' when (kind = 'person' and {ON('celebrity')} and intent not in ('entertainment_film', 'sports')) or ({ON('foreign')} and {SERIOUS}) then 'TOPIC_MISMATCH'
+    when kind = 'person' and len({WORDS}) = 1 and lower(trim(entity_name)) in (select name from listed where list = 'first_name') and role in ('UNKNOWN', 'PERSON') then 'COMMON_FIRST_NAME' """
+LISTED_REASON = REASON.replace("then 'CROSS_STORY'\n    when", "then 'CROSS_STORY' " + LISTED_RULES + "\n    when", 1).replace("when " + MISSHAPEN, f"when {MISSHAPEN} or {WORDS}[1] in (select name from listed where list = 'skipped')", 1)
+
+
+def _listed_reasons(s, d):
+    m = listed.flagged(_ruled(s, d), _view(s, d, LISTED, "entities"), "entity_name")
+    c = F.col
+    return m.select("id", "case_id", rules.reject_reason(c("entity_name"), c("kind"), c("confidence"), c("topic"), c("r.role"), c("context"), c("zone"), c("intent"), listed.flags_of()).alias("reject_reason"))
+
+
 # --- money: parties and confidence --------------------------------------------------------------
 
 
@@ -255,9 +269,9 @@ def _decided(s, d):
     return promotion.promoted(_features(s, d), _view(s, d, CASES, "orders").select("case_id", "target", "intent", "n_aligned", "n_usable"))
 
 
-def _mentioned(s, d):
+def _mentioned(s, d, lists=None):
     docs = _bodies(s, d).withColumns({"intent": F.lit("finance_funding"), "terms": F.array(*map(F.lit, TERMS)), "lead_only": F.col("document_id") % 5 == 0})
-    return extraction.extracted(docs)
+    return extraction.extracted(docs, lists=lists)
 
 
 FACTS_OF = """select o_orderkey as case_id, concat('Audit of the ', split_part('Harbor Housing Council,Metro Budget,city', ',', cast(o_custkey % 3 as int) + 1)) as title, split_part('person_target,funding_target,government_agency_target,scandal_target,organization_target,program_target,place_target,general', ',', cast(o_orderkey % 8 as int) + 1) as mode,
@@ -333,11 +347,13 @@ PLANS = {
         f"with {RULED} select id, topic from ruled",
     ),
     "reject_reasons": (_reasons, f"with {RULED} select id, case_id, {REASON} as reject_reason from ruled"),
+    "listed_reasons": (_listed_reasons, f"with listed as ({LISTED}), {RULED} select id, case_id, {LISTED_REASON} as reject_reason from ruled"),
     "reject_histogram": (
         lambda s, d: extraction.reject_histogram(_reasons(s, d)),
         f"with {RULED}, reasons as (select case_id, {REASON} as reject_reason from ruled), n as (select case_id, reject_reason, count(*) as n from reasons where reject_reason is not null group by 1, 2) select case_id, reject_reason, n, cast(rank as integer) as rank from (select *, row_number() over (partition by case_id order by n desc, reject_reason) as rank from n) where rank <= 5",
     ),
     "admitted_mentions": (lambda s, d: _mentioned(s, d).filter("reject_reason is null").drop("context"), None),
+    "screened_mentions": (lambda s, d: _mentioned(s, d, _view(s, d, LISTED, "entities")).drop("context"), None),
     "party_signals": (
         lambda s, d: _signals(s, d).select("document_id", "pos", "amount_display", "normalized_amount", "signal_type", "entity_name", "controlled_by", "received_by", "program_name", "financial_confidence"),
         f"with {PARTIES} select document_id, pos, amount_display, amount as normalized_amount, signal_type, entity_name, controlled_by, received_by, program_name, financial_confidence from signals",
