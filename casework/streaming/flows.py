@@ -1,7 +1,7 @@
 """Documents and log entries that keep arriving, as Structured Streaming jobs.
 
-State is kept for url dedupe alone; extraction is stateless; what depends on a whole case is
-recomputed for the cases that a batch touches.
+Seen urls and documents are keyed state; extraction is stateless. What depends on a whole case is kept
+as partial sums that a batch adds to (``summaries``), or recomputed for the cases that a batch touches.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from casework.operators.dossier import SEVERITY
 
@@ -21,26 +20,37 @@ def fresh_documents(stream: DataFrame, time: str = "arrived_at", delay: str = "1
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["source_url"])
 
 
+#: Keyed state on the executors' disks, written as changes: what a batch costs doesn't depend on how many keys there are.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Starts a query whose state is kept in RocksDB; the session's own setting stays as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        return start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def analyse_on_arrival(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "document_id") -> StreamingQuery:
     """Writes what ``extract`` finds in each new document below path/found; documents that were seen are skipped.
 
-    The keys of all documents, also of those in which nothing was found, go to a narrow table below
-    path/seen. Each batch has a folder of its own in both and overwrites it, so that one that runs
-    again after a failure adds nothing twice.
+    The keys of all documents, also of those in which nothing was found, are keyed state of the
+    query, kept with its checkpoint: a batch looks up its own keys alone and reads nothing of what
+    came before. One row of each key is taken. Each batch has a folder of its own and overwrites it,
+    and takes the state that it had, so that one that runs again after a failure adds nothing twice.
     """
     spark = stream.sparkSession
-    empty = spark.createDataFrame([], stream.schema)
-    keys = StructType(empty.select(key).schema.fields).add("batch", "long")
 
     def batch(df: DataFrame, number: int) -> None:
-        before = spark.read.schema(keys).parquet(f"{path}/seen").filter(F.col("batch") != number).select(key)
-        df.join(before, key, "left_anti").select(key).distinct().write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
-        own = spark.read.schema(empty.select(key).schema).parquet(f"{path}/seen/batch={number}")
-        extract(df.join(own, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/found/batch={number}")
+        extract(df).write.mode("overwrite").parquet(f"{path}/found/batch={number}")
 
-    empty.select(key).write.mode("ignore").parquet(f"{path}/seen/batch=-1")
-    extract(empty).write.mode("ignore").parquet(f"{path}/found/batch=-1")
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    extract(spark.createDataFrame([], stream.schema)).write.mode("ignore").parquet(f"{path}/found/batch=-1")
+    fresh = stream.dropDuplicates([key])
+    return _with_rocksdb(spark, lambda: fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def found(spark: SparkSession, path: str) -> DataFrame:

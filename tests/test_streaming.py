@@ -1,7 +1,13 @@
+import math
+import random
+
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from casework.operators.feed import feed_items
-from casework.streaming import flows
+from casework.sources.views import load
+from casework.streaming import flows, summaries
 
 
 def test_new_documents_are_analysed_once(spark, tmp_path):
@@ -20,6 +26,84 @@ def test_new_documents_are_analysed_once(spark, tmp_path):
     assert sum(given) == 4  # the empty one, too, is taken once
 
 
+def test_a_failed_batch_runs_again_and_adds_nothing_twice(spark, tmp_path):
+    src, out, check = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check"
+    schema, fail = "document_id long, text string", [False]
+
+    def extract(df):
+        if fail[0] and df.count():
+            df.select("document_id").write.mode("append").parquet(f"{tmp_path}/lost")
+            raise RuntimeError("lost")
+        return df.select("document_id", F.length("text").alias("n"))
+
+    def run():
+        return flows.analyse_on_arrival(spark.readStream.schema(schema).parquet(src), extract, out, check)
+
+    states = []
+    for i in range(4):
+        spark.createDataFrame([(k, "x" * k) for k in range(10 * i + 5)], schema).write.mode("append").parquet(src)
+        fail[0] = i == 2
+        q = run()
+        if fail[0]:
+            with pytest.raises(StreamingQueryException):
+                q.awaitTermination()
+            fail[0] = False
+            q = run()
+        q.awaitTermination()
+        states.append(q.lastProgress["stateOperators"][0])
+    assert sorted(map(tuple, flows.found(spark, out).collect())) == [(k, k) for k in range(35)]
+    # the state holds every key, of which a batch writes its new ones alone
+    assert states[-1]["numRowsTotal"] == 35 and states[-1]["numRowsUpdated"] == 10 and any(x.startswith("rocksdb") for x in states[-1]["customMetrics"])
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != flows.ROCKSDB
+
+
+def test_kept_summaries_equal_whole_recomputation(spark, tmp_path, sf_dir):
+    signals = load(spark, sf_dir, "signals").withColumn("case_id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("case_id")))  # a third in one case
+    odd = spark.createDataFrame([(-1, 7, None, None, None, None, None), (-2, None, 1, "x", 5.0, "$5", None), (-3, 900, 1, " X ", 0.1, "$.1", "GRANT"), (-4, 900, 1, "x", 0.2, "$.2", None), (-4, 900, 1, "x", 0.2, "$.2", None), (-5, 900, 2, "y", 1e300, "$1", None), (-6, 900, 2, "y", -1e300, "$1", None)], "id long, case_id long, document_id long, entity_name string, normalized_amount double, amount_display string, signal_type string")
+    every = signals.select(odd.columns).union(odd).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(3)))
+    src, out, check = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check"
+    for part in range(3):
+        every.filter(F.col("part") == part).drop("part").write.mode("append").parquet(src)
+        q = summaries.keep_case_money(spark.readStream.schema(odd.schema).parquet(src), out, check)
+        q.awaitTermination()
+        got = sorted(map(tuple, summaries.kept(spark, out).collect()))
+        assert got == sorted(map(tuple, summaries.case_money(spark.read.parquet(src)).collect()))
+    # against plain sums
+    rows = every.filter("case_id is not null").collect()
+    want = {}
+    for r in rows:
+        want.setdefault(r.case_id, []).append(r)
+    for case, n, numeric, total, largest, names, documents in got:
+        of = want[case]
+        counted = [r for r in of if r.normalized_amount is not None and "NON" not in (r.amount_display or "")]
+        assert n == len(of) and total == math.fsum(r.normalized_amount for r in counted)
+        assert largest == [r.id for r in sorted(counted, key=lambda r: (-r.normalized_amount, r.id))[:5]]
+        assert names == len({r.entity_name.strip().lower() for r in of if r.entity_name is not None})
+        exact = len({r.document_id for r in of if r.document_id is not None})
+        assert documents == exact if exact <= summaries.EXACT else abs(documents - exact) < 0.1 * exact
+    assert len(got) == len(want) and dict((r[0], r[3]) for r in got)[900] == 0.1 + 0.2 + 0.2
+
+
+def test_parts_merge_in_any_order():
+    rng = random.Random(1)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    ways = []
+    for seed in range(3):
+        own = hashes[:]
+        random.Random(seed).shuffle(own)
+        d = summaries.Distinct()
+        for i in range(0, 5000, 700):
+            part = summaries.Distinct()
+            part.add(own[i : i + 700])
+            d.merge(part)
+        ways.append((d.registers, d.count()))
+    assert ways[0] == ways[1] == ways[2] and abs(ways[0][1] - 5000) < 500
+    numbers = [rng.uniform(-1e12, 1e12) for _ in range(200)] + [1e300, 1e-300, -1e300]
+    for _ in range(5):
+        rng.shuffle(numbers)
+        assert math.fsum(summaries._exact(summaries._exact(numbers[:100]) + summaries._exact(numbers[100:]))) == math.fsum(numbers)
+
+
 def test_touched_cases_are_compiled_again(spark, tmp_path):
     src, out = f"{tmp_path}/in", f"{tmp_path}/out"
     schema = "case_id long, document_id long"
