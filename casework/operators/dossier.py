@@ -73,6 +73,70 @@ def profiles(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return e.select("id", "case_id", "n_approved", "n_pending", "n_rejected", "n_documents", "first_document", "last_document", case_of("LIMITED", ((d >= 3) & (a >= 3), "STRONG"), ((d >= 2) | (a >= 2), "MODERATE")).alias("strength"))
 
 
+def profile_documents(entities: DataFrame, mentions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, rank, document_id, n_mentions, title, source_domain): the documents that mention each entity of their case, the most mentions first.
+
+    Mentions are counted by (case, name, document) first, so that a name with many mentions is few rows.
+    """
+    counted = mentions.filter("document_id is not null").groupBy("case_id", name_key("entity_name").alias("name_key"), "document_id").agg(F.count("*").alias("n_mentions"))
+    rows = entities.select("id", "case_id", name_key("name").alias("name_key")).join(counted, ["case_id", "name_key"]).select("id", "document_id", "n_mentions")
+    placed = ranked_whole(rows, ["id"], [F.desc("n_mentions"), "document_id"])
+    return placed.join(documents.select(F.col("id").alias("document_id"), "title", "source_domain"), "document_id", "left").select("id", "rank", "document_id", "n_mentions", "title", "source_domain")
+
+
+def profile_lists(entities: DataFrame, mentions: DataFrame, documents: DataFrame, timeline: DataFrame, k: int = 8) -> DataFrame:
+    """(id, documents, events): for each entity its k most mentioning documents (document_id, n_mentions) and k first events (id, event_date) of these and other documents that mention it.
+
+    Each list is cut to k before its rows move together.
+    """
+    counted = mentions.filter("document_id is not null").groupBy("case_id", name_key("entity_name").alias("name_key"), "document_id").agg(F.count("*").alias("n_mentions"))
+    rows = entities.select("id", "case_id", name_key("name").alias("name_key")).join(counted, ["case_id", "name_key"]).select("id", "document_id", "n_mentions").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    listed = lambda df, name, *fields: df.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("l")).select("id", F.transform("l", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
+    docs = listed(top_by(rows, ["id"], [F.desc("n_mentions"), "document_id"], k), "documents", "document_id", "n_mentions")
+    dated = timeline.filter("event_date is not null").select("document_id", F.col("id").alias("event_id"), "event_date")
+    events = listed(top_by(rows.join(dated, "document_id"), ["id"], ["event_date", "event_id"], k), "events", "event_id", "event_date")
+    return entities.select("id").join(docs, "id", "left").join(events, "id", "left")
+
+
+def profile_facts(quality: DataFrame, mentions: DataFrame, signals: DataFrame, edges: DataFrame) -> DataFrame:
+    """Documents, approved mentions, signals with their total, edges, strength and open questions of each locked entity (id, case_id, name, type, n_documents).
+
+    questions: at most three codes, in order: MORE_SOURCES, FIND_FLOWS (agencies and contractors without signals), MAP_LINKS, AUTHORITY (persons); VERIFY where none holds.
+    """
+    approved = mentions.filter("status = 'approved'").groupBy("case_id", name_key("entity_name").alias("name_key")).agg(F.count("*").alias("n_mentions"))
+    paid = signals.filter("entity_name is not null").groupBy("case_id", name_key("entity_name").alias("name_key")).agg(F.count("*").alias("n_signals"), F.sum("normalized_amount").alias("signal_total"))
+    d = degree(edges).select(F.col("entity_id").alias("id"), F.col("degree").alias("n_edges"))
+    e = quality.withColumn("name_key", name_key("name")).join(approved, ["case_id", "name_key"], "left").join(paid, ["case_id", "name_key"], "left").join(d, "id", "left").fillna(0, ["n_mentions", "n_signals", "n_edges"]).fillna(0.0, ["signal_total"])
+    n, kind = F.col, display_type(F.col("type"))
+    asks = [(n("n_documents") < 2, "MORE_SOURCES"), ((n("n_signals") == 0) & kind.isin("COMPANY", "CONTRACTOR", "AGENCY"), "FIND_FLOWS"), (n("n_edges") == 0, "MAP_LINKS"), (kind == "PERSON", "AUTHORITY")]
+    codes = F.slice(F.array_compact(F.array(*[F.when(p, code) for p, code in asks])), 1, 3)
+    strength = case_of("LIMITED", ((n("n_documents") >= 3) & (n("n_mentions") >= 3), "STRONG"), ((n("n_documents") >= 2) | (n("n_mentions") >= 2), "MODERATE"))
+    return e.select("id", "case_id", "n_documents", "n_mentions", "n_signals", "signal_total", "n_edges", strength.alias("strength"), F.when(F.size(codes) == 0, F.array(F.lit("VERIFY"))).otherwise(codes).alias("questions"))
+
+
+def _named(rows: DataFrame, by: str, out: str, names: DataFrame, name: str, word: str) -> DataFrame:
+    """rows with the name of the row that ``by`` points to, or the word and the number where there is none."""
+    of = names.select(F.col("id").alias(by), F.nullif(F.col(name), F.lit("")).alias("_name"))
+    return rows.join(of, by, "left").withColumn(out, F.coalesce("_name", F.concat(F.lit(f"{word} "), F.col(by).cast("string")))).drop("_name")
+
+
+def named_flows(flows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Money flows (id, case_id, source_entity_id, destination_entity_id, amount, currency) with the names of both ends."""
+    out = _named(_named(flows, "source_entity_id", "source_name", entities, "name", "Entity"), "destination_entity_id", "destination_name", entities, "name", "Entity")
+    return out.select("id", "case_id", "source_name", "destination_name", "amount", F.coalesce(F.nullif("currency", F.lit("")), F.lit("USD")).alias("currency"))
+
+
+def named_timeline(timeline: DataFrame, entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """Events (id, case_id, event_date, title, linked_entity_id, document_id) with the names of what they are linked to, null where to nothing."""
+    out = _named(_named(timeline, "linked_entity_id", "entity_name", entities, "name", "Entity"), "document_id", "document_title", documents, "title", "Document")
+    return out.select("id", "case_id", "event_date", "title", "entity_name", "document_title")
+
+
+def named_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """Evidence (id, relationship_id, document_id) with the titles of its documents."""
+    return _named(evidence, "document_id", "document_title", documents, "title", "Document").select("id", "relationship_id", "document_id", "document_title")
+
+
 def latest_log(log: DataFrame, k: int = 200) -> DataFrame:
     """The last k entries of each case with their severity."""
     severity = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casework.functions.pages import credibility
 from casework.operators.ranking import case_of, first_by, name_key, top_by
 
 PROMOTED = 8
@@ -179,6 +180,21 @@ def triage_view(mentions: DataFrame, cases: DataFrame, entities: DataFrame) -> D
     return m.join(cases.select(F.col("id").alias("case_id"), F.col("title").alias("case_title")), "case_id", "left").select("id", "case_id", "case_title", "entity_name", "confidence", F.coalesce("exists_", F.lit(False)).alias("entity_exists"))
 
 
+def mention_view(mentions: DataFrame, cases: DataFrame, documents: DataFrame, document_id: int | None = None, case_id: int | None = None, status: str | None = None) -> DataFrame:
+    """Mentions of a document, case or status (any where not given) with the title and existence of their case, and the title and tier of their source.
+
+    documents: (id, title, source_domain, raw_text, from_web). A mention without its case or document is kept.
+    """
+    kept = mentions
+    for name, value in (("document_id", document_id), ("case_id", case_id), ("status", status)):
+        kept = kept if value is None else kept.filter(F.col(name) == value)
+    of_case = cases.select(F.col("id").alias("case_id"), F.col("title").alias("case_title"), F.lit(True).alias("known"))
+    tier = credibility(F.col("source_domain"), F.col("raw_text"), F.coalesce("from_web", F.lit(False)))
+    of_document = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), tier.alias("source_tier"))
+    m = kept.join(of_case, "case_id", "left").join(of_document, "document_id", "left")
+    return m.select("id", "document_id", "case_id", "entity_name", "confidence", "status", "case_title", F.coalesce("known", F.lit(False)).alias("case_exists"), "document_title", "source_tier")
+
+
 def histogram(decided: DataFrame, by: str) -> DataFrame:
     """Rows per case and value, the five most frequent of each case."""
     counted = decided.groupBy("case_id", by).count()
