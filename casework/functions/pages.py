@@ -27,7 +27,7 @@ MENU = [
     "trending", "you may also like", "follow us", "download the app", "share on", "copy link", "copied!", "email this",
 ]
 WRAPPER_URLS = ["news.google.com", "google.com/search", "accounts.google.com", "feedproxy.google.com"]
-COOKIE_WALLS = r"(?i)accept.*cookies.*and.*continue|before you continue to google|we use cookies to"
+COOKIE_WALLS = [r"(?i)accept.*cookies.*and.*continue", r"(?i)before you continue to google", r"(?i)we use cookies to"]
 JUNK_PHRASES = ["google news", "sign in to continue", "subscribe to continue", "enable javascript"]
 # Words that make a document's signal, counted in its first 5,000 characters.
 FINANCIAL = r"\$|USD|budget|funding|grant|contract|appropriation|invest|award|payment|spending|allocated"
@@ -114,7 +114,7 @@ def is_wrapper(html: Column, url: Column, text: Column) -> Column:
     """Whether a page only leads to another, asks for cookies, or has no text of its own."""
     head, low = F.lower(F.substring(html, 1, 3000)), F.lower(text)
     own = F.contains(head, F.lit("<!doctype html>google")) | F.contains(head, F.lit("<title>google news</title>")) | (F.contains(head, F.lit("news.google.com/articles")) & (F.length(html) < 10000))
-    wall = html.rlike(COOKIE_WALLS) & (F.length(html) < 8000)
+    wall = (F.length(html) < 8000) & (html.rlike(COOKIE_WALLS[0]) | html.rlike(COOKIE_WALLS[1]) | html.rlike(COOKIE_WALLS[2]))
     return has_any(F.lower(url), WRAPPER_URLS) | own | wall | (F.length(F.trim(text)) < 120) | (has_any(low, JUNK_PHRASES) & (F.length(text) < 300))
 
 

@@ -14,10 +14,10 @@ EVENT_WORDS = [
     (r"\b(?:launched?|opening|opened|created|founded|established|started|began|initiated)\b", "PROGRAM_LAUNCH"),
     (r"\b(?:contract\s+(?:awarded?|signed?|approved?|won)|awarded?\s+(?:a\s+)?contract)\b", "CONTRACT_AWARDED"),
     (r"\b(?:fund(?:ing|ed)\s+(?:approved?|granted?|allocated?|received?)|approved?\s+(?:funding|budget))\b", "FUNDING_APPROVED"),
-    (r"\b(?:investigat(?:ed?|ing|ion)|probe(?:d|s)?)\b", "INVESTIGATION_STARTED"),
-    (r"\b(?:audit(?:ed?|ing|s)?|auditor(?:s)?)\b", "AUDIT"),
+    (r"\b(?:investigat(?:ed?|ing|ion)|probe(?:d|s)?|investigat(?:ing|ion)\s+(?:started?|opened?|launched?))\b", "INVESTIGATION_STARTED"),
+    (r"\b(?:audit(?:ed?|ing|s)?|auditor(?:s)?|audit\s+(?:found?|showed?|revealed?))\b", "AUDIT"),
     (r"\b(?:lawsuit|litigation|sued?|complaint\s+filed?|legal\s+action|court\s+(?:ruling|order|decision))\b", "LEGAL_ACTION"),
-    (r"\b(?:expand(?:ed?|ing|s)|expansion)\b", "PROGRAM_EXPANSION"),
+    (r"\b(?:expand(?:ed?|ing|s)|expansion|program\s+expan(?:d|sion))\b", "PROGRAM_EXPANSION"),
     (r"\b(?:purchased?|acqui(?:red?|sition)|bought|property\s+(?:deal|sale|transaction))\b", "PROPERTY_ACQUISITION"),
     (r"\b(?:polic(?:y|ies)\s+(?:change|changed?|updated?|new|reform)|reform(?:ed?|s)?)\b", "POLICY_CHANGE"),
 ]
@@ -154,17 +154,37 @@ def sentences(df: DataFrame, text: str, least: int = 20) -> DataFrame:
     return df.select("*", F.posexplode(F.split(F.col(text), r"(?<=[.!?])\s+|\n+")).alias("pos", "sentence")).filter(F.length(F.trim("sentence")) > least)
 
 
-def event_date(c: Column) -> Column:
-    """The date that a sentence names: month and year, month and day (a missing year is 2001), the full month before the short one, else a year's first day."""
-    months = ("|".join(MONTHS), rf"(?:{'|'.join(x[:3] for x in MONTHS if x != 'May')})\.?")
-    first = lambda end: F.coalesce(*[F.nullif(F.regexp_extract(c, rf"(?i)\b(?:{m})\s+{end}", 0), F.lit("")) for m in months], F.lit(""))
-    my, md = first(r"(?:20|19)\d{2}\b"), first(r"\d{1,2}(?:,?\s+\d{4})?")
-    year = F.regexp_extract(c, r"\b((?:20|19)\d{2})\b", 1)
+_FULL, _SHORT = "|".join(MONTHS), rf"(?:{'|'.join(x[:3] for x in MONTHS if x != 'May')})\.?"
+
+
+def _month_and(c: Column, end: str) -> Column:
+    """The first full month with such an end, else the first short one, else empty."""
+    found = lambda months: F.nullif(F.regexp_extract(c, rf"(?i)\b(?:{months})\s+{end}", 0), F.lit(""))
+    return F.coalesce(found(_FULL), found(_SHORT), F.lit(""))
+
+
+def month_year(c: Column) -> Column:
+    return _month_and(c, r"(?:20|19)\d{2}\b")
+
+
+def month_day(c: Column) -> Column:
+    return _month_and(c, r"\d{1,2}(?:,?\s+\d{4})?")
+
+
+def date_from(c: Column, my: Column, md: Column) -> Column:
+    """The date of a sentence with this month and year, or month and day (both may be empty)."""
+    year = F.regexp_extract(c, r"\b((?:20|19)\d{2})\b", 1).try_cast("int")
     number = lambda m: F.array_position(F.array(*[F.lit(x[:3].lower()) for x in MONTHS]), F.lower(F.substring(m, 1, 3)))
     day = F.regexp_extract(md, r"^[A-Za-z]+\.?\s+(\d{1,2})", 1).try_cast("int")
     md_year = F.coalesce(F.regexp_extract(md, r"(\d{4})$", 1).try_cast("int"), F.lit(2001))
     make = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m.cast("int"), d), "yyyy-MM-dd")
-    return F.when(my != "", make(F.regexp_extract(my, r"(\d{4})$", 1).cast("int"), number(my), F.lit(1))).when(md != "", F.coalesce(make(md_year, number(md), day), make(md_year, F.lit(1), F.lit(1)))).when(year != "", make(year.cast("int"), F.lit(1), F.lit(1)))
+    of_day = F.coalesce(make(md_year, number(md), day), make(md_year, F.lit(1), F.lit(1)))
+    return F.when(my != "", make(F.regexp_extract(my, r"(\d{4})$", 1).cast("int"), number(my), F.lit(1))).when(md != "", of_day).otherwise(make(year, F.lit(1), F.lit(1)))
+
+
+def event_date(c: Column) -> Column:
+    """The date that a sentence names: month and year, month and day (a missing year is 2001), the full month before the short one, else a year's first day."""
+    return date_from(c, month_year(c), month_day(c))
 
 
 def amounts(c: Column) -> Column:

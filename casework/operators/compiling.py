@@ -12,7 +12,7 @@ from casework.operators.ranking import holding, case_of, first_by, name_key, top
 # How much an event type counts.
 EVENT_RANK = {"FUNDING_APPROVED": 10, "CONTRACT_AWARDED": 10, "LEGAL_ACTION": 9, "AUDIT": 9, "INVESTIGATION_STARTED": 8, "PROGRAM_LAUNCH": 7, "PROPERTY_ACQUISITION": 7, "POLICY_CHANGE": 6, "PROGRAM_EXPANSION": 5}
 ORG_WORD = r"\b(agency|administration|office|department|bureau|foundation|inc|corp|llc|ltd|group|institute|association|committee|commission|authority|ministry|council|union|party|government|court|senate|congress|parliament|university|college|hospital|bank|fund|company|firm|organization)\b"
-TITLE_WORD = r"\b(mr|mrs|ms|dr|sen|rep|gov|sec|gen|col|maj|cpt|sgt|atty|judge|justice|president|vice president|chancellor|minister|mayor|sheriff|detective|agent|director)\b"
+TITLE_WORD = r"\b(mr|mrs|ms|dr|sen|rep|gov|sec|gen|col|maj|cpt|sgt|atty|judge|justice|president|vice president|chancellor|minister|mayor|sheriff|detective|agent|director)\b\.?"
 
 
 def case_counts(cases: DataFrame, **tables: DataFrame) -> DataFrame:

@@ -17,9 +17,16 @@ PROGRAM = r"(?i)\b(?:program|project|initiative|fund|agency|department|office|au
 
 
 def _dated(sentences: DataFrame) -> DataFrame:
-    s = F.col("sentence")
+    """Sentences with a date, their type and summary.
+
+    What a sentence names is a column before it is read again, and rows without a date go by an
+    explode, which is not pushed down: each pattern is tried once a sentence.
+    """
+    s, my, md = F.col("sentence"), F.col("_month_year"), F.col("_month_day")
+    d = sentences.withColumn("_month_year", text.month_year(s)).withColumn("_month_day", F.when(my == "", text.month_day(s)).otherwise(""))
+    d = d.withColumn("event_date", F.explode(F.array_compact(F.array(text.date_from(s, my, md))))).drop("_month_year", "_month_day")
     summary = F.substring(F.regexp_replace(F.trim(s), r"\s+", " "), 1, 200)
-    return sentences.withColumns({"event_date": text.event_date(s), "event_type": text.event_type(s), "summary": summary}).filter("event_date is not null")
+    return d.withColumn("_low", F.lower(s)).withColumns({"event_type": text.event_type(F.col("_low")), "summary": summary}).drop("_low")
 
 
 def _first(events: DataFrame, k: int) -> DataFrame:
@@ -29,13 +36,13 @@ def _first(events: DataFrame, k: int) -> DataFrame:
 
 def strict_events(sentences: DataFrame, k: int = STRICT) -> DataFrame:
     """The first k sentences of each document with a date and an action, one for each date and start of the text."""
-    return _first(_dated(sentences).filter(F.lower("sentence").rlike(text.ACTION)), k)
+    return _first(_dated(sentences.filter(F.lower("sentence").rlike(text.ACTION))), k)
 
 
 def soft_events(sentences: DataFrame, strict: DataFrame, k: int = SOFT) -> DataFrame:
     """For documents without strict events: the first k sentences with a date and a name or a program's word."""
     open_ = sentences.join(strict.select("document_id").distinct(), "document_id", "left_anti")
-    return _first(_dated(open_).filter(F.col("sentence").rlike(PROPER_NOUN) | F.col("sentence").rlike(PROGRAM)), k)
+    return _first(_dated(open_.filter(F.col("sentence").rlike(PROPER_NOUN) | F.col("sentence").rlike(PROGRAM))), k)
 
 
 def all_events(sentences: DataFrame) -> DataFrame:

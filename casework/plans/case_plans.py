@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from casework.operators import compiling, dossier, graph, money
 from casework.plans.graph_plans import ENDS
 from casework.plans.money_plans import JUNK_NAME, NON_NUMERIC, NUMERIC
-from casework.sources.views import load
+from casework.sources.views import load, load_all
+from casework.tables import save
 
 AS_OF = "2000-06-30"
 STATS = "stats as (select case_id, entity_name, count(*) as n_mentions, count(distinct document_id) as n_documents, round(avg(confidence) + 1e-9, 2) as avg_confidence, round(max(confidence), 2) as max_confidence from {mentions} group by 1, 2)"
@@ -38,7 +39,7 @@ POWER = f"""{RANKED}, {ENDS}, deg as (select entity_id, count(*) as degree from
 
 
 def _load(s, d, *names):
-    return [load(s, d, n) for n in names]
+    return load_all(s, d, *names)
 
 
 def _ranked(s, d):
@@ -49,20 +50,29 @@ def _events(s, d):
     return compiling.ranked_timeline(*_load(s, d, "timeline", "mentions"), AS_OF)
 
 
+def _titled(s, files):
+    return s.sql(TITLED, files=files)
 
 
-def _titled(s, d):
-    return s.sql(TITLED, files=load(s, d, "files"))
+def _scored(s, entities, mentions, edges, signals, files):
+    """Quality of all entities, written once for all that reads it."""
+    return save(dossier.entity_quality(entities, mentions, edges, signals, _titled(s, files)))
 
 
 def _quality(s, d):
-    return dossier.entity_quality(*_load(s, d, "entities", "mentions", "relationships", "signals"), _titled(s, d))
+    *tables, files = _load(s, d, "entities", "mentions", "relationships", "signals", "files")
+    return dossier.entity_quality(*tables, _titled(s, files))
 
 
 def _case_quality(s, d):
-    locked = dossier.locked(_quality(s, d))
-    edges = load(s, d, "relationships").filter("confidence >= 0.6")
-    return dossier.case_quality(load(s, d, "cases"), locked, edges, money.numeric_signals(load(s, d, "signals")), dossier.accountability(load(s, d, "timeline")), load(s, d, "files"))
+    entities, mentions, edges, signals, files, cases, timeline = _load(s, d, "entities", "mentions", "relationships", "signals", "files", "cases", "timeline")
+    locked = dossier.locked(_scored(s, entities, mentions, edges, signals, files))
+    return dossier.case_quality(cases, locked, edges.filter("confidence >= 0.6"), money.numeric_signals(signals), dossier.accountability(timeline), files)
+
+
+def _risk_flags(s, d):
+    entities, mentions, edges, signals, files, cases, timeline = _load(s, d, "entities", "mentions", "relationships", "signals", "files", "cases", "timeline")
+    return dossier.risk_flags(cases, dossier.locked(_scored(s, entities, mentions, edges, signals, files)), edges, signals, timeline, files)
 
 
 PLANS = {
@@ -134,7 +144,7 @@ PLANS = {
             select *, case when n_entities = 0 then 'INSUFFICIENT' when n_confirmed >= 3 and n_sources >= 6 and n_signals > 0 then 'STRONG' when n_confirmed >= 2 and n_sources >= 4 then 'MODERATE' else 'PROVISIONAL' end as level from n""",
     ),
     "risk_flags": (
-        lambda s, d: dossier.risk_flags(load(s, d, "cases"), dossier.locked(_quality(s, d)), *_load(s, d, "relationships", "signals", "timeline", "files")),
+        _risk_flags,
         f"""{LOCKED} select c.id, coalesce(high_value, false) as high_value, coalesce(contract, false) as contract, coalesce(weak_edge, false) as weak_edge, coalesce(unattributed, false) as unattributed, coalesce(n_events, 0) > 0 and coalesce(n_signals, 0) > 0 as timing, coalesce(n_entities, 0) > 0 and coalesce(n_edges, 0) = 0 as unlinked from {{cases}} c
             left join (select case_id, bool_or(not coalesce(inferred_signal, false) and normalized_amount >= 1000000) as high_value, bool_or(signal_type in ('CONTRACT', 'CONTRACT_AWARDED')) as contract, count(*) as n_signals from {{signals}} group by 1) s on s.case_id = c.id
             left join (select case_id, bool_or(confidence < 0.4) as weak_edge, count(*) as n_edges from {{relationships}} group by 1) r on r.case_id = c.id left join (select case_id, bool_or(coalesce(source_domain, '') = '') as unattributed from {{files}} group by 1) f on f.case_id = c.id

@@ -74,7 +74,7 @@ PLANS = {
     "contamination": (
         lambda s, d: documents.contamination(_cleaned(s, d).select("doc_id", "text", F.col("c.boilerplate_ratio").alias("ratio")), "text", "ratio").select("doc_id", F.col("contamination_points").cast("int").alias("points"), "contamination"),
         f"""with {CLEANED}, own as (select doc_id, trim(line) as raw, lower(trim(line)) as low from lines where trim(line) <> ''),
-            n as (select doc_id, count(*) as n, count(*) filter (regexp_matches(low, '{documents.MORE_STORIES}')) as more, count(*) filter (regexp_matches(low, '{documents.NAV_WORDS}') and length(raw) < 80) as nav, count(*) filter (regexp_matches(low, '{documents.CLOCK}')) as clock,
+            n as (select doc_id, count(*) as n, count(*) filter (regexp_matches(low, '{documents.MORE_STORIES}')) as more, count(*) filter (regexp_matches(low, '{documents.NAV_WORDS}') and length(raw) < 80) as nav, count(*) filter (regexp_matches(low, '{documents.CLOCK[0]}|{documents.CLOCK[1]}')) as clock,
                 count(*) filter (regexp_matches(low, '{documents.PROMO}')) as promo, count(*) filter (length(raw) > 15 and length(raw) < 100 and regexp_matches(raw, '{documents.HEADLINE}')) as heads from own group by 1),
             r as (select c.doc_id, length(text) as size, round((length(text) - length(body)) / length(text), 4) as ratio, coalesce(n, 0) as n, coalesce(more, 0) as more, coalesce(nav, 0) as nav, coalesce(clock, 0) as clock, coalesce(promo, 0) as promo, coalesce(heads, 0) as heads from cleaned c left join n using (doc_id)),
             p as (select *, case when ratio > 0.45 then 3 when ratio > 0.25 then 2 when ratio > 0.12 then 1 else 0 end + case when nav > 0.15 * n then 3 when nav > 0.08 * n then 1 else 0 end + case when more > 0.05 * n then 2 else 0 end

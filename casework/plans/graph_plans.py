@@ -1,7 +1,7 @@
 """Queries over entity graphs."""
 
 from casework.operators import graph
-from casework.sources.views import load
+from casework.sources.views import load, load_all
 
 OF = """of as (select distinct e.case_id, e.id as entity_id, m.document_id from {entities} e join {mentions} m on m.case_id = e.case_id and lower(trim(m.entity_name)) = lower(trim(e.name)) where trim(e.name) <> '')"""
 PAIRS = "pairs as (select a.case_id, a.entity_id as entity_a_id, b.entity_id as entity_b_id, count(*) as n_documents from of a join of b on a.case_id = b.case_id and a.document_id = b.document_id and a.entity_id < b.entity_id group by 1, 2, 3)"
@@ -10,7 +10,7 @@ JUNK = "(with|by|from|of|and|or|the|a|an|co_mention|title_co_mention|cooccurrenc
 
 
 def _load(s, d, *names):
-    return [load(s, d, n) for n in names]
+    return load_all(s, d, *names)
 
 
 PLANS = {

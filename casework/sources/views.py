@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casework.tables import save
+
 _FIRST = "Harbor,Ridge,Apex,Metro,Civic,Union,Summit,Delta,Grand,Pioneer"
 _SECOND = "Council,Authority,Trust,Holdings,Department,Alliance,Foundation,Bank,Group,Partners"
 _GIVEN = "Alex,Robin,Casey,Morgan,Jamie,Taylor,Jordan,Drew,Quinn,Sasha"
@@ -102,6 +104,26 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{t: load(spark, sf_dir, t) for t in needs})
 
 
+def _needs(name: str) -> set[str]:
+    own = set(_TABLE.findall(VIEWS.get(name, "")))
+    return own.union(*map(_needs, own)) if own else own
+
+
+def load_all(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Several views; the lines that two or more of them are rendered from are grouped and written once."""
+    few = sum("lines" in _needs(n) for n in names) < 2
+    ready = {} if few else {"lines": save(load(spark, sf_dir, "lines"))}
+
+    def render(name: str) -> DataFrame:
+        if name not in VIEWS:
+            return load(spark, sf_dir, name)
+        if name not in ready:
+            ready[name] = spark.sql(VIEWS[name], **{t: render(t) for t in set(_TABLE.findall(VIEWS[name]))})
+        return ready[name]
+
+    return [render(n) for n in names]
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Text, csv and Markdown files below a folder as documents (path, title, extension, raw_text), each file whole."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw_text"))
