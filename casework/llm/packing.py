@@ -5,11 +5,14 @@ is a remainder shorter than the window. The histogram of remainder lengths (wind
 most, whatever the input) goes to the driver. There shallow combinations (one to three lengths)
 that fill a window exactly, or a power of two, are enumerated; non-negative least squares solves
 how often each should repeat to use up the histogram; the counts are rounded down to what is
-there, and what remains is packed greedily, largest first. The plan is a list of runs "documents
-k0..k1 of length l sit at this offset in sequences b.." whose size depends on the window alone.
+there. What remains is packed greedily in blocks that repeat: the largest that fits, and where
+nothing fits, the head of the largest one left closes the window (cut at a multiple of ``STEP``
+ids; its tail is an item like any other). The plan is a list of runs "the pieces of documents
+k0..k1 of length l sit at these offsets in sequences b.." whose size depends on the window alone.
 It goes to the tasks; each document finds its place by its rank among those of its length. Ranks
 come from counts by (length, slice of rows) and from the order inside one slice, so that a length
-that a third of the rows share is not one task.
+that a third of the rows share is not one task. The crc32 of a piece follows from those of the
+beginnings of the remainder, which the tokenizing step leaves for every ``STEP`` ids.
 
 Very long texts are encoded whole, one at a time. Null text: as empty (one end id). Repeated rows: each is packed. Null ids are kept.
 Empty table: an empty result. Columns other than the id and the text are not read, so
@@ -18,6 +21,7 @@ that clashing names do no harm.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import zlib
 
@@ -34,6 +38,8 @@ END_ID = 0
 SLICE_ROWS, SLICE_IDS = 2_000, 4_000_000
 #: Combinations that the solver weighs, a number that depends on the window alone.
 MAX_PATTERNS = 4_000
+#: Ids between the places where a remainder may be cut; documents of a block that repeats.
+STEP, BLOCK = 8, 1_024
 
 
 class Encoder:
@@ -70,22 +76,41 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_ids: bool = True) -> DataFrame:
-    """(id, n_tokens, crcs, ids): the ids with the end id, as binary if kept, and the crc32 of each piece of a window."""
+    """(id, n_tokens, crcs, heads, ids): the ids with the end id, as binary if kept, the crc32 of each piece of a window, and those of the beginnings of the last one, every STEP ids."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches):
         enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            n, crcs, kept = [], [], []
+            n, crcs, heads, kept = [], [], [], []
             for t in b.column("text").to_pylist():
                 ids = enc(t or "") + end
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
+                heads.append(beginnings(ids[len(ids) // (4 * window) * 4 * window :]))
                 kept.append(ids if keep_ids else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["id", "n_tokens", "crcs", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(heads, pa.binary()), pa.array(kept, pa.binary())], ["id", "n_tokens", "crcs", "heads", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, f"id {kind}, n_tokens long, crcs array<long>, ids binary")
+    return rows.mapInArrow(encode, f"id {kind}, n_tokens long, crcs array<long>, heads binary, ids binary")
+
+
+def beginnings(ids: bytes) -> bytes:
+    """crc32 of the first STEP, 2 STEP ... ids, as 32-bit numbers."""
+    out, crc, size = [], 0, 4 * STEP
+    for i in range(0, len(ids) - size, size):
+        crc = zlib.crc32(ids[i : i + size], crc)
+        out.append(crc)
+    return np.array(out, "<u4").tobytes()
+
+
+_ZEROS = bytes(4 * 65_536)
+
+
+def crc_of_end(whole: int, beginning: int, n_bytes: int) -> int:
+    """crc32 of the last n_bytes of a text, from that of the text and of what stands before them (crc32 is linear)."""
+    zeros = _ZEROS[:n_bytes] if n_bytes <= len(_ZEROS) else bytes(n_bytes)
+    return whole ^ ~zlib.crc32(zeros, ~beginning & 0xFFFFFFFF) & 0xFFFFFFFF
 
 
 def patterns(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:
@@ -113,11 +138,12 @@ def nnls(a: np.ndarray, h: np.ndarray, rounds: int = 300) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, k0, k1, first sequence, offset), and the number of sequences.
+def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[int, int, int, list[tuple[int, int, int, int]]]], int]:
+    """Runs (length, k0, k1, pieces), and the number of sequences; a piece is (first sequence, offset, start, size).
 
-    The documents of rank k0 <= k < k1 among those of the length sit at the offset of sequence
-    first + k - k0. Every rank of every length is in exactly one run.
+    Of the documents of rank k0 <= k < k1 among those of the length, the ids start..start + size sit
+    at the offset of sequence first + k - k0. Every rank of every length is in exactly one run, and
+    the pieces of a run hold all its ids.
     """
     left = np.zeros(window + 1, np.int64)
     for length, n in histogram.items():
@@ -125,15 +151,13 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[in
     used = np.zeros_like(left)
     runs, sequences = [], 0
 
-    def put(items: list[int], times: int) -> None:
-        nonlocal sequences
-        offset = 0
-        for x in items:
-            runs.append((x, int(used[x]), int(used[x] + times), sequences, offset))
-            used[x] += times
-            left[x] -= times
-            offset += x
-        sequences += times
+    def take(length: int, times: int) -> list[tuple[int, int, int, int]]:
+        """A run of the next documents of the length, whose pieces are still to be given."""
+        pieces: list[tuple[int, int, int, int]] = []
+        runs.append((length, int(used[length]), int(used[length] + times), pieces))
+        used[length] += times
+        left[length] -= times
+        return pieces
 
     lengths = np.flatnonzero(left)
     found = patterns(lengths, window)
@@ -149,20 +173,46 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[in
             need[v] = need.get(v, 0) + 1
         times = min(int(np.floor(x[j] + 1e-6)), *(int(left[v] // k) for v, k in need.items()))
         if times > 0:
-            put(list(found[j]), times)
-    # what remains: the largest, then always the largest that fits; as often as all of it is there
-    while True:
-        there = np.flatnonzero(left)
-        if not len(there):
-            return runs, sequences
-        room, items = window, []
-        counts = left.copy()
-        while len(fit := there[(there <= room) & (counts[there] > 0)]):
-            items.append(int(fit[-1]))
-            counts[fit[-1]] -= 1
-            room -= int(fit[-1])
-        times = min(int(left[v] // items.count(v)) for v in set(items))
-        put(items, max(1, times))
+            offset = 0
+            for v in found[j]:
+                take(v, times).append((sequences, offset, 0, v))
+                offset += v
+            sequences += times
+    while total := int(left.sum()):
+        # a block of what remains, as often as it is there; a few of each length are left for the next, smaller one
+        times = max(1, total // BLOCK)
+        open_ = [(v, 0, take(v, times)) for v in np.flatnonzero(left >= times).tolist() for _ in range(int(left[v] // times))]
+        sequences = _block(open_, times, sequences, window)
+    return runs, sequences
+
+
+def _block(open_: list[tuple[int, int, list]], times: int, sequences: int, window: int) -> int:
+    """Packs items (size, start, pieces of their run), largest first, cutting one where nothing whole fits; returns the next sequence."""
+    items = sorted(open_, key=lambda x: x[0])
+    sizes = [x[0] for x in items]
+    while items:
+        room = window
+        while room and items:
+            at = bisect.bisect_right(sizes, room) - 1
+            if at >= 0:
+                size, start, pieces = items.pop(at)
+                sizes.pop(at)
+                pieces.append((sequences, window - room, start, size))
+                room -= size
+                continue
+            head = room // STEP * STEP
+            if not head:
+                break
+            size, start, pieces = items.pop()
+            sizes.pop()
+            pieces.append((sequences, window - room, start, head))
+            rest = (size - head, start + head, pieces)
+            at = bisect.bisect_left(sizes, rest[0])
+            items.insert(at, rest)
+            sizes.insert(at, rest[0])
+            break
+        sequences += times
+    return sequences
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_ids: bool = True) -> DataFrame:
@@ -184,11 +234,15 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     runs, n_sequences = plan({k: v for k, v in histogram.items() if k < window}, window)
     schema = f"{id_col} {kind}, start long, length long, crc32 long, n_tokens long, sequence_id long, offset long, ids binary"
     by_slice = rows.groupBy("slice").cogroup(starts.select("slice", "length", "before").groupBy("slice"))
-    return by_slice.applyInPandas(_place(np.array(sorted(runs), np.int64).reshape(-1, 5), n_sequences, window, schema.split()[0]), schema)
+    return by_slice.applyInPandas(_place(sorted(runs, key=lambda r: r[:2]), n_sequences, window, schema.split()[0]), schema)
 
 
-def _place(runs: np.ndarray, n_sequences: int, window: int, id_col: str):
+def _place(planned: list, n_sequences: int, window: int, id_col: str):
     """Pieces of one slice of documents, given how many of each length stand before it."""
+    runs = np.array([r[:2] for r in planned], np.int64).reshape(-1, 2)
+    n_pieces = np.array([len(r[3]) for r in planned], np.int64)
+    first_piece = np.cumsum(n_pieces) - n_pieces
+    parts = np.array([p for r in planned for p in r[3]], np.int64).reshape(-1, 4)
 
     def place(docs, starts):
         docs = docs.sort_values("row", ignore_index=True)
@@ -204,19 +258,33 @@ def _place(runs: np.ndarray, n_sequences: int, window: int, id_col: str):
         k += begin[length]
         # the run that holds the rank: the last that starts at or before it
         key = lambda of, at: of.astype(np.int64) * (1 << 48) + at
-        run = runs[np.searchsorted(key(runs[:, 0], runs[:, 1]), key(length, k), "right") - 1] if len(runs) else np.zeros((len(n), 5), np.int64)
+        run = np.maximum(0, np.searchsorted(key(runs[:, 0], runs[:, 1]), key(length, k), "right") - 1)
         full_at = n_sequences + begin[window] + np.cumsum(full) - full
-        pieces = full + (length > 0)
+        cut = np.where(length > 0, n_pieces[run] if len(runs) else 0, 0)
+        pieces = full + cut
         of = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         whole = piece < full[of]
+        part = parts[np.where(whole, 0, (first_piece[run[of]] if len(runs) else 0) + piece - full[of])] if len(parts) else np.zeros((len(of), 4), np.int64)
+        start = np.where(whole, piece * window, full[of] * window + part[:, 2])
+        size = np.where(whole, window, part[:, 3])
+
+        def crc(i: int) -> int:
+            crcs, p = docs.crcs[of[i]], piece[i]
+            if whole[i]:
+                return int(crcs[p])
+            heads, (_, _, s, m) = np.frombuffer(docs.heads[of[i]], "<u4"), part[i]
+            e, rest = s + m, length[of[i]]
+            end = int(crcs[full[of[i]]]) if e == rest else int(heads[e // STEP - 1])
+            return crc_of_end(end, int(heads[s // STEP - 1]), int(4 * m)) if s else end
+
         out = docs[["id", "n_tokens"]].iloc[of].rename(columns={"id": id_col}).assign(
-            start=piece * window,
-            length=np.where(whole, window, length[of]),
-            crc32=[c for x in docs.crcs for c in x],
-            sequence_id=np.where(whole, full_at[of] + piece, run[of, 3] + k[of] - run[of, 1]),
-            offset=np.where(whole, 0, run[of, 4]),
-            ids=[None if docs.ids[d] is None else bytes(docs.ids[d])[4 * window * p : 4 * window * (p + 1)] for d, p in zip(of, piece, strict=True)],
+            start=start,
+            length=size,
+            crc32=[crc(i) for i in range(len(of))],
+            sequence_id=np.where(whole, full_at[of] + piece, part[:, 0] + k[of] - (runs[run[of], 1] if len(runs) else 0)),
+            offset=np.where(whole, 0, part[:, 1]),
+            ids=[None if docs.ids[d] is None else bytes(docs.ids[d])[4 * s : 4 * (s + m)] for d, s, m in zip(of, start, size, strict=True)],
         )
         return out[[id_col, "start", "length", "crc32", "n_tokens", "sequence_id", "offset", "ids"]]
 

@@ -64,19 +64,62 @@ def test_odd_rows(spark):
     assert packing.pack(docs.limit(0), voc).count() == 0
 
 
+def check_plan(h, most=1024):
+    """Every rank of every length in one run, its pieces all its ids, sequences gapless; returns the fill."""
+    runs, n = packing.plan(h, most)
+    placed = defaultdict(list)
+    for length, n_docs in h.items():
+        at = 0
+        for _, k0, k1, pieces in sorted((r for r in runs if r[0] == length), key=lambda r: r[1]):
+            assert k0 == at and k1 > k0
+            at, done = k1, 0
+            for first, offset, start, size in sorted(pieces, key=lambda p: p[2]):
+                assert start == done and size > 0 and (start % packing.STEP == 0)
+                done += size
+                for i in range(k1 - k0):
+                    placed[first + i].append((offset, size))
+            assert done == length
+        assert at == n_docs
+    assert set(placed) == set(range(n)) and len(runs) < 12_000
+    total = 0
+    for pieces in placed.values():
+        at = 0
+        for offset, size in sorted(pieces):
+            assert offset == at
+            at += size
+        assert at <= most
+        total += at
+    return total / (most * max(1, n))
+
+
 def test_plan_uses_every_rank_once():
     rng = np.random.default_rng(1)
     h = {int(k): int(v) for k, v in zip(rng.choice(np.arange(1, 1024), 300, replace=False), rng.integers(1, 2000, 300), strict=True)}
     h |= {int(k): int(v) for k, v in zip(range(1, 64), rng.integers(1, 3000, 63), strict=True)}
-    runs, n = packing.plan(h)
-    fill = np.zeros(n, int)
-    for k, times in h.items():
-        at = 0
-        for _, k0, k1, base, offset in sorted(r for r in runs if r[0] == k):
-            assert k0 == at and k1 > k0
-            at = k1
-            fill[base : base + k1 - k0] += k
-        assert at == times
-    least = max(fill.sum() / 1024, sum(v for k, v in h.items() if k > 512))  # no packing of whole remainders has fewer
-    assert fill.max() <= 1024 and n < 1.02 * least
-    assert len(runs) < 10_000
+    assert check_plan(h) > 0.99
+
+
+def test_long_remainders_leave_little_padding():
+    rng = np.random.default_rng(2)
+    drawn = np.bincount(rng.integers(600, 1024, 20_000))
+    assert check_plan({int(k): int(v) for k, v in enumerate(drawn) if v}) > 0.99
+    assert check_plan({1023: 5000}) > 0.99 and check_plan({700: 3001}) > 0.99 and check_plan({513: 4000, 1000: 3}) > 0.99
+    assert check_plan({7: 1}) < 0.01 and packing.plan({}) == ([], 0)
+
+
+def test_crc_of_an_end():
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 33, 5000, 300_000):
+        a, b = rng.bytes(77), rng.bytes(n)
+        assert packing.crc_of_end(zlib.crc32(a + b), zlib.crc32(a), n) == zlib.crc32(b)
+
+
+def test_cut_documents_are_whole_again(spark):
+    """All remainders over half a window: many are cut, their ids and crcs still add up."""
+    docs = {i: "word " * (600 + 7 * i % 400) for i in range(300)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    voc = public_tokenizers.path("byte_bpe_50k.json")
+    for keep in (True, False):
+        rows = packing.pack(df, voc, keep_ids=keep).withColumnsRenamed({"crc32": "ids_crc32", "n_tokens": "doc_tokens"}).collect()
+        assert check_pieces(rows, docs) < 0.01 and len(rows) > 1.3 * len(docs)
+        assert not keep or all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
