@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from casework.operators.graph import degree
 from casework.operators.ranking import case_of, name_key, ranked_whole, top_by
 
-# Events that count for accountability; generic names; types that pass the lock.
+# Events that count for accountability; generic names; types that pass the lock; severities of log entries (others: info).
 ACCOUNTABILITY = ("CONTRACT_AWARDED CONTRACT AUDIT AUDIT_FLAG AUDIT_FINDING APPROPRIATION HEARING ENFORCEMENT ENFORCEMENT_ACTION PROGRAM_CHANGE VIOLATION INDICTMENT SETTLEMENT REGULATORY_ACTION BUDGET_ACTION GRANT_AWARD FRAUD_FLAG "
                   "WHISTLEBLOWER INVESTIGATION CONVICTION FILING FRAUD_MISUSE INSPECTION SUSPENSION DEBARMENT REFERRAL COMPLAINT SUBPOENA ARREST CHARGE AGENCY_CHANGE LEADERSHIP_CHANGE OVERSIGHT_ACTION BUDGET DISBURSEMENT").split()
 JUNK_WORD = r"(?i)\b(episode|season|recap|trailer|premiere|documentary|film|movie|concert|game|match|tournament|playoff|bracket|watch|stream|preview|sports|celebrity|entertainment)\b"
 ORG_TYPES = ("government_agency", "government_body", "government", "agency", "organization", "company", "corporation", "business", "nonprofit", "ngo", "program", "department")
 GENERIC = ("people", "person", "community", "residents", "families", "individuals", "group", "groups", "city", "county", "state", "nation", "government", "officials", "office", "board", "public", "administration")
-SEVERITY = {"error": "error", "purchase": "success", "signup": "success", "click": "info", "view": "info"}
+SEVERITY = {
+    "auth_login": "success", "auth_logout": "info", "auth_failed": "error",
+    "case_created": "info", "case_seeded": "info", "auto_build_started": "info", "auto_ingest_started": "info", "auto_build_complete": "success", "build_quality_assigned": "info", "seed_complete": "success", "seed_intent_classified": "debug",
+    "query_run": "debug", "document_ingested": "info", "web_source_ingested": "info", "extraction_failed": "warn", "extraction_partial": "warn", "doc_noise_skipped": "debug", "doc_topic_mismatch": "warn", "doc_contamination_high": "warn",
+    "analysis_completed": "info", "entity_approved": "success", "entity_auto_approved": "success", "entity_promoted": "success", "entity_rejected": "warn", "entity_candidate_held": "info", "entity_held": "info",
+    "suggested_link": "info", "graph_built": "success", "graph_updated": "success", "timeline_extracted": "info", "financial_signal": "info",
+    "recovery_triggered": "warn", "recovery_complete": "success", "seed_fallback_triggered": "warn", "seed_no_promotion": "error", "dossier_generated": "success",
+}
 
 
 def entity_quality(entities: DataFrame, mentions: DataFrame, edges: DataFrame, signals: DataFrame, documents: DataFrame) -> DataFrame:

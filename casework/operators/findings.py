@@ -125,7 +125,24 @@ SEED_ENDS = {
     "government_agency_target": " contract, budget, audit, lawsuit, oversight, procurement, funding, grants, scandal, federal investigation, whistleblower, report",
     "funding_target": " funding, spending, contract, grant, budget, appropriation, audit, procurement, misuse, oversight, fraud, payments",
     "scandal_target": " investigation, records, deposition, affidavit, indictment, complaint, audit, report, court filing, whistleblower, internal review, oversight",
+    "program_target": " budget, contracts, audit, oversight, funding, procurement, accountability, report, grant, investigation",
+    "place_target": " contracts, budget, corruption, audit, investigation, funding, officials, procurement, misconduct",
+    "event_target": " investigation, report, records, accountability, documents, officials, oversight, timeline",
 }
+# Ends for the other modes, first those of all, then by intent.
+GENERAL_ENDS = " investigation, contracts, funding"
+INTENT_ENDS = {
+    "housing_homelessness": " shelter contracts, housing funding, program audit, accountability",
+    "finance_funding": " contracts, grant award, budget allocation, procurement",
+    "education_university": " contracts, funding, audit investigation, grant",
+    "crime_corruption": " investigation, indictment, fraud audit, corruption charges",
+    "legal_lawsuit": " lawsuit, court filing, settlement, legal action",
+    "entertainment_film": " tax credit, film incentive funding, production subsidy",
+    "policy_government": " contracts, oversight audit, program funding, accountability",
+    "": " investigation, contracts, funding, program",
+}
+#: Modes whose target is a query of its own; queries of the other modes.
+WITH_TARGET, MOST_GENERAL = ("program_target", "place_target", "event_target"), 10
 QUOTED = ("person_target", "organization_target", "government_agency_target")
 
 
@@ -150,10 +167,12 @@ def next_queries(title: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(named, extra, tail)), 1, 6)
 
 
-def seed_queries(target: Column, mode: Column) -> Column:
-    """The query strings that a target starts with, by mode; other modes search for the target itself."""
+def seed_queries(target: Column, mode: Column, intent: Column | None = None) -> Column:
+    """The distinct query strings that a target starts with, by mode; other modes by the intent of the case."""
     base = F.trim(target)
     quoted = F.when(mode.isin(*QUOTED), F.concat(F.lit('"'), base, F.lit('"'))).otherwise(base)
-    ends = lambda m: F.array(*[F.concat(quoted, F.lit(" " + e.strip())) for e in SEED_ENDS[m].split(",")])
-    rules = [(mode == m, F.concat(F.array(quoted), ends(m)) if m in QUOTED else ends(m)) for m in SEED_ENDS]
-    return F.array_distinct(case_of(F.array(base), *rules))
+    ends = lambda said: F.array(*[F.concat(quoted, F.lit(" " + e.strip())) for e in said.split(",")])
+    rules = [(mode == m, F.concat(F.array(quoted), ends(x)) if m in (*QUOTED, *WITH_TARGET) else ends(x)) for m, x in SEED_ENDS.items()]
+    by_intent = case_of(ends(INTENT_ENDS[""]), *[(intent == k, ends(x)) for k, x in INTENT_ENDS.items() if k]) if intent is not None else ends(INTENT_ENDS[""])
+    general = F.slice(F.array_distinct(F.concat(F.array(base), ends(GENERAL_ENDS), by_intent)), 1, MOST_GENERAL)
+    return F.array_distinct(case_of(general, *rules))

@@ -41,6 +41,18 @@ def co_mention(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     )
 
 
+def seed_documents(documents: DataFrame) -> DataFrame:
+    """Documents (id, case_id, tier, priority) that seed a graph: aligned ones, in cases without any those of priority A or B."""
+    aligned = F.coalesce(F.col("tier").isin("CORE", "RELEVANT"), F.lit(False))
+    some = documents.filter(aligned).select("case_id").distinct().withColumn("some", F.lit(True))
+    return documents.join(some, "case_id", "left").filter(F.when(F.col("some"), aligned).otherwise(F.col("priority").isin("PRIORITY_A", "PRIORITY_B"))).select(*documents.columns)
+
+
+def seed_strength(edges: DataFrame) -> DataFrame:
+    """(case_id, n_edges, n_strong) of a seed graph; strong pairs share two documents."""
+    return edges.groupBy("case_id").agg(F.count("*").alias("n_edges"), F.count_if(F.col("n_documents") >= 2).alias("n_strong"))
+
+
 def seed_graph(entities: DataFrame, mentions: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges over chosen documents only (id, case_id); both ends in a title or lead make the strongest."""
     good = documents.select(F.col("id").alias("document_id")).distinct()

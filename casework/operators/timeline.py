@@ -69,6 +69,22 @@ def not_yet_there(fresh: DataFrame, present: DataFrame, key: list[str]) -> DataF
     return fresh.join(present.select(*key).distinct(), key, "left_anti")
 
 
+# Words and types of events that are no part of a case.
+JUNK_EVENT = r"(?i)\b(episode|season|recap|watch|documentary|film|movie|concert|game\s+result|match\s+result|tournament|playoff|bracket|stream\s+now|box\s+office)\b"
+JUNK_TYPES = ("SPORTS", "ENTERTAINMENT", "CELEBRITY", "GAME")
+
+
+def without_junk(events: DataFrame) -> DataFrame:
+    """Events whose type and summary are not of sports or entertainment; a null type or summary is none."""
+    junk = F.coalesce(F.upper("event_type").isin(*JUNK_TYPES), F.lit(False)) | F.coalesce(F.col("summary").rlike(JUNK_EVENT), F.lit(False))
+    return events.filter(~junk)
+
+
 def titled(event_type: Column, summary: Column, soft: Column) -> Column:
     """[TYPE] summary(120), or [SOFT][TYPE] summary(110)."""
     return F.when(soft, F.concat(F.lit("[SOFT]["), event_type, F.lit("] "), F.substring(summary, 1, 110))).otherwise(F.concat(F.lit("["), event_type, F.lit("] "), F.substring(summary, 1, 120)))
+
+
+def titled_plainly(event_type: Column, summary: Column) -> Column:
+    """TYPE WORDS: summary(80), the title of events that come with an upload or an analysis."""
+    return F.concat(F.replace(event_type, F.lit("_"), F.lit(" ")), F.lit(": "), F.substring(summary, 1, 80))

@@ -176,11 +176,11 @@ PLANS = {
     ),
     "latest_log": (
         lambda s, d: dossier.latest_log(load(s, d, "log"), 20),
-        "select case_id, cast(row_number() over (partition by case_id order by created_at desc, id desc) as integer) as rank, id, event_type, case event_type when 'error' then 'error' when 'purchase' then 'success' when 'signup' then 'success' else 'info' end as severity from {log} qualify rank <= 20",
+        "select case_id, cast(row_number() over (partition by case_id order by created_at desc, id desc) as integer) as rank, id, event_type, case event_type when 'seed_no_promotion' then 'error' when 'extraction_failed' then 'warn' when 'graph_built' then 'success' when 'auth_login' then 'success' when 'query_run' then 'debug' else 'info' end as severity from {log} qualify rank <= 20",
     ),
     "severity_counts": (
         lambda s, d: dossier.severity_counts(load(s, d, "log")),
-        "select case event_type when 'error' then 'error' when 'purchase' then 'success' when 'signup' then 'success' else 'info' end as severity, count(*) as n from {log} group by 1",
+        "select case event_type when 'seed_no_promotion' then 'error' when 'extraction_failed' then 'warn' when 'graph_built' then 'success' when 'auth_login' then 'success' when 'query_run' then 'debug' else 'info' end as severity, count(*) as n from {log} group by 1",
     ),
     "fleet_counts": (
         lambda s, d: dossier.fleet(*_load(s, d, "cases", "entities", "files", "mentions")),

@@ -13,7 +13,24 @@ def _load(s, d, *names):
     return load_all(s, d, *names)
 
 
+# Tiers and priorities of documents; each fourth case has no aligned one.
+TIERED = "select id, case_id, case when case_id % 4 = 1 then 'PERIPHERAL' else split_part('CORE,RELEVANT,PERIPHERAL,CONTAMINATED', ',', cast(id % 4 as int) + 1) end as tier, split_part('PRIORITY_A,PRIORITY_B,LOW_SIGNAL,NOISE', ',', cast(id % 7 % 4 as int) + 1) as priority from {files}"
+
+
+def _tiered(s, d):
+    return graph.seed_documents(s.sql(TIERED, files=load(s, d, "files")))
+
+
 PLANS = {
+    "seed_documents": (
+        lambda s, d: _tiered(s, d).select("id", "case_id", "tier"),
+        f"with t as ({TIERED}) select id, case_id, tier from t where case when case_id in (select case_id from t where tier in ('CORE', 'RELEVANT')) then tier in ('CORE', 'RELEVANT') else priority in ('PRIORITY_A', 'PRIORITY_B') end",
+    ),
+    "seed_strengths": (
+        lambda s, d: graph.seed_strength(graph.seed_graph(*_load(s, d, "entities", "mentions"), _tiered(s, d))),
+        f"""with t as ({TIERED}), good as (select id from t where case when case_id in (select case_id from t where tier in ('CORE', 'RELEVANT')) then tier in ('CORE', 'RELEVANT') else priority in ('PRIORITY_A', 'PRIORITY_B') end),
+            m as (select * from {{mentions}} where document_id in (select id from good)), {OF.replace('{mentions}', 'm')}, {PAIRS} select case_id, count(*) as n_edges, count(*) filter (n_documents >= 2) as n_strong from pairs group by 1""",
+    ),
     "co_mention_edges": (
         lambda s, d: graph.co_mention(*_load(s, d, "entities", "mentions")),
         f"with {OF}, {PAIRS} select *, case when n_documents >= 2 then 'repeated_association' else 'co_mention' end as relationship_type, case when n_documents >= 3 then 0.88::double when n_documents >= 2 then 0.8::double else 0.7::double end as confidence from pairs",

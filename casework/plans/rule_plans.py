@@ -337,6 +337,16 @@ def _results_sql():
 NOUNS = "select document_id % 50 as case_id, sentence from {sentences}"
 OPEN = "select id as case_id from {cases} where id % 3 <> 0"
 
+# The ends of first queries by mode, as their source lists them; an empty one is the target itself.
+SEED_SQL = """when 'person_target' then ['', 'investigation', 'lawsuit', 'contract', 'funding', 'records', 'donations', 'payments', 'PAC', 'nonprofit', 'board', 'indictment', 'settlement', 'subpoena']
+    when 'organization_target' then ['', 'contract', 'budget', 'audit', 'lawsuit', 'oversight', 'procurement', 'funding', 'grants', 'scandal', 'federal investigation', 'whistleblower', 'report']
+    when 'government_agency_target' then ['', 'contract', 'budget', 'audit', 'lawsuit', 'oversight', 'procurement', 'funding', 'grants', 'scandal', 'federal investigation', 'whistleblower', 'report']
+    when 'funding_target' then ['funding', 'spending', 'contract', 'grant', 'budget', 'appropriation', 'audit', 'procurement', 'misuse', 'oversight', 'fraud', 'payments']
+    when 'scandal_target' then ['investigation', 'records', 'deposition', 'affidavit', 'indictment', 'complaint', 'audit', 'report', 'court filing', 'whistleblower', 'internal review', 'oversight']
+    when 'program_target' then ['', 'budget', 'contracts', 'audit', 'oversight', 'funding', 'procurement', 'accountability', 'report', 'grant', 'investigation']
+    when 'place_target' then ['', 'contracts', 'budget', 'corruption', 'audit', 'investigation', 'funding', 'officials', 'procurement', 'misconduct']
+    when 'event_target' then ['', 'investigation', 'report', 'records', 'accountability', 'documents', 'officials', 'oversight', 'timeline']"""
+
 PLANS = {
     "mention_roles": (
         lambda s, d: _ruled(s, d).select("id", "kind", F.col("r.role").alias("role")),
@@ -434,9 +444,11 @@ PLANS = {
     ),
     "next_queries": (lambda s, d: _facts(s, d).select("case_id", F.array_join(findings.next_queries(F.col("title")), " / ").alias("queries")), _next_sql()),
     "seed_queries": (
-        lambda s, d: _facts(s, d).select("case_id", F.posexplode(findings.seed_queries(F.col("title"), F.col("mode"))).alias("pos", "query")).groupBy("case_id").agg(F.count("*").alias("n"), F.max("query").alias("last_query")),
+        lambda s, d: _facts(s, d).select("case_id", F.posexplode(findings.seed_queries(F.col("title"), F.col("mode"), F.col("intent"))).alias("pos", "query")).groupBy("case_id").agg(F.count("*").alias("n"), F.max("query").alias("last_query"), F.array_join(F.array_sort(F.collect_list("query")), " / ").alias("queries")),
         f"""with f as (select *, case when mode in ('person_target', 'organization_target', 'government_agency_target') then '"' || title || '"' else title end as base from ({FACTS_OF})),
-            q as (select case_id, unnest(case {' '.join(f"when mode = '{m}' then {'[base] || ' if m in findings.QUOTED else ''}list_transform({_list([e.strip() for e in x.split(',')])}, lambda e: base || ' ' || e)" for m, x in findings.SEED_ENDS.items())} else [title] end) as query from f) select case_id, count(*) as n, max(query) as last_query from q group by 1""",
+            q as (select case_id, list_distinct(list_transform(case mode {SEED_SQL} else ['', 'investigation', 'contracts', 'funding'] || case intent when 'housing_homelessness' then ['shelter contracts', 'housing funding', 'program audit', 'accountability'] when 'finance_funding' then ['grant award', 'budget allocation', 'procurement']
+                when 'crime_corruption' then ['indictment', 'fraud audit', 'corruption charges'] else ['program'] end end, lambda e: trim(base || ' ' || e))) as queries from f), e as (select case_id, unnest(queries) as query from q)
+            select case_id, count(*) as n, max(query) as last_query, string_agg(query, ' / ' order by query) as queries from e group by 1""",
     ),
     "top_documents": (
         lambda s, d: overview.top_documents(load(s, d, "files").withColumn("score", F.col("id") % 97), "score"),

@@ -34,6 +34,15 @@ def _money(s, d):
     return m.select("document_id", "pos", "k", "raw", text.amount_value(F.col("raw")).alias("amount"), text.currency(F.col("raw")).alias("currency"), "signal_type").filter("amount >= 1000")
 
 
+# Some events of sports and entertainment, by type or by words.
+ODD_TYPE = "case when (document_id + pos) % 11 = 0 then 'Sports' else event_type end"
+ODD_SUMMARY = "case when (document_id + pos) % 7 = 0 then concat('The box  office of the ', summary) when (document_id + pos) % 7 = 1 then concat('Seasons of ', summary) else summary end"
+
+
+def _odd_events(s, d):
+    return timeline.all_events(load(s, d, "sentences")).withColumns({"event_type": F.expr(ODD_TYPE), "summary": F.expr(ODD_SUMMARY)})
+
+
 PLANS = {
     "diag_maps": (
         lambda s, d: load(s, d, "files").select("id", *[text.diag_map(F.col("raw_text"))[k].alias(k) for k in ("status", "score", "priority")]),
@@ -75,6 +84,12 @@ PLANS = {
         lambda s, d: timeline.all_events(load(s, d, "sentences")).select("document_id", "pos", timeline.titled(F.col("event_type"), F.col("summary"), F.col("soft_event")).alias("title")),
         f"with {ALL_EVENTS} select document_id, pos, case when soft_event then '[SOFT][' || event_type || '] ' || substring(summary, 1, 110) else '[' || event_type || '] ' || substring(summary, 1, 120) end as title from all_events",
     ),
+    "loaded_events": (
+        lambda s, d: timeline.without_junk(_odd_events(s, d)).select("document_id", "pos", timeline.titled_plainly(F.col("event_type"), F.col("summary")).alias("title")),
+        rf"""with {ALL_EVENTS}, odd as (select document_id, pos, {ODD_TYPE} as event_type, {ODD_SUMMARY} as summary from all_events)
+            select document_id, pos, replace(event_type, '_', ' ') || ': ' || substring(summary, 1, 80) as title from odd where upper(event_type) not in ('SPORTS', 'ENTERTAINMENT', 'CELEBRITY', 'GAME')
+            and not regexp_matches(summary, '(?i)\b(episode|season|recap|watch|documentary|film|movie|concert|game\s+result|match\s+result|tournament|playoff|bracket|stream\s+now|box\s+office)\b')""".replace("\\\\", "\\"),
+    ),
     "sentence_signals": (
         lambda s, d: money.sentence_signals(load(s, d, "sentences")).select("document_id", "pos", "amount", "currency", "signal_type", "rank"),
         f"""with told as (select document_id, pos, {WORDS(text.SIGNAL_WORDS, 'FUNDING')} as signal_type, regexp_extract_all(sentence, '{MONEY}') as raws from {{sentences}} where regexp_matches(lower(sentence), '{money.FUNDING_GATE}') and not regexp_matches(lower(sentence), '{money.AD_COPY}')),

@@ -80,7 +80,7 @@ VIEWS = {
                       '|entities=', cast(o_orderkey % 8 as string), '] ') end, repeat('Body of the order text. ', cast(o_custkey % 9 as int))) as raw_text
         from {orders}""",
     "cases": "select distinct o_orderkey % 50 as id, concat('Case ', cast(o_orderkey % 50 as string)) as title, case when o_orderkey % 50 % 3 = 0 then 'closed' else 'open' end as status from {orders}",
-    "log": "select event_id as id, event_type, user_id as case_id, ts as created_at from {events}",
+    "log": "select event_id as id, case event_type when 'error' then case when event_id % 2 = 0 then 'seed_no_promotion' else 'extraction_failed' end when 'purchase' then 'graph_built' when 'signup' then 'auth_login' when 'click' then 'query_run' when 'view' then 'document_ingested' else event_type end as event_type, user_id as case_id, ts as created_at from {events}",
     # sentences as they come in reports, several to a document
     "sentences": f"""
         select o as document_id, n as pos, concat(
