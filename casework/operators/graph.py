@@ -16,18 +16,18 @@ LEAST_PREFIX = 4
 JUNK_EDGE = r"(?i)\b(with|by|from|of|and|or|the|a|an|co_mention|title_co_mention|cooccurrence|generic|unknown|mentioned|appears|found)\b"
 
 
-def entity_documents(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(case_id, entity_id, document_id), distinct, by case-insensitive name inside the case."""
-    named = entities.select("case_id", F.col("id").alias("entity_id"), name_key("name").alias("name_key")).filter("name_key <> ''")
+def entity_documents(entities: DataFrame, mentions: DataFrame, *more: str) -> DataFrame:
+    """(case_id, entity_id, document_id) and more columns of the entities, distinct, by case-insensitive name inside the case."""
+    named = entities.select("case_id", F.col("id").alias("entity_id"), name_key("name").alias("name_key"), *more).filter("name_key <> ''")
     docs = mentions.select("case_id", name_key("entity_name").alias("name_key"), "document_id").filter("document_id is not null").distinct()
-    return named.join(docs, ["case_id", "name_key"]).select("case_id", "entity_id", "document_id").distinct()
+    return named.join(docs, ["case_id", "name_key"]).select("case_id", "entity_id", "document_id", *more).distinct()
 
 
-def pairs(of: DataFrame) -> DataFrame:
-    """(case_id, entity_a_id, entity_b_id, n_documents) of entities that share documents of a case."""
-    a = of.select("case_id", "document_id", F.col("entity_id").alias("entity_a_id"))
-    b = of.select("case_id", "document_id", F.col("entity_id").alias("entity_b_id"))
-    return a.join(b, ["case_id", "document_id"]).filter("entity_a_id < entity_b_id").groupBy("case_id", "entity_a_id", "entity_b_id").agg(F.count("*").alias("n_documents"))
+def pairs(of: DataFrame, *more: str) -> DataFrame:
+    """(case_id, entity_a_id, entity_b_id, n_documents) of entities that share documents of a case; more columns of both ends as name_a, name_b."""
+    a, b = (of.select("case_id", "document_id", F.col("entity_id").alias(f"entity_{end}_id"), *[F.col(x).alias(f"{x}_{end}") for x in more]) for end in ("a", "b"))
+    by = ["case_id", "entity_a_id", "entity_b_id", *[f"{x}_{end}" for x in more for end in ("a", "b")]]
+    return a.join(b, ["case_id", "document_id"]).filter("entity_a_id < entity_b_id").groupBy(*by).agg(F.count("*").alias("n_documents"))
 
 
 def co_mention(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -78,11 +78,8 @@ def provisional(entities: DataFrame, edges: DataFrame, most: int = 5) -> DataFra
 
 def suggested(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs of approved mentions that are not edges yet, graded by documents and by the types of their ends."""
-    of = entity_documents(entities, mentions.filter("status = 'approved'"))
-    kinds = entities.select("id", "type")
-    p = pairs(of).join(edges.select("entity_a_id", "entity_b_id"), ["entity_a_id", "entity_b_id"], "left_anti")
-    for end in ("a", "b"):
-        p = p.join(kinds.select(F.col("id").alias(f"entity_{end}_id"), F.col("type").alias(f"type_{end}")), f"entity_{end}_id")
+    of = entity_documents(entities, mentions.filter("status = 'approved'"), "type")
+    p = pairs(of, "type").join(edges.select("entity_a_id", "entity_b_id"), ["entity_a_id", "entity_b_id"], "left_anti")
     low, high = F.least("type_a", "type_b"), F.greatest("type_a", "type_b")
     pair = F.concat_ws("|", low, high)
     bonus = case_of(
