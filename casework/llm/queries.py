@@ -141,4 +141,18 @@ ORACLE_SQL: dict[str, str] = {
         select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, other) as integer) as rank, other as negative_id, positive_score, s.score as negative_score
         from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
         qualify rank <= 5""",
+    "op12_spelling": r"""
+        with recursive bits as (select i, 0 as k, i as c from range(256) t(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+        tab as (select list(c order by i) as t from bits where k = 8),
+        runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as r from documents),
+        low as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n from runs group by 1, 2),
+        hexed as (select *, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || r)) as h from low),
+        hashed as (select r, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: ((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as c from hexed, tab),
+        words as materialized (select case when c % 97 = 0 then substring(r, 1, (c % length(r))::bigint) || substring(r, (c % length(r))::bigint + 2) else r end as word, cast(sum(n) as bigint) as n from hashed group by 1 having sum(n) >= 3 and length(word) >= 5),
+        cut as materialized (select word, n, length(word) as size, i, substring(word, 1, i) || substring(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)),
+        near as materialized (select a.word as word, a.n as n, b.word as other, b.n as m from cut a join cut b on a.rest = b.rest and a.i = b.i and a.size = b.size and a.word <> b.word union select a.word, a.n, w.word, w.n from cut a join words w on w.word = a.rest union select w.word, w.n, a.word, a.n from cut a join words w on w.word = a.rest),
+        best as (select word, count(*) as n_near, arg_min(struct_pack(other := other, m := m), struct_pack(m := -m, other := other)) as b from near group by 1),
+        forms as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when b.m >= 2 * w.n then b.other end as form, case when b.m >= 2 * w.n then b.m end as form_n from words w left join best using (word)),
+        walk as (select word, word as root, form as next from forms union all select walk.word, forms.word, forms.form from walk join forms on forms.word = walk.next)
+        select f.word, f.form, k.root, f.n, f.n_near, f.form_n from forms f join (select word, root from walk where next is null) k using (word)""",
 }

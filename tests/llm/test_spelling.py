@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from casework.llm import queries, spelling
+from tests.llm.oracle import same
 
 
 def edits(w, letters):
@@ -104,6 +105,10 @@ def test_words_of_odd_texts(spark, monkeypatch):
     assert spelling.variants(spelling.word_counts(df.limit(0))).count() == 0
 
 
+def test_query_equals_sql(spark, sf_dir):
+    same(queries.op12_spelling(spark, sf_dir), queries.ORACLE_SQL["op12_spelling"], sf_dir)
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     counts = {w: n for w, n in brute_counts(rows).items() if len(w) >= 5 and n >= 3}
