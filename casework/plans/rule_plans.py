@@ -6,7 +6,7 @@ from casework.functions import mention_rules as rules
 from casework.functions import pages, parties, relevance, targets, text
 from casework.functions.documents import cleaned
 from casework.operators import articles, extraction, findings, listed, money, overview, promotion
-from casework.plans.document_plans import _bodies, _view
+from casework.plans.document_plans import PLAIN_TEXT, _bodies, _view
 from casework.sources.views import load
 
 
@@ -337,6 +337,24 @@ def _results_sql():
 NOUNS = "select document_id % 50 as case_id, sentence from {sentences}"
 OPEN = "select id as case_id from {cases} where id % 3 <> 0"
 
+# Pages of which some lead elsewhere or ask for cookies.
+WRAPPED = "select page_id, case when page_id % 7 = 0 then 'https://feedproxy.google.com/a' else url end as url, case page_id % 5 when 0 then concat('<title>Google News</title>', html) when 1 then concat('<p>We use cookies to help</p>', html) when 2 then concat('<p>Subscribe to continue</p>', html) else html end as html from {pages}"
+
+
+def _counters_sql():
+    has = lambda c, *x: f"count(*) filter ({c} in {_in(x)})"
+    return f"""with news as ({_news_sql()}), of_case as ({NEWS}), {RULED}, {DECIDED},
+        d as (select case_id, count(*) as documents, count(*) filter (n.id % 3 = 0) as failed, {has('priority', 'PRIORITY_A')} as priority_a, {has('priority', 'PRIORITY_B')} as priority_b, {has('priority', 'LOW_SIGNAL')} as low_signal, {has('priority', 'NOISE')} as noise,
+            {has('tier', 'CORE')} as core_documents, {has('tier', 'RELEVANT')} as relevant_documents, {has('tier', 'CONTAMINATED')} as contaminated_documents from news n join (select id, case_id from of_case) o using (id) group by 1),
+        r as (select case_id, {REASON} as why from ruled), m as (select case_id, count(*) as detected, count(*) filter (why is null) as admitted, count(*) filter (why is not null) as rejected, {has('why', 'ARTIFACT', 'ARTIFACT_ENTITY')} as artifact_rejected, {has('why', 'ARTIFACT_ENTITY')} as shape_rejected, {has('why', 'NAV_RESIDUE')} as nav_rejected from r group by 1),
+        w as (select case_id, n_documents, case when is_promoted then 'promoted' when is_extra then 'supplemental' when is_late then 'fallback' when not {NOISE} and trust >= 0.62::double and role_weight >= 3 then 'held' else 'rejected' end as decision from lasts),
+        e as (select case_id, {has('decision', 'promoted', 'supplemental', 'fallback')} as promoted, {has('decision', 'supplemental')} as supplemental, {has('decision', 'fallback')} as fallback, {has('decision', 'held')} as held, {has('decision', 'rejected')} as suppressed,
+            coalesce(max(case when decision in ('promoted', 'supplemental', 'fallback') then n_documents end), 0) as main_support from w group by 1)
+        select case_id, {', '.join(f'coalesce({x}, 0) as {x}' for x in COUNTERS)} from d full join m using (case_id) full join e using (case_id)"""
+
+
+COUNTERS = "documents failed priority_a priority_b low_signal noise core_documents relevant_documents contaminated_documents detected admitted rejected artifact_rejected shape_rejected nav_rejected promoted supplemental fallback held suppressed main_support".split()
+
 # The ends of first queries by mode, as their source lists them; an empty one is the target itself.
 SEED_SQL = """when 'person_target' then ['', 'investigation', 'lawsuit', 'contract', 'funding', 'records', 'donations', 'payments', 'PAC', 'nonprofit', 'board', 'indictment', 'settlement', 'subpoena']
     when 'organization_target' then ['', 'contract', 'budget', 'audit', 'lawsuit', 'oversight', 'procurement', 'funding', 'grants', 'scandal', 'federal investigation', 'whistleblower', 'report']
@@ -409,11 +427,15 @@ PLANS = {
     ),
     "seed_counters": (
         lambda s, d: promotion.seed_counters(_news(s, d).select("case_id", "relevance.priority", "relevance.tier", (F.col("id") % 3 == 0).alias("failed")), _reasons(s, d), _decided(s, d)),
-        None,
+        _counters_sql(),
     ),
     "wrapper_pages": (
-        lambda s, d: load(s, d, "pages").select("page_id", pages.is_wrapper(F.col("html"), F.col("url"), text.plain_text(F.col("html"))).alias("wrapper")),
-        None,
+        lambda s, d: _view(s, d, WRAPPED, "pages").select("page_id", pages.is_wrapper(F.col("html"), F.col("url"), text.plain_text(F.col("html"))).alias("wrapper")),
+        f"""with w as ({WRAPPED}), p as (select page_id, url, html, lower(substring(html, 1, 3000)) as head, {PLAIN_TEXT} as text from w)
+            select page_id, contains(lower(url), 'news.google.com') or contains(lower(url), 'google.com/search') or contains(lower(url), 'accounts.google.com') or contains(lower(url), 'feedproxy.google.com')
+                or contains(head, '<!doctype html>google') or contains(head, '<title>google news</title>') or (contains(head, 'news.google.com/articles') and length(html) < 10000)
+                or (length(html) < 8000 and (regexp_matches(html, '(?i)accept.*cookies.*and.*continue') or regexp_matches(html, '(?i)before you continue to google') or regexp_matches(html, '(?i)we use cookies to')))
+                or length(trim(text)) < 120 or (length(text) < 300 and (contains(lower(text), 'google news') or contains(lower(text), 'sign in to continue') or contains(lower(text), 'subscribe to continue') or contains(lower(text), 'enable javascript'))) as wrapper from p""",
     ),
     "document_relevance": (
         lambda s, d: _news(s, d).select("id", *[F.col(f"relevance.{c}").alias(c) for c in ("score", "priority", "tier", "anchor_score", "fit", "topic")]),
