@@ -49,16 +49,18 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     target = brute_targets(dict(sizes))
     off = check([Row(doc_id=r.doc_id, size=words[r.doc_id], source_size=sizes[r.source], target=target[r.source], taken=times[r.doc_id] * words[r.doc_id]) for r in seen["mixing"]], seen["mixing"])
     assert max(off.values()) <= max(words.values())
-    # packing: each row of a repeated document is packed
-    rows = {}
-    for n, r in enumerate(sorted(seen["end"], key=lambda r: (r.doc_id, r.start, r.sequence_id, r.offset))):
-        rows.setdefault((r.doc_id, r.start), []).append(r)
-    texts, pieces = {}, []
+    # packing: each row of a repeated document is packed; its rows may be cut at different places
+    texts, pieces, ends, copies = {}, [], {}, Counter()
     for r in seen["packing"]:
         texts[(r.doc_id, len([k for k in texts if k[0] == r.doc_id]))] = r.text
-    for (doc, _), same in rows.items():
-        assert len(same) == times[doc]
-        pieces += [Row(doc_id=(doc, i), start=r.start, length=r.length, ids_crc32=r.crc32, doc_tokens=r.n_tokens, sequence_id=r.sequence_id, offset=r.offset) for i, r in enumerate(same)]
+    for r in sorted(seen["end"], key=lambda r: (r.doc_id, r.start, r.sequence_id, r.offset)):
+        if r.start == 0:
+            copy, copies[r.doc_id] = copies[r.doc_id], copies[r.doc_id] + 1
+        else:  # goes on where a copy has ended so far
+            copy = ends[(r.doc_id, r.start)].pop()
+        ends.setdefault((r.doc_id, r.start + r.length), []).append(copy)
+        pieces.append(Row(doc_id=(r.doc_id, copy), start=r.start, length=r.length, ids_crc32=r.crc32, doc_tokens=r.n_tokens, sequence_id=r.sequence_id, offset=r.offset))
+    assert copies == times
     assert check_pieces(pieces, texts) < 0.05
 
 
