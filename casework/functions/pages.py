@@ -26,6 +26,8 @@ MENU = [
     "sign in", "log in", "subscribe", "newsletter", "advertisement", "related articles", "click here", "read more", "most popular",
     "trending", "you may also like", "follow us", "download the app", "share on", "copy link", "copied!", "email this",
 ]
+#: Spaces of any width; no tabs or line ends.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 WRAPPER_URLS = ["news.google.com", "google.com/search", "accounts.google.com", "feedproxy.google.com"]
 COOKIE_WALLS = [r"(?i)accept.*cookies.*and.*continue", r"(?i)before you continue to google", r"(?i)we use cookies to"]
 JUNK_PHRASES = ["google news", "sign in to continue", "subscribe to continue", "enable javascript"]
@@ -84,9 +86,14 @@ def is_usable(raw: Column) -> Column:
     return F.coalesce(F.when(marked, ~_has(raw, "status=failed", "status=wrapper", "priority=NOISE")).otherwise(F.length(raw) > 100), F.lit(False))
 
 
+def trimmed_all(parts: Column) -> Column:
+    """Texts without spaces of any width at their ends. Given bare, F.trim would take a text's place in its list as the characters to trim."""
+    return F.transform(parts, lambda x: F.trim(x, F.lit(SPACES)))
+
+
 def paragraphs(c: Column) -> Column:
     """How many real paragraphs: eighty characters, a sentence end, no stock phrase."""
-    return F.size(F.filter(F.transform(F.split(c, r"\n\n+"), F.trim), lambda p: (F.length(p) >= 80) & p.rlike("[.!?]") & ~has_any(F.lower(p), BOILERPLATE)))
+    return F.size(F.filter(trimmed_all(F.split(c, r"\n\n+")), lambda p: (F.length(p) >= 80) & p.rlike("[.!?]") & ~has_any(F.lower(p), BOILERPLATE)))
 
 
 def is_boilerplate(c: Column) -> Column:
@@ -97,9 +104,9 @@ def is_boilerplate(c: Column) -> Column:
 def is_menu(c: Column) -> Column:
     """Whether a text is mostly menus: many menu phrases, mostly short lines, or hardly a sentence."""
     n, found = F.length(c), count_of(F.lower(c), MENU)
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(trimmed_all(F.split(c, "\n")), lambda x: x != "")
     short = F.size(F.filter(lines, lambda x: F.length(x) < 40))
-    said = F.size(F.filter(F.transform(F.split(c, "[.!?]+"), F.trim), lambda x: F.length(x) > 15))
+    said = F.size(F.filter(trimmed_all(F.split(c, "[.!?]+")), lambda x: F.length(x) > 15))
     return ((found >= 4) & (n < 1500)) | (found * 500 > n * 3) | ((F.size(lines) > 5) & (short > 0.6 * F.size(lines))) | ((n > 400) & (said < 2))
 
 

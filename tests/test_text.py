@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from casework.functions import text
+from casework.functions import documents, pages, text
 from casework.operators import budgets, money, timeline
 
 
@@ -52,3 +52,17 @@ def test_budget_column_and_years(spark):
     docs = spark.createDataFrame([(1, f"Budget F.Y. 2023-24\nRevised Adopted\n{rows}"), (2, f"Budget FY 2023/24\n{rows}"), (3, "x\n" * 30 + f"Adopted\n{rows}")], "document_id long, text string")
     got = {(r.document_id, r.column_label, r.fiscal_year) for r in budgets.budget_rows(docs).collect()}
     assert got == {(1, "REVISED", "2023-24"), (2, "ALLOCATION", "2023/24"), (3, "ALLOCATION", None)}
+
+
+def test_density_of_a_text_of_short_pieces(spark):
+    # each piece but the first has 15 letters after its space: no sentence, so a menu
+    df = spark.createDataFrame([("MENTE!! " + "ABCDEFGHIJKLMNO!! " * 30,)], "t string")
+    assert df.select(documents.density(F.col("t")).alias("d")).first().d == 0
+
+
+def test_lines_and_paragraphs_without_spaces_at_their_ends(spark):
+    t = "One 1 line here.\n" + "\n".join(["\u00a0 1 short line \u00a0", " " * 60, "2 " + "x" * 36 + "  "] * 6)
+    last = "It was 1" + "y" * 70 + ".1"
+    df = spark.createDataFrame([(t, f"a\n\n{last}\n\n  b  ", ["  0x0 ", "1x1", "\u30002x2", ""])], "t string, p string, l array<string>")
+    got = df.select(pages.is_menu(F.col("t")).alias("menu"), pages.paragraphs(F.col("p")).alias("n"), pages.trimmed_all(F.col("l")).alias("l")).first()
+    assert got.menu and got.n == 1 and got.l == ["0x0", "1x1", "2x2", ""]
