@@ -66,3 +66,10 @@ def test_lines_and_paragraphs_without_spaces_at_their_ends(spark):
     df = spark.createDataFrame([(t, f"a\n\n{last}\n\n  b  ", ["  0x0 ", "1x1", "\u30002x2", ""])], "t string, p string, l array<string>")
     got = df.select(pages.is_menu(F.col("t")).alias("menu"), pages.paragraphs(F.col("p")).alias("n"), pages.trimmed_all(F.col("l")).alias("l")).first()
     assert got.menu and got.n == 1 and got.l == ["0x0", "1x1", "2x2", ""]
+
+
+def test_status_of_a_text_of_short_pieces(spark):
+    # a sentence, and pieces that are long enough with the space before them alone
+    t = "A" + "b " * 250 + "end. " + "ABCDEFGHIJKLMNO!! " * 30
+    got = spark.createDataFrame([(t,)], "t string").select(pages.is_menu(F.col("t")).alias("menu"), pages.extraction_status(F.col("t"), F.lit(50)).alias("status")).first()
+    assert (got.menu, got.status) == (True, "invalid")
