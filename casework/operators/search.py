@@ -77,4 +77,5 @@ def registry_search(entities: DataFrame, mentions: DataFrame, queries: DataFrame
 def title_search(documents: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query, id, case_id, title) of documents whose title has the query in it."""
     hits = found(indexed(documents, "title") if index is None else index, queries).select("query", "id")
-    return hits.join(documents.select("id", "case_id", "title"), "id").select("query", "id", "case_id", "title")
+    # merged: Spark would broadcast the documents by the size of their files, of which titles may be many times as large
+    return hits.join(documents.select("id", "case_id", "title").hint("merge"), "id").select("query", "id", "case_id", "title")

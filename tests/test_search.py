@@ -25,3 +25,11 @@ def test_written_index_is_read_in_part(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     folders = set(plan.split("PartitionFilters: [")[1].split("]")[0].replace("(", " ").replace(")", " ").replace(",", " ").split())
     assert sum(x.isdigit() for x in folders) <= 4 and [r.id for r in hits.collect()] == [42]
+
+
+def test_documents_are_not_broadcast(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 5).alias("case_id"), F.format_string("title %04d", "id").alias("title"))
+    hits = search.title_search(rows, spark.createDataFrame([("e 0042",)], "query string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.split() if x.endswith("Join")][0] == "SortMergeJoin"
+    assert [tuple(r) for r in hits.collect()] == [("e 0042", 42, 2, "title 0042")]
