@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from casework.functions import relevance
+from casework.plans import rule_plans
 
 
 def test_one_reading_counts_what_each_list_holds(spark):
@@ -22,3 +23,15 @@ def test_columns_of_any_name_stay(spark):
     assert relevance.document_relevance(df.limit(0)).count() == 0
     nulls = df.select("id", *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in ("title", "text", "domain")], "intent", "mode", "terms", "boilerplate_ratio", "anchor")
     assert relevance.document_relevance(nulls).first().relevance.score < 50
+
+
+def test_news_are_dealt_to_all_cores(spark, sf_dir):
+    df = rule_plans.PLANS["document_relevance"][0](spark, sf_dir)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_anchor_without_words(spark):
+    df = spark.createDataFrame([(["harbor"], "the harbor", True), ([], "the harbor", False), (None, "the harbor", False)], "w array<string>, t string, hit boolean")
+    a = F.struct(F.col("w").alias("words"), F.col("w").alias("strong"), F.col("w").alias("against"))
+    for r in df.select("*", *[x.alias(k) for k, x in relevance.anchor_hits(F.col("t"), F.col("t"), F.col("t"), a).items()]).collect():
+        assert r._title_hit == r._lead_hit == r._against == r.hit
