@@ -73,3 +73,10 @@ def test_status_of_a_text_of_short_pieces(spark):
     t = "A" + "b " * 250 + "end. " + "ABCDEFGHIJKLMNO!! " * 30
     got = spark.createDataFrame([(t,)], "t string").select(pages.is_menu(F.col("t")).alias("menu"), pages.extraction_status(F.col("t"), F.lit(50)).alias("status")).first()
     assert (got.menu, got.status) == (True, "invalid")
+
+
+def test_lines_are_lowered_once(spark):
+    # once for each of the five places that name the lines, not for each word
+    df = spark.createDataFrame([("Share\n Body \nRead more\nEmail Print Close",)], "t string")
+    out = df.select(documents.cleaned(F.col("t")).alias("c")).select("c.cleaned", "c.boilerplate_ratio")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 5 and out.first().cleaned == "Body"
