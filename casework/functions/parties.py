@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casework.functions.matching import found, has
 from casework.operators.ranking import case_of
 
 # Noun phrases, verbs between parties, gates, programs.
@@ -62,23 +63,28 @@ def canonical(c: Column) -> Column:
     return F.coalesce(names[F.regexp_replace(F.lower(F.trim(c)), r"\.$", "")], F.trim(c))
 
 
+def _once(c: Column, f) -> Column:
+    """f of a column that is computed once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _party(c: Column) -> Column:
-    return F.when(is_party(c), canonical(c))
+    return _once(c, lambda x: F.when(is_party(x), canonical(x)))
 
 
 def after(sentence: Column, verb: str) -> Column:
     """The first phrase behind the first of these verbs, if it can name a party."""
     rest = F.regexp_extract(sentence, rf"(?s)^.*?(?i:{verb})(.*)$", 1)
-    return _party(F.regexp_extract(rest, rf"\b({PHRASE})\b", 1))
+    return F.when(has(found(sentence, [f"(?i){verb}"]), 0), _party(F.regexp_extract(rest, rf"\b({PHRASE})\b", 1)))
 
 
 def subject(sentence: Column) -> Column:
     """The longest phrase before the first amount or award verb that can name a party, the earlier of equal ones."""
     before = F.regexp_extract(sentence, rf"(?s)^(.+?)(?:{MONEY_SIGN}|(?i:{AWARD}))", 1)
     starts = sentence.rlike(rf"(?s)^(?:{MONEY_SIGN}|(?i:{AWARD}))")
-    found = F.filter(F.regexp_extract_all(before, F.lit(rf"\b({PHRASE})\b"), F.lit(1)), is_party)
-    best = F.array_min(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("size"), i.alias("at"), x.alias("name"))))
-    return F.when(~starts, canonical(best["name"]))
+    phrases = F.filter(F.regexp_extract_all(before, F.lit(rf"\b({PHRASE})\b"), F.lit(1)), is_party)
+    best = F.array_min(F.transform(phrases, lambda x, i: F.struct((-F.length(x)).alias("size"), i.alias("at"), x.alias("name"))))
+    return F.when(~starts, _once(best["name"], canonical))
 
 
 def controller(sentence: Column) -> Column:
@@ -96,8 +102,8 @@ def program(sentence: Column) -> Column:
 
 def first_party(sentence: Column) -> Column:
     """The first phrase of two words or more that can name a party."""
-    found = F.filter(F.regexp_extract_all(sentence, F.lit(rf"\b({LONG_PHRASE})\b"), F.lit(1)), is_party)
-    return canonical(F.try_element_at(found, F.lit(1)))
+    phrases = F.filter(F.regexp_extract_all(sentence, F.lit(rf"\b({LONG_PHRASE})\b"), F.lit(1)), is_party)
+    return _once(F.try_element_at(phrases, F.lit(1)), canonical)
 
 
 def entity(sentence: Column, controlled_by: Column, received_by: Column) -> Column:
@@ -111,9 +117,10 @@ def anchor_hits(sentence: Column, words: Column) -> Column:
 def confidence(sentence: Column, signal_type: Column, named: Column, gate: str, words: Column | None = None) -> Column:
     """0 to 1 from gates, parties, type, program and, where the case has anchor words, their hits."""
     low = F.lower(sentence)
-    control, receive = low.rlike(CONTROL), low.rlike(RECEIVE)
-    points = F.when(low.rlike(gate), 0.20).otherwise(0.0) + case_of(0.0, (low.rlike(EXPLICIT), 0.25), (low.rlike(FLOW), 0.15), (low.rlike(GENERIC), 0.08)) + F.when(named.isNotNull(), 0.12).otherwise(0.0)
-    points = points + case_of(0.0, (control & receive, 0.12), (control | receive, 0.07)) + case_of(0.0, *[(signal_type == t, x) for t, x in TYPE_POINTS.items()]) + F.when(low.rlike(PROGRAM_WORD), 0.05).otherwise(0.0)
+    f = found(low, [CONTROL, RECEIVE, gate, EXPLICIT, FLOW, GENERIC, PROGRAM_WORD])
+    control, receive = has(f, 0), has(f, 1)
+    points = F.when(has(f, 2), 0.20).otherwise(0.0) + case_of(0.0, (has(f, 3), 0.25), (has(f, 4), 0.15), (has(f, 5), 0.08)) + F.when(named.isNotNull(), 0.12).otherwise(0.0)
+    points = points + case_of(0.0, (control & receive, 0.12), (control | receive, 0.07)) + case_of(0.0, *[(signal_type == t, x) for t, x in TYPE_POINTS.items()]) + F.when(has(f, 6), 0.05).otherwise(0.0)
     if words is not None:
         hits = anchor_hits(sentence, words)
         points = points + F.when(F.size(words) > 0, case_of(-0.05, (hits >= 3, 0.15), (hits == 2, 0.10), (hits == 1, 0.05))).otherwise(0.0)
