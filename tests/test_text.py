@@ -80,3 +80,15 @@ def test_lines_are_lowered_once(spark):
     df = spark.createDataFrame([("Share\n Body \nRead more\nEmail Print Close",)], "t string")
     out = df.select(documents.cleaned(F.col("t")).alias("c")).select("c.cleaned", "c.boilerplate_ratio")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 5 and out.first().cleaned == "Body"
+
+
+def test_lines_are_searched_in_arrow_batches(spark):
+    long_ = "word " * 30 + "share email print"  # three words of share rails, whatever the length
+    texts = [None, "", "\n \n", "Share\r\n Body \r\r\n\u00a0Read more\u2003\nEmail Print Close\nLast\r", "Copyright 2020 x\nKeep\n\n\n\nthis\nclose\nclose it", f"\t{long_}\nA\n", "sign up for us\nprint print print\n12/30 pm\n\u2022\u2192\n---"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("c", documents.cleaned(F.col("t")))
+    got = [tuple(r.c) for r in df.orderBy("i").collect()]
+    assert got[0] == (None, None, None, None, 0.0)
+    left = [("", 1), ("", 3), ("Body \r\nLast", 3), ("Keep\nthis\nclose it", 5), ("A", 2), ("print print print", 4)]
+    assert got[1:] == [(x, len(t), len(x), n, round((len(t) - len(x)) / len(t), 4) if t else 0.0) for t, (x, n) in zip(texts[1:], left, strict=True)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "rlike" not in plan.lower()
