@@ -92,3 +92,17 @@ def test_lines_are_searched_in_arrow_batches(spark):
     assert got[1:] == [(x, len(t), len(x), n, round((len(t) - len(x)) / len(t), 4) if t else 0.0) for t, (x, n) in zip(texts[1:], left, strict=True)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and "rlike" not in plan.lower()
+
+
+def test_foreign_lines_are_counted_in_arrow_batches(spark):
+    heads = "\n".join(["Harbor Council Votes Again\r", "  THE WHOLE BUDGET OF IT ", "Short One Here", "Not a Headline of That Kind"] * 3)
+    texts = [None, "", heads, "Read more\nread more now\n\u00a0More news today\nx", "10:30 am\n" * 5 + "share " + "y" * 90, "Sponsored story\nemail us\n"]
+    df = spark.createDataFrame([(i, t, 0.3 if i == 5 else 0.0) for i, t in enumerate(texts)], "i int, t string, r double")
+    d = documents.contamination(df, "t", "r")
+    got = [(r.contamination_points, r.contamination, r.contamination_signals) for r in d.orderBy("i").collect()]
+    assert got == [
+        (0, "low", []), (0, "low", []), (2, "low", ["headline-fragments"]), (6, "high", ["more-stories-bleed", "multiple-more-stories", "short-noisy"]), (1, "low", ["timestamp-clusters"]),
+        (8, "high", ["med-boilerplate", "heavy-nav-density", "promo-content", "short-noisy"]),
+    ]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" not in plan.lower() and "_lines" not in d.columns
