@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.functions.text import diag_map, strip_markers
+from casework.functions.text import diag_map, diag_value, strip_markers
 from casework.operators.graph import degree, ends
 from casework.operators.ranking import holding, case_of, first_by, name_key, top_by
+from casework.tables import save
 
 # How much an event type counts.
 EVENT_RANK = {"FUNDING_APPROVED": 10, "CONTRACT_AWARDED": 10, "LEGAL_ACTION": 9, "AUDIT": 9, "INVESTIGATION_STARTED": 8, "PROGRAM_LAUNCH": 7, "PROPERTY_ACQUISITION": 7, "POLICY_CHANGE": 6, "PROGRAM_EXPANSION": 5}
@@ -44,7 +45,7 @@ def mention_stats(mentions: DataFrame) -> DataFrame:
 def usable(documents: DataFrame) -> DataFrame:
     """Documents with their diagnostic map (``diag``), but those that failed or have under 100 characters."""
     d = documents.withColumn("diag", diag_map(F.col("raw_text")))
-    status = F.coalesce(F.col("diag")["status"], F.lit("unknown"))
+    status = F.coalesce(diag_value(F.col("raw_text"), "status"), F.lit("unknown"))  # the map is made only of what is left, if it is read
     return d.filter(~status.isin("failed", "wrapper") & (F.length(F.coalesce("raw_text", F.lit(""))) >= 100))
 
 
@@ -88,9 +89,14 @@ def inferred_type(name, known):
 
 
 def ranked_entities(mentions: DataFrame, entities: DataFrame, primary: int = 6, secondary: int = 4) -> DataFrame:
-    """The best primary (two documents or three mentions) and other names of each case."""
+    """The best primary (two documents or three mentions) and other names of each case.
+
+    Names are judged once they are counted and written, one row for each name of a case: Spark would
+    move the patterns below the counting, to every mention.
+    """
     known = entities.groupBy("case_id", name_key("name").alias("name_key")).agg(F.max_by("type", "id").alias("known_type"), F.max("id").alias("entity_id"))
-    s = mention_stats(mentions.filter(F.col("entity_name").isNotNull() & ~junk_name(F.col("entity_name")))).withColumn("name_key", name_key("entity_name")).join(known, ["case_id", "name_key"], "left")
+    stats = save(mention_stats(mentions.filter(F.col("entity_name").isNotNull())))
+    s = stats.filter(~junk_name(F.col("entity_name"))).withColumn("name_key", name_key("entity_name")).join(known, ["case_id", "name_key"], "left")
     s = s.withColumns(
         {
             "type": inferred_type(F.col("entity_name"), F.col("known_type")),
@@ -109,7 +115,8 @@ def ranked_timeline(timeline: DataFrame, mentions: DataFrame, as_of, k: int = 8)
     """
     past = timeline.filter(F.col("event_date").isNotNull() & (F.col("event_date") <= F.lit(as_of).cast("date"))).withColumn("low", F.lower(F.coalesce("title", F.lit(""))))
     one = first_by(past.withColumn("start", F.substring("low", 1, 60)), ["case_id", "event_date", "start"], ["id"])
-    names = mentions.filter(F.col("entity_name").isNotNull() & ~junk_name(F.col("entity_name"))).select("case_id", F.lower("entity_name").alias("name")).distinct()
+    named = save(mentions.filter(F.col("entity_name").isNotNull()).select("case_id", "entity_name").distinct())  # judged name by name, not mention by mention
+    names = named.filter(~junk_name(F.col("entity_name"))).select("case_id", F.lower("entity_name").alias("name")).distinct()
     has = holding(one.select("id", "case_id", "low"), names, "low", "name", ["case_id"]).select("id").distinct().withColumn("has_name", F.lit(True))
     rank = F.create_map(*[F.lit(x) for kv in EVENT_RANK.items() for x in kv])
     priority = F.coalesce(rank[F.col("event_type")], F.lit(1))

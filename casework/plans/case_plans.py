@@ -50,6 +50,11 @@ def _events(s, d):
     return compiling.ranked_timeline(*_load(s, d, "timeline", "mentions"), AS_OF)
 
 
+def _quality_of_data(s, d):
+    mentions, entities, timeline = _load(s, d, "mentions", "entities", "timeline")
+    return compiling.data_quality(load(s, d, "cases"), load(s, d, "files"), compiling.ranked_entities(mentions, entities), compiling.ranked_timeline(timeline, mentions, AS_OF))
+
+
 def _titled(s, files):
     return s.sql(TITLED, files=files)
 
@@ -100,7 +105,7 @@ PLANS = {
     ),
     "ranked_timeline": (_events, f"with {EVENTS} select * from top_events"),
     "data_quality": (
-        lambda s, d: compiling.data_quality(load(s, d, "cases"), load(s, d, "files"), _ranked(s, d), _events(s, d)),
+        _quality_of_data,
         f"""with {USABLE}, {RANKED}, {EVENTS}, c as (select c.id, (select count(*) from usable u where u.case_id = c.id) as n_usable, (select count(*) from ranked r where r.case_id = c.id and is_primary) as n_primary, (select count(*) from top_events t where t.case_id = c.id) as n_events from {{cases}} c),
             q as (select *, least(n_usable, 5) as n_evidence, case when n_usable = 0 then 'EMPTY' when n_primary >= 2 and least(n_usable, 5) >= 3 and n_events >= 2 then 'STRONG' when n_primary >= 1 and least(n_usable, 5) >= 2 then 'MODERATE' else 'WEAK' end as quality from c)
             select *, cast(least(99, case quality when 'STRONG' then 80 + least(20, n_primary * 4 + least(n_events, 3) * 2) when 'MODERATE' then 45 + least(30, n_primary * 6 + least(n_events, 2) * 3) when 'WEAK' then 15 + least(25, n_primary * 5 + n_usable * 2) else 0 end) as integer) as confidence,

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from casework.operators import dossier, graph, money, ranking
+from casework.functions import text
+from casework.operators import compiling, dossier, graph, money, ranking
 
 
 def test_ranks_of_a_giant_group(spark):
@@ -56,3 +57,20 @@ def test_flow_trace_ranks(spark, sf_dir):
     for r in rows:
         by.setdefault(r.case_id, []).append(r["rank"])
     assert all(sorted(x) == list(range(1, len(x) + 1)) for x in by.values())
+
+
+def test_names_are_judged_once_a_case_and_files_by_their_status(spark):
+    # the patterns of names follow the written counts; the status of a file is read without a map of its marker
+    rows = [(1, "Harbor Council", i, 0.5) for i in range(4)] + [(1, "12345", i, 0.9) for i in range(4)] + [(1, "x" * 61, 1, 0.9), (1, "Metro", 1, 0.6), (1, None, 2, 0.6)]
+    mentions = spark.createDataFrame(rows, "case_id long, entity_name string, document_id long, confidence double")
+    entities = spark.createDataFrame([(5, 1, "harbor council ", "agency")], "id long, case_id long, name string, type string")
+    best = compiling.ranked_entities(mentions, entities)
+    assert [(r.entity_name, r.type, r.n_mentions, r.is_primary) for r in best.orderBy("entity_name").collect()] == [("Harbor Council", "agency", 4, True), ("Metro", "location", 1, False)]
+    assert "document_id" not in best._jdf.queryExecution().optimizedPlan().toString()
+    markers = ["[DIAG:status=failed|score=1] ", " [WEB-DIAG:score=1|status=failed|status=valid] ", "[DIAG:xstatus=failed] ", "[DIAG:status=] ", "[DIAG:] ", "", "[DIAG:status=a=wrapper] ", "[DIAG:a=b|status=wrapper] ", None]
+    files = spark.createDataFrame([(i, None if m is None else m + "y" * 100) for i, m in enumerate(markers)], "id long, raw_text string")
+    left = compiling.usable(files)
+    assert [r.id for r in left.orderBy("id").collect()] == [1, 2, 3, 4, 5, 6]
+    assert "map_from_arrays" not in left.select("id")._jdf.queryExecution().optimizedPlan().toString()
+    same = files.select((text.diag_map(F.col("raw_text"))["status"].eqNullSafe(text.diag_value(F.col("raw_text"), "status"))).alias("same"))
+    assert all(r.same for r in same.collect())
