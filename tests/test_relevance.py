@@ -35,3 +35,8 @@ def test_anchor_without_words(spark):
     a = F.struct(F.col("w").alias("words"), F.col("w").alias("strong"), F.col("w").alias("against"))
     for r in df.select("*", *[x.alias(k) for k, x in relevance.anchor_hits(F.col("t"), F.col("t"), F.col("t"), a).items()]).collect():
         assert r._title_hit == r._lead_hit == r._against == r.hit
+
+
+def test_documents_of_counters_are_cleaned_in_arrow_batches(spark, sf_dir):
+    d = rule_plans._news(spark, sf_dir).select("case_id", "relevance.priority", "relevance.tier")
+    assert "top stories" not in d._jdf.queryExecution().optimizedPlan().toString()
