@@ -50,6 +50,11 @@ PR_PHRASES = ["press release", "for immediate release", "media contact"]
 LOW_SOURCES = ["reddit.com", "twitter.com", "x.com", "facebook.com", "instagram.com", "tmz.com", "buzzfeed.com", "dailymail.co.uk", "nypost.com", "pagesix.com", "tmzone.com", "yelp.com"]
 
 
+def lowered(c: Column) -> Column:
+    """A text in lower case, each character one, as DuckDB and RE2 have it: F.lower would put a dot of its own behind the i of U+0130 and part a phrase."""
+    return F.lower(F.replace(c, F.lit("\u0130"), F.lit("i")))
+
+
 def has_any(c: Column, words: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
 
@@ -93,17 +98,17 @@ def trimmed_all(parts: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """How many real paragraphs: eighty characters, a sentence end, no stock phrase."""
-    return F.size(F.filter(trimmed_all(F.split(c, r"\n\n+")), lambda p: (F.length(p) >= 80) & p.rlike("[.!?]") & ~has_any(F.lower(p), BOILERPLATE)))
+    return F.size(F.filter(trimmed_all(F.split(c, r"\n\n+")), lambda p: (F.length(p) >= 80) & p.rlike("[.!?]") & ~has_any(lowered(p), BOILERPLATE)))
 
 
 def is_boilerplate(c: Column) -> Column:
-    low = F.lower(c)
+    low = lowered(c)
     return has_any(low, HARD) | (count_of(low, BOILERPLATE) >= 2)
 
 
 def is_menu(c: Column) -> Column:
     """Whether a text is mostly menus: many menu phrases, mostly short lines, or hardly a sentence."""
-    n, found = F.length(c), count_of(F.lower(c), MENU)
+    n, found = F.length(c), count_of(lowered(c), MENU)
     lines = F.filter(trimmed_all(F.split(c, "\n")), lambda x: x != "")
     short = F.size(F.filter(lines, lambda x: F.length(x) < 40))
     said = F.size(F.filter(trimmed_all(F.split(c, "[.!?]+")), lambda x: F.length(x) > 15))

@@ -29,8 +29,13 @@ def _dealt_view(spark, d, sql, name):
     return spark.sql(sql, **{name: dealt(load(spark, d, name))})
 
 
+def _text_view(spark, d, sql):
+    """A view of documents; a null text adds nothing to a concat, as in DuckDB."""
+    return spark.sql(sql.replace("chr(10)", "char(10)"), documents=load(spark, d, "documents").fillna("", ["text"]))
+
+
 def _cleaned(s, d):
-    return _view(s, d, NOISY.replace("chr(10)", "char(10)"), "documents").withColumn("c", documents.cleaned(F.col("text")))
+    return _text_view(s, d, NOISY).withColumn("c", documents.cleaned(F.col("text")))
 
 
 def _bodies(s, d):

@@ -6,7 +6,7 @@ from casework.functions import mention_rules as rules
 from casework.functions import pages, parties, relevance, targets, text
 from casework.functions.documents import cleaned
 from casework.operators import articles, extraction, findings, listed, money, overview, promotion
-from casework.plans.document_plans import PLAIN_TEXT, _bodies, _dealt_view, _view
+from casework.plans.document_plans import PLAIN_TEXT, _bodies, _dealt_view, _text_view, _view
 from casework.sources.views import load
 
 
@@ -413,7 +413,7 @@ PLANS = {
             + case when length(t) > 3000 then 1 else 0 end + case when n_entities >= 5 then 2 when n_entities >= 2 then 1 else 0 end as score from n) select id, case when score >= 7 then 'HIGH' when score >= 3 then 'MEDIUM' else 'LOW' end as signal from c""",
     ),
     "text_faults": (
-        lambda s, d: _view(s, d, BODIES.replace("chr(10)", "char(10)"), "documents").select("id", pages.is_boilerplate(F.col("text")).alias("boilerplate"), pages.is_menu(F.col("text")).alias("menu"), pages.paragraphs(F.col("text")).alias("paragraphs"), pages.extraction_status(F.col("text"), F.lit(50)).alias("status")),
+        lambda s, d: _text_view(s, d, BODIES).select("id", pages.is_boilerplate(F.col("text")).alias("boilerplate"), pages.is_menu(F.col("text")).alias("menu"), pages.paragraphs(F.col("text")).alias("paragraphs"), pages.extraction_status(F.col("text"), F.lit(50)).alias("status")),
         f"""with b as ({BODIES}), n as (select *, lower(text) as low, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 15)) as said,
                 len(list_filter(list_transform(string_split_regex(text, '\\n\\n+'), lambda x: trim(x)), lambda x: length(x) >= 80 and regexp_matches(x, '[.!?]') and not {_any('lower(x)', pages.BOILERPLATE)})) as paragraphs from b),
             f as (select *, {_any('low', pages.HARD)} or {_hits('low', _list(pages.BOILERPLATE))} >= 2 as boilerplate, {_hits('low', _list(pages.MENU))} as found from n),

@@ -1,10 +1,12 @@
 """Rules on mentions, money and documents that the test tables' queries do not reach."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from casework.functions import mention_rules as rules
 from casework.functions import pages, parties, text
 from casework.operators import articles, extraction, promotion
+from casework.plans.registry import ORACLE_SQL, QUERIES
 from casework.sources import views
 
 
@@ -127,3 +129,14 @@ def test_seed_counters(spark):
     got = {r.case_id: r for r in promotion.seed_counters(docs, found, done).collect()}
     assert (got[1].documents, got[1].failed, got[1].priority_a, got[1].admitted, got[1].artifact_rejected, got[1].promoted, got[1].held, got[1].main_support) == (2, 1, 1, 1, 1, 1, 1, 3)
     assert got[2].promoted == 0 and got[3].nav_rejected == 1
+
+
+def test_faults_of_null_texts_and_dotted_capitals_equal_their_sql(spark, tmp_path):
+    body = "The council met and the report of the budget came to the table of the members again. "
+    texts = [None, None, None, None, None, "", "Sİgn in to read " + body, "Clİck here. Read more. " + body, body * 9 + "\n\n" + body + "PRİVACY POLICY.\n\n", "Sİgn in. Log İn. Subscrİbe. Copy lİnk. " + body, body * 12]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["text_faults"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select id, boilerplate, menu, paragraphs, status from ({ORACLE_SQL['text_faults']}) order by id").fetchall()
+    assert list(map(tuple, got.orderBy("id").select("id", "boilerplate", "menu", "paragraphs", "status").collect())) == want
