@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from casework.operators.dossier import registry
 from casework.operators.ranking import ranked_whole
-from casework.tables import save
+from casework.tables import look_up, save
 
 #: Letters of a group; folders of a written index.
 LETTERS, FOLDERS = 3, 256
@@ -58,9 +58,11 @@ def found(index: DataFrame, queries: DataFrame) -> DataFrame:
     # the folders of the queries' groups, at most FOLDERS numbers, prune a written index
     folders = [r.folder for r in wanted.select("folder").distinct().collect()]
     near = index.filter(F.col("folder").isin(folders))
-    count = near.join(wanted.select("folder", "gram").distinct(), ["folder", "gram"], "left_semi").groupBy("folder", "gram").count()
-    rarest = wanted.join(count, ["folder", "gram"], "left").groupBy("query", "asked").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "folder", "gram")).alias("m")).filter("m.n > 0")
-    return near.join(rarest.select("query", "asked", "m.folder", "m.gram"), ["folder", "gram"]).filter(F.contains("low", "asked")).select("query", "id", "low")
+    # the queries' side is written and counted: Spark would broadcast the index by the size of the files it is made of
+    count = save(look_up(near, save(wanted.select("folder", "gram").distinct()), ["folder", "gram"], "left_semi").groupBy("folder", "gram").count())
+    rarest = look_up(wanted, count, ["folder", "gram"]).groupBy("query", "asked").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "folder", "gram")).alias("m")).filter("m.n > 0")
+    rarest = save(rarest.select("query", "asked", "m.folder", "m.gram"))
+    return look_up(near, rarest, ["folder", "gram"], "inner").filter(F.contains("low", "asked")).select("query", "id", "low")
 
 
 def registry_search(entities: DataFrame, mentions: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,16 @@ def test_written_index_is_read_in_part(spark, tmp_path):
     assert sum(x.isdigit() for x in folders) <= 4 and [r.id for r in hits.collect()] == [42]
 
 
+def test_the_index_is_not_broadcast(spark, tmp_path):
+    spark.range(3000).select("id", F.format_string("title %04d", "id").alias("name")).write.parquet(f"{tmp_path}/rows")  # a small file, of which Spark would broadcast all groups
+    rows, queries = spark.read.parquet(f"{tmp_path}/rows"), spark.createDataFrame([("e 0042",), ("LE 1",), ("zzz",)], "query string")
+    hits = search.found(search.indexed(rows, "name"), queries)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "Generate" not in plan.split("BroadcastExchange")[1]
+    assert sorted({r.query for r in hits.collect()}) == ["LE 1", "e 0042"] and hits.count() == 1001
+
+
 def test_documents_are_not_broadcast(spark):
     rows = spark.range(100).select("id", (F.col("id") % 5).alias("case_id"), F.format_string("title %04d", "id").alias("title"))
     hits = search.title_search(rows, spark.createDataFrame([("e 0042",)], "query string"))
