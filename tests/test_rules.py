@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from casework.functions import mention_rules as rules
 from casework.functions import pages, parties, text
-from casework.operators import articles, extraction, promotion
+from casework.operators import articles, extraction, mentions, promotion
 from casework.plans.registry import ORACLE_SQL, QUERIES
 from casework.sources import views
 
@@ -71,6 +71,16 @@ def test_whole_documents_to_admitted_mentions(spark):
     assert "Department of Housing" not in [r.entity_name for r in listed.collect()] and extraction.extracted(df.limit(0)).count() == 0
 
 
+def test_names_are_given_once_and_mentions_move_once(spark):
+    text_ = "The audit of Harbor Council and Jordan Petrov goes on. " * 40
+    df = spark.createDataFrame([(i, 1, text_, "finance_funding", ["harbor"], i % 2 == 0) for i in range(4)], "document_id long, case_id long, text string, intent string, terms array<string>, lead_only boolean")
+    found = df.select(F.explode(mentions.find_names(F.col("text"))).alias("m")).select("m.*")
+    assert found.count() == 4 * found.select("name", "type").distinct().count()
+    out = extraction.extracted(df).drop("context")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted({(r.document_id, r.entity_name) for r in out.collect()}) == [(i, n) for i in range(4) for n in ("Harbor Council", "Jordan Petrov")]
+
+
 def test_seed_and_diag_maps(spark):
     rows = [("Case [SEED:searched=4|searched=7|seed_intent=general|reject_reasons=ARTIFACT%3A3%2CNAV%3A1|next_queries=a%20b%7C%7Cc]",), ("plain",), (None,)]
     got = [r[0] for r in values(spark, rows, "d string", text.seed_map(F.col("d")))]
